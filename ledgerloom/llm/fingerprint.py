@@ -2,9 +2,9 @@
 
 Every five-word shingle is hashed once; the top bits choose one of 256 bins and
 the smallest hash in a bin is its value. An empty bin takes the value of a
-filled one, chosen by a hash of the pair (empty bin, filled bin): each empty bin
-draws its donor independently, as optimal densification asks, and always finds
-one. The low 8 bits of each value are stored as hex. Of two fingerprints, the
+filled one: hashes of (empty bin, attempt) name bins until one is filled, so each
+empty bin draws its donor independently, as optimal densification asks. After 24
+attempts the filled bins are ranked by a hash instead, so a donor is always found. The low 8 bits of each value are stored as hex. Of two fingerprints, the
 share of equal bins is corrected for chance agreement of 8-bit values.
 
 Defined cases: null text counts as empty; a text without words has the empty
@@ -25,45 +25,48 @@ SHINGLE = 5
 BITS_OF_BIN = 8
 BINS = 1 << BITS_OF_BIN
 STORED_BITS = 8
+#: Hashes of (empty bin, attempt) to try before all filled bins are ranked by hash.
+PROBES = 24
+HEX = [f"{v:0{STORED_BITS // 4}x}" for v in range(1 << STORED_BITS)]
 
 
 def _bin(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - BITS_OF_BIN)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: The largest hash of each bin: sorted in with the shingles, it marks a bin as empty.
+EMPTY = [_signed((b + 1 << 64 - BITS_OF_BIN) - 1) for b in range(BINS)]
+
+
 def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: the densified low bytes (array of 256), or an empty array."""
-    words, grams, low = f"__{out}_words", f"__{out}_grams", f"__{out}_least"
+    words, grams, least = f"__{out}_words", f"__{out}_grams", f"__{out}_least"
     df = df.withColumn(words, F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), ""), lambda w: F.xxhash64(w)))
     size = F.size(words)
-    df = df.withColumn(
-        grams,
-        F.sort_array(
-            F.when(size >= SHINGLE, rolling_hashes(F.col(words), SHINGLE))
-            .when(size > 0, F.array(F.xxhash64(F.col(words))))
-            .otherwise(F.array().cast("array<bigint>"))
-        ),
-    )
-    # sorted by hash, so the first of each bin is its minimum
-    df = df.withColumn(low, F.filter(grams, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(grams), i - 1)))))
-    filled = F.transform(low, lambda x: _bin(x))
-    df = df.withColumn(f"{low}_bin", filled)
+    shingles = F.when(size >= SHINGLE, rolling_hashes(F.col(words), SHINGLE)).otherwise(F.array(F.xxhash64(F.col(words))))
+    df = df.withColumn(grams, F.sort_array(F.concat(shingles, F.lit(EMPTY))))
+    # sorted by hash, so the first of each bin is its minimum, and every bin has one
+    df = df.withColumn(least, F.filter(grams, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(grams), i - 1)))))
+    df = df.withColumn(least, F.transform(least, lambda x: F.when(x.bitwiseAND(EMPTY[0]) != EMPTY[0], x.bitwiseAND((1 << STORED_BITS) - 1).cast("int"))))
 
-    def donor(b: Column) -> Column:
-        return F.array_min(F.transform(low, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("h"), x.alias("x"))))["x"]
+    def probe(i: Column, attempt: int) -> Column:
+        return F.get(F.col(least), F.pmod(F.xxhash64(i, F.lit(attempt)), F.lit(BINS)).cast("int"))
 
-    def value(b: Column) -> Column:
-        at = F.array_position(F.col(f"{low}_bin"), b)
-        return F.when(at > 0, F.get(F.col(low), (at - 1).cast("int"))).otherwise(donor(b)).bitwiseAND(F.lit((1 << STORED_BITS) - 1))
+    def nearest(i: Column) -> Column:
+        filled = F.filter(F.transform(least, lambda x, j: F.struct(F.xxhash64(i, j), x.alias("x"))), lambda s: s["x"].isNotNull())
+        return F.array_min(filled)["x"]
 
-    bins = F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))
-    dense = F.when(F.size(low) > 0, F.transform(bins, lambda b: value(b).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, dense).drop(words, grams, low, f"{low}_bin")
+    dense = F.transform(least, lambda x, i: F.coalesce(x, *[probe(i, t) for t in range(PROBES)], nearest(i)))
+    return df.withColumn(out, F.when(size > 0, dense).otherwise(F.array().cast("array<int>"))).drop(words, grams, least)
 
 
 def packed(bins: Column) -> Column:
     """The bins' low bits as one lowercase hex string."""
-    return F.array_join(F.transform(bins, lambda v: F.lower(F.lpad(F.hex(v), STORED_BITS // 4, "0"))), "")
+    return F.array_join(F.transform(bins, lambda v: F.get(F.lit(HEX), v)), "")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -83,12 +83,15 @@ def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """Verified hits: (doc_id, text_hash, n_words, template, label, base, size, at, start).
 
     The template side is the fixed list above, so it is broadcast. Of the texts,
-    only matching grams leave the scan.
+    only matching grams leave the scan. The outer form of explode keeps Catalyst from
+    deriving a filter on the array that would compute it a second time, and exploding a
+    plain column keeps generation and join in one compiled stage, where words aren't copied.
     """
     scanned = (
         docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _words(F.col("text")).alias("words"))
         .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-        .select("doc_id", "text_hash", "words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), rolling_hashes(F.col("hashes"), K))).alias("slot", "gram"))
+        .withColumn("grams", F.concat(F.array(F.lit(0).cast("long")), rolling_hashes(F.col("hashes"), K)))
+        .select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("slot", "gram"))
     )
     return (
         scanned.join(F.broadcast(grams), "gram")
