@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, license_scan, line_dedup
+from . import chat_format, decontaminate, fingerprint, language, license_scan, line_dedup, pieces, quality, simhash
 from .shared import read
 
 
@@ -52,11 +52,28 @@ from e group by conv_id
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; fixes which documents may be learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(4) == 2
+    model = quality.learn(docs.where(~held_out), read(spark, sf_dir, "labels"))
+    out = quality.scored(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(read(spark, sf_dir, "documents"))
 
@@ -85,11 +102,35 @@ select doc_id, source, length(d.text) as chars_before,
 from documents d left join k using (doc_id)
 """
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = _remainder(3) == 1
+    model = language.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
+    out = language.predicted(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = pieces.decode(docs)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_decontaminate": op2_decontaminate,
     "op3_license_scan": op3_license_scan,
+    "op4_quality": op4_quality,
     "op6_fingerprint": op6_fingerprint,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language": op8_language,
+    "op9_pieces": op9_pieces,
+    "op10_simhash": op10_simhash,
 }
 
 SQL = {
