@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, language, license_scan, line_dedup, pieces, quality, simhash
+from . import chat_format, decontaminate, fingerprint, language, license_scan, line_dedup, lm_score, pieces, quality, simhash
 from .shared import read
 
 
@@ -74,6 +74,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_corpus(read(spark, sf_dir, "documents"), _remainder(10) == 0)
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(read(spark, sf_dir, "documents"))
 
@@ -126,6 +130,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
+    "op5_lm_score": op5_lm_score,
     "op6_fingerprint": op6_fingerprint,
     "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
