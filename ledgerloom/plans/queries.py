@@ -1 +1,245 @@
-QUERIES = {}
+"""Every operator of the engine as a query over the given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import values as V
+from ..operators import compare, discrepancy, fuzzy, insights, match, reports
+from ..sources import readers
+from ..sources.spec import FULL, RefSpec
+from . import derived as D
+from .reconcile import reconcile
+
+
+def _refs(spark: SparkSession, sf_dir: str, n: int = 2) -> list:
+    return [(D.BANK, D.bank(spark, sf_dir)), (D.LEDGER, D.ledger(spark, sf_dir))][:n]
+
+
+def _detail(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
+    return match.detail(D.spec(how), D.base(spark, sf_dir), _refs(spark, sf_dir), D.AS_OF)
+
+
+def _report(spark: SparkSession, sf_dir: str, how: str = "left", n: int = 2, keep: bool = False) -> DataFrame:
+    refs = _refs(spark, sf_dir, n)
+    return discrepancy.discrepancies(D.spec(how, tuple(r for r, _ in refs)), D.base(spark, sf_dir), refs, keep_matches=keep)
+
+
+def clean_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.base(spark, sf_dir).select("Invoice", V.clean_key(F.col("Invoice")).alias("key"))
+
+
+def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.base(spark, sf_dir).select("Invoice", "Amount", V.parse_amount(F.col("Amount")).alias("amount_value"), V.parse_amount(F.col("Amount"), accounting=False, inner_space=False).alias("aging_value"))
+
+
+def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.base(spark, sf_dir).select("Invoice", "Date", F.date_format(V.parse_date(F.col("Date")), "yyyy-MM-dd").alias("day"))
+
+
+def age_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = V.age_days(V.parse_date(F.col("Date")), D.AS_OF)
+    return D.base(spark, sf_dir).select("Invoice", days.alias("days"), V.age_bucket(days).alias("bucket"))
+
+
+def date_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select("l_orderkey", "l_linenumber", V.date_text(F.when(F.col("l_linenumber") != 2, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))).alias("ship_date"))
+
+
+def canonical_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.base(spark, sf_dir).select("Invoice", V.canonical_date(F.col("Date")).alias("date_literal"), V.canonical_text(F.lower(F.col("Priority"))).alias("text_literal"))
+
+
+def strict_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subset, _ = readers.strict_subset(D.bank(spark, sf_dir), RefSpec("Bank", "Invoice No", ("Priority",)))
+    return readers.prefixed(subset, "Bank")
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a job that goes on without a reference whose key column is missing."""
+    broken = RefSpec("Broken", "No Such Column", ("Total",))
+    spec = D.spec(refs=(broken, D.LEDGER))
+    done = reconcile(spec, D.base(spark, sf_dir), {"Broken": D.bank(spark, sf_dir), "Ledger": D.ledger(spark, sf_dir)}, D.AS_OF)
+    return done.detail.groupBy("Match Source").agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("Duplicate Summary").startswith("Broken: no entry"), 1)).alias("n_without")).crossJoin(F.broadcast(done.issues))
+
+
+def detail_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail(spark, sf_dir)
+
+
+def detail_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail(spark, sf_dir, FULL)
+
+
+def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail(spark, sf_dir).groupBy("Bank_Match_Count", "Ledger_Match_Count").agg(F.count("*").alias("n_rows"))
+
+
+def match_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail(spark, sf_dir, FULL).groupBy("Match Source").agg(F.count("*").alias("n_rows"))
+
+
+def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail(spark, sf_dir).groupBy("Duplicate Summary").agg(F.count("*").alias("n_rows"))
+
+
+def exact_join_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return match.exact_join(orders, [("Lines", lines, "o_orderkey", "l_orderkey")])
+
+
+def missing_in_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.missing_in_ref(D.base(spark, sf_dir), "Invoice", D.bank(spark, sf_dir), "Invoice No")
+
+
+def missing_in_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.missing_in_ref(D.bank(spark, sf_dir), "Invoice No", D.base(spark, sf_dir), "Invoice")
+
+
+def found_in_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.found_in_ref(D.base(spark, sf_dir), "Invoice", D.ledger(spark, sf_dir), "Ref")
+
+
+def disc_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as a reference: up to thirteen entries for a key."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_extendedprice").alias("Line Total"))
+    spec = D.spec(FULL, (RefSpec("Lines", "l_orderkey", ()), D.LEDGER))
+    refs = [(spec.refs[0], lines), (D.LEDGER, D.ledger(spark, sf_dir))]
+    return discrepancy.sums(spec, discrepancy.entries(spec, D.base(spark, sf_dir), refs), ["Lines", "Ledger"])
+
+
+def disc_status_1ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, n=1, keep=True).groupBy("Status").agg(F.count("*").alias("n_keys"), V.round2(F.sum("Delta")).alias("delta"))
+
+
+def disc_status_2ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, keep=True).groupBy("Status").agg(F.count("*").alias("n_keys"), V.round2(F.sum("Delta")).alias("delta"))
+
+
+def disc_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, FULL)
+
+
+def disc_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discrepancy.problems_first(_report(spark, sf_dir))
+
+
+def mismatched_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, keep=True).groupBy("Mismatched Fields", "Status").agg(F.count("*").alias("n_keys"))
+
+
+def compare_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = D.base(spark, sf_dir)
+    out = compare.fields(D.spec(), match.detail(D.spec(), base, _refs(spark, sf_dir), D.AS_OF), base.columns)
+    return out.select("Invoice", "Field Comparison")
+
+
+def _schema(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
+    return compare.schema_report(D.spec(), _detail(spark, sf_dir), D.FIELDS[i : i + 1])
+
+
+def schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _schema(spark, sf_dir, 0)
+
+
+def schema_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _schema(spark, sf_dir, 1)
+
+
+def schema_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _schema(spark, sf_dir, 2)
+
+
+def exec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.executive_summary(D.spec(), _detail(spark, sf_dir), _report(spark, sf_dir))
+
+
+def data_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.data_summary(D.spec(), _detail(spark, sf_dir), _report(spark, sf_dir))
+
+
+def status_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.status_breakdown(_detail(spark, sf_dir), _report(spark, sf_dir))
+
+
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.risk_scores(D.spec(), _report(spark, sf_dir))
+
+
+def iqr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.iqr_summary(_report(spark, sf_dir), "SOA Amount")
+
+
+def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outliers among the amounts of order lines per key, which have a long tail."""
+    report = disc_sums(spark, sf_dir)
+    return insights.iqr_outliers(report, "Lines Amount")
+
+
+def aging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.aging(D.spec(), _detail(spark, sf_dir))
+
+
+def source_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.source_reliability(D.spec(), _detail(spark, sf_dir), exclude_counts=True)
+
+
+def top_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.top_discrepancies(D.spec(), _report(spark, sf_dir))
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.patterns(D.spec(), _report(spark, sf_dir))
+
+
+def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = D.names(spark, sf_dir)
+    return fuzzy.best_matches(b, "Alias", a, "Name")
+
+
+def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = D.names(spark, sf_dir)
+    return fuzzy.fuzzy_join(b, "Alias", a, "Name", "Crm")
+
+
+def report_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = reports.with_classes(_report(spark, sf_dir, keep=True))
+    return done.groupBy("Status", "status_class", "delta_class").agg(F.count("*").alias("n_keys"))
+
+
+def level_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.with_classes(insights.risk_scores(D.spec(), _report(spark, sf_dir))).groupBy("Risk Level", "level_class").agg(F.count("*").alias("n_keys"))
+
+
+def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.with_classes(_detail(spark, sf_dir)).groupBy("Bank_duplicate", "Ledger_duplicate").agg(F.count("*").alias("n_rows"))
+
+
+def insights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = reconcile(D.spec(), D.base(spark, sf_dir), {"Bank": D.bank(spark, sf_dir), "Ledger": D.ledger(spark, sf_dir)}, D.AS_OF)
+    return insights.metric_table(D.spec(), done.detail, done.discrepancies, generated_at=f"{D.AS_OF:%Y-%m-%d %H:%M:%S}")
+
+
+def header_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.header_stats(_detail(spark, sf_dir), _report(spark, sf_dir))
+
+
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 keys of the sorted report, as a screen shows them."""
+    return reports.preview(discrepancy.problems_first(_report(spark, sf_dir)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        clean_key, parse_amount, parse_date, age_bucket, date_cleanup, canonical_date, strict_subset, issues, detail_left, detail_full, match_count, match_source, dup_summary,
+        exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
+        schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
+        patterns, fuzzy_best, fuzzy_join, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
+    )
+}
