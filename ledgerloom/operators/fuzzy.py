@@ -4,9 +4,9 @@ Distinct values of both sides are compared after a light normalisation; the best
 score wins and the smallest reference value among equals. Candidates come from
 equi-joins, never from a product of both sides: within ``d`` edits, two texts
 share a text made by deleting up to ``d`` signs from each. Rounds go from d = 0
-upwards and only values without a match go on; a match of fewer edits always
-scores higher than one of more (for texts of three signs and up), so each round
-is final. Beyond ``max_edits``, values left go through shared q-grams.
+upwards. A match of d edits scores higher than any of more edits if the text has
+over d * d + d signs, so such values are done; the others go on. Beyond
+``max_edits``, values left go through shared q-grams.
 """
 
 from __future__ import annotations
@@ -60,14 +60,16 @@ def best_matches(base: DataFrame, on: str, ref: DataFrame, ref_on: str, cutoff:
     right = ref.select(name(ref_on).cast("string").alias("ref_value")).where(F.col("ref_value").isNotNull()).distinct().withColumn("b", fuzzy_text(F.col("ref_value")))
     found: list[DataFrame] = []
     todo = left
-    rounds = [lambda t, d=d: _keys(t, d) for d in range(max_edits + 1)] + ([_grams] if rest else [])
-    for keys in rounds:
+    rounds = [(d, lambda t, d=d: _keys(t, d)) for d in range(max_edits + 1)] + ([(None, _grams)] if rest else [])
+    for d, keys in rounds:
         a = todo.select("value", "a", F.explode(keys(F.col("a"))).alias("k"))
         b = right.select("ref_value", "b", F.explode(keys(F.col("b"))).alias("k"))
-        # used twice: as a result and to leave its values out of later rounds
-        found.append(_best(a.join(b, "k").select("value", "a", "ref_value", "b").distinct(), cutoff).persist())
-        todo = todo.join(found[-1].select("value"), "value", "left_anti")
-    return reduce(DataFrame.unionByName, found)
+        pairs = a.join(b, "k").select("value", "a", "ref_value", "b").distinct()
+        found.append(_best(pairs if d is None else pairs.where(F.levenshtein("a", "b") <= d), cutoff).persist())
+        done = found[-1].join(left, "value").where(F.length("a") > (d or 0) * ((d or 0) + 1)).select("value")
+        todo = todo.join(done, "value", "left_anti")
+    first = F.struct(-F.col("score"), F.col("ref_value"))
+    return reduce(DataFrame.unionByName, found).groupBy("value").agg(F.min_by("ref_value", first).alias("ref_value"), F.max("score").alias("score"))
 
 
 def fuzzy_join(base: DataFrame, on: str, ref: DataFrame, ref_on: str, source: str, **how) -> DataFrame:
