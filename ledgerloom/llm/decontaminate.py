@@ -21,7 +21,8 @@ benchmark finds nothing. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ SHARE = 0.5
 RUN = 13
 #: Bits of the filter that text windows pass before they are joined; it is this large for any benchmark.
 FILTER_BITS = 1 << 22
+#: Texts whose tokens one task holds at once.
+TEXTS_AT_ONCE = 500
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 UNITS = frozenset(
@@ -54,8 +57,7 @@ class Lexicon(dict):
     """token -> row of ``hashes`` and ``kinds``; only a cache, emptied when large."""
 
     def __init__(self) -> None:
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self.hashes, self.kinds = array("Q"), array("b")
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -65,6 +67,20 @@ class Lexicon(dict):
         self[token] = len(self.kinds) - 1
         return self[token]
 
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+        """(place, tokens, hashes, kinds) of each text that holds anything."""
+        if len(self) > 1_000_000:
+            self.clear()
+            self.hashes, self.kinds = array("Q"), array("b")
+        held = []
+        for i, text in enumerate(texts):
+            if text:
+                raw = TOKEN.findall(text)
+                held.append((i, raw, np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))))
+        hashes, kinds = np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8)
+        for i, raw, at in held:
+            yield i, raw, hashes[at], kinds[at]
+
 
 def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -76,55 +92,49 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def _windows(text: str, lengths: Callable[[int], list[int]], lexicon: Lexicon) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, list[str], np.ndarray]]:
-    """(length, is template, starts, hashes, tokens, slots) of a text, for each window length."""
-    raw = TOKEN.findall(text)
-    if len(lexicon) > 1_000_000:
-        lexicon.clear()
-        lexicon.hashes, lexicon.kinds = [], []
-    at = np.fromiter(map(lexicon.__getitem__, raw), np.int64, len(raw))
-    own, where = np.unique(at, return_inverse=True)
-    kinds = np.array([lexicon.kinds[i] for i in own.tolist()], np.int8)[where] if len(own) else np.zeros(0, np.int8)
-    hashes = np.array([lexicon.hashes[i] for i in own.tolist()], np.uint64)[where] if len(own) else np.zeros(0, np.uint64)
+def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Callable[[int], list[int]], keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple]:
+    """(number of tokens, is template, start, hash, slot values) of a text's windows whose hashes are kept."""
     kept = np.flatnonzero(kinds != STOP)
     first = np.r_[True, kinds[:-1] == STOP][: len(kinds)][kept]  # of a sentence
     kinds, hashes = kinds[kept], hashes[kept]
     after_number = np.r_[False, kinds[:-1] == NUMBER][: len(kinds)]
     slot = (kinds == NUMBER) | (kinds == UNIT) & after_number | (kinds == NAME) & ~first
-    typed = np.where(slot, HOLDER[kinds], hashes)
-    tokens = [raw[i] for i in kept.tolist()]
+    typed = np.where(slot, HOLDER[kinds], hashes) if slot.any() else None
     for n in lengths(len(kept)):
         h = _rolling(hashes, n)
-        yield n, False, np.arange(len(h)), h, tokens, slot
-        if slot.any():
-            slots = np.convolve(slot, np.ones(n, np.int64), "valid") if len(slot) >= n else np.zeros(0, np.int64)
-            some = np.flatnonzero((slots > 0) & (slots <= n - LITERALS))
-            yield n, True, some, _rolling(typed, n)[some], tokens, slot
+        for s in np.flatnonzero(keep(h)).tolist():
+            yield len(kept), False, s, int(h[s].astype(np.int64)), []
+        if typed is None or len(typed) < n:
+            continue
+        h = _rolling(typed, n)
+        total = np.r_[0, np.cumsum(slot)]
+        slots = total[n:] - total[:-n]
+        for s in np.flatnonzero((slots > 0) & (slots <= n - LITERALS) & keep(h)).tolist():
+            yield len(kept), True, s, int(h[s].astype(np.int64)), [raw[kept[j]].lower() for j in range(s, s + n) if slot[j]]
 
 
 SCHEMA = "id long, n_tokens int, template boolean, at int, hash long, slots array<string>"
 
 
-def _rows(ident: object, found: Iterator, keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple]:
-    for n, template, starts, hashes, tokens, slot in found:
-        for i in np.flatnonzero(keep(hashes)).tolist():
-            s = int(starts[i])
-            values = [tokens[j].lower() for j in range(s, s + n) if slot[j]] if template else []
-            yield ident, len(tokens), template, s, int(hashes[i].astype(np.int64)), values
+#: One cache for each Python worker, which serves many tasks.
+_lexicon = Lexicon()
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["id", "n_tokens", "template", "at", "hash", "slots"]).astype({"id": "Int64"})
+def _cut(batches: Iterator[pd.DataFrame], lengths: Callable[[int], list[int]], keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids = batch["id"].tolist()
+        for lo in range(0, len(batch), TEXTS_AT_ONCE):
+            texts = batch["text"].iloc[lo : lo + TEXTS_AT_ONCE]
+            rows = [(ids[lo + i], *w) for i, *text in _lexicon(texts) for w in _windows(*text, lengths, keep)]
+            yield pd.DataFrame(rows, columns=["id", "n_tokens", "template", "at", "hash", "slots"]).astype({"id": "Int64"})
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Every window of every item, in both forms."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon()
         lengths = lambda n: [WINDOW] if n >= WINDOW else [n] if n >= SHORTEST else []
-        for batch in batches:
-            yield _frame([row for ident, text in zip(batch["id"], batch["text"]) if text for row in _rows(ident, _windows(text, lengths, lexicon), lambda h: np.ones(len(h), bool))])
+        return _cut(batches, lengths, lambda h: np.ones(len(h), bool))
 
     return benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInPandas(cut, SCHEMA)
 
@@ -142,11 +152,16 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, known = Lexicon(), np.unpackbits(shared.value).astype(bool)
+        known = np.unpackbits(shared.value).astype(bool)
         low, keep_24 = np.uint64(FILTER_BITS - 1), np.uint64(24)
-        keep = lambda h: known[(h & low).astype(np.int64)] & known[((h >> keep_24) & low).astype(np.int64)]
-        for batch in batches:
-            yield _frame([row for ident, text in zip(batch["id"], batch["text"]) if text for row in _rows(ident, _windows(text, lambda n: [*short, WINDOW], lexicon), keep)])
+
+        def keep(h: np.ndarray) -> np.ndarray:
+            out = known[(h & low).astype(np.int64)]
+            some = np.flatnonzero(out)
+            out[some] = known[((h[some] >> keep_24) & low).astype(np.int64)]
+            return out
+
+        return _cut(batches, lambda n: [*short, WINDOW], keep)
 
     seen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInPandas(cut, SCHEMA)
     a, b = seen.alias("d"), items.alias("i")
