@@ -166,13 +166,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     docs are those that may be learned from; a document labelled twice counts by its larger label.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    known = docs.select("doc_id", "text").join(marks, "doc_id")
-    counts = {r["label"]: r["n"] for r in docs.select("doc_id").join(marks, "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # which documents to learn from is settled on ids alone; the few picked are broadcast to the texts
+    marked = docs.select("doc_id").join(marks, "doc_id")
+    counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     slots = 1 << 20
     share = F.lit(0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, int(slots * min(1.0, sample / n)) + 1).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(slots)) < share)
+    picks = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(slots)) < share).distinct()
+    picked = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
