@@ -38,7 +38,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text that is left."""
-    return pieces.encode(docs.select("doc_id", "text")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    return pieces.encode(docs, keep=["doc_id"]).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
 STAGES = [

@@ -1,39 +1,43 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
-A text is cut into marked words: each space becomes the marker U+2581 at the
-head of the next word, one marker leads the text, and line breaks stand alone.
-No piece of the vocabulary crosses those cuts. Of each batch of texts the
-distinct words are sorted, which lays them out as a trie in depth-first order;
-the Viterbi forward scores of a prefix shared with the word before are kept, and
-only the new tail is scored. Piece scores are log probabilities: a piece's own
-score if the vocabulary is a unigram model, else Zipf's law on its merge rank.
-Equal scores prefer the longer last piece.
+A text is cut at its spaces into marked words: each begins with the marker
+U+2581, which stands for the space before it, or for the start of the text. (So
+pieces of several markers are never used.) Of each batch of texts the distinct
+words are sorted, which lays them out as a trie in depth-first order; the Viterbi
+forward scores of a prefix shared with the word before are kept, and only the new
+tail is scored, by walking the vocabulary's own trie from each open start. Piece
+scores are log probabilities: a piece's own score if the vocabulary is a unigram
+model, else Zipf's law on its merge rank. Equal scores prefer the longer last piece.
 
 Characters without a piece become byte pieces, and so does a literal U+2581, so
 decoding returns every text exactly.
 
 Defined cases: null text has null ids; an empty text has none. Repeated rows get
-rows of their own. Extra columns pass through.
+rows of their own. Extra columns pass through; a given column ``ids`` is replaced.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Private stand-in for a literal marker inside words; it has no piece, so it is spelled in bytes.
-WORDS = re.compile(r"\n|[^ \n]+| [^ \n]*")
-#: Distinct words whose ids one batch of texts may hold before they are dropped.
-CACHE = 500_000
+#: Distinct words that texts are gathered up to before they are encoded together.
+BATCH = 100_000
+#: Words whose ids a worker keeps for later batches before it forgets them all.
+KEPT = 400_000
+#: Texts that are encoded and passed on at once.
+TEXTS_AT_ONCE = 2000
 LOST = -1e18
 
 
@@ -64,44 +68,63 @@ class Pieces:
                 score = sp.get_score(i)
                 scores[piece] = (-math.log(2.0 - score) - 2.0 if ranked else score, i)
                 self.text[i] = piece.replace(MARK, " ").encode()
-        self.longest = max(map(len, scores), default=1)
-        self.scores = scores
+        self.trie: dict = {}
+        for piece, found in scores.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = found
         #: A character spelled in bytes costs more than any two pieces.
+        self.forget()
         self.byte_cost = 3 * min((s for s, _ in scores.values()), default=-20.0)
 
-    def encode_sorted(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids) of sorted distinct words; a word is marked if it begins with a space."""
-        score, start, piece = [0.0], [0], [0]
-        last, get, longest = "", self.scores.get, self.longest
+    def forget(self) -> None:
+        """Drops the words encoded so far: rows, and per row where its ids begin."""
+        self.rows: dict[str, int] = {}
+        self.ids, self.begin = array("i"), array("q", [0])
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes sorted distinct words that have no row yet."""
+        ids, begin, rows = self.ids, self.begin, self.rows
+        root, byte_id, byte_cost = self.trie, self.byte_id, self.byte_cost
+        score, start, piece, opened = [0.0], [0], [0], [[]]
+        last = ""
         for word in words:
-            # a literal marker becomes NUL, which no piece holds; a NUL has no piece either
-            marked = word.replace(MARK, "\0").replace(" ", MARK)
+            # a literal marker becomes NUL: neither has a piece, so it is spelled in bytes
+            marked = MARK + word.replace(MARK, "\0")
             n = min(len(last), len(marked))
             same = 0
             while same < n and last[same] == marked[same]:
                 same += 1
-            del score[same + 1 :], start[same + 1 :], piece[same + 1 :]
-            for end in range(same + 1, len(marked) + 1):
-                best, begin, ident = LOST, end - 1, -1
-                for i in range(max(0, end - longest), end):
-                    found = get(marked[i:end])
-                    if found is not None and score[i] + found[0] > best:
-                        best, begin, ident = score[i] + found[0], i, found[1]
+            del score[same + 1 :], start[same + 1 :], piece[same + 1 :], opened[same + 1 :]
+            for at in range(same, len(marked)):
+                c = marked[at]
+                best, first, ident, still = LOST, at, -1, []
+                for i, node in (*opened[at], (at, root)):
+                    node = node.get(c)
+                    if node is not None:
+                        still.append((i, node))
+                        found = node.get("")
+                        if found is not None and score[i] + found[0] > best:
+                            best, first, ident = score[i] + found[0], i, found[1]
                 if ident < 0:
-                    best = score[end - 1] + self.byte_cost
+                    best = score[at] + byte_cost
                 score.append(best)
-                start.append(begin)
+                start.append(first)
                 piece.append(ident)
-            ids: list[int] = []
+                opened.append(still)
+            own: list[int] = []
             end = len(marked)
             while end:
                 if piece[end] >= 0:
-                    ids.append(piece[end])
+                    own.append(piece[end])
                 else:
-                    ids += [self.byte_id[b] for b in reversed(word[end - 1].encode("utf-8", "surrogatepass"))]
+                    own += [byte_id[b] for b in reversed(word[end - 2].encode("utf-8", "surrogatepass"))]
                 end = start[end]
+            ids.extend(reversed(own))
+            begin.append(len(ids))
+            rows[word] = len(rows)
             last = marked
-            yield word, ids[::-1]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = self.text
@@ -113,38 +136,61 @@ def load(model: str) -> Pieces:
     return Pieces(model)
 
 
-def cut(text: str) -> list[str]:
-    """Marked words; a leading space stands for the marker of the text's start."""
-    return WORDS.findall(" " + text)
-
-
-def encode_all(texts: list[str | None], pieces: Pieces) -> list[np.ndarray | None]:
-    out: list[np.ndarray | None] = []
+def encode_all(texts: list[str | None], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """All ids laid end to end, and the number of each text's (0 for null)."""
+    out, lengths = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
     lo = 0
     while lo < len(texts):
-        seen: dict[str, list[int]] = {}
+        seen: set[str] = set()
         cuts, hi = [], lo
-        while hi < len(texts) and (hi == lo or len(seen) < CACHE):
-            words = cut(texts[hi]) if texts[hi] else []
-            cuts.append(words)
-            seen.update(dict.fromkeys(words))
+        while hi < len(texts) and (hi == lo or len(seen) < BATCH):
+            cuts.append(texts[hi].split(" ") if texts[hi] else [])
+            seen.update(cuts[-1])
             hi += 1
-        seen.update(pieces.encode_sorted(sorted(seen)))
-        for text, words in zip(texts[lo:hi], cuts):
-            out.append(None if text is None else np.fromiter((i for w in words for i in seen[w]), np.int32))
+        if len(pieces.rows) > KEPT:
+            pieces.forget()
+        pieces.learn(sorted(seen.difference(pieces.rows)))
+        row, ids, begin = pieces.rows, np.array(pieces.ids, np.int32), np.array(pieces.begin, np.int64)
+        for i, cut in enumerate(cuts, lo):
+            at = np.fromiter(map(row.__getitem__, cut), np.int64, len(cut))
+            n = begin[at + 1] - begin[at]
+            lengths[i] = n.sum()
+            out.append(ids[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(lengths[i])])
         lo = hi
-    return out
+    return np.concatenate(out), lengths
+
 
+def _lists(values: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[null, False]), pa.array(values))
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None) -> DataFrame:
-    """Adds the column ``ids``. Texts never leave their partition."""
+
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """The columns ``keep`` (all, if not given) and ``ids``. Texts never leave their partition.
+
+    ``check`` decodes the ids at once and adds decoded_sha256 and lossless.
+    """
     path = model or default_model()
+    columns = [c for c in (docs.columns if keep is None else keep) if c != ids]
+    fields = [docs.schema[c] for c in columns] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if check:
+        fields += [T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode_all([t for t in texts], load(path)), dtype=object)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(path)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(lo, TEXTS_AT_ONCE)
+                texts = batch.column(text).to_pylist()
+                values, lengths = encode_all(texts, pieces)
+                null = np.array([t is None for t in texts], bool)
+                out = [batch.column(c) for c in columns] + [_lists(values, lengths, null)]
+                if check:
+                    back = [None if t is None else pieces.decode(v.tolist()) for t, v in zip(texts, np.split(values, np.cumsum(lengths)[:-1]))]
+                    out += [pa.array([None if t is None else sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(texts, back)])]
+                yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
 
-    return docs.withColumn(ids, encoded(F.col(text)))
+    return docs.select(*{*columns, text}).mapInArrow(encoded, T.StructType(fields))
 
 
 def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
@@ -154,6 +200,6 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str
     @F.pandas_udf(T.StringType())
     def decoded(rows: pd.Series) -> pd.Series:
         pieces = load(path)
-        return pd.Series([None if r is None else pieces.decode(r.tolist()) if len(r) else "" for r in rows], dtype=object)
+        return pd.Series([None if r is None else pieces.decode(r.tolist()) for r in rows], dtype=object)
 
     return docs.withColumn(text, decoded(F.col(ids)))

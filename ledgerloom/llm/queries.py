@@ -115,9 +115,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = pieces.decode(docs)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    docs = pieces.encode(read(spark, sf_dir, "documents"), keep=["doc_id"], check=True)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256", "lossless")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
