@@ -163,6 +163,10 @@ def _money_text(x: str) -> str:
     return f"(case when {x} < 0 then '$-' else '$' end || format('{{:,.2f}}', abs({x})))"
 
 
+def _number_text(x: str) -> str:
+    return f"coalesce(case when {x} = floor({x}) then cast(cast({x} as bigint) as varchar) else regexp_replace(printf('%.2f', {x}), '\\.?0+$', '') end, '')"
+
+
 def _plain(x: str) -> str:
     """Comparable text of a field for the row comparison."""
     s = f"replace(replace(replace(trim(coalesce({x}, '')), ' 00:00:00', ''), 'nan', ''), 'nat', '')"
@@ -283,5 +287,8 @@ union all select 200, "Status", cast("Count" as varchar) from status_breakdown
 union all select 300, '[' || severity || '] ' || type, description from patterns
 union all select 400, 'Mean Amount', {_money_text("mean")} from iqr_stats union all select 401, 'Median Amount', {_money_text("median")} from iqr_stats union all select 402, 'Std Deviation', {_money_text("std_dev")} from iqr_stats
 union all select 403, 'Outlier Count', cast(outlier_count as varchar) from iqr_stats union all select 404, 'Outlier Percentage', printf('%.1f', outlier_pct) || '%' from iqr_stats""",
+    "preview": f"""with {_report()}, top as (select * from report order by "Status", "Delta", "Invoice #" limit 200)
+select "Invoice #", {_number_text('"SOA Amount"')} as "SOA Amount", {_number_text('"Bank Amount"')} as "Bank Amount", {_number_text('"Ledger Amount"')} as "Ledger Amount", "Ref_Sources",
+  cast("Ref_Count" as varchar) as "Ref_Count", {_number_text('"Delta"')} as "Delta", "Status", "Mismatched Fields" from top""",
     "header_stats": f"with {BOTH} select (select count(*) from detail) as total_rows, (select count(*) from detail) - (select count(*) from report) as matches, (select count(*) from report) as issues",
 }
