@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, line_dedup, pieces, quality, simhash
-from ledgerloom.llm.shared import read, written
+from ledgerloom.llm.shared import read, small_batches, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labels of sf_dir, where docs have them."""
+    small_batches(spark)
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
     return quality.scored(docs, model, out="__quality").where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
 
@@ -28,16 +29,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text that is left."""
+    small_batches(spark)
     return pieces.encode(docs, keep=["doc_id"]).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 

@@ -39,6 +39,8 @@ SHARE = 0.5
 RUN = 13
 #: Bits of the filter that text windows pass before they are joined; it is this large for any benchmark.
 FILTER_BITS = 1 << 22
+#: Distinct tokens that a worker remembers.
+HELD = 250_000
 #: Texts whose tokens one task holds at once.
 TEXTS_AT_ONCE = 500
 
@@ -69,7 +71,7 @@ class Lexicon(dict):
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
         """(place, tokens, hashes, kinds) of each text that holds anything."""
-        if len(self) > 1_000_000:
+        if len(self) > HELD:
             self.clear()
             self.hashes, self.kinds = array("Q"), array("b")
         held = []
@@ -113,7 +115,8 @@ def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Cal
             yield len(kept), True, s, int(h[s].astype(np.int64)), [raw[kept[j]].lower() for j in range(s, s + n) if slot[j]]
 
 
-SCHEMA = "id long, n_tokens int, template boolean, at int, hash long, slots array<string>"
+#: Ids travel as text: a null among them would turn numbers into floats.
+SCHEMA = "id string, n_tokens int, template boolean, at int, hash long, slots array<string>"
 
 
 #: One cache for each Python worker, which serves many tasks.
@@ -126,7 +129,7 @@ def _cut(batches: Iterator[pd.DataFrame], lengths: Callable[[int], list[int]], k
         for lo in range(0, len(batch), TEXTS_AT_ONCE):
             texts = batch["text"].iloc[lo : lo + TEXTS_AT_ONCE]
             rows = [(ids[lo + i], *w) for i, *text in _lexicon(texts) for w in _windows(*text, lengths, keep)]
-            yield pd.DataFrame(rows, columns=["id", "n_tokens", "template", "at", "hash", "slots"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["id", "n_tokens", "template", "at", "hash", "slots"])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         lengths = lambda n: [WINDOW] if n >= WINDOW else [n] if n >= SHORTEST else []
         return _cut(batches, lengths, lambda h: np.ones(len(h), bool))
 
-    return benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInPandas(cut, SCHEMA)
+    return benchmark.select(F.col("item_id").cast("string").alias("id"), "text").mapInPandas(cut, SCHEMA)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -163,12 +166,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return _cut(batches, lambda n: [*short, WINDOW], keep)
 
-    seen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInPandas(cut, SCHEMA)
+    seen = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(cut, SCHEMA)
     a, b = seen.alias("d"), items.alias("i")
     # placeholders are hashed into template windows, so forms never mix
     met = a.join(b, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.template") == F.col("i.template"))).select(
-        F.col("d.id").alias("doc_id"),
-        F.col("i.id").alias("item_id"),
+        F.col("d.id").cast("long").alias("doc_id"),
+        F.col("i.id").cast("long").alias("item_id"),
         F.col("i.n_tokens").alias("n_tokens"),
         "d.template",
         F.sequence(F.col("i.at"), F.col("i.at") + F.least(F.col("i.n_tokens"), F.lit(WINDOW)) - 1).alias("covers"),

@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Distinct words that texts are gathered up to before they are encoded together.
-BATCH = 100_000
+BATCH = 60_000
 #: Words whose ids a worker keeps for later batches before it forgets them all.
-KEPT = 400_000
+KEPT = 200_000
 #: Texts that are encoded and passed on at once.
-TEXTS_AT_ONCE = 2000
+TEXTS_AT_ONCE = 1000
 LOST = -1e18
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, fingerprint, language, license_scan, line_dedup, lm_score, pieces, quality, simhash
-from .shared import read
+from .shared import read, small_batches
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ from e group by conv_id
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
@@ -67,6 +68,7 @@ def _remainder(n: int) -> Column:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder(4) == 2
     model = quality.learn(docs.where(~held_out), read(spark, sf_dir, "labels"))
@@ -75,6 +77,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return lm_score.score_corpus(read(spark, sf_dir, "documents"), _remainder(10) == 0)
 
 
@@ -107,6 +110,7 @@ from documents d left join k using (doc_id)
 """
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents")
     held_out = _remainder(3) == 1
     model = language.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
@@ -115,11 +119,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = pieces.encode(read(spark, sf_dir, "documents"), keep=["doc_id"], check=True)
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256", "lossless")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 

@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of one Arrow batch of documents, for sessions that have not chosen their own number.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows per Arrow batch: documents are long, and a Python worker holds a batch in several forms."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) == 10_000:  # Spark's default
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -43,7 +54,7 @@ def ascii_lower(text: Column) -> Column:
 
     lower() maps only U+212A to an ASCII letter, so that sign is set aside first.
     """
-    return F.lower(F.replace(text, F.lit("K"), F.lit("Å")))
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
 
 
 def rolling_hashes(hashes: Column, k: int) -> Column:

@@ -23,9 +23,9 @@ def found(docs, items, rows):
 def test_literal_and_other_parameters(docs, items):
     rows = [
         (1, FILLER + ITEM + FILLER), (2, FILLER + ITEM.upper()), (3, FILLER * 50 + OTHER), (4, FILLER), (5, None), (6, ""), (7, "x short, item of SIX words here"), (8, "too short"), (8, "too short"), (9, ITEM.replace(" ", "\n")), (9, ITEM),
-        (10, "word " * 40_000 + ITEM),
+        (10, "word " * 40_000 + ITEM), (2**62 + 1, ITEM), (None, FILLER),
     ]
-    assert found(docs, items, rows) == [(1, 1, "literal"), (2, 1, "literal"), (3, 1, "template"), (7, 2, "literal"), (9, 1, "literal"), (10, 1, "literal")]
+    assert found(docs, items, rows) == [(1, 1, "literal"), (2, 1, "literal"), (3, 1, "template"), (7, 2, "literal"), (9, 1, "literal"), (10, 1, "literal"), (2**62 + 1, 1, "literal")]
 
 
 def test_slots_must_be_consistent(docs, items):
