@@ -3,8 +3,7 @@
 Three passes over the corpus, none of which keeps more than one batch of texts:
 
 1. ``gather``: over every document that may be learned from, counts of all words
-   and subwords, and every sixteenth span of 64 words to train on (the offset is
-   drawn per text by hash), so what is learned from grows with the corpus.
+   and subwords, and all its spans of 64 words to train on.
 2. ``train``: spans are dealt to replicas of about two million subwords; each
    trains the attention model and the replicas' weights are averaged by Spark.
 3. ``score``: every text's subwords are scored by the model, and its words by
@@ -37,7 +36,6 @@ from . import attention_lm as lm
 from .shared import written
 
 SPAN = 64
-EVERY = 16
 HEAD = 200_000
 #: Subwords that one replica trains on, about.
 REPLICA = 2_000_000
@@ -74,11 +72,24 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class _Packed(dict):
+    """word -> its subword ids as bytes; only a cache."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = np.array(self.encode(b" " + word), np.int32).tobytes()
+        return ids
+
+
 def gather(docs: DataFrame, ranks: str) -> DataFrame:
     """(kind, id, n, span): word hashes, subword ids and texts with their counts, and training spans."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = _tokenizer(ranks)
+        packed = _Packed(encode)
+        last = np.array([end], np.int32).tobytes()
         held: Counter = Counter()
         texts = 0
 
@@ -102,13 +113,14 @@ def gather(docs: DataFrame, ranks: str) -> DataFrame:
                 words = words_of(text)
                 held.update(words)
                 texts += 1
-                step = SPAN * EVERY
-                for lo in range(xxhash.xxh32_intdigest((text or "").encode("utf-8", "surrogatepass")) % EVERY * SPAN, len(words) + 1, step):
-                    ids = [i for w in words[lo : lo + SPAN] for i in encode(b" " + w)]
-                    spans.append(np.array(ids + [end] * (lo + SPAN > len(words)), np.int32).tobytes())
+                for lo in range(0, len(words) + 1, SPAN):
+                    span = b"".join(map(packed.__getitem__, words[lo : lo + SPAN]))
+                    spans.append(span + last if lo + SPAN > len(words) else span)
             if len(held) > HELD:
                 yield counted()
                 held.clear()
+            if len(packed) > HELD:
+                packed.clear()
             if spans:
                 yield pd.DataFrame({"kind": SPANS, "id": 0, "n": [len(s) // 4 for s in spans], "span": spans})
         yield counted()

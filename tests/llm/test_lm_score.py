@@ -44,6 +44,19 @@ def test_head_and_tail_agree(docs):
         check(out, texts, held)
 
 
+def test_every_subword_is_trained_on(docs):
+    texts = ["short text", "", None, "w " * 64, *(f"a{i} " * (37 * i) for i in range(1, 30))]
+    got = S.gather(docs(list(enumerate(texts))), S.default_ranks()).collect()
+    spans = [np.frombuffer(r["span"], np.int32) for r in got if r["kind"] == S.SPANS]
+    end = S._tokenizer(S.default_ranks())[1]
+    counted = Counter()
+    for r in got:
+        if r["kind"] == S.SUBWORD:
+            counted[r["id"]] += r["n"]
+    assert Counter(np.concatenate(spans).tolist()) == counted + Counter({end: len(texts)})
+    assert all(r["n"] * 4 == len(r["span"]) for r in got if r["kind"] == S.SPANS)
+
+
 def test_nothing_to_learn_from(docs):
     out = S.score_corpus(docs([(1, "a b"), (1, "a b"), (None, None)]), F.lit(True)).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in out) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0), (3, 0, 0, 0.0)]
