@@ -8,8 +8,9 @@ the template form agrees, the slots must be consistent: one value of the item
 always meets one value of the text, and the other way round. So a question with
 other numbers or names is caught, and one that merely has the same shape is not.
 
-An item is found in a text if windows cover at least half of its tokens or 13 of
-them. Items of 5 to 7 tokens are one window of their own length; shorter items
+An item is found in a text if windows of one occurrence cover at least half of its
+tokens or 13 of them. An occurrence is the windows that stand at one offset from
+the item, or at neighbouring offsets; coverage and slots are settled in each. Items of 5 to 7 tokens are one window of their own length; shorter items
 are not looked for. A template window counts if at least 5 of its tokens are
 literal.
 
@@ -28,6 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, written
@@ -174,17 +176,33 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("i.id").cast("long").alias("item_id"),
         F.col("i.n_tokens").alias("n_tokens"),
         "d.template",
+        (F.col("d.at") - F.col("i.at")).alias("offset"),
         F.sequence(F.col("i.at"), F.col("i.at") + F.least(F.col("i.n_tokens"), F.lit(WINDOW)) - 1).alias("covers"),
         F.arrays_zip(F.col("i.slots").alias("item"), F.col("d.slots").alias("text")).alias("pairs"),
     )
     distinct = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     literal = F.when(~F.col("template"), F.col("covers"))
+    # one occurrence is one offset: its slots are settled apart from those of other occurrences
+    # of an occurrence: (covered tokens, of them in literal windows)
+    found = F.struct(F.when(F.col("consistent"), F.size("all")).otherwise(F.size("plain")).alias("covered"), F.size("plain").alias("plain"))
+    settle = lambda df: df.withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))).withColumn(
+        "consistent", (F.col("values") == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["text"]))) == F.size("pairs"))
+    ).withColumn("found", found)
+    keys = ["doc_id", "item_id", "n_tokens"]
+    at_offset = settle(met.groupBy(*keys, "offset").agg(distinct(F.col("covers")).alias("all"), distinct(literal).alias("plain"), distinct(F.col("pairs")).alias("pairs")))
+    # words put in or left out shift the rest of an occurrence: near offsets also count together
+    in_order = W.partitionBy(*keys).orderBy("offset")
+    apart = F.coalesce(F.col("offset") - F.lag("offset").over(in_order) > WINDOW, F.lit(False)).cast("int")
+    merged = settle(
+        at_offset.withColumn("apart", apart)
+        .withColumn("run", F.sum("apart").over(in_order))
+        .groupBy(*keys, "run")
+        .agg(distinct(F.col("all")).alias("all"), distinct(F.col("plain")).alias("plain"), distinct(F.col("pairs")).alias("pairs"), F.max("found").alias("single"))
+    )
     by_item = (
-        met.groupBy("doc_id", "item_id", "n_tokens")
-        .agg(distinct(F.col("covers")).alias("all"), distinct(literal).alias("plain"), distinct(F.col("pairs")).alias("pairs"))
-        .withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
-        .withColumn("consistent", (F.col("values") == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["text"]))) == F.size("pairs")))
-        .withColumn("covered", F.when(F.col("consistent"), F.size("all")).otherwise(F.size("plain")))
+        merged.groupBy(*keys)
+        .agg(F.max(F.greatest("single", "found")).alias("best"))
+        .select(*keys, F.col("best.covered").alias("covered"), F.col("best.plain").alias("plain"))
         .withColumn("share", F.col("covered") / F.col("n_tokens"))
     )
     return by_item.where((F.col("share") >= SHARE) | (F.col("covered") >= RUN)).select(
@@ -192,7 +210,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "item_id",
         F.col("covered").cast("long").alias("covered"),
         F.round("share", 6).alias("share"),
-        F.when(F.size("plain") >= F.col("covered"), "literal").otherwise("template").alias("kind"),
+        F.when(F.col("plain") >= F.col("covered"), "literal").otherwise("template").alias("kind"),
     )
 
 

@@ -32,6 +32,13 @@ def test_slots_must_be_consistent(docs, items):
     assert [i for i, _, k in found(docs, items, [(1, OTHER), (2, MIXED)]) if k == "template"] == [1]
 
 
+def test_each_occurrence_is_settled_alone(docs, items):
+    third = OTHER.replace("Carlos", "Nadia").replace("55", "60")
+    stray = "after 9 hours it has gone how many km in all"
+    rows = [(1, OTHER + "\n" + FILLER * 5 + third), (2, OTHER + "\n" + third), (3, FILLER + stray + ". " + FILLER * 3 + OTHER), (4, MIXED + "\n" + FILLER * 9 + stray), (5, OTHER.replace("it has", "it then has"))]
+    assert found(docs, items, rows) == [(1, 1, "template"), (2, 1, "template"), (3, 1, "template"), (5, 1, "template")]
+
+
 def test_part_of_an_item(docs, items):
     words = ITEM.split()
     assert found(docs, items, [(1, " ".join(words[:15])), (2, " ".join(words[:9]))]) == [(1, 1, "literal")]
