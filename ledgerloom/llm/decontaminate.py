@@ -10,9 +10,11 @@ other numbers or names is caught, and one that merely has the same shape is not.
 
 An item is found in a text if windows of one occurrence cover at least half of its
 tokens or 13 of them. An occurrence is the windows that stand at one offset from
-the item, or at neighbouring offsets; coverage and slots are settled in each. Items of 5 to 7 tokens are one window of their own length; shorter items
-are not looked for. A template window counts if at least 5 of its tokens are
-literal.
+the item, or at neighbouring offsets; coverage and slots are settled in each. Items of 5 to 7 tokens are one window of their own length; items of 3 or 4
+tokens are found where they are a whole sentence or line, and shorter ones are not
+looked for. A template window has at least 5 literal tokens: where slots are dense
+it goes on beyond 8 tokens until it has them. An item with fewer literals in all
+has one window, which must be a whole sentence or line (2 literals at least).
 
 Defined cases: null and empty texts hold nothing; null ids are kept as ids; a
 repeated row changes nothing (rows with one doc_id are one document); an empty
@@ -36,7 +38,10 @@ from .shared import BROADCAST_ROWS, written
 
 WINDOW = 8
 SHORTEST = 5
+#: Tokens of an item that is found only as a whole sentence or line, and literals of such a template.
+SHORTEST_ALONE = 3
 LITERALS = 5
+FEWEST = 2
 SHARE = 0.5
 RUN = 13
 #: Bits of the filter that text windows pass before they are joined; it is this large for any benchmark.
@@ -96,29 +101,72 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+#: Powers of BASE and of its inverse modulo 2**64, as many as the longest text so far needed.
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _spans(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash that ``_rolling`` gives for windows of many lengths, from prefix sums."""
+    with np.errstate(over="ignore"):
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            if len(_powers[i]) <= len(ids):
+                _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(2 * len(ids), base, np.uint64)], dtype=np.uint64)
+        sums = np.r_[np.uint64(0), np.cumsum(ids * _powers[1][: len(ids)], dtype=np.uint64)]
+        h = (sums[end] - sums[start]) * _powers[0][end - 1]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(BASE)
+        return h ^ (h >> np.uint64(32))
+
+
 def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Callable[[int], list[int]], keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple]:
-    """(number of tokens, is template, start, hash, slot values) of a text's windows whose hashes are kept."""
+    """(number of tokens, is template, start, width, hash, slot values) of a text's windows whose hashes are kept.
+
+    ``lengths`` gives the lengths of whole items to look for in a text of so many tokens.
+    """
     kept = np.flatnonzero(kinds != STOP)
+    size = len(kept)
     first = np.r_[True, kinds[:-1] == STOP][: len(kinds)][kept]  # of a sentence
+    last = np.r_[kinds[1:] == STOP, True][-len(kinds) :][kept]
     kinds, hashes = kinds[kept], hashes[kept]
     after_number = np.r_[False, kinds[:-1] == NUMBER][: len(kinds)]
     slot = (kinds == NUMBER) | (kinds == UNIT) & after_number | (kinds == NAME) & ~first
     typed = np.where(slot, HOLDER[kinds], hashes) if slot.any() else None
-    for n in lengths(len(kept)):
-        h = _rolling(hashes, n)
-        for s in np.flatnonzero(keep(h)).tolist():
-            yield len(kept), False, s, int(h[s].astype(np.int64)), []
-        if typed is None or len(typed) < n:
+    values = lambda s, n: [raw[kept[j]].lower() for j in range(s, s + n) if slot[j]]
+    total = np.r_[0, np.cumsum(slot)]
+    for n in sorted({WINDOW, *lengths(size)}):
+        if n > size or n < SHORTEST_ALONE:
+            continue
+        alone = first[: size - n + 1] & last[n - 1 :]
+        if n <= WINDOW and (n >= SHORTEST or alone.any()):
+            h = _rolling(hashes, n)
+            for s in np.flatnonzero(keep(h) & (alone | (n >= SHORTEST))).tolist():
+                yield size, False, s, n, int(h[s].astype(np.int64)), []
+        if typed is None:
             continue
-        h = _rolling(typed, n)
-        total = np.r_[0, np.cumsum(slot)]
         slots = total[n:] - total[:-n]
-        for s in np.flatnonzero((slots > 0) & (slots <= n - LITERALS) & keep(h)).tolist():
-            yield len(kept), True, s, int(h[s].astype(np.int64)), [raw[kept[j]].lower() for j in range(s, s + n) if slot[j]]
+        enough = slots <= n - LITERALS
+        some = (slots > 0) & (enough & (n <= WINDOW) | ~enough & (slots <= n - FEWEST) & alone)
+        if some.any():
+            at = np.flatnonzero(some)
+            h = _spans(typed, at, at + n)
+            for s, x in zip(at[k := keep(h)].tolist(), h[k].astype(np.int64).tolist()):
+                yield size, True, s, n, x, values(s, n)
+    if typed is None or size <= WINDOW:
+        return
+    # windows with too few literals go on until they have enough
+    literals = np.flatnonzero(~slot)
+    at = np.flatnonzero(total[WINDOW:] - total[:-WINDOW] > WINDOW - LITERALS)
+    nth = at - total[at] + LITERALS - 1
+    at, nth = at[nth < len(literals)], nth[nth < len(literals)]
+    if len(at):
+        end = literals[nth] + 1
+        h = _spans(typed, at, end)
+        for s, e, x in zip(at[k := keep(h)].tolist(), end[k].tolist(), h[k].astype(np.int64).tolist()):
+            yield size, True, s, e - s, x, values(s, e - s)
 
 
 #: Ids travel as text: a null among them would turn numbers into floats.
-SCHEMA = "id string, n_tokens int, template boolean, at int, hash long, slots array<string>"
+SCHEMA = "id string, n_tokens int, template boolean, at int, width int, hash long, slots array<string>"
 
 
 #: One cache for each Python worker, which serves many tasks.
@@ -131,15 +179,14 @@ def _cut(batches: Iterator[pd.DataFrame], lengths: Callable[[int], list[int]], k
         for lo in range(0, len(batch), TEXTS_AT_ONCE):
             texts = batch["text"].iloc[lo : lo + TEXTS_AT_ONCE]
             rows = [(ids[lo + i], *w) for i, *text in _lexicon(texts) for w in _windows(*text, lengths, keep)]
-            yield pd.DataFrame(rows, columns=["id", "n_tokens", "template", "at", "hash", "slots"])
+            yield pd.DataFrame(rows, columns=["id", "n_tokens", "template", "at", "width", "hash", "slots"])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Every window of every item, in both forms."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lengths = lambda n: [WINDOW] if n >= WINDOW else [n] if n >= SHORTEST else []
-        return _cut(batches, lengths, lambda h: np.ones(len(h), bool))
+        return _cut(batches, lambda n: [n], lambda h: np.ones(len(h), bool))
 
     return benchmark.select(F.col("item_id").cast("string").alias("id"), "text").mapInPandas(cut, SCHEMA)
 
@@ -153,7 +200,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks = items.select(F.explode(F.array(place(0), place(24))).alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)
     bits = np.zeros(FILTER_BITS, bool)
     bits[marks] = True
-    short = sorted(r[0] for r in items.where(F.col("n_tokens") < WINDOW).select("n_tokens").distinct().collect())
+    few = (F.col("n_tokens") < WINDOW) | (F.col("width") - F.size("slots") < LITERALS)
+    whole = sorted(r[0] for r in items.where((F.col("width") == F.col("n_tokens")) & few).select("n_tokens").distinct().collect())
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +214,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             out[some] = known[((h[some] >> keep_24) & low).astype(np.int64)]
             return out
 
-        return _cut(batches, lambda n: [*short, WINDOW], keep)
+        return _cut(batches, lambda n: whole, keep)
 
     seen = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(cut, SCHEMA)
     a, b = seen.alias("d"), items.alias("i")
@@ -177,7 +225,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("i.n_tokens").alias("n_tokens"),
         "d.template",
         (F.col("d.at") - F.col("i.at")).alias("offset"),
-        F.sequence(F.col("i.at"), F.col("i.at") + F.least(F.col("i.n_tokens"), F.lit(WINDOW)) - 1).alias("covers"),
+        F.sequence(F.col("i.at"), F.col("i.at") + F.col("i.width") - 1).alias("covers"),
         F.arrays_zip(F.col("i.slots").alias("item"), F.col("d.slots").alias("text")).alias("pairs"),
     )
     distinct = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import decontaminate as D
@@ -39,6 +40,23 @@ def test_each_occurrence_is_settled_alone(docs, items):
     assert found(docs, items, rows) == [(1, 1, "template"), (2, 1, "template"), (3, 1, "template"), (5, 1, "template")]
 
 
+def test_items_of_many_slots_and_few_tokens(spark, docs):
+    texts = ["What is 12 + 30 * 4 - 7", "Name four moons", "From 3 to 9 add 4 and 5 then 6 or 7 by 8 in 2 steps of 1", "Add 12, 13, 14, 15, 16, 17, 18 and 19 now"]
+    items = spark.createDataFrame(list(enumerate(texts, 1)), "item_id long, text string")
+    rows = [
+        (1, FILLER + "\nWhat is 9 + 31 * 5 - 8\n" + FILLER), (2, "so what is 9 + 31 * 5 - 8 today"), (3, FILLER + "Name four moons. More."), (4, "please name four moons of it"),
+        (5, FILLER + "from 4 to 8 add 5 and 6 then 7 or 9 by 1 in 3 steps of 2 " + FILLER), (6, "x. Add 22, 23, 24, 25, 26, 27, 28 and 29 now."), (7, "1 2 3 4 5 6 7 8 9 10"), (8, "From 3 to 9 add 3 and 9 then 3 or 9 by 3 in 9 steps of 3"),
+    ]
+    assert [r[:2] for r in found(docs, items, rows)] == [(1, 1), (3, 2), (5, 3), (6, 4)]
+
+
+def test_hashes_of_many_lengths():
+    ids = np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64)
+    for n in (1, 8, 30):
+        at = np.arange(len(ids) - n + 1)
+        assert (D._spans(ids, at, at + n) == D._rolling(ids, n)).all()
+
+
 def test_part_of_an_item(docs, items):
     words = ITEM.split()
     assert found(docs, items, [(1, " ".join(words[:15])), (2, " ".join(words[:9]))]) == [(1, 1, "literal")]
