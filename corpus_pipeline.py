@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of documents. Repeated rows are separate documents to the classifier and
-line dedup; near-dedup keeps one row of each group, an exact repeat included.
+columns of documents. Repeated rows are separate documents to the classifier;
+line dedup counts copies once; near-dedup keeps one row of each group, an exact repeat included.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a set share of a source's documents go."""
-    return line_dedup.drop_boilerplate(docs, host="source", text="text", key="doc_id")
+    """Lines on more than a set share of a source's distinct texts go; whole copies are left to near-dedup."""
+    return line_dedup.drop_boilerplate(docs, host="source", text="text", key="doc_id", copies_once=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

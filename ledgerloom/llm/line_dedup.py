@@ -4,7 +4,8 @@ Within each host, the number of pages that contain a line is divided by the
 host's number of pages; lines above ``ratio`` (and on at least ``min_pages``
 pages) are boilerplate and dropped from every page of that host.
 
-Defined cases: a page is a row, so repeated rows count as pages. Null text stays
+Defined cases: a page is a row, so repeated rows count as pages, unless
+``copies_once`` is set: then a page is a distinct text of its host. Null text stays
 null and has no lines; blank lines are never counted or dropped; null hosts form
 one host of their own. A page of nothing but boilerplate keeps its row with an
 empty text. Other columns pass through. Lines are compared by 64-bit hash.
@@ -34,19 +35,28 @@ def _line_hashes(text: str) -> Column:
     return F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _page(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(site, line, n_pages, n_site): the hashes of lines above the ratio.
 
+    With ``copies_once``, exact copies of a text on one host count as one page.
+
     Counts are summed on each map task before the shuffle, so a hot host or line
     sends one row per task.
     """
+    lines = pages.select(_key(host).alias("site"), _page(text).alias("page"), F.explode(_line_hashes(text)).alias("line"))
+    sites = pages.select(_key(host).alias("site"), _page(text).alias("page"))
+    if copies_once:
+        lines, sites = lines.distinct(), sites.distinct()
     per_line = (
-        pages.select(_key(host).alias("site"), F.explode(_line_hashes(text)).alias("line"))
-        .groupBy("site", "line")
+        lines.groupBy("site", "line")
         .agg(F.count("*").alias("n_pages"))
         .where(F.col("n_pages") >= min_pages)
     )
-    per_site = pages.groupBy(_key(host).alias("site")).agg(F.count("*").alias("n_site"))
+    per_site = sites.groupBy("site").agg(F.count("*").alias("n_site"))
     return per_line.join(per_site, "site").where(F.col("n_pages") > ratio * F.col("n_site"))
 
 
@@ -58,6 +68,7 @@ def drop_boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     broadcast_rows: int = BROADCAST_ROWS,
+    copies_once: bool = False,
 ) -> DataFrame:
     """pages with the boilerplate lines taken out of ``text``.
 
@@ -66,7 +77,7 @@ def drop_boilerplate(
     back to the page by ``key``.
     """
     columns = pages.columns
-    found = written(boilerplate(pages, host, text, ratio, min_pages).select("site", "line"), "boilerplate")
+    found = written(boilerplate(pages, host, text, ratio, min_pages, copies_once).select("site", "line"), "boilerplate")
     marked = pages.withColumn("__site", _key(host))
     if found.count() <= broadcast_rows:
         per_site = found.groupBy(F.col("site").alias("__site")).agg(F.collect_list("line").alias("__drop"))

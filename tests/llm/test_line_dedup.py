@@ -1,5 +1,6 @@
 import pytest
 
+import corpus_pipeline as P
 from ledgerloom.llm import line_dedup as D
 from ledgerloom.llm.queries import OP7_SQL, op7_line_dedup
 from tests.test_oracle import same
@@ -31,3 +32,13 @@ def test_thresholds_and_empty_table(docs):
 
 def test_no_python_in_the_plan(spark, tiny):
     assert "Python" not in op7_line_dedup(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_do_not_empty_each_other(spark, tiny, docs):
+    copy, other = "a page\nof three\nlines", "another page\nof two"
+    rows = [(i, copy, None, "a") for i in range(300)] + [(300 + i, other, None, "a") for i in range(200)] + [(1000 + i, f"menu\nown {i}", None, "a") for i in range(9)]
+    given = docs(rows)
+    out = P.dedup_lines(spark, given, tiny)
+    assert {r["text"] for r in out.collect()} == {copy, other, *(f"own {i}" for i in range(9))}
+    left = P.drop_near_duplicates(spark, out, tiny).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"] < 1000) == [(0, copy), (300, other)]
