@@ -23,7 +23,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a set share of a source's distinct texts go; whole copies are left to near-dedup."""
+    """Lines on more than a set share of a source's distinct texts go; whole copies are left to near-dedup.
+
+    Lines of 50 words or more stay in one text of a source.
+    """
+    docs = line_dedup.drop_repeats(docs, host="source", text="text", key="doc_id")
     return line_dedup.drop_boilerplate(docs, host="source", text="text", key="doc_id", copies_once=True)
 
 

@@ -20,6 +20,8 @@ from .shared import BROADCAST_ROWS, written
 
 RATIO = 0.02
 MIN_PAGES = 3
+#: Words of a line that is a passage: it needs two texts of a host, not a share of them.
+PASSAGE = 50
 
 
 def _lines(text: str) -> Column:
@@ -60,6 +62,44 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     return per_line.join(per_site, "site").where(F.col("n_pages") > ratio * F.col("n_site"))
 
 
+def passages(pages: DataFrame, host: str, text: str, key: str, n_words: int = PASSAGE) -> DataFrame:
+    """(site, line, keep): lines of at least ``n_words`` words in two or more distinct texts of a host.
+
+    ``keep`` is the text with the smallest key; it (and its exact copies) keeps the line.
+    """
+    long = F.filter(_lines(text), lambda x: F.size(F.split(F.trim(x), r"\s+")) >= n_words)
+    lines = F.array_distinct(F.transform(long, lambda x: F.xxhash64(x)))
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "page")
+    return (
+        pages.select(_key(host).alias("site"), _page(text).alias("page"), F.col(key).alias("key"), F.explode(lines).alias("line"))
+        .groupBy("site", "line")
+        .agg(F.min(first).alias("first"), F.min("page").alias("low"), F.max("page").alias("high"))
+        .where(F.col("low") != F.col("high"))
+        .select("site", "line", F.col("first.page").alias("keep"))
+    )
+
+
+def drop_repeats(pages: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", n_words: int = PASSAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """pages with long lines that repeat on a host left in its first text only, at any share of its pages."""
+    found = written(passages(pages, host, text, key, n_words), "passages")
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
+    marked = pages.withColumn("__site", _key(host)).withColumn("__page", _page(text))
+    lines = marked.select("__site", "__page", F.explode(_line_hashes(text)).alias("line")).withColumnRenamed("__site", "site")
+    drops = (
+        lines.join(found, ["site", "line"])
+        .where(F.col("__page") != F.col("keep"))
+        .groupBy(F.col("site").alias("__site"), "__page")
+        .agg(F.collect_set("line").alias("__drop"))
+    )
+    drops = written(drops, "passage-drops")
+    if drops.count() <= broadcast_rows:
+        drops = F.broadcast(drops)
+    marked = marked.join(drops, ["__site", "__page"], "left")
+    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__drop"), F.xxhash64(x)))
+    return marked.withColumn(text, F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*pages.columns)
+
+
 def drop_boilerplate(
     pages: DataFrame,
     host: str = "source",

@@ -42,3 +42,15 @@ def test_copies_do_not_empty_each_other(spark, tiny, docs):
     assert {r["text"] for r in out.collect()} == {copy, other, *(f"own {i}" for i in range(9))}
     left = P.drop_near_duplicates(spark, out, tiny).collect()
     assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"] < 1000) == [(0, copy), (300, other)]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_long_passages_stay_once_on_a_large_host(spark, tiny, docs, broadcast_rows):
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, f"own {i}", None, "a") for i in range(400)]
+    rows += [(500, f"x\n{passage}", None, "a"), (500, f"x\n{passage}", None, "a"), (501, f"{passage}\ny", None, "a"), (None, f"n\n{passage}", None, "a"), (502, passage, None, "b")]
+    out = D.drop_repeats(docs(rows), broadcast_rows=broadcast_rows)
+    want = [(500, f"x\n{passage}"), (500, f"x\n{passage}"), (501, "y"), (None, "n"), (502, passage)]
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect() if not (r["text"] or "").startswith("own")), key=str)
+    assert out.columns == docs(rows).columns and got(out) == sorted(want, key=str)
+    assert got(P.dedup_lines(spark, docs(rows), tiny)) == sorted(want, key=str)
