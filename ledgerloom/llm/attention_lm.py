@@ -1,12 +1,14 @@
 """A small causal self-attention language model over subword ids, in numpy.
 
-Streams are cut into blocks of 16 ids. A block's ids are predicted from queries
-at the ids before them, over keys of that block and the one before (32 ids,
-masked to what precedes), so windows overlap and each id is scored once. The
-output is a softmax over 16 groups, then one over the group's 16 classes: each
-frequent subword is a class of its own and the others share classes of equal mass,
-inside which smoothed corpus counts decide. So the probabilities of all ids sum to
-one, and an id costs 32 outputs instead of the whole vocabulary.
+Streams are cut into blocks of 8 ids. A block's ids are predicted from queries at
+the ids before them, over keys of that block and the one before (16 ids, masked to
+what precedes), so windows overlap and each id is scored once. The output is a
+softmax over 16 groups, then one over the group's 16 classes. Half of the groups
+are of subwords that begin a word, so the groups also give the probability that a
+word ends here. On either side the most frequent subwords are classes of their own
+and the others share classes of equal mass that are neighbours in spelling, inside
+which smoothed corpus counts decide. So the probabilities of all ids sum to one, and
+an id costs 32 outputs instead of the whole vocabulary.
 """
 
 from __future__ import annotations
@@ -15,18 +17,25 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK = 16
-#: Frequent subwords with a class of their own, and classes of the others.
-OWN, SHARED = 224, 32
+BLOCK = 8
 GROUPS, MEMBERS = 16, 16
+#: Groups of subwords that begin a word, and classes of either side.
+BEGINNING = GROUPS // 2
+SIDE = BEGINNING * MEMBERS
+#: Classes of each side that hold one frequent subword; the rest of the classes are shared.
+OWN = 96
 #: Subwords with an embedding of their own; the others share one.
 EMBEDDED = 4096
-DIM, KEY = 32, 16
-BATCH = 512  # blocks worked on at once
+DIM, KEY = 24, 8
+WIDTH = 2 * KEY + 2 * DIM
+#: Blocks scored at once; blocks of one training piece.
+BATCH, PIECE = 1024, 32
 
 _QUERY, _KEY_AT = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None, :]
 DISTANCE = np.clip(_QUERY - _KEY_AT, 0, 2 * BLOCK - 1)
-CAUSAL = (_KEY_AT <= _QUERY).astype(np.float32)
+#: Added to the scores of what must not be seen.
+HIDDEN = np.float32(-1e4)
+CAUSAL = np.where(_KEY_AT <= _QUERY, np.float32(0), HIDDEN)
 
 
 @dataclass
@@ -34,7 +43,7 @@ class Vocabulary:
     """What corpus counts fix: embedding row, class and in-class log probability of every id.
 
     Ids are the tokenizer's, then one for the end. Embedding rows 0 and 1 are for
-    padding and the start; padding is masked.
+    padding and the start; padding is hidden.
     """
 
     row: np.ndarray
@@ -43,18 +52,22 @@ class Vocabulary:
     prior: np.ndarray
 
     @staticmethod
-    def of(counts: np.ndarray, smooth: float = 0.1) -> Vocabulary:
+    def of(counts: np.ndarray, spelled: list[bytes] | None = None, begins: np.ndarray | None = None, smooth: float = 0.1) -> Vocabulary:
+        """``spelled`` gives the ids' bytes, ``begins`` which of them begin a word (all, if not given)."""
+        n = len(counts)
+        begins = np.ones(n, bool) if begins is None else begins
         order = np.argsort(-counts, kind="stable")
         mass = counts + smooth
-        kind = np.zeros(len(counts), np.int64)
-        kind[order[:OWN]] = np.arange(min(OWN, len(order)))
-        rest = order[OWN:]
-        if len(rest):
-            share = np.cumsum(mass[rest]) / mass[rest].sum()
-            kind[rest] = OWN + np.minimum((share * SHARED).astype(np.int64), SHARED - 1)
-        total = np.bincount(kind, weights=mass, minlength=OWN + SHARED)
-        row = np.full(len(counts), EMBEDDED + 2, np.int64)
-        row[order[:EMBEDDED]] = np.arange(min(EMBEDDED, len(order))) + 2
+        kind = np.zeros(n, np.int64)
+        for first, ids in ((0, order[begins[order]]), (SIDE, order[~begins[order]])):
+            kind[ids[:OWN]] = first + np.arange(min(OWN, len(ids)))
+            rest = np.array(sorted(ids[OWN:].tolist(), key=lambda i: (spelled[i] if spelled else b"", i)), np.int64)
+            if len(rest):
+                share = np.cumsum(mass[rest]) / mass[rest].sum()
+                kind[rest] = first + OWN + np.minimum((share * (SIDE - OWN)).astype(np.int64), SIDE - OWN - 1)
+        total = np.bincount(kind, weights=mass, minlength=2 * SIDE)
+        row = np.full(n, EMBEDDED + 2, np.int64)
+        row[order[:EMBEDDED]] = np.arange(min(EMBEDDED, n)) + 2
         used = np.maximum(total, 1e-9)
         return Vocabulary(row, kind, np.log(mass / used[kind]).astype(np.float32), np.where(total > 0, np.log(used / used.sum()), -30).astype(np.float32))
 
@@ -63,12 +76,13 @@ Weights = dict[str, np.ndarray]
 
 
 def initial(prior: np.ndarray, seed: int = 0) -> Weights:
+    """E: embeddings. W: their query, key, value and skip parts, s: bias of the last. R: bias by distance. G, g: groups. O, o: classes of each group."""
     rng = np.random.default_rng(seed)
     group = np.log(np.exp(prior).reshape(GROUPS, MEMBERS).sum(axis=1)).astype(np.float32)
     normal = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
     return {
-        "E": rng.normal(0, 0.5, (EMBEDDED + 3, DIM)).astype(np.float32), "Q": normal(DIM, KEY), "K": normal(DIM, KEY), "V": normal(DIM, DIM),
-        "S": normal(DIM, DIM), "s": np.zeros(DIM, np.float32), "R": np.zeros(2 * BLOCK, np.float32), "G": 0.3 * normal(DIM, GROUPS), "g": group,
+        "E": rng.normal(0, 0.5, (EMBEDDED + 3, DIM)).astype(np.float32), "W": np.hstack([normal(DIM, KEY) * np.float32(KEY**-0.5), normal(DIM, KEY), normal(DIM, DIM), normal(DIM, DIM)]),
+        "s": np.zeros(DIM, np.float32), "R": np.zeros(2 * BLOCK, np.float32), "G": 0.3 * normal(DIM, GROUPS), "g": group,
         "O": 0.3 * rng.normal(0, DIM**-0.5, (GROUPS, DIM, MEMBERS)).astype(np.float32), "o": prior.reshape(GROUPS, MEMBERS) - group[:, None],
     }
 
@@ -81,73 +95,34 @@ def blocks(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """
     n_blocks = -(-lengths // BLOCK) + 1
     first = (np.cumsum(n_blocks) - n_blocks + 1) * BLOCK
-    out = np.zeros(int(n_blocks.sum()) * BLOCK, np.int64)
+    out = np.zeros(int(n_blocks.sum()) * BLOCK, np.uint16)
     begin = np.cumsum(lengths) - lengths
     place = np.repeat(first - begin, lengths) + np.arange(len(rows))
-    out[first[lengths > 0]] = 1
+    # every id but a text's last stands one place after its own prediction
     inner = np.ones(len(rows), bool)
-    inner[begin[lengths > 0]] = False
-    out[place[inner]] = rows[np.flatnonzero(inner) - 1]
+    inner[(begin + lengths - 1)[lengths > 0]] = False
+    out[place[inner] + 1] = rows[inner]
+    out[first[lengths > 0]] = 1
     return out.reshape(-1, BLOCK), place
 
 
-def _attend(w: Weights, tables: tuple, before: np.ndarray, now: np.ndarray) -> tuple:
-    """Hidden vectors of blocks ``now`` after ``before``, and the steps to them."""
-    q_of, k_of, v_of, s_of = tables
-    keys = np.concatenate([before, now], axis=1)
-    q, k, v = q_of[now], k_of[keys], v_of[keys]
-    a = q @ k.transpose(0, 2, 1)
-    a += w["R"][DISTANCE]
-    np.clip(a, -20, 20, out=a)
-    np.exp(a, out=a)
-    a *= CAUSAL
-    a *= (keys != 0)[:, None, :]
-    a /= a.sum(axis=2, keepdims=True) + 1e-9
-    h = a @ v
-    h += s_of[now]
-    np.maximum(h, 0, out=h)
-    return q, k, v, a, h.reshape(-1, DIM), keys
-
-
-def _shares(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """softmax(h @ w + b)"""
-    z = h @ w
-    z += b
-    np.clip(z, -40, 40, out=z)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """(pieces, blocks, BLOCK, width) seen as each block with the one before it; a view."""
+    n, m, _, width = x.shape
+    return np.lib.stride_tricks.as_strided(x, (n, m - 1, 2 * BLOCK, width), x.strides)
 
 
-_ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
-
+def _exp(z: np.ndarray, most: float = 40) -> np.ndarray:
+    np.minimum(z, most, out=z)
+    return np.exp(z, out=z)
 
-def _share_of(h: np.ndarray, w: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """softmax(h @ w + b) at one wanted column of each row."""
-    z = h @ w
-    z += b
-    np.minimum(z, 40, out=z)
-    np.exp(z, out=z)
-    n = z.shape[1]
-    return z.ravel().take(np.arange(0, z.size, n) + wanted) / (z @ _ONES[:n])
 
-
-def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Group and member of each target, and the rows of each group."""
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and each group with its slice of it."""
     group = (target // MEMBERS).astype(np.int8)
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(GROUPS + 1, dtype=np.int8))
-    return group, target % MEMBERS, [(g, order[ends[g] : ends[g + 1]]) for g in range(GROUPS) if ends[g] < ends[g + 1]]
-
-
-def tables(w: Weights) -> tuple:
-    """Per embedding row: query, key, value and skip vectors."""
-    e = w["E"]
-    return e @ w["Q"] * KEY**-0.5, e @ w["K"], e @ w["V"], e @ w["S"] + w["s"]
-
-
-#: Added to the scores of what must not be seen.
-HIDDEN = np.float32(-1e4)
+    ends = np.searchsorted(group[order], np.arange(GROUPS + 1, dtype=np.int8)).tolist()
+    return order, [(g, ends[g], ends[g + 1]) for g in range(GROUPS) if ends[g] < ends[g + 1]]
 
 
 def prepared(w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,24 +131,22 @@ def prepared(w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A last key number hides padding and a last value number sums the attention, so
     neither needs a pass of its own.
     """
-    q, k, v, s = tables(w)
-    one = np.ones((len(q), 1), np.float32)
+    y = w["E"] @ w["W"]
+    q, k, v, s = y[:, :KEY], y[:, KEY : 2 * KEY], y[:, 2 * KEY : 2 * KEY + DIM], y[:, 2 * KEY + DIM :] + w["s"]
+    one = np.ones((len(y), 1), np.float32)
     hide = np.zeros_like(one)
     hide[0] = HIDDEN
-    return np.hstack([q, one, s]), np.hstack([k, hide, v, one]), np.where(CAUSAL > 0, w["R"][DISTANCE], HIDDEN).astype(np.float32)
+    return np.hstack([q, one, s]), np.hstack([k, hide, v, one]), (CAUSAL + w["R"][DISTANCE]).astype(np.float32)
 
 
 def _hidden(ready: tuple, flat: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """What ``_attend`` gives for blocks lo to hi, each row gathered once."""
+    """Hidden vectors of blocks lo to hi, each row gathered once."""
     query, keyed, bias = ready
-    qs, kv = query.take(flat[lo:hi], axis=0), keyed.take(flat[lo - 1 : hi], axis=0)
-    width = kv.shape[2]
-    pairs = np.lib.stride_tricks.as_strided(kv, (hi - lo, 2 * BLOCK, width), (BLOCK * width * 4, width * 4, 4))
+    qs, kv = query.take(flat[lo:hi], axis=0), keyed.take(flat[None, lo - 1 : hi], axis=0)
+    pairs = _pairs(kv)[0]
     a = qs[:, :, : KEY + 1] @ pairs[:, :, : KEY + 1].transpose(0, 2, 1)
     a += bias
-    np.minimum(a, 20, out=a)
-    np.exp(a, out=a)
-    h = a @ pairs[:, :, KEY + 1 :]
+    h = _exp(a, 20) @ pairs[:, :, KEY + 1 :]
     out = h[:, :, :DIM]
     out /= h[:, :, DIM:] + np.float32(1e-9)
     out += qs[:, :, KEY + 1 :]
@@ -181,79 +154,124 @@ def _hidden(ready: tuple, flat: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return out.reshape(-1, DIM)
 
 
-def log_probabilities(w: Weights, vocabulary: Vocabulary, ids: np.ndarray, lengths: np.ndarray, ready: tuple | None = None) -> np.ndarray:
-    """Natural log probability of every id of texts laid end to end."""
+_ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
+
+
+def log_probabilities(w: Weights, vocabulary: Vocabulary, ids: np.ndarray, lengths: np.ndarray, ready: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of every id of texts laid end to end: the natural log of its probability, and of that of any id that begins a word."""
     ready = ready or prepared(w)
     flat, place = blocks(vocabulary.row[ids], lengths)
-    target = np.zeros(flat.size, np.int64)
+    target = np.zeros(flat.size, np.int16)
     target[place] = vocabulary.kind[ids]
-    out = np.empty(flat.size, np.float32)
     target = target.reshape(-1, BLOCK)
+    out, begin = np.empty(flat.size, np.float32), np.empty(flat.size, np.float32)
     for lo in range(1, len(flat), BATCH):
         hi = min(lo + BATCH, len(flat))
-        h = _hidden(ready, flat, lo, hi)
-        group, member, rows_of = _by_group(target[lo:hi].ravel())
-        order = np.concatenate([rows for _, rows in rows_of])
+        wanted = target[lo:hi].ravel()
+        order, groups = _by_group(wanted)
         # sorted by group once, so that each group is a slice
-        h, group, member = h.take(order, axis=0), group.take(order), member.take(order)
-        p, at = _share_of(h, w["G"], w["g"], group), 0
-        for g, rows in rows_of:
-            end = at + len(rows)
-            p[at:end] *= _share_of(h[at:end], w["O"][g], w["o"][g], member[at:end])
-            at = end
-        out[order + lo * BLOCK] = np.log(p)
-    return out[place] + vocabulary.inside[ids]
-
-
-def train(w: Weights, vocabulary: Vocabulary, ids: np.ndarray, lengths: np.ndarray, rate: float = 0.4, batch: int = 192, seed: int = 0) -> Weights:
-    """One pass of Adagrad over texts laid end to end."""
-    w = {k: x.copy() for k, x in w.items()}
-    square = {k: np.full_like(x, 1e-3) for k, x in w.items()}
+        h, wanted = _hidden(ready, flat, lo, hi).take(order, axis=0), wanted.take(order)
+        z = h @ w["G"]
+        z += w["g"]
+        all_groups = _exp(z) @ _ONES[:GROUPS]
+        p = z.ravel().take(np.arange(0, z.size, GROUPS) + wanted // MEMBERS) / all_groups
+        begins = z[:, :BEGINNING] @ _ONES[:BEGINNING] / all_groups
+        for g, at, end in groups:
+            z = h[at:end] @ w["O"][g]
+            z += w["o"][g]
+            _exp(z)
+            p[at:end] *= z.ravel().take(np.arange(0, z.size, MEMBERS) + wanted[at:end] % MEMBERS) / (z @ _ONES[:MEMBERS])
+        order += lo * BLOCK
+        out[order], begin[order] = np.log(p), np.log(begins)
+    return out[place] + vocabulary.inside[ids], begin[place]
+
+
+def squares(w: Weights) -> Weights:
+    """Adagrad's sums of squared gradients before the first step."""
+    return {k: np.full_like(x, 1e-3) for k, x in w.items()}
+
+
+def _shares_less_one(h: np.ndarray, w: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Gradient of the log loss: softmax(h @ w + b), less 1 at each row's wanted column."""
+    z = h @ w
+    z += b
+    _exp(z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), wanted] -= 1
+    return z
+
+
+def train(w: Weights, square: Weights, vocabulary: Vocabulary, ids: np.ndarray, lengths: np.ndarray, rate: float = 0.3, batch: int = 16, seed: int = 0) -> tuple[Weights, Weights]:
+    """One pass of Adagrad over texts laid end to end, ``batch`` pieces a step in random order; goes on from w and square."""
+    w, square = {k: x.copy() for k, x in w.items()}, {k: x.copy() for k, x in square.items()}
     flat, place = blocks(vocabulary.row[ids], lengths)
-    target = np.full(flat.size, -1, np.int64)
+    target = np.full(flat.size, -1, np.int16)
     target[place] = vocabulary.kind[ids]
-    target = target.reshape(-1, BLOCK)
-    order = np.random.default_rng(seed).permutation(np.flatnonzero((target >= 0).any(axis=1)))
-    for part in np.array_split(order, max(1, len(order) // batch)):
-        now = flat[part]
-        q, k, v, a, h, keys = _attend(w, tables(w), flat[part - 1], now)
-        t = target[part].ravel()
+    starts = np.arange(1, len(flat), PIECE)
+    spare = (starts[-1] + PIECE - len(flat)) * BLOCK
+    flat = np.r_[flat.ravel(), np.zeros(spare, np.uint16)].reshape(-1, BLOCK)
+    target = np.r_[target, np.full(spare, -1, np.int16)].reshape(-1, BLOCK)
+    order = np.random.default_rng(seed).permutation(starts)
+    v_at, s_at = 2 * KEY, 2 * KEY + DIM
+    for part in np.array_split(order, -(-len(order) // batch)):
+        at = part[:, None] + np.arange(-1, PIECE)
+        rows, t, shape = flat[at], target[at[:, 1:]].ravel(), (len(part), PIECE + 1, BLOCK)
         real = np.flatnonzero(t >= 0)
-        group, member, rows_of = _by_group(t[real])
-        d = np.zeros((len(t), GROUPS), np.float32)
-        d[real] = _shares(h[real], w["G"], w["g"])
-        d[real, group] -= 1
+        if not len(real):
+            continue
+        x = w["E"].take(rows.ravel(), axis=0)
+        y = (x @ w["W"]).reshape(*shape, WIDTH)
+        q, k = np.ones((shape[0], PIECE, BLOCK, KEY + 1), np.float32), np.zeros((*shape, KEY + 1), np.float32)
+        q[..., :KEY], k[..., :KEY] = y[:, 1:, :, :KEY], y[..., KEY:v_at]
+        k[..., KEY][rows == 0] = HIDDEN
+        k, v = _pairs(k), _pairs(np.ascontiguousarray(y[..., v_at:s_at]))
+        a = q @ k.transpose(0, 1, 3, 2)
+        a += CAUSAL + w["R"][DISTANCE]
+        _exp(a, 20)
+        a /= a.sum(axis=3, keepdims=True) + np.float32(1e-9)
+        attended = a @ v
+        h = (attended + y[:, 1:, :, s_at:] + w["s"]).reshape(-1, DIM)
+        np.maximum(h, 0, out=h)
+        # the output, sorted by group
+        by, groups = _by_group(t.take(real))
+        real = real.take(by)
+        h, t_of = h.take(real, axis=0), t.take(real)
+        d = _shares_less_one(h, w["G"], w["g"], t_of // MEMBERS)
         d /= len(real)
         dh = d @ w["G"].T
         grad = {"G": h.T @ d, "g": d.sum(axis=0), "O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"])}
-        for g, rows in rows_of:
-            at = real[rows]
-            d = _shares(h[at], w["O"][g], w["o"][g])
-            d[np.arange(len(at)), member[rows]] -= 1
+        for g, lo, hi in groups:
+            d = _shares_less_one(h[lo:hi], w["O"][g], w["o"][g], t_of[lo:hi] % MEMBERS)
             d /= len(real)
-            dh[at] += d @ w["O"][g].T
-            grad["O"][g], grad["o"][g] = h[at].T @ d, d.sum(axis=0)
+            dh[lo:hi] += d @ w["O"][g].T
+            np.matmul(h[lo:hi].T, d, out=grad["O"][g])
+            grad["o"][g] = d.sum(axis=0)
         dh *= h > 0
-        dh3 = dh.reshape(len(part), BLOCK, DIM)
-        da = dh3 @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh3
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        x_now, x_keys = w["E"][now].reshape(-1, DIM), w["E"][keys].reshape(-1, DIM)
-        dq, dk, dv = dq.reshape(-1, KEY) * KEY**-0.5, dk.reshape(-1, KEY), dv.reshape(-1, DIM)
-        grad |= {
-            "S": x_now.T @ dh, "s": dh.sum(axis=0), "Q": x_now.T @ dq, "K": x_keys.T @ dk, "V": x_keys.T @ dv,
-            "R": np.bincount(DISTANCE.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * BLOCK).astype(np.float32),
-        }
-        at = np.concatenate([now.ravel(), keys.ravel()])
-        dx = np.concatenate([dq @ w["Q"].T + dh @ w["S"].T, dk @ w["K"].T + dv @ w["V"].T])
-        rows, of = np.unique(at, return_inverse=True)
-        sums = np.zeros((len(rows), DIM), np.float32)
-        by = np.argsort(of, kind="stable")
-        sums += np.add.reduceat(dx[by], np.r_[0, np.flatnonzero(np.diff(of[by])) + 1], axis=0)
+        dh_all = np.zeros((len(t), DIM), np.float32)
+        dh_all[real] = dh
+        dh = dh_all.reshape(shape[0], PIECE, BLOCK, DIM)
+        # back through the attention
+        da = dh @ v.transpose(0, 1, 3, 2)
+        da -= (dh * attended).sum(axis=3, keepdims=True)
+        da *= a
+        dk, dv = da.transpose(0, 1, 3, 2) @ q[..., :KEY], a.transpose(0, 1, 3, 2) @ dh
+        dy = np.zeros((*shape, WIDTH), np.float32)
+        dy[:, 1:, :, :KEY] = da @ k[..., :KEY]
+        for lo, d in ((KEY, dk), (v_at, dv)):
+            hi = lo + d.shape[3]
+            dy[:, :-1, :, lo:hi] = d[:, :, :BLOCK]
+            dy[:, 1:, :, lo:hi] += d[:, :, BLOCK:]
+        dy[:, 1:, :, s_at:] = dh
+        dy = dy.reshape(-1, WIDTH)
+        grad |= {"W": x.T @ dy, "s": dh_all.sum(axis=0), "R": np.bincount(DISTANCE.ravel(), weights=da.sum(axis=(0, 1)).ravel(), minlength=2 * BLOCK).astype(np.float32)}
+        # embeddings: only the rows that occur
+        by = np.argsort(rows.ravel(), kind="stable")
+        row = rows.ravel()[by]
+        new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        sums, row = np.add.reduceat((dy @ w["W"].T).take(by, axis=0), new, axis=0), row[new]
         for key, g in grad.items():
             square[key] += g * g
             w[key] -= rate * g / np.sqrt(square[key])
-        square["E"][rows] += sums * sums
-        w["E"][rows] -= rate * sums / np.sqrt(square["E"][rows])
-    return w
+        square["E"][row] += sums * sums
+        w["E"][row] -= rate * sums / np.sqrt(square["E"][row])
+    return w, square

@@ -2,32 +2,43 @@
 
 Three passes over the corpus, none of which keeps more than one batch of texts:
 
-1. ``gather``: over every document that may be learned from, counts of all words
-   and subwords, and all its spans of 64 words to train on.
-2. ``train``: spans are dealt to replicas of about two million subwords; each
-   trains the attention model and the replicas' weights are averaged by Spark.
-3. ``score``: every text's subwords are scored by the model, and its words by
-   the base counts. The ``HEAD`` most frequent words' counts are broadcast (that
-   many rows, whatever the corpus); a text's other words are joined by hash.
+1. ``gather``: over every document that may be learned from, counts of all words,
+   subwords and spans. A span ends where the hash of two neighbouring words says so,
+   about every 32 words, so equal passages are cut alike wherever they stand.
+2. ``train``: the attention model is trained once on every subword of these
+   documents, in rounds. Each round deals a hash range of documents to replicas that
+   go on from the mean of the round before; a first small round gives all replicas
+   a common start, and later rounds have more and larger replicas.
+3. ``score``: overlapping windows score each subword once, and so each word.
+
+A word's probability mixes the model's with the corpus share of the word, and a
+span's mixes the product of its words' with the span's share of all spans. For the
+latter a document's own spans are left out, so only text that stands elsewhere too is
+remembered. Both are sums to one over what can follow, so the score is a log
+probability. The ``HEAD`` most frequent words' counts are broadcast (that many rows,
+whatever the corpus); a text's other words, and its spans, are joined by hash.
 
 Tokens are runs of non-space bytes after lower-casing A-Z, then one end.
 
 Defined cases: null text counts as empty (one token, the end). Repeated rows get
-rows of their own. With nothing to learn from, counts are zero and every base
-score is 0. Words are told apart by 64-bit hash. Extra columns are ignored.
+rows of their own, and each is text that stands elsewhere to the other. With nothing
+to learn from, counts are zero and every base score is 0. Words are told apart by
+64-bit hash. Extra columns are ignored. Which replica a document goes to depends on
+its id and text (on its place only where the id is null).
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,18 +46,23 @@ from pyspark.sql import functions as F
 from . import attention_lm as lm
 from .shared import written
 
-SPAN = 64
 HEAD = 200_000
-#: Subwords that one replica trains on, about.
-REPLICA = 2_000_000
+#: Subwords that a replica of the first round trains on, about; how many times as large later ones get; replicas of a round to one before.
+REPLICA, GROWN, WIDER = 2_000_000, 4, 4
+#: Pieces of each step of training by round; the last also of later ones.
+STEPS = (16, 32, 48)
+#: Subwords that a task holds to train on.
+SEGMENT = 2_000_000
 #: Weights are averaged in pieces of so many numbers, and of so many replicas at once.
 PIECE, FAN = 4096, 64
-#: Distinct words held by one task before they are flushed or forgotten.
+#: Distinct words held by one worker before they are flushed and forgotten.
 HELD = 600_000
 WORDS_AT_ONCE = 300_000
 SMOOTH = 0.1
+#: Parts of the corpus share of words, and of spans, in the mixtures.
+COUNTED, REMEMBERED = 0.3, 0.02
 
-WORD, SUBWORD, TEXT, SPANS = range(4)
+WORD, SUBWORD, TEXT, SPAN = range(4)
 
 
 def default_ranks() -> str:
@@ -57,76 +73,125 @@ def default_ranks() -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(ranks: str):
+    """A function from bytes to ids, the id of the end, and each id's bytes."""
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece, max(table.values()) + 1
+    end = max(table.values()) + 1
+    spelled = {i: b for b, i in table.items()}
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece, end, [spelled.get(i, b" ") for i in range(end + 1)]
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+class Lexicon(dict):
+    """word -> row, with each row's hash and subword ids; None, in row 0, is the end. Only a cache."""
 
+    def __init__(self, ranks: str) -> None:
+        self.encode, self.end, _ = _tokenizer(ranks)
+        self.forget()
 
-class _Packed(dict):
-    """word -> its subword ids as bytes; only a cache."""
+    def forget(self) -> None:
+        self.clear()
+        self[None] = 0
+        self.hash, self.begin, self.ids = array("q", [0]), array("q", [0, 1]), array("i", [self.end])
 
-    def __init__(self, encode) -> None:
-        self.encode = encode
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        self.hash.append(h - (1 << 64) if h >> 63 else h)
+        self.ids.extend(self.encode(b" " + word))
+        self.begin.append(len(self.ids))
+        self[word] = row = len(self)
+        return row
 
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = np.array(self.encode(b" " + word), np.int32).tobytes()
-        return ids
+    def read(self, texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(which texts, their tokens' rows laid end to end, tokens of each), not too many words at once."""
+        lo, lists, size = 0, [], 0
+        for i, text in enumerate(texts):
+            lists.append([*words_of(text), None])
+            size += len(lists[-1])
+            if size >= WORDS_AT_ONCE or i == len(texts) - 1:
+                yield slice(lo, i + 1), np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, size), np.fromiter(map(len, lists), np.int64, len(lists))
+                lo, lists, size = i + 1, [], 0
+
+    def hashes(self) -> np.ndarray:
+        return np.array(self.hash, np.int64)
+
+    def subwords(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of tokens laid end to end, and how many of each."""
+        begin, ids = np.array(self.begin, np.int64), np.array(self.ids, np.int32)
+        first = begin[at]
+        n = begin[at + 1] - first
+        return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+
+@lru_cache(maxsize=1)
+def _lexicon(ranks: str) -> Lexicon:
+    """One cache for each Python worker, which serves many tasks."""
+    return Lexicon(ranks)
+
+
+def spans(hashes: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens laid end to end: each one's span, and the spans' hashes. A text's end closes a span."""
+    h = hashes.view(np.uint64)
+    with np.errstate(over="ignore"):
+        before = np.r_[np.uint64(0), h[:-1]] * np.uint64(0x9E3779B97F4A7C15)
+        cut = ((before ^ h) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(59) == 0
+        cut[np.cumsum(n_tokens) - 1] = True
+        of = np.cumsum(cut) - cut
+        starts = np.r_[0, np.flatnonzero(cut)[:-1] + 1]
+        x = h + (np.arange(len(h)) - starts[of]).astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return of, np.add.reduceat(x, starts).view(np.int64)
 
 
 def gather(docs: DataFrame, ranks: str) -> DataFrame:
-    """(kind, id, n, span): word hashes, subword ids and texts with their counts, and training spans."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = _tokenizer(ranks)
-        packed = _Packed(encode)
-        last = np.array([end], np.int32).tobytes()
-        held: Counter = Counter()
-        texts = 0
-
-        def counted() -> pd.DataFrame:
-            ids, n = list(held), np.fromiter(held.values(), np.int64, len(held))
-            pieces = [encode(b" " + w) for w in ids]
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            flat = np.fromiter((i for p in pieces for i in p), np.int64, int(lengths.sum()))
-            sub = np.bincount(flat, weights=np.repeat(n, lengths), minlength=end + 1).astype(np.int64)
-            some = np.flatnonzero(sub)
-            return pd.DataFrame({
-                "kind": np.r_[np.full(len(ids), WORD), np.full(len(some), SUBWORD)],
-                "id": np.r_[np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids)).view(np.int64), some],
-                "n": np.r_[n, sub[some]],
-                "span": None,
-            })
+    """(kind, id, n): word hashes, subword ids, span hashes and texts with their counts, summed over parts of each task."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _lexicon(ranks)
+        held, seen = np.zeros(0, np.int64), []
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            some = np.flatnonzero(held[1:]) + 1
+            ids, n = lexicon.subwords(some)
+            sub = np.bincount(ids, weights=np.repeat(held[some], n), minlength=lexicon.end + 1).astype(np.int64)
+            used = np.flatnonzero(sub)
+            passages, times = np.unique(np.concatenate(seen), return_counts=True)
+            for kind, ids, n in ((WORD, lexicon.hashes()[some], held[some]), (SUBWORD, used, sub[used]), (SPAN, passages, times), (TEXT, np.zeros(1, np.int64), held[:1])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), pa.array(n)], ["kind", "id", "n"])
 
         for batch in batches:
-            spans = []
-            for text in batch["text"]:
-                words = words_of(text)
-                held.update(words)
-                texts += 1
-                for lo in range(0, len(words) + 1, SPAN):
-                    span = b"".join(map(packed.__getitem__, words[lo : lo + SPAN]))
-                    spans.append(span + last if lo + SPAN > len(words) else span)
-            if len(held) > HELD:
-                yield counted()
-                held.clear()
-            if len(packed) > HELD:
-                packed.clear()
-            if spans:
-                yield pd.DataFrame({"kind": SPANS, "id": 0, "n": [len(s) // 4 for s in spans], "span": spans})
-        yield counted()
-        yield pd.DataFrame({"kind": [TEXT], "id": [0], "n": [texts], "span": [None]})
-
-    return docs.select("text").mapInPandas(cut, "kind int, id long, n long, span binary")
+            if len(lexicon) > HELD:
+                if seen:
+                    yield from counted()
+                held, seen = np.zeros(0, np.int64), []
+                lexicon.forget()
+            for _, at, n_tokens in lexicon.read(batch.column(0).to_pylist()):
+                more = np.bincount(at, minlength=len(lexicon))
+                more[: len(held)] += held
+                held = more
+                seen.append(spans(lexicon.hashes()[at], n_tokens)[1])
+        if seen:
+            yield from counted()
+
+    return docs.select("text").mapInArrow(cut, "kind int, id long, n long")
+
+
+def rounds(total: int) -> list[tuple[int, int]]:
+    """(subwords, replicas) of each round: the first has one replica, the last what is left."""
+    out, left = [], total
+    while left > 0:
+        size = REPLICA * min(2 ** len(out), GROWN)
+        now = min(left, size * WIDER ** len(out))
+        out.append((now, -(-now // size)))
+        left -= now
+    return out
 
 
 def _flat(w: lm.Weights) -> np.ndarray:
@@ -141,154 +206,206 @@ def _shaped(flat: np.ndarray, like: lm.Weights) -> lm.Weights:
     return out
 
 
-def train(spans: DataFrame, vocabulary: lm.Vocabulary) -> lm.Weights:
-    """Replicas' weights, averaged by the number of subwords that each trained on."""
-    start = lm.initial(vocabulary.prior)
-    total = spans.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return start
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spans = [np.frombuffer(s, np.int32) for b in batches for s in b["span"] if len(s)]
-        if spans:
-            lengths = np.array([len(s) for s in spans])
-            flat = _flat(lm.train(start, vocabulary, np.concatenate(spans), lengths))
-            pieces = range(0, len(flat), PIECE)
-            yield pd.DataFrame({"at": list(pieces), "w": [flat[i : i + PIECE].tobytes() for i in pieces], "n": int(lengths.sum())})
+def _mean(trained: DataFrame) -> np.ndarray:
+    """Rows (at, w, n) of replicas averaged by n, piece by piece."""
 
     def mean(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "w"])
         w = np.array([np.frombuffer(x, np.float32) for x in rows["w"]], np.float64)
         return pd.DataFrame({"at": [key[0]], "w": [np.average(w, axis=0, weights=rows["n"]).astype(np.float32).tobytes()], "n": rows["n"].sum()})
 
-    # by row, not by content: copies of one text must not meet in one replica
-    dealt = spans.withColumn("row", F.monotonically_increasing_id()).repartition(-(-total // REPLICA), "row").drop("row")
-    trained = written(dealt.mapInPandas(fit, "at int, w binary, n long"), "replicas")
     replicas = trained.where(F.col("at") == 0).count()
     while replicas > 1:  # a tree, so that no group grows with the number of replicas
         replicas = -(-replicas // FAN)
         branch = F.pmod(F.xxhash64("w"), F.lit(replicas))
         trained = trained.groupBy("at", branch.alias("branch")).applyInPandas(mean, "at int, w binary, n long")
     pieces = trained.toPandas().sort_values("at")
-    return _shaped(np.concatenate([np.frombuffer(x, np.float32) for x in pieces["w"]]), start)
-
-
-class _Lexicon(dict):
-    """word -> row; per row the hash, the subword ids and, for a head word, the log of its share."""
-
-    def __init__(self, encode, head_id: np.ndarray, head_log: np.ndarray) -> None:
-        self.encode, self.hash, self.begin, self.ids = encode, array("q"), array("q", [0]), array("i")
-        self.head_id, self.head_log, self.log = head_id, head_log, np.zeros(0)
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, begins and ids, and logs (NaN for words outside the head)."""
-        hashes = np.array(self.hash, np.int64)
-        new = hashes[len(self.log) :]
-        logs = np.full(len(new), np.nan)
-        if len(self.head_id) and len(new):
-            place = np.minimum(np.searchsorted(self.head_id, new), len(self.head_id) - 1)
-            logs = np.where(self.head_id[place] == new, self.head_log[place], np.nan)
-        self.log = np.concatenate([self.log, logs])
-        return hashes, np.array(self.begin, np.int64), np.array(self.ids, np.int32), self.log
-
-    def __missing__(self, word: bytes) -> int:
-        self.hash.append(_signed(xxhash.xxh64_intdigest(word)))
-        self.ids.extend(self.encode(b" " + word))
-        self.begin.append(len(self.ids))
-        self[word] = row = len(self)
-        return row
-
-
-#: doc_id travels as text: a null among them would turn numbers into floats.
-SCORED = "key long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, tail_hash array<long>, tail_n array<int>"
+    return np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in pieces["w"])])
+
+
+def train(docs: DataFrame, ranks: str, vocabulary: lm.Vocabulary, total: int) -> lm.Weights:
+    """Weights trained once on every text of docs (doc_id, text), which have ``total`` subwords in all."""
+    weights = lm.initial(vocabulary.prior)
+    squares = lm.squares(weights)
+    slots = 1 << 30
+    row = F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())
+    dealt = docs.select("text", F.xxhash64(row, "text").alias("deal"))
+    done = 0
+    for r, (n, replicas) in enumerate(rounds(total)):
+        lo, hi = (min(slots, round(slots * x / total)) for x in (done, done + n))
+        done += n
+        given = docs.sparkSession.sparkContext.broadcast((vocabulary, weights, squares))
+
+        def fit(batches: Iterator[pa.RecordBatch], r: int = r, given=given) -> Iterator[pa.RecordBatch]:
+            vocabulary, weights, squares = given.value
+            lexicon = _lexicon(ranks)
+            ids, lengths, trained = [], [], 0
+
+            def step() -> None:
+                nonlocal weights, squares, trained
+                each = np.concatenate(lengths)
+                weights, squares = lm.train(weights, squares, vocabulary, np.concatenate(ids), each, batch=STEPS[min(r, len(STEPS) - 1)], seed=r)
+                trained += int(each.sum())
+                ids.clear()
+                lengths.clear()
+
+            for batch in batches:
+                if len(lexicon) > HELD:
+                    lexicon.forget()
+                for _, at, n_tokens in lexicon.read(batch.column(0).to_pylist()):
+                    flat, pieces = lexicon.subwords(at)
+                    ids.append(flat)
+                    lengths.append(np.add.reduceat(pieces, np.cumsum(n_tokens) - n_tokens))
+                    if sum(map(len, ids)) >= SEGMENT:
+                        step()
+            if ids:
+                step()
+            if trained:
+                flat = np.concatenate([_flat(weights), _flat(squares)])
+                at = range(0, len(flat), PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([flat[i : i + PIECE].tobytes() for i in at], pa.binary()), pa.array(np.full(len(at), trained))], ["at", "w", "n"])
+
+        place = F.pmod(F.col("deal"), F.lit(slots))
+        replica = F.shiftrightunsigned("deal", 32)
+        mine = dealt.where((place >= lo) & (place < hi)).repartition(replicas, replica).sortWithinPartitions("deal")
+        flat = _mean(written(mine.mapInArrow(fit, "at int, w binary, n long"), "replicas"))
+        if len(flat):
+            weights, squares = (_shaped(x, weights) for x in np.split(flat, 2))
+    return weights
+
+
+SCORED = (
+    "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
+    "spans array<struct<hash: long, own: int, log: double>>, tail array<struct<span: int, hash: long, log: double>>"
+)
 
 
 def score(docs: DataFrame, ranks: str, vocabulary: lm.Vocabulary, weights: lm.Weights, head: pd.DataFrame, n_texts: int, scale: float) -> DataFrame:
-    """SCORED rows: head words and the end are in base and n_known, the others in tail_*."""
+    """SCORED rows. Head words and the end are summed in base, n_known and their span's log; the others are in tail, by the model alone."""
     head = head.sort_values("id")
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights, head["id"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lists(n: np.ndarray, **columns: np.ndarray) -> pa.Array:
+        offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(map(pa.array, columns.values())), list(columns)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights, head_id, head_n = shared.value
-        encode, end = _tokenizer(ranks)
-        ready = lm.prepared(weights)
-        head_log = np.log10((head_n + SMOOTH) / scale)
-        lexicon = _Lexicon(encode, head_id, head_log)
-
-        def done(rows: pd.DataFrame, texts: list[list[bytes]]) -> pd.DataFrame:
-            n_words = np.array([len(t) for t in texts])
-            at = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(texts)), np.int64, int(n_words.sum()))
-            doc = np.repeat(np.arange(len(texts)), n_words)
-            hashes, begin, ids, logs = lexicon.rows()
-            log = logs[at]
-            known = ~np.isnan(log)
-            base = np.bincount(doc[known], weights=log[known], minlength=len(texts)) + np.log10((n_texts + SMOOTH) / scale)
-            # the model
-            lengths = begin[at + 1] - begin[at]
-            flat = ids[np.repeat(begin[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
-            per = np.bincount(doc, weights=lengths, minlength=len(texts)).astype(np.int64)
-            flat = np.insert(flat, np.cumsum(per), end)
-            each = lm.log_probabilities(weights, vocabulary, flat, per + 1, ready).astype(np.float64)
-            model = np.add.reduceat(each, np.cumsum(per + 1) - (per + 1)) / np.log(10)
-            # the other words of each text
-            doc_t, hash_t = doc[~known], hashes[at[~known]]
-            order = np.lexsort((hash_t, doc_t))
-            doc_t, hash_t = doc_t[order], hash_t[order]
-            new = np.flatnonzero(np.r_[True, (doc_t[1:] != doc_t[:-1]) | (hash_t[1:] != hash_t[:-1])][: len(doc_t)])
-            times = np.diff(np.r_[new, len(doc_t)]).astype(np.int32)
-            edges = np.searchsorted(doc_t[new], np.arange(1, len(texts)))
-            return pd.DataFrame({
-                "key": rows["key"], "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": n_words + 1,
-                "n_known": np.bincount(doc[known], minlength=len(texts)) + (n_texts > 0), "base": base, "score": model,
-                "tail_hash": np.split(hash_t[new], edges), "tail_n": np.split(times, edges),
-            })
+        lexicon, ready = _lexicon(ranks), lm.prepared(weights)
+        end_log = math.log((n_texts + SMOOTH) / scale)
+        head_log = np.log((head_n + SMOOTH) / scale)
+        logs = np.zeros(0)
+
+        def share_of(hashes: np.ndarray) -> np.ndarray:
+            """Log of the corpus share of each row of the lexicon, NaN for words outside the head."""
+            nonlocal logs
+            new = hashes[len(logs) :]
+            if len(new):
+                found = np.full(len(new), np.nan)
+                if len(head_id):
+                    place = np.minimum(np.searchsorted(head_id, new), len(head_id) - 1)
+                    found = np.where(head_id[place] == new, head_log[place], np.nan)
+                if not len(logs):
+                    found[0] = end_log
+                logs = np.concatenate([logs, found])
+            return logs
+
+        def done(rows: pa.RecordBatch, at: np.ndarray, n_tokens: np.ndarray) -> pa.RecordBatch:
+            n = len(n_tokens)
+            doc = np.repeat(np.arange(n), n_tokens)
+            hashes = lexicon.hashes()
+            share = share_of(hashes)[at]
+            flat, pieces = lexicon.subwords(at)
+            first = np.cumsum(pieces) - pieces
+            each, begins = lm.log_probabilities(weights, vocabulary, flat, np.add.reduceat(pieces, np.cumsum(n_tokens) - n_tokens), ready)
+            # of a word: that its subwords follow and then one that begins a word, given that one begins here
+            begins = begins[first].astype(np.float64)
+            log = np.add.reduceat(each.astype(np.float64), first) - begins
+            log[at > 0] += np.r_[begins[1:], 0.0][at > 0]
+            known = ~np.isnan(share)
+            # an end that no text was learned from has no share
+            counted = known if n_texts else known & (at > 0)
+            mixed = log + math.log(1 - COUNTED)
+            mixed[counted] = np.logaddexp(mixed[counted], share[counted] + math.log(COUNTED))
+            of, passages = spans(hashes[at], n_tokens)
+            span_doc = doc[np.r_[0, np.flatnonzero(np.diff(of)) + 1]]
+            n_spans = np.bincount(span_doc, minlength=n)
+            own = np.zeros(len(passages), np.int32)
+            order = np.lexsort((passages, span_doc))
+            new = np.r_[True, (np.diff(passages[order]) != 0) | (np.diff(span_doc[order]) != 0)]
+            group = np.cumsum(new) - 1
+            own[order] = np.bincount(group)[group]
+            own[np.array(rows.column("held_out").to_pylist(), bool)[span_doc]] = 0
+            tail = ~known
+            return pa.RecordBatch.from_arrays([
+                rows.column("key"), rows.column("doc_id"), rows.column("held_out"), pa.array(n_tokens),
+                pa.array(np.bincount(doc[counted], minlength=n)), pa.array(np.bincount(doc[known], weights=share[known], minlength=n) / math.log(10)),
+                lists(n_spans, hash=passages, own=own, log=np.bincount(of[known], weights=mixed[known], minlength=len(passages))),
+                lists(np.bincount(doc[tail], minlength=n), span=(of - (np.cumsum(n_spans) - n_spans)[doc])[tail].astype(np.int32), hash=hashes[at[tail]], log=log[tail]),
+            ], ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "spans", "tail"])
 
         for batch in batches:
-            lo, texts, size = 0, [], 0
-            for i, text in enumerate(batch["text"]):
-                texts.append(words_of(text))
-                size += len(texts[-1])
-                if size >= WORDS_AT_ONCE or i == len(batch) - 1:
-                    yield done(batch.iloc[lo : i + 1].reset_index(drop=True), texts)
-                    lo, texts, size = i + 1, [], 0
-                    if len(lexicon) > HELD:
-                        lexicon = _Lexicon(encode, head_id, head_log)
+            if len(lexicon) > HELD:
+                lexicon.forget()
+                logs = np.zeros(0)
+            for which, at, n_tokens in lexicon.read(batch.column("text").to_pylist()):
+                yield done(batch.slice(which.start, which.stop - which.start), at, n_tokens)
+
+    return docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(cut, SCORED)
 
-    return docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text").mapInPandas(cut, SCORED)
+
+def _either(a: Column, b: Column) -> Column:
+    """Log of the sum of two numbers given by their logs."""
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
 def score_corpus(docs: DataFrame, held_out: Column, ranks: str | None = None, head_words: int = HEAD) -> DataFrame:
     """One row per row of docs; learns from the rows that are not held out."""
     ranks = ranks or default_ranks()
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    got = written(gather(docs.where(~F.col("held_out")), ranks), "lm-counts")
-    counts = written(got.where(F.col("kind") == WORD).groupBy("id").agg(F.sum("n").alias("n")), "lm-words")
+    learned = docs.where(~F.col("held_out"))
+    got = written(gather(learned, ranks), "lm-counts")
+    total_of = lambda kind: written(got.where(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n")), f"lm-kind-{kind}")
+    counts, passages = total_of(WORD), total_of(SPAN)
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_texts = got.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_texts, n_spans = (got.where(F.col("kind") == kind).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for kind in (TEXT, SPAN))
     total, kinds = n_words + n_texts, distinct + (n_texts > 0)
     scale = total + SMOOTH * (kinds + 1)
-    end = _tokenizer(ranks)[1]
+    _, end, spelled = _tokenizer(ranks)
     subwords = np.zeros(end + 1)
     for row in got.where(F.col("kind") == SUBWORD).groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many as the vocabulary has
         subwords[row["id"]] = row["n"]
     subwords[end] = n_texts
-    vocabulary = lm.Vocabulary.of(subwords)
-    weights = train(got.where(F.col("kind") == SPANS).select("n", "span"), vocabulary)
+    vocabulary = lm.Vocabulary.of(subwords, spelled, np.array([s.startswith(b" ") for s in spelled]))
+    weights = train(learned, ranks, vocabulary, int(subwords.sum()))
     head = counts.orderBy(F.desc("n"), "id").limit(head_words).toPandas()
     scored = written(score(docs, ranks, vocabulary, weights, head, n_texts, scale), "lm-scored")
-    tail = scored.select("key", F.explode(F.arrays_zip("tail_hash", "tail_n")).alias("t")).select("key", F.col("t.tail_hash").alias("id"), F.col("t.tail_n").alias("times"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    sums = (
-        tail.join(counts, "id", "left")
-        .groupBy("key")
-        .agg(F.sum(F.col("times") * F.log10((n + SMOOTH) / scale)).alias("tail_base"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("tail_known"))
+
+    n = F.coalesce("n", F.lit(0))
+    share, model = F.log((n + SMOOTH) / scale), F.col("log") + math.log(1 - COUNTED)
+    none = F.lit(None).cast("long")
+    words = (
+        scored.select("key", F.explode("tail").alias("t"))
+        .select("key", "t.*")
+        .join(counts, F.col("hash") == F.col("id"), "left")
+        .select("key", "span", F.when(n > 0, _either(model, share + math.log(COUNTED))).otherwise(model).alias("log"), (share / math.log(10)).alias("base"), (n > 0).cast("long").alias("known"), none.alias("seen"))
+    )
+    parts = (
+        scored.select("key", F.posexplode("spans").alias("span", "s"))
+        .select("key", "span", "s.*")
+        .join(passages, F.col("hash") == F.col("id"), "left")
+        .select("key", "span", "log", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (n - F.col("own")).alias("seen"))
     )
-    return scored.join(sums, "key", "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    made = F.col("log") + math.log(1 - REMEMBERED)
+    by_span = words.unionByName(parts).repartition("key").groupBy("key", "span").agg(F.sum("log").alias("log"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.max("seen").alias("seen"))
+    remembered = F.log(F.col("seen") * (REMEMBERED / max(n_spans, 1)))
+    sums = by_span.groupBy("key").agg(F.sum(F.when(F.col("seen") > 0, _either(made, remembered)).otherwise(made)).alias("log"), F.sum("base").alias("tail_base"), F.sum("known").alias("tail_known"))
+    return scored.select("key", "doc_id", "held_out", "n_tokens", "n_known", "base").join(sums, "key").select(
+        "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.col("tail_known")).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.col("tail_base")).alias("base_score"),
+        (F.col("log") / math.log(10)).alias("score"),
     )
