@@ -26,7 +26,7 @@ SIDE = BEGINNING * MEMBERS
 OWN = 96
 #: Subwords with an embedding of their own; the others share one.
 EMBEDDED = 4096
-DIM, KEY = 24, 8
+DIM, KEY = 16, 8
 WIDTH = 2 * KEY + 2 * DIM
 #: Blocks scored at once; blocks of one training piece.
 BATCH, PIECE = 1024, 32

@@ -14,9 +14,8 @@ Three passes over the corpus, none of which keeps more than one batch of texts:
 A word's probability mixes the model's with the corpus share of the word, and a
 span's mixes the product of its words' with the span's share of all spans. For the
 latter a document's own spans are left out, so only text that stands elsewhere too is
-remembered. Both are sums to one over what can follow, so the score is a log
-probability. The ``HEAD`` most frequent words' counts are broadcast (that many rows,
-whatever the corpus); a text's other words, and its spans, are joined by hash.
+remembered. The counts of the most frequent words, at most ``HEAD`` of them whatever
+the corpus, are broadcast; a text's other words, and its spans, are joined by hash.
 
 Tokens are runs of non-space bytes after lower-casing A-Z, then one end.
 
@@ -54,7 +53,7 @@ STEPS = (16, 32, 48)
 #: Subwords that a task holds to train on.
 SEGMENT = 2_000_000
 #: Weights are averaged in pieces of so many numbers, and of so many replicas at once.
-PIECE, FAN = 4096, 64
+PIECE, FAN = 4096, 16
 #: Distinct words held by one worker before they are flushed and forgotten.
 HELD = 600_000
 WORDS_AT_ONCE = 300_000
@@ -359,27 +358,38 @@ def _either(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
+def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The words above a count that leaves at most ``most`` of them."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, None
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("ids")).orderBy(F.desc("level")).collect():  # under 16 for each doubling
+        held += row["ids"]
+        if held > most:
+            break
+        least = row["level"]
+    return counts.where(F.lit(False) if least is None else level >= least).toPandas()
+
+
 def score_corpus(docs: DataFrame, held_out: Column, ranks: str | None = None, head_words: int = HEAD) -> DataFrame:
     """One row per row of docs; learns from the rows that are not held out."""
     ranks = ranks or default_ranks()
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     learned = docs.where(~F.col("held_out"))
-    got = written(gather(learned, ranks), "lm-counts")
-    total_of = lambda kind: written(got.where(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n")), f"lm-kind-{kind}")
-    counts, passages = total_of(WORD), total_of(SPAN)
-    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_texts, n_spans = (got.where(F.col("kind") == kind).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for kind in (TEXT, SPAN))
+    got = written(gather(learned, ranks).groupBy("kind", "id").agg(F.sum("n").alias("n")), "lm-counts")
+    of_kind = lambda kind: got.where(F.col("kind") == kind).select("id", "n")
+    counts, passages = of_kind(WORD), of_kind(SPAN)
+    sums = {r["kind"]: (r["n"], r["ids"]) for r in got.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect()}
+    (n_words, distinct), (n_texts, _), (n_spans, _) = (sums.get(kind, (0, 0)) for kind in (WORD, TEXT, SPAN))
     total, kinds = n_words + n_texts, distinct + (n_texts > 0)
     scale = total + SMOOTH * (kinds + 1)
     _, end, spelled = _tokenizer(ranks)
     subwords = np.zeros(end + 1)
-    for row in got.where(F.col("kind") == SUBWORD).groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many as the vocabulary has
+    for row in of_kind(SUBWORD).collect():  # as many as the vocabulary has
         subwords[row["id"]] = row["n"]
     subwords[end] = n_texts
     vocabulary = lm.Vocabulary.of(subwords, spelled, np.array([s.startswith(b" ") for s in spelled]))
     weights = train(learned, ranks, vocabulary, int(subwords.sum()))
-    head = counts.orderBy(F.desc("n"), "id").limit(head_words).toPandas()
-    scored = written(score(docs, ranks, vocabulary, weights, head, n_texts, scale), "lm-scored")
+    scored = written(score(docs, ranks, vocabulary, weights, frequent(counts, head_words), n_texts, scale), "lm-scored")
 
     n = F.coalesce("n", F.lit(0))
     share, model = F.log((n + SMOOTH) / scale), F.col("log") + math.log(1 - COUNTED)
