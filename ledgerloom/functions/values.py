@@ -6,6 +6,7 @@ All are built from Spark's own functions, so they stay inside compiled stages.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +16,11 @@ NULL_KEY = "NAN"
 BUCKETS = ["0-30", "31-60", "61-90", "91-120", "121+"]
 UNKNOWN = "Unknown"
 
-#: Tried in this order after ISO; day first, so month first only where no day-first date fits.
-DATE_FORMATS = ["yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "yyyyMMdd", "MMM d yyyy", "M/d/yyyy"]
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t|tember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
+WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+"
+ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
+CLOCK = r"[ T,]+(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*([AaPp][Mm])?$"
 
 
 def name(column: str) -> Column:
@@ -69,11 +73,46 @@ def amount(value: Column, kind: T.DataType, **how: bool) -> Column:
     return F.when(~F.isnan(value.cast("double")), value.cast("double")) if isinstance(kind, T.NumericType) else parse_amount(value.cast("string"), **how)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _year_month_day(parts: Column) -> Column:
+    """``y-m-d`` from the parts of a date text: day first where ambiguous, month first where only that fits; null if neither."""
+    a, b, c = (F.get(parts, i) for i in range(3))
+    number = lambda x: x.rlike(r"^\d{1,2}$")
+    month = lambda x: F.when(x.rlike(MONTH), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(x, 1, 3))).cast("string"))
+    # a two-digit year lies less than fifty years ahead
+    soon = F.year(F.current_date()) + 50
+    short = lambda y: y.cast("int") + F.when(y.cast("int") + 2000 >= soon, 1900).otherwise(2000)
+    year = lambda y: F.when(y.rlike(r"^\d{4}$"), y).when(y.rlike(r"^\d{2}$"), short(y).cast("string"))
+    date = lambda y, m, d: F.concat_ws("-", y, m, d)
+    full = a.rlike(r"^\d{4}$")
+    three = (
+        F.when(full & number(b) & number(c), F.when(b.cast("int") <= 12, date(a, b, c)).otherwise(date(a, c, b)))
+        .when(full & b.rlike(MONTH), date(a, month(b), c))
+        .when(a.rlike(MONTH) & number(b), date(year(c), month(a), b))
+        .when(number(a) & b.rlike(MONTH), date(year(c), month(b), a))
+        .when(number(a) & number(b), F.when(b.cast("int") <= 12, date(year(c), b, a)).otherwise(date(year(c), a, b)))
+    )
+    one = F.when(a.rlike(r"^\d{8}$"), date(F.substring(a, 1, 4), F.substring(a, 5, 2), F.substring(a, 7, 2))).when(full, date(a, F.lit("1"), F.lit("1")))
+    return F.when(F.size(parts) == 3, three).when(F.size(parts) == 1, one)
+
+
 def parse_date(text: Column) -> Column:
-    """Timestamp of a date text in mixed formats, day first where ambiguous; null if none fits."""
+    """Timestamp of a date text in mixed formats, with or without a time, day first where ambiguous; null if none fits."""
     t = strip(text)
-    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), t.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS])
+    # the common orders in compiled code; what they leave goes through the parts
+    iso = F.regexp_replace(t, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)", "$3-$2-$1")
+    iso = F.when(iso.rlike(ISO), iso.try_cast("timestamp"))
+    day = F.regexp_replace(F.regexp_replace(t, CLOCK, ""), WEEKDAY, "")
+    ymd = _let(F.split(day, r"[\s.,/-]+"), _year_month_day)
+    hour, rest, half = (F.regexp_extract(t, CLOCK, i) for i in (1, 2, 3))
+    at = hour.cast("int") % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0)
+    clock = F.when(hour == "", "").when(half == "", F.concat(F.lit(" "), hour, rest)).otherwise(F.concat(F.lit(" "), at.cast("string"), rest))
+    return F.coalesce(iso, F.concat(ymd, clock).try_cast("timestamp"))
 
 
 def age_days(when: Column, as_of: dt.datetime | Column) -> Column:

@@ -36,13 +36,14 @@ def entries(spec: JobSpec, base: DataFrame, refs: Refs, null_key: str | None = N
 
 
 def sources_with_amounts(spec: JobSpec, refs: Refs) -> list[str]:
-    """References with any readable amount; only they get a column. Each look stops at the first one found."""
-    found = []
+    """References with any readable amount; only they get a column. One job, in which each look stops at the first one found."""
+    looks = []
     for ref, df in refs:
         subset, column = strict_subset(df, ref)
-        if column and not subset.where(amount(name(column), subset.schema[column].dataType).isNotNull()).isEmpty():
-            found.append(ref.name)
-    return found
+        if column:
+            looks.append(subset.where(amount(name(column), subset.schema[column].dataType).isNotNull()).limit(1).select(F.lit(ref.name).alias("source")))
+    found = {r["source"] for r in reduce(DataFrame.unionByName, looks).collect()} if looks else set()
+    return [ref.name for ref, _ in refs if ref.name in found]
 
 
 def sums(spec: JobSpec, long: DataFrame, sources: Sequence[str]) -> DataFrame:

@@ -1,12 +1,21 @@
 """Fuzzy best-match join of two columns by edit distance.
 
 Distinct values of both sides are compared after a light normalisation; the best
-score wins and the smallest reference value among equals. Candidates come from
-equi-joins, never from a product of both sides: within ``d`` edits, two texts
-share a text made by deleting up to ``d`` signs from each. Rounds go from d = 0
-upwards. A match of d edits scores higher than any of more edits if the text has
-over d * d + d signs, so such values are done; the others go on. Beyond
-``max_edits``, values left go through shared q-grams.
+score wins and the smallest reference value among equals. Texts are also compared
+with their words sorted, which counts a little less, so a change of word order
+costs little. Candidates come from equi-joins, never from a product of both sides.
+
+Rounds look for more and more edits, and go on only for values whose best score so
+far a text of more edits could still beat.
+
+* Up to two edits, texts of up to ``SHORT`` signs: two texts within ``d`` edits share a
+  text made by deleting up to d signs from each.
+* More edits, or longer texts: two texts within d edits share all but 2d of the bigrams
+  of the longer one (with a mark at either end, L signs have L + 1). Of each text's
+  bigrams, rarest first, the first 2d + 1 therefore hold a shared one: the join is on
+  these alone, so common bigrams are left out as long as d is small. The last round
+  takes as many edits as the cutoff allows. Every pair of score over 50 shares a bigram,
+  so for such cutoffs the result is that of comparing all pairs.
 """
 
 from __future__ import annotations
@@ -18,11 +27,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import fuzzy_text, name
+from ..sources.tables import written
 
 NO_MATCH = "No Match"
 CUTOFF = 60.0
-MAX_EDITS = 2
-Q = 3
+#: What a score of texts with sorted words counts.
+REORDERED = 0.95
+#: Edits found by deletions, and signs of the longest texts for which they are: their number grows with the square.
+NEAR, SHORT = 2, 40
+Q = 2
 
 
 def score(a: Column, b: Column) -> Column:
@@ -31,6 +44,20 @@ def score(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(F.bround((1 - F.levenshtein(a, b) / longest) * 100, 4))
 
 
+def _grams(text: Column) -> Column:
+    """Bigrams of a text with a mark at either end, each with its number among equal ones before it."""
+    marked = F.concat(F.lit("\x02"), text, F.lit("\x03"))
+    plain = F.transform(F.sequence(F.lit(1), F.length(marked) - Q + 1), lambda i: F.substring(marked, i, F.lit(Q)))
+    numbered = F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, 1, i), lambda x: x == g)).cast("string")))
+    return numbered
+
+
+def _rare_first(texts: DataFrame, text: str, frequency: DataFrame) -> DataFrame:
+    """texts with the array ``grams``, rarest first."""
+    each = texts.select(text, F.explode(_grams(F.col(text))).alias("gram")).join(frequency, "gram", "left")
+    return each.groupBy(text).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), lambda x: x["gram"]).alias("grams"))
+
+
 def _without_one(texts: Column) -> Column:
     """All texts made by deleting one sign from any of an array's."""
     cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
@@ -44,32 +71,62 @@ def _keys(text: Column, edits: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*rings)))
 
 
-def _grams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - Q + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(Q))))
-
-
-def _best(pairs: DataFrame, cutoff: float) -> DataFrame:
-    scored = pairs.withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
-    first = W.partitionBy("value").orderBy(F.desc("score"), "ref_value")
-    return scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") == 1).select("value", "ref_value", "score")
+def _search(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b, score): for each text of left (a) the best ones of right (b), ties included."""
+    allowed = 1 - cutoff / 100
+    found: list[DataFrame] = []
 
+    def settle(todo: DataFrame, met: DataFrame, d: int, longest: int | None = None) -> DataFrame:
+        """Adds the best of the pairs met; returns the texts that more edits could still serve better."""
+        scored = met.where(F.levenshtein("a", "b") <= d).withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
+        found.append(written(scored.withColumn("rank", F.rank().over(W.partitionBy("a").orderBy(F.desc("score")))).where("rank = 1").drop("rank"), "fuzzy-found"))
+        # a text of more edits scores less than this
+        open_to = F.bround((1 - (d + 1) / (F.length("a") + d + 1)) * 100, 4)
+        done = found[-1].where((F.col("score") > open_to) & (F.length("a") <= longest if longest else F.lit(True))).select("a").distinct()
+        return written(todo.join(done, "a", "left_anti"), "fuzzy-todo")
 
-def best_matches(base: DataFrame, on: str, ref: DataFrame, ref_on: str, cutoff: float = CUTOFF, max_edits: int = MAX_EDITS, rest: bool = True) -> DataFrame:
+    todo = left
+    for d in range(1, NEAR + 1):
+        keyed = lambda df, x: df.where(F.length(x) <= SHORT).select(x, F.explode(_keys(F.col(x), d)).alias("key"))  # noqa: B023, E731
+        # a longer text may lie as near to one that is left out here
+        todo = settle(todo, keyed(todo, "a").join(keyed(right, "b"), "key").select("a", "b").distinct(), d, SHORT - d)
+        if todo.isEmpty():
+            break
+    else:
+        longest = todo.select(F.length("a").alias("n")).union(right.select(F.length("b").alias("n"))).agg(F.max("n")).first()[0] or 0
+        frequency = written(right.select(F.explode(_grams(F.col("b"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "fuzzy-grams")
+        a, b = (written(_rare_first(df, x, frequency), "fuzzy-texts") for df, x in ((todo, "a"), (right, "b")))
+        rounds = [NEAR]
+        while rounds[-1] < allowed * longest:
+            rounds.append(2 * rounds[-1] + 1)
+        todo = a
+        for d in rounds:
+            # no more than the cutoff allows: at 60, a text of L signs shares 0.2 L + 1 bigrams of L + 1
+            few = lambda x: F.least(F.lit(2 * d + 1), F.ceil(F.length(x) * 2 * allowed).cast("int") + 1)  # noqa: B023, E731
+            keyed = lambda df, x: df.where(F.length(x) > (SHORT - NEAR if d == NEAR else -1)).select(x, F.explode(F.slice("grams", F.lit(1), few(x))).alias("gram"))  # noqa: B023, E731
+            met = keyed(todo, "a").join(keyed(b, "b"), "gram").where(F.abs(F.length("a") - F.length("b")) <= d).select("a", "b").distinct()
+            todo = settle(todo, met, d)
+            if todo.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found)
+
+
+def best_matches(base: DataFrame, on: str, ref: DataFrame, ref_on: str, cutoff: float = CUTOFF, reordered: bool = True) -> DataFrame:
     """(value, ref_value, score): the best reference value of each base value that has one."""
     left = base.select(name(on).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct().withColumn("a", fuzzy_text(F.col("value")))
     right = ref.select(name(ref_on).cast("string").alias("ref_value")).where(F.col("ref_value").isNotNull()).distinct().withColumn("b", fuzzy_text(F.col("ref_value")))
-    found: list[DataFrame] = []
-    todo = left
-    rounds = [(d, lambda t, d=d: _keys(t, d)) for d in range(max_edits + 1)] + ([(None, _grams)] if rest else [])
-    for d, keys in rounds:
-        a = todo.select("value", "a", F.explode(keys(F.col("a"))).alias("k"))
-        b = right.select("ref_value", "b", F.explode(keys(F.col("b"))).alias("k"))
-        pairs = a.join(b, "k").select("value", "a", "ref_value", "b").distinct()
-        found.append(_best(pairs if d is None else pairs.where(F.levenshtein("a", "b") <= d), cutoff).persist())
-        done = found[-1].join(left, "value").where(F.length("a") > (d or 0) * ((d or 0) + 1)).select("value")
-        todo = todo.join(done, "value", "left_anti")
+    # of reference values that are one text the smallest stands for all
+    smallest = lambda df: df.groupBy("b").agg(F.min("ref_value").alias("ref_value"))
+    found = _search(left.select("a").distinct(), right.select("b").distinct(), cutoff)
+    pairs = [left.join(found, "a").join(smallest(right), "b").select("value", "ref_value", "score")]
+    if reordered:
+        in_order = lambda t: F.array_join(F.sort_array(F.split(t, r"\s+")), " ")
+        settled = found.where(F.col("score") > 100 * REORDERED).select("a").distinct()
+        left, right = left.join(settled, "a", "left_anti").withColumn("a", in_order(F.col("a"))), right.withColumn("b", in_order(F.col("b")))
+        found = _search(left.select("a").distinct(), right.select("b").distinct(), cutoff / REORDERED)
+        pairs.append(left.join(found, "a").join(smallest(right), "b").select("value", "ref_value", F.bround(F.col("score") * REORDERED, 4).alias("score")))
     first = F.struct(-F.col("score"), F.col("ref_value"))
-    return reduce(DataFrame.unionByName, found).groupBy("value").agg(F.min_by("ref_value", first).alias("ref_value"), F.max("score").alias("score"))
+    return reduce(DataFrame.unionByName, pairs).groupBy("value").agg(F.min_by("ref_value", first).alias("ref_value"), F.max("score").alias("score"))
 
 
 def fuzzy_join(base: DataFrame, on: str, ref: DataFrame, ref_on: str, source: str, **how) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.values import BUCKETS, UNKNOWN, amount, money, name, round2
 from ..sources.spec import JobSpec, fallback_amount
 
-# Points of each status in the risk score; others get OTHER_POINTS.
+# Points of each status in the risk score; others get OTHER_POINTS. Levels by score.
 STATUS_POINTS = {"MATCH": 0, "PARTIAL (Some Refs Missing)": 10, "MISSING IN REF": 20, "MISSING IN SOA": 25, "MISMATCH (Partial)": 20, "Underpaid (Short)": 15, "Overpaid (Excess)": 15, "NO DATA": 25}
 OTHER_POINTS = 15
 LEVELS = [(25, "🟢 Low"), (50, "🟡 Medium"), (75, "🟠 High"), (100, "🔴 Critical")]
@@ -34,31 +34,42 @@ def _percent(x: Column) -> Column:
     return F.concat(F.format_string("%.1f", x), F.lit("%"))
 
 
-def executive_summary(spec: JobSpec, view: DataFrame, report: DataFrame) -> DataFrame:
-    """One row. ``match_count`` is detail rows less report rows, as the figures are defined; ``key_match_rate`` compares keys with keys."""
+def _total(spec: JobSpec, view: DataFrame) -> list[Column]:
+    """Figures of the view that the summary needs."""
     column = _base_amount(spec, view)
     value = F.coalesce(_cell(view, column), F.lit(0.0)) if column else F.lit(0.0)
-    rows = view.agg(F.count("*").alias("total_records"), F.coalesce(F.sum(value), F.lit(0.0)).alias("base_total"))
+    return [F.count("*").alias("total_records"), F.coalesce(F.sum(value), F.lit(0.0)).alias("base_total")]
+
+
+def _found() -> list[Column]:
+    """Figures of the report that the summary needs."""
     gap = F.abs("Delta")
-    found = report.agg(
+    return [
         F.count("*").alias("discrepancy_count"),
         F.coalesce(round2(F.sum(gap)), F.lit(0.0)).alias("total_discrepancy_value"),
         F.coalesce(round2(F.avg(gap)), F.lit(0.0)).alias("avg_discrepancy"),
         F.coalesce(round2(F.max(gap)), F.lit(0.0)).alias("max_discrepancy"),
-    )
-    both = rows.crossJoin(F.broadcast(found)).withColumn("match_count", F.col("total_records") - F.col("discrepancy_count"))
+    ]
+
+
+def _judged(spec: JobSpec, figures: DataFrame) -> DataFrame:
+    """Adds match_count, match_rate, health_score and ref_count to one row with the figures of ``_total`` and ``_found``."""
+    both = figures.withColumn("match_count", F.col("total_records") - F.col("discrepancy_count"))
     both = both.withColumn("match_rate", F.when(F.col("total_records") > 0, F.bround(F.col("match_count") / F.col("total_records") * 100, 1)).otherwise(0.0))
     total = F.col("total_discrepancy_value")
     penalty = F.when((total > 0) & (F.col("base_total") != 0), F.least(F.lit(20.0), F.when(F.col("base_total") != 0, total / F.abs("base_total")) * 100))
     health = F.when(penalty.isNotNull(), F.greatest(F.lit(0.0), F.col("match_rate") - penalty)).otherwise(F.col("match_rate"))
-    return both.select(
-        "total_records", "match_count", "discrepancy_count", "match_rate", "total_discrepancy_value", "avg_discrepancy", "max_discrepancy",
-        F.bround(health, 1).alias("health_score"), F.lit(len(spec.refs)).cast("long").alias("ref_count"),
-    )
+    return both.withColumn("health_score", F.bround(health, 1)).withColumn("ref_count", F.lit(len(spec.refs)).cast("long"))
 
 
-def data_summary(spec: JobSpec, view: DataFrame, report: DataFrame) -> DataFrame:
-    """Rows, value and rate of each source, in one pass over the view."""
+def executive_summary(spec: JobSpec, view: DataFrame, report: DataFrame) -> DataFrame:
+    """One row. ``match_count`` is detail rows less report rows, as the figures are defined."""
+    both = _judged(spec, view.agg(*_total(spec, view)).crossJoin(F.broadcast(report.agg(*_found()))))
+    return both.select("total_records", "match_count", "discrepancy_count", "match_rate", "total_discrepancy_value", "avg_discrepancy", "max_discrepancy", "health_score", "ref_count")
+
+
+def _sources(spec: JobSpec, view: DataFrame) -> tuple[list[str], list[Column]]:
+    """Sources, and the columns n<i>, v<i> with the rows and value of each, in one pass over the view."""
     column = _base_amount(spec, view)
     zero = F.lit(0.0)
     parts = [("SOA (Master)", F.count("*"), F.sum(F.coalesce(_cell(view, column), zero)) if column else zero)]
@@ -69,10 +80,19 @@ def data_summary(spec: JobSpec, view: DataFrame, report: DataFrame) -> DataFrame
             parts.append((ref.name, F.count(name(own)), F.sum(F.coalesce(_cell(view, own), zero))))
         else:
             parts.append((ref.name, F.count(F.when(name(count) > 0, 1)) if count in view.columns else F.lit(0).cast("long"), zero))
-    figures = view.agg(*[x.alias(f"{k}{i}") for i, (_, n, v) in enumerate(parts) for k, x in (("n", n), ("v", F.coalesce(v, zero)))])
-    rate = executive_summary(spec, view, report).select(_percent(F.col("match_rate")).alias("rate"))
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("Source"), F.col(f"n{i}").alias("Total Invoices"), round2(F.col(f"v{i}")).alias("Total Value")) for i, (s, _, _) in enumerate(parts)])
-    return figures.crossJoin(F.broadcast(rate)).select(F.explode(rows).alias("r"), "rate").select("r.*", F.when(F.col("r.ord") == 0, "100.0%").otherwise(F.col("rate")).alias("Match Rate vs SOA"))
+    return [s for s, _, _ in parts], [x.alias(f"{k}{i}") for i, (_, n, v) in enumerate(parts) for k, x in (("n", n), ("v", F.coalesce(v, zero)))]
+
+
+def _source_rows(sources: list[str]) -> Column:
+    rate = lambda i: F.lit("100.0%") if i == 0 else _percent(F.col("match_rate"))
+    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("Source"), F.col(f"n{i}").alias("Total Invoices"), round2(F.col(f"v{i}")).alias("Total Value"), rate(i).alias("Match Rate vs SOA")) for i, s in enumerate(sources)])
+
+
+def data_summary(spec: JobSpec, view: DataFrame, report: DataFrame) -> DataFrame:
+    """Rows, value and rate of each source, in one pass over the view."""
+    sources, figures = _sources(spec, view)
+    both = _judged(spec, view.agg(*_total(spec, view), *figures).crossJoin(F.broadcast(report.agg(*_found()))))
+    return both.select(F.explode(_source_rows(sources)).alias("r")).select("r.*")
 
 
 def status_breakdown(view: DataFrame, report: DataFrame) -> DataFrame:
@@ -104,21 +124,44 @@ def risk_scores(spec: JobSpec, report: DataFrame, age: DataFrame | None = None)
     return scored.withColumn("Risk Score", score).select(name(key), "Risk Score", level.alias("Risk Level"), "Status", "Delta")
 
 
+def by_risk(scores: DataFrame) -> DataFrame:
+    """For showing: the highest risk first, then by key."""
+    return scores.orderBy(F.desc("Risk Score"), name(scores.columns[0]))
+
+
+def _spread(x: Column, approximate: bool) -> list[Column]:
+    quantile = (lambda p: F.percentile_approx(x, p, 10_000)) if approximate else (lambda p: F.percentile(x, F.lit(p)))
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), quantile(0.5).alias("median"), F.stddev_samp(x).alias("std_dev"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3")]
+
+
+def _bounded(figures: DataFrame) -> DataFrame:
+    s = figures.withColumn("iqr", F.col("q3") - F.col("q1"))
+    return s.withColumn("lower_bound", F.col("q1") - 1.5 * F.col("iqr")).withColumn("upper_bound", F.col("q3") + 1.5 * F.col("iqr"))
+
+
 def iqr_stats(report: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """One row of distribution figures; none if there are fewer than four amounts.
 
-    ``approximate`` uses a bounded-size sketch for the quartiles instead of exact percentiles.
+    ``approximate`` uses a bounded-size sketch for the quartiles instead of exact percentiles,
+    for which Spark counts all distinct amounts in one task.
     """
-    x = name(column)
-    quantile = (lambda p: F.percentile_approx(x, p, 10_000)) if approximate else (lambda p: F.percentile(x, F.lit(p)))
-    s = report.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), quantile(0.5).alias("median"), F.stddev_samp(x).alias("std_dev"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    s = s.where(F.col("n") >= 4).withColumn("iqr", F.col("q3") - F.col("q1"))
-    return s.withColumn("lower_bound", F.col("q1") - 1.5 * F.col("iqr")).withColumn("upper_bound", F.col("q3") + 1.5 * F.col("iqr"))
+    return _bounded(report.agg(*_spread(name(column), approximate)).where(F.col("n") >= 4))
 
 
-def iqr_outliers(report: DataFrame, column: str, stats: DataFrame | None = None) -> DataFrame:
+def amounts_of(spec: JobSpec, view: DataFrame, report: DataFrame) -> tuple[DataFrame, str | None]:
+    """The table and column whose amounts are looked at: the report's, or the view's where no discrepancy is left."""
+    if not report.isEmpty():
+        return report, spec.base_label if spec.base_label in report.columns else fallback_amount(report.columns)
+    column = _base_amount(spec, view)
+    if column is None:
+        return view, None
+    key = spec.base.match if spec.base.match in view.columns else view.columns[0]
+    return view.select(name(key), _cell(view, column).alias(column)), column
+
+
+def iqr_outliers(report: DataFrame, column: str, stats: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """Amounts outside the bounds, with their side and z-score."""
-    stats = iqr_stats(report, column) if stats is None else stats
+    stats = iqr_stats(report, column, approximate) if stats is None else stats
     x = name(column)
     out = report.crossJoin(F.broadcast(stats)).where((x < F.col("lower_bound")) | (x > F.col("upper_bound")))
     side = F.when(x > F.col("upper_bound"), "⬆ Above Upper").otherwise("⬇ Below Lower")
@@ -126,12 +169,20 @@ def iqr_outliers(report: DataFrame, column: str, stats: DataFrame | None = None)
     return out.select(name(report.columns[0]), x, side.alias("Deviation"), z.alias("Z-Score"))
 
 
-def iqr_summary(report: DataFrame, column: str) -> DataFrame:
+def by_size(outliers: DataFrame) -> DataFrame:
+    """For showing: the largest amount first, whatever its sign, then by key."""
+    key, column = outliers.columns[:2]
+    return outliers.orderBy(F.desc(F.abs(name(column))), name(key))
+
+
+_ROUNDED = ("mean", "median", "std_dev", "q1", "q3", "iqr", "lower_bound", "upper_bound")
+
+
+def iqr_summary(report: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """The figures rounded, with number and share of outliers."""
-    stats = iqr_stats(report, column)
+    stats = iqr_stats(report, column, approximate)
     count = iqr_outliers(report, column, stats).agg(F.count("*").alias("outlier_count"))
-    rounded = [round2(F.col(c)).alias(c) for c in ("mean", "median", "std_dev", "q1", "q3", "iqr", "lower_bound", "upper_bound")]
-    return stats.crossJoin(F.broadcast(count)).select(*rounded, "outlier_count", F.bround(F.col("outlier_count") / F.col("n") * 100, 1).alias("outlier_pct"))
+    return stats.crossJoin(F.broadcast(count)).select(*[round2(F.col(c)).alias(c) for c in _ROUNDED], "outlier_count", F.bround(F.col("outlier_count") / F.col("n") * 100, 1).alias("outlier_pct"))
 
 
 def aging(spec: JobSpec, view: DataFrame) -> DataFrame:
@@ -191,13 +242,14 @@ def top_discrepancies(spec: JobSpec, report: DataFrame, n: int = 10) -> DataFram
     return report.where(F.col("Status") != "MATCH").orderBy(F.desc(F.abs("Delta")), name(key)).limit(n).select(*[name(c) for c in columns])
 
 
-def patterns(spec: JobSpec, report: DataFrame) -> DataFrame:
-    """Systematic differences of a source: all counters in one pass, then one row per pattern that holds."""
+# Names and wording of the patterns, and the shares from which they hold.
+def _patterns(spec: JobSpec, report: DataFrame) -> tuple[list[Column], Column | None]:
+    """Counters of all sources in one pass over the report, and the array of patterns that hold by them."""
     base = name(spec.base_label)
     sources = [r.name for r in spec.refs if f"{r.name} Amount" in report.columns]
     if not sources:
-        return report.sparkSession.createDataFrame([], "type string, source string, description string, severity string, affected long")
-    figures = [F.count("*").alias("n")]
+        return [], None
+    figures = [F.count("*").alias("rows")]
     for i, s in enumerate(sources):
         ref = name(f"{s} Amount")
         d = base - ref
@@ -208,7 +260,7 @@ def patterns(spec: JobSpec, report: DataFrame) -> DataFrame:
         ]
     found = []
     for i, s in enumerate(sources):
-        n, both, up, down, gap, shares, spread, share, even = F.col("n"), *[F.col(f"{k}{i}") for k in ("both", "up", "down", "gap", "shares", "spread", "share", "round")]
+        n, both, up, down, gap, shares, spread, share, even = F.col("rows"), *[F.col(f"{k}{i}") for k in ("both", "up", "down", "gap", "shares", "spread", "share", "round")]
         enough, lost = both >= 3, n - both
         under = enough & (up > 0.8 * both)
         over = enough & ~under & (down > 0.8 * both)
@@ -221,37 +273,61 @@ def patterns(spec: JobSpec, report: DataFrame) -> DataFrame:
             row(enough & (lost > 0.3 * n) & (n > 5), "Data Gap", [F.lit(" is missing "), lost.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" invoices ("), F.bround(lost / F.when(n > 0, n) * 100, 0).cast("int").cast("string"), F.lit("%)")], F.when(lost > 0.5 * n, "High").otherwise("Medium"), lost),
             row(enough & (both > 5) & (even > 0.5 * both), "Estimated Amounts", [F.lit(" has "), even.cast("string"), F.lit(" amounts that are round numbers — may be estimates rather than actuals")], F.lit("Low"), even),
         ]
-    return report.agg(*figures).select(F.explode(F.array_compact(F.array(*found))).alias("p")).select("p.*")
+    return figures, F.array_compact(F.array(*found))
 
 
-def header_stats(view: DataFrame, report: DataFrame) -> DataFrame:
-    return view.agg(F.count("*").alias("total_rows")).crossJoin(F.broadcast(report.agg(F.count("*").alias("issues")))).select("total_rows", (F.col("total_rows") - F.col("issues")).alias("matches"), "issues")
+def patterns(spec: JobSpec, report: DataFrame) -> DataFrame:
+    """Systematic differences of a source: one row per pattern that holds."""
+    figures, found = _patterns(spec, report)
+    if found is None:
+        return report.sparkSession.createDataFrame([], "type string, source string, description string, severity string, affected long")
+    return report.agg(*figures).select(F.explode(found).alias("p")).select("p.*")
 
 
-def metric_table(spec: JobSpec, view: DataFrame, report: DataFrame, generated_at: str = "", with_patterns: bool = True) -> DataFrame:
-    """(ord, Metric, Value): all insights as one long table of texts; ord gives the order of rows."""
+def header_stats(view: DataFrame, report: DataFrame, summary: bool = True) -> DataFrame:
+    """Rows, matches and issues. Without a ``summary`` matches are the report's rows that are marked so, as in a report with all keys."""
+    rows = view.agg(F.count("*").alias("total_rows"))
+    found = report.agg(F.count("*").alias("n"), F.count(F.when(F.col("Status") == "MATCH", 1)).alias("good"))
+    matches = F.col("total_rows") - F.col("n") if summary else F.col("good")
+    issues = F.col("n") if summary else F.col("n") - F.col("good")
+    return rows.crossJoin(F.broadcast(found)).select("total_rows", matches.alias("matches"), issues.alias("issues"))
 
-    def lines(df: DataFrame, first: int, cells: Sequence[tuple[Column | str, Column]]) -> DataFrame:
-        rows = F.array(*[F.struct(F.lit(first + i).alias("ord"), (m if isinstance(m, Column) else F.lit(m)).alias("Metric"), v.cast("string").alias("Value")) for i, (m, v) in enumerate(cells)])
-        return df.select(F.explode(rows).alias("r")).select("r.*")
 
+def metric_table(spec: JobSpec, view: DataFrame, report: DataFrame, generated_at: str = "", with_patterns: bool = True, approximate: bool = False) -> DataFrame:
+    """(ord, Metric, Value): all insights as one long table of texts; ord gives the order of rows.
+
+    One pass over the view and one over the report give all figures but the number of
+    outliers, for which the report is read again.
+    """
     c = F.col
-    summary = executive_summary(spec, view, report)
-    parts = [
-        lines(summary, 0, [
-            ("Total Records Processed", c("total_records")), ("Match Rate", _percent(c("match_rate"))), ("Matched Invoices", c("match_count")), ("Discrepancies Found", c("discrepancy_count")),
-            ("Total Discrepancy Value", money(c("total_discrepancy_value"))), ("Average Discrepancy", money(c("avg_discrepancy"))), ("Maximum Discrepancy", money(c("max_discrepancy"))),
-            ("Reconciliation Health Score", F.concat(F.format_string("%.1f", c("health_score")), F.lit("/100"))), ("Reference Sources", c("ref_count")), ("Generated At", F.lit(generated_at)),
-        ])
+    sources, of_sources = _sources(spec, view)
+    of_patterns, found = _patterns(spec, report) if with_patterns else ([], None)
+    statuses = [s for s in STATUS_POINTS if s != "MATCH"]
+    of_status = [F.count(F.when(c("Status") == s, 1)).alias(f"status{i}") for i, s in enumerate(statuses)]
+    amounts, column = amounts_of(spec, view, report)
+    figures = view.agg(*_total(spec, view), *of_sources).crossJoin(F.broadcast(report.agg(*_found(), *of_patterns, *of_status)))
+    if column:
+        stats = _bounded(amounts.agg(*_spread(name(column), approximate)))
+        outside = iqr_outliers(amounts, column, stats.where(c("n") >= 4)).agg(F.count("*").alias("outlier_count"))
+        figures = figures.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(outside))
+    else:
+        figures = figures.select("*", F.lit(0).alias("n"), F.lit(0).alias("outlier_count"), *[F.lit(None).cast("double").alias(x) for x in _ROUNDED])
+    line = lambda ord, metric, value: F.struct((ord if isinstance(ord, Column) else F.lit(ord)).cast("int").alias("ord"), (metric if isinstance(metric, Column) else F.lit(metric)).alias("Metric"), value.cast("string").alias("Value"))  # noqa: E731, A002
+    label = lambda r, what: F.concat(F.lit("["), r["Source"], F.lit(f"] {what}"))
+    summary = [
+        ("Total Records Processed", c("total_records")), ("Match Rate", _percent(c("match_rate"))), ("Matched Invoices", c("match_count")), ("Discrepancies Found", c("discrepancy_count")),
+        ("Total Discrepancy Value", money(c("total_discrepancy_value"))), ("Average Discrepancy", money(c("avg_discrepancy"))), ("Maximum Discrepancy", money(c("max_discrepancy"))),
+        ("Reconciliation Health Score", F.concat(F.format_string("%.1f", c("health_score")), F.lit("/100"))), ("Reference Sources", c("ref_count")), ("Generated At", F.lit(generated_at)),
     ]
-    source = data_summary(spec, view, report)
-    label = lambda what: F.concat(F.lit("["), c("Source"), F.lit(f"] {what}"))
-    parts.append(
-        lines(source, 0, [(label("Invoices"), c("Total Invoices")), (label("Value Sum"), money(c("Total Value"))), (label("Match Rate"), c("Match Rate vs SOA"))]).withColumn("ord", F.col("ord") + 100)
-    )
-    parts.append(lines(status_breakdown(view, report), 200, [(c("Status"), c("Count"))]))
-    if with_patterns:
-        parts.append(lines(patterns(spec, report), 300, [(F.concat(F.lit("["), c("severity"), F.lit("] "), c("type")), c("description"))]))
-    stats = iqr_summary(report, spec.base_label)
-    parts.append(lines(stats, 400, [("Mean Amount", money(c("mean"))), ("Median Amount", money(c("median"))), ("Std Deviation", money(c("std_dev"))), ("Outlier Count", c("outlier_count")), ("Outlier Percentage", _percent(c("outlier_pct")))]))
-    return reduce(DataFrame.unionByName, parts)
+    enough = c("n") >= 4
+    spread = [("Mean Amount", money(round2(c("mean")))), ("Median Amount", money(round2(c("median")))), ("Std Deviation", money(round2(c("std_dev")))), ("Outlier Count", c("outlier_count")), ("Outlier Percentage", _percent(F.bround(c("outlier_count") / F.when(enough, c("n")) * 100, 1)))]
+    parts = [
+        F.array(*[line(i, m, v) for i, (m, v) in enumerate(summary)]),
+        F.flatten(F.transform(_source_rows(sources), lambda r: F.array(line(100, label(r, "Invoices"), r["Total Invoices"]), line(101, label(r, "Value Sum"), money(r["Total Value"])), line(102, label(r, "Match Rate"), r["Match Rate vs SOA"])))),
+        F.array(line(200, "MATCH", c("match_count"))),
+        F.array_compact(F.array(*[F.when(c(f"status{i}") > 0, line(200, s, c(f"status{i}"))) for i, s in enumerate(statuses)])),
+        F.array_compact(F.array(*[F.when(enough, line(400 + i, m, v)) for i, (m, v) in enumerate(spread)])),
+    ]
+    if found is not None:
+        parts.append(F.transform(found, lambda p: line(300, F.concat(F.lit("["), p["severity"], F.lit("] "), p["type"]), p["description"])))
+    return _judged(spec, figures).select(F.explode(F.flatten(F.array(*parts))).alias("r")).select("r.*")

@@ -1,8 +1,9 @@
 """Detail view: the base table with every reference joined to it on cleaned keys.
 
-Per-key facts of a reference (row count, whether it matched) are window
-aggregates on its own side of the join, so the joined table is not grouped again.
-All joins of a job are on one key, so each table is shuffled once at most.
+Per-key facts of a reference (row count, whether it matched) are grouped on its own
+side, with partial sums, so a hot key costs one partial row per task; the joined
+table is not grouped again. All joins of a job are on one key, so each table is
+shuffled once at most.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import NULL_KEY, age_bucket, age_days, as_text, clean_key, date_text, is_date_column, name, parse_date
@@ -35,17 +35,20 @@ def aged(df: DataFrame, date: str | None, as_of: dt.datetime) -> DataFrame:
     return df.select(age_bucket(days).alias("Age Bucket"), days.alias("Age (Days)"), "*")
 
 
-def _side(spec: RefSpec, df: DataFrame, null_key: str | None) -> DataFrame:
-    """A reference ready to join: prefixed columns, rows per key, and whether the key counts as matched."""
+def _side(spec: RefSpec, df: DataFrame, null_key: str | None) -> tuple[DataFrame, DataFrame]:
+    """A reference ready to join: its rows with prefixed columns, and of each key the number of rows and whether it counts as matched."""
     subset, _ = strict_subset(df, spec)
-    own = W.partitionBy(KEY)
     columns = extracted(spec)
-    return keyed(subset, spec.match, null_key).select(
-        KEY,
-        *[name(c).alias(f"{spec.name}_{c}") for c in columns],
-        F.count("*").over(own).alias(f"__n_{spec.name}"),
-        F.max(name(columns[0]).isNotNull()).over(own).alias(f"__hit_{spec.name}"),
-    )
+    rows = keyed(subset, spec.match, null_key).select(KEY, *[name(c).alias(f"{spec.name}_{c}") for c in columns])
+    first = name(f"{spec.name}_{columns[0]}").isNotNull()
+    facts = rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias(f"__n_{spec.name}"), F.max(first).alias(f"__hit_{spec.name}"))
+    return rows, facts
+
+
+def _apart(spec: RefSpec, rows: DataFrame) -> DataFrame:
+    """Rows without a key, each a key of its own."""
+    first = name(f"{spec.name}_{extracted(spec)[0]}").isNotNull()
+    return rows.where(F.col(KEY).isNull()).withColumn(f"__n_{spec.name}", F.lit(1).cast("long")).withColumn(f"__hit_{spec.name}", first)
 
 
 def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_key: str | None = NULL_KEY, skipped: Sequence[str] = ()) -> DataFrame:
@@ -53,22 +56,29 @@ def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_
 
     Left: rows of the base. Full: first the distinct keys of all tables, then base
     and references joined to them, which gives the rows of chained full joins but
-    keeps one partitioning. ``skipped`` references stay in the summary texts only.
+    keeps one partitioning. With ``null_key`` None, rows without a key meet nothing and
+    each stays a row. ``skipped`` references stay in the summary texts only.
     """
     view = keyed(aged(base, spec.base.date, as_of), spec.base.match, null_key)
     shown = [c for c in view.columns if c != KEY]
-    sides = [(r, _side(r, df, null_key)) for r, df in refs]
+    sides = [(r, *_side(r, df, null_key)) for r, df in refs]
+    alone = []
     if spec.how == FULL:
         view = view.withColumn("__base", F.lit(True))
         keys = view.select(KEY)
-        for _, side in sides:
-            keys = keys.union(side.select(KEY))
-        view = keys.distinct().join(view, KEY, "left")
+        for _, _, facts in sides:
+            keys = keys.union(facts.select(KEY))
+        if null_key is None:
+            alone = [view.where(F.col(KEY).isNull()), *[_apart(ref, rows) for ref, rows, _ in sides]]
+        view = keys.where(F.col(KEY).isNotNull()).distinct().join(view, KEY, "left")
+    for _, rows, facts in sides:
+        view = view.join(facts, KEY, "left").join(rows, KEY, "left")
+    for rows in alone:
+        view = view.unionByName(rows, allowMissingColumns=True)
     known = F.coalesce(F.col("__base"), F.lit(False)) if spec.how == FULL else F.lit(True)
     columns = []
     hits, counts = {}, {}
-    for ref, side in sides:
-        view = view.join(side, KEY, "left")
+    for ref, _, _ in sides:
         n, hit = name(f"__n_{ref.name}"), name(f"__hit_{ref.name}")
         # a key that only a later reference brings has no count here
         known = known | n.isNotNull()

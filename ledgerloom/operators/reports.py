@@ -35,12 +35,16 @@ def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
 
 
 def write_reports(reports: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> list[str]:
-    """One dataset per report that has rows; returns their names."""
+    """One dataset per report; returns the names of those that have rows."""
     done = []
     for title, df in reports.items():
-        if not df.columns or df.isEmpty():
+        if not df.columns:
             continue
+        path = f"{folder}/{title}"
         writer = df.write.mode("overwrite")
-        (writer.option("header", True) if kind == "csv" else writer).format(kind).save(f"{folder}/{title}")
-        done.append(title)
+        (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+        # looked at after writing, so that no report is worked out twice
+        back = df.sparkSession.read.schema(df.schema).format(kind)
+        if not (back.option("header", True) if kind == "csv" else back).load(path).isEmpty():
+            done.append(title)
     return done

@@ -292,3 +292,40 @@ select "Invoice #", {_number_text('"SOA Amount"')} as "SOA Amount", {_number_tex
   cast("Ref_Count" as varchar) as "Ref_Count", {_number_text('"Delta"')} as "Delta", "Status", "Mismatched Fields" from top""",
     "header_stats": f"with {BOTH} select (select count(*) from detail) as total_rows, (select count(*) from detail) - (select count(*) from report) as matches, (select count(*) from report) as issues",
 }
+
+SQL |= {
+    "risk_order": SQL["risk_scores"],
+    "outlier_order": SQL["iqr_outliers"],
+    "iqr_all_match": """with iqr as (select count(o_totalprice) as n, avg(o_totalprice) as mean, quantile_cont(o_totalprice, 0.5) as median, stddev_samp(o_totalprice) as std_dev, quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3 from orders)
+select round_even(mean, 2) as mean, round_even(median, 2) as median, round_even(std_dev, 2) as std_dev, round_even(q1, 2) as q1, round_even(q3, 2) as q3,
+  round_even(q3 - q1, 2) as iqr, round_even(q1 - 1.5 * (q3 - q1), 2) as lower_bound, round_even(q3 + 1.5 * (q3 - q1), 2) as upper_bound, o.c as outlier_count, round_even(o.c / n * 100, 1) as outlier_pct
+from iqr, (select count(*) as c from orders, iqr where o_totalprice < q1 - 1.5 * (q3 - q1) or o_totalprice > q3 + 1.5 * (q3 - q1)) o""",
+    "report_sink": f"""with {BOTH}, {SUMMARY},
+counts as (select 'detailed_view' as report, count(*) as n_rows from detail union all select 'discrepancy_report', count(*) from report union all select 'risk_analysis', count(*) from report
+  union all select 'aging', count(distinct "Age Bucket") from detail union all select 'outliers', outlier_count from iqr_stats
+  union all select 'normalized_comparison', (select count(*) from ({SQL["schema_text"]})) union all select 'reconciliation_insights', (select count(*) from ({SQL["insights_table"]})))
+select * from counts where n_rows > 0""",
+    "csv_scan": """select cast(c_custkey as varchar) as "Key", case c_custkey % 4 when 0 then 'say "hi", then ' || c_name when 1 then 'two' || chr(10) || 'lines of ' || c_name when 2 then c_name || chr(92) end as "Note",
+  c_name as "Name", cast(c_acctbal as varchar) as "Balance" from customer""",
+    "csv_pruned": 'select cast(c_custkey as varchar) as "Key", cast(c_acctbal as varchar) as "Balance" from customer',
+    "date_spellings": "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as day from orders",
+    "detail_full_null_apart": f"""with {TABLES},
+b as (select case when "Invoice" not like '%77%' then {key('"Invoice"')} end as key from base),
+r1 as (select case when "Invoice No" not like '%77%' then {key('"Invoice No"')} end as key from bank),
+r2 as (select case when cast("Ref" as varchar) not like '%77%' then {key('"Ref"')} end as key from ledger),
+c1 as (select key, count(*) as n from r1 where key is not null group by key), c2 as (select key, count(*) as n from r2 where key is not null group by key),
+x as (select coalesce(b.key, r1.key) as key, b.key is not null or (b.here and b.key is null) as in_b, b.here, r1.here as in_1 from (select key, true as here from b) b full join (select key, true as here from r1) r1 on b.key = r1.key),
+y as (select coalesce(x.key, r2.key) as key, x.here as in_b, x.in_1, r2.here as in_2 from x full join (select key, true as here from r2) r2 on x.key = r2.key)
+select y.key is null as no_key,
+  case when y.key is null then (case when in_b then 0 when in_1 then 1 end) when in_b or c1.n is not null then coalesce(c1.n, 0) end as "Bank_Match_Count",
+  case when y.key is null then (case when in_2 then 1 else 0 end) else coalesce(c2.n, 0) end as "Ledger_Match_Count",
+  concat_ws(', ', case when c1.n > 0 then 'Bank' end, case when c2.n > 0 then 'Ledger' end) as "Match Source", count(*) as n_rows
+from y left join c1 on y.key = c1.key left join c2 on y.key = c2.key group by all""",
+    "source_reliability_default": SQL["source_reliability"].replace("""coalesce("Bank_Invoice No", "Bank_Priority", cast("Bank_Total" as varchar)) is not null or "Bank_Date" is not null as here""", "true as here").replace(
+        """"Ledger_Ref" is not null or "Ledger_Customer" is not null or "Ledger_Open Amount" is not null,""", "true,"
+    ),
+    "risk_with_age": f"""with {BOTH}, ages as (select {key('"Invoice"')} as key, max("Age (Days)") as days from detail group by 1),
+scored as (select "Invoice #", cast(round_even(least(100, greatest(0, round_even(abs("Delta") / (select max(abs("Delta")) from report) * 40, 1) + {_POINTS}
+  + round_even(least(1, greatest(0, 1 - "Ref_Count" / 2)) * 15, 1) + coalesce(round_even(least(greatest(days, 0), 120) / 6, 1), 0))), 0) as integer) as "Risk Score", "Status", "Delta" from report left join ages on "Invoice #" = key)
+select "Invoice #", "Risk Score", case when "Risk Score" <= 25 then '🟢 Low' when "Risk Score" <= 50 then '🟡 Medium' when "Risk Score" <= 75 then '🟠 High' else '🔴 Critical' end as "Risk Level", "Status", "Delta" from scored""",
+}

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import compare, discrepancy, fuzzy, insights, match, reports
 from ..sources import readers
 from ..sources.spec import FULL, RefSpec
+from ..sources.tables import shared_dir, written
 from . import derived as D
 from .reconcile import reconcile
 
@@ -199,12 +203,12 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = D.names(spark, sf_dir)
-    return fuzzy.best_matches(b, "Alias", a, "Name")
+    return fuzzy.best_matches(b, "Alias", a, "Name", reordered=False)
 
 
 def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = D.names(spark, sf_dir)
-    return fuzzy.fuzzy_join(b, "Alias", a, "Name", "Crm")
+    return fuzzy.fuzzy_join(b, "Alias", a, "Name", "Crm", reordered=False)
 
 
 def report_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +226,83 @@ def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = reconcile(D.spec(), D.base(spark, sf_dir), {"Bank": D.bank(spark, sf_dir), "Ledger": D.ledger(spark, sf_dir)}, D.AS_OF)
-    return insights.metric_table(D.spec(), done.detail, done.discrepancies, generated_at=f"{D.AS_OF:%Y-%m-%d %H:%M:%S}")
+    return insights.metric_table(D.spec(), done.detail, written(done.discrepancies, "report"), generated_at=f"{D.AS_OF:%Y-%m-%d %H:%M:%S}")
+
+
+def risk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.by_risk(insights.risk_scores(D.spec(), _report(spark, sf_dir)))
+
+
+def outlier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.by_size(insights.iqr_outliers(disc_sums(spark, sf_dir), "Lines Amount"))
+
+
+def iqr_all_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures where no discrepancy is left: those of the base amounts in the view."""
+    spec = D.spec(refs=(D.LEDGER,))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    base = orders.select(F.col("o_orderkey").alias("Invoice"), F.col("o_totalprice").alias("Amount"))
+    refs = [(D.LEDGER, orders.select(F.col("o_orderkey").alias("Ref"), F.col("o_custkey").alias("Customer"), F.col("o_totalprice").alias("Open Amount")))]
+    amounts, column = insights.amounts_of(spec, match.detail(spec, base, refs, D.AS_OF), discrepancy.discrepancies(spec, base, refs))
+    return insights.iqr_summary(amounts, column)
+
+
+def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each report that a job writes."""
+    done = reconcile(D.spec(), D.base(spark, sf_dir), {"Bank": D.bank(spark, sf_dir), "Ledger": D.ledger(spark, sf_dir)}, D.AS_OF)
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    counts = [spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("report"), F.count("*").alias("n_rows")) for n in done.write(folder)]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _as_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as delimited text with doubled quotes, line breaks and backslashes in cells, as spreadsheets export them."""
+    path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}.csv"
+    c, quoted = F.col("c_custkey"), lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.when(c % 4 == 0, F.concat(F.lit('say "hi", then '), "c_name")).when(c % 4 == 1, F.concat(F.lit("two\nlines of "), "c_name")).when(c % 4 == 2, F.concat("c_name", F.lit("\\"))).otherwise("N/A")
+    line = F.concat_ws(",", c.cast("string"), quoted(note), quoted(F.col("c_name")), F.col("c_acctbal").cast("string"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    # each file of a folder has a header, so there is one file for each partition
+    head = F.lit("Key,Note,Name,Balance\n")
+    first = F.row_number().over(W.partitionBy(F.spark_partition_id()).orderBy(c)) == 1
+    customers.select(F.concat(F.when(first, head).otherwise(""), line).alias("value")).write.text(path)
+    return path
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_table(spark, _as_csv(spark, sf_dir))
+
+
+def csv_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_table(spark, _as_csv(spark, sf_dir), ["Balance", "Key"])
+
+
+def date_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates in fourteen spellings, read back."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = ["yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm", "MMM d, yyyy", "d MMM yyyy", "dd-MMM-yyyy", "MMMM d, yyyy", "d/M/yy", "dd.MM.yyyy", "yyyyMMdd", "yyyy.MM.dd", "d/M/yyyy h:mm a", "EEE, d MMM yyyy", "d-M-yyyy"]
+    text = F.element_at(F.array(*[F.date_format(d, f) for f in forms]), (k % len(forms) + 1).cast("int"))
+    read = V.parse_date(text)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format(read, "yyyy-MM-dd HH:mm:ss").alias("day"))
+
+
+def detail_full_null_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full job in which rows without a key meet nothing and none is lost."""
+    lose = lambda df, c: df.withColumn(c, F.when(~F.col(c).cast("string").contains("77"), F.col(c)))
+    base, refs = lose(D.base(spark, sf_dir), "Invoice"), [(r, lose(df, r.match)) for r, df in _refs(spark, sf_dir)]
+    view = match.detail(D.FULL_SPEC, base, refs, D.AS_OF, null_key=None)
+    return view.groupBy(F.col("Invoice").isNull().alias("no_key"), "Bank_Match_Count", "Ledger_Match_Count", "Match Source").agg(F.count("*").alias("n_rows"))
+
+
+def source_reliability_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As shipped: the match count is one of a reference's columns, so every row counts as covered."""
+    return insights.source_reliability(D.spec(), _detail(spark, sf_dir))
+
+
+def risk_with_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk with the age part, from the largest age of each key in the view."""
+    view = match.keyed(_detail(spark, sf_dir), "Invoice").select(match.KEY, "Age (Days)")
+    return insights.risk_scores(D.spec(), _report(spark, sf_dir), view)
 
 
 def header_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,5 +321,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
         patterns, fuzzy_best, fuzzy_join, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
+        risk_order, outlier_order, iqr_all_match, report_sink, csv_scan, csv_pruned, date_spellings, detail_full_null_apart, source_reliability_default, risk_with_age,
     )
 }

@@ -1,10 +1,14 @@
-"""A whole reconciliation job: spec and tables in, lazy report DataFrames out."""
+"""A whole reconciliation job: spec and tables in, lazy report DataFrames out.
+
+``write`` writes the detail view and the discrepancy report first and makes the other
+reports from what it wrote, so the joins of a job are done once.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -14,6 +18,7 @@ from ..operators.match import detail
 from ..operators.reports import write_reports
 from ..sources.readers import problems
 from ..sources.spec import JobSpec
+from ..sources.tables import written
 
 
 @dataclass
@@ -26,12 +31,19 @@ class Reconciliation:
     schema: DataFrame | None
     issues: DataFrame
 
-    def reports(self) -> dict[str, DataFrame]:
+    as_of: dt.datetime | None = None
+
+    def reports(self, approximate: bool = False) -> dict[str, DataFrame]:
+        """All reports by name. ``approximate`` takes quartiles from a sketch."""
         out = {"detailed_view": self.detail}
         if self.discrepancies is not None:
+            stamp = f"{self.as_of or dt.datetime.now():%Y-%m-%d %H:%M:%S}"
             out["discrepancy_report"] = discrepancy.problems_first(self.discrepancies)
-            out["reconciliation_insights"] = insights.metric_table(self.spec, self.detail, self.discrepancies)
-            out["risk_analysis"] = insights.risk_scores(self.spec, self.discrepancies)
+            out["reconciliation_insights"] = insights.metric_table(self.spec, self.detail, self.discrepancies, stamp, approximate=approximate)
+            out["risk_analysis"] = insights.by_risk(insights.risk_scores(self.spec, self.discrepancies))
+            amounts, column = insights.amounts_of(self.spec, self.detail, self.discrepancies)
+            if column:
+                out["outliers"] = insights.by_size(insights.iqr_outliers(amounts, column, approximate=approximate))
         if self.schema is not None:
             out["normalized_comparison"] = self.schema
         if "Age Bucket" in self.detail.columns:
@@ -39,8 +51,12 @@ class Reconciliation:
         out["issues"] = self.issues
         return out
 
-    def write(self, folder: str, kind: str = "parquet") -> list[str]:
-        return write_reports(self.reports(), folder, kind)
+    def write(self, folder: str, kind: str = "parquet", approximate: bool = False) -> list[str]:
+        """Names of the reports written, which are those that have rows."""
+        view = written(self.detail, "detail")
+        report = None if self.discrepancies is None else written(self.discrepancies, "report")
+        schema = compare.schema_report(self.spec, view) if self.schema is not None else None
+        return write_reports(replace(self, detail=view, discrepancies=report, schema=schema).reports(approximate), folder, kind)
 
 
 def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame], as_of: dt.datetime | None = None, null_key: str | None = NULL_KEY, sources: Sequence[str] | None = None) -> Reconciliation:
@@ -54,4 +70,4 @@ def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame], as_
     report = discrepancy.discrepancies(spec, base, usable, null_key, sources=sources) if spec.base.amount in base.columns else None
     schema = compare.schema_report(spec, view) if spec.fields else None
     issues = base.sparkSession.createDataFrame(found, "source string, issue string")
-    return Reconciliation(spec, view, report, schema, issues)
+    return Reconciliation(spec, view, report, schema, issues, as_of)

@@ -19,18 +19,38 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))).first()[0]
 
 
+#: Quotes inside a quoted cell are doubled; a backslash is a sign like any other.
+DIALECT = {"header": True, "quote": '"', "escape": '"'}
+
+
+def dialect(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether a quoted cell goes over several lines) of a file, by one pass over its lines.
+
+    Only where some line has an odd number of quotes need records be looked for across
+    lines, which keeps Spark from splitting the file.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()
+    return ("UTF-8" if row[0] else "ISO-8859-1"), row[1]
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**DIALECT).csv(path).columns
+
 
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """A CSV (UTF-8, else Latin-1; cells as text, missing ones null) or Parquet table, only ``columns`` of it.
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV (UTF-8, else Latin-1; cells as text, missing ones null) or Parquet table, only ``columns`` of it."""
+    A CSV is read once more to find ``encoding`` and ``multi_line``, unless both are given.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "csv":
-        encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-        df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", False).csv(path)
+        if encoding is None or multi_line is None:
+            found = dialect(spark, path)
+            encoding, multi_line = encoding or found[0], found[1] if multi_line is None else multi_line
+        df = spark.read.options(**DIALECT).option("encoding", encoding).option("multiLine", multi_line).csv(path)
         df = df.select(*[F.when(~name(c).isin(MISSING), name(c)).alias(c) for c in df.columns])
     else:
         raise ValueError(f"unsupported file format: {kind}")

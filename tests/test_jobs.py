@@ -29,21 +29,24 @@ def test_fuzzy_match(spark):
     assert out["INV001"] == "Found 1" and out["INV004"] == "Found 4" and out[None] is None
 
 
-def test_fuzzy_is_the_best_of_all_pairs_within_reach(spark):
+def test_fuzzy_is_the_best_of_all_pairs(spark):
     rng = random.Random(1)
-    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randint(5, 9)))
-    a, b = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
-    left, right = spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string")
-    got = {r["value"]: (r["ref_value"], r["score"]) for r in fuzzy.best_matches(left, "a", right, "b", rest=False).collect()}
-    pairs = left.crossJoin(right).select("a", "b", F.levenshtein("a", "b").alias("d"), fuzzy.score(F.col("a"), F.col("b")).alias("s")).collect()
-    for x in a:
-        own = [p for p in pairs if p["a"] == x and p["s"] >= fuzzy.CUTOFF]
-        near = [p["s"] for p in own if p["d"] <= fuzzy.MAX_EDITS]
-        if near:
-            assert got[x][1] >= max(near)
-        if near and len(x) > 6:
-            best = max(p["s"] for p in own)
-            assert got[x] == (min(p["b"] for p in own if p["s"] == best), best)
+    word = lambda: " ".join("".join(rng.choice("abcde1") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 3)))
+    a, b = {word() for _ in range(250)}, {word() for _ in range(250)}
+    a |= {"long " * 12 + "tail", "abcdefghi", "ltd acme holdings", "q" * 45, "INV#1"}
+    b |= {"long " * 12 + "tai1", "abxdexghx", "holdings acme ltd", "q" * 41, "inv 1", "inv-1"}
+    left, right = spark.createDataFrame([(x,) for x in sorted(a)], "a string"), spark.createDataFrame([(x,) for x in sorted(b)], "b string")
+    sides = left.crossJoin(right).withColumn("x", fuzzy.fuzzy_text(F.col("a"))).withColumn("y", fuzzy.fuzzy_text(F.col("b")))
+    in_order = lambda c: F.array_join(F.sort_array(F.split(c, " +")), " ")
+    for reordered in (False, True):
+        s = fuzzy.score(F.col("x"), F.col("y"))
+        if reordered:
+            s = F.greatest(s, F.bround(fuzzy.score(in_order(F.col("x")), in_order(F.col("y"))) * fuzzy.REORDERED, 4))
+        pairs = sides.select("a", "b", s.alias("s")).where(F.col("s") >= fuzzy.CUTOFF)
+        want = {r["a"]: (r["w"]["b"], -r["w"]["s"]) for r in pairs.groupBy("a").agg(F.min(F.struct((-F.col("s")).alias("s"), "b")).alias("w")).collect()}
+        got = {r["value"]: (r["ref_value"], r["score"]) for r in fuzzy.best_matches(left, "a", right, "b", reordered=reordered).collect()}
+        assert got == want
+    assert got["ltd acme holdings"] == ("holdings acme ltd", 95.0)
 
 
 def test_statement_smoke(spark):
@@ -110,6 +113,20 @@ def test_null_keys_meet_or_not(spark):
     assert match.detail(spec, base, [(spec.refs[0], ref)], NOW, null_key=None).where("A_v = 'x'").count() == 0
 
 
+def test_no_row_is_lost_with_null_keys_apart(spark):
+    base = spark.createDataFrame([(None, 1.0), (None, 2.0), ("1", 3.0), ("2", 4.0)], "k string, Amount double")
+    a = spark.createDataFrame([(None, "x"), (None, "x"), ("1", "y")], "k string, v string")
+    b = spark.createDataFrame([(None, "p"), ("3", "q")], "k string, v string")
+    spec = JobSpec(BaseSpec("k"), (RefSpec("A", "k", ("v",)), RefSpec("B", "k", ("v",))), how=FULL)
+    view = match.detail(spec, base, [(spec.refs[0], a), (spec.refs[1], b)], NOW, null_key=None)
+    assert rows(view, "k", "Amount", "A_v", "A_Match_Count", "B_v", "B_Match_Count") == sorted([
+        (None, 1.0, None, 0, None, 0), (None, 2.0, None, 0, None, 0), (None, None, "x", 1, None, 0), (None, None, "x", 1, None, 0), (None, None, None, None, "p", 1),
+        ("1", 3.0, "y", 1, None, 0), ("2", 4.0, None, 0, None, 0), ("3", None, None, None, "q", 1),
+    ], key=str)
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_a_broken_reference_does_not_stop_the_others(spark):
     base = spark.createDataFrame([("1", 5.0)], "k string, Amount double")
     good, bad = spark.createDataFrame([("1", 5.0)], "k string, Total double"), spark.createDataFrame([("1",)], "z string")
@@ -157,6 +174,23 @@ def test_insights_of_nothing(spark):
     assert insights.iqr_summary(report, "SOA Amount").isEmpty() and insights.risk_scores(spec, report).isEmpty() and insights.patterns(spec, report).isEmpty()
 
 
+def test_orders_and_figures_of_a_job_without_discrepancies(spark):
+    scores = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9)], "k string, `Risk Score` int")
+    assert [r["k"] for r in insights.by_risk(scores).collect()] == ["c", "a", "b"]
+    outliers = spark.createDataFrame([("a", 5.0), ("b", -9.0), ("c", 7.0)], "k string, x double")
+    assert [r["k"] for r in insights.by_size(outliers).collect()] == ["b", "c", "a"]
+    base = spark.createDataFrame([(str(i), float(x)) for i, x in enumerate([1, 2, 3, 4, 100])], "k string, Amount double")
+    ref = base.withColumnRenamed("Amount", "Total")
+    spec = JobSpec(BaseSpec("k", None, "Amount"), (RefSpec("A", "k", ("Total",)),))
+    done = reconcile(spec, base, {"A": ref}, NOW)
+    assert done.discrepancies.isEmpty()
+    assert [tuple(r)[:2] for r in done.reports()["outliers"].collect()] == [("4", 100.0)]
+    told = {r["Metric"]: r["Value"] for r in done.reports()["reconciliation_insights"].collect()}
+    assert told["Outlier Count"] == "1" and told["Median Amount"] == "$3.00"
+    every = discrepancy.discrepancies(spec, base, [(spec.refs[0], ref)], keep_matches=True)
+    assert tuple(insights.header_stats(done.detail, every, summary=False).first()) == (5, 5, 0)
+
+
 def test_age_points_are_opt_in(spark):
     spec = JobSpec(BaseSpec("k"), (RefSpec("A", "k"),))
     report = spark.createDataFrame([("1", 10.0, 1, "MISSING IN REF")], "`Invoice #` string, Delta double, Ref_Count long, Status string")
@@ -171,6 +205,8 @@ def test_reports_are_written(spark, tmp_path):
     spec = JobSpec(BaseSpec("k", "Date", "Amount"), (RefSpec("A", "k", ("Total",)),), (FieldSpec("Amount", {"SOA": "Amount", "A": "Total"}, "Currency"),))
     done = reconcile(spec, base, {"A": ref}, NOW).write(str(tmp_path))
     assert set(done) == {"detailed_view", "discrepancy_report", "reconciliation_insights", "risk_analysis", "normalized_comparison", "aging"}
+    stamp = spark.read.parquet(str(tmp_path / "reconciliation_insights")).where("Metric = 'Generated At'").first()["Value"]
+    assert stamp == "2024-01-01 00:00:00"
     assert spark.read.parquet(str(tmp_path / "discrepancy_report")).count() == 2
     shown = reports.preview(base.union(spark.createDataFrame([(None, None, None)], base.schema)))
     assert shown.count() == 3 and shown.where("k = ''").count() == 1

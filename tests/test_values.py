@@ -50,6 +50,8 @@ def test_amount_for_aging_reads_no_brackets(spark):
     ("text", "day"),
     [
         ("2023-01-02", (2023, 1, 2)), ("02/01/2023", (2023, 1, 2)), ("1/2/2023", (2023, 2, 1)), ("13-02-2023", (2023, 2, 13)), ("Jan 5 2023", (2023, 1, 5)), ("20230107", (2023, 1, 7)), ("2023/03/04", (2023, 3, 4)), ("01/13/2023", (2023, 1, 13)),
+        ("2023/01/02 10:30:00", (2023, 1, 2)), ("02/01/2023 10:30", (2023, 1, 2)), ("Jan 5, 2023", (2023, 1, 5)), ("5 Jan 2023", (2023, 1, 5)), ("05-Jan-2023", (2023, 1, 5)), ("January 5, 2023", (2023, 1, 5)), ("1/2/23", (2023, 2, 1)),
+        ("02.01.2023", (2023, 1, 2)), ("Thu, 05 Jan 2023", (2023, 1, 5)), ("31/12/99", (1999, 12, 31)), ("2023-13-01", (2023, 1, 13)), ("2/1/2023 3:05 PM", (2023, 1, 2)), ("2023", (2023, 1, 1)), ("a/b/c", None), ("May 2023 x", None),
         ("31/02/2023", None), ("soon", None), ("", None), (None, None), ("2023-01-02 10:20:30", (2023, 1, 2)),
     ],
 )
@@ -58,6 +60,11 @@ def test_parse_date(spark, text, day):
     assert (got and (got.year, got.month, got.day)) == day
 
 
+def test_time_of_a_date(spark):
+    got = apply(spark, ["2023/01/02 10:30:05", "02/01/2023 3:05 PM", "Jan 5, 2023 12:10 AM"], V.parse_date)
+    assert got == [dt.datetime(2023, 1, 2, 10, 30, 5), dt.datetime(2023, 1, 2, 15, 5), dt.datetime(2023, 1, 5, 0, 10)]
+
+
 def test_age(spark):
     now = dt.datetime(2023, 5, 1)
     days = lambda c: V.age_days(V.parse_date(c), now)
