@@ -6,7 +6,11 @@ for the diagonal i - j; neighbouring diagonals (a few words inserted or left
 out) are merged, and the merged span is verified against the template's words.
 
 A *phrase* needs every one of its grams on one diagonal, so that its words stand
-consecutively; a *notice* needs a share of its words covered by verified grams.
+consecutively; a *notice* needs a share of its words covered by verified grams. Of
+notices whose spans overlap, only that counts which explains the place best: covered
+words, less two for each word of the notice that is not there and for each word of
+the text in between that is not the notice's. So a telling word such as "lesser" or
+"noncommercial" decides between notices that are alike otherwise; equals all count.
 
 Defined cases: null text counts as empty (no words). One row per distinct
 (doc_id, text): repeated rows are scanned once. An empty table gives no rows.
@@ -44,10 +48,14 @@ NOTICES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "licensed under the creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nd", "licensed under the creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under the creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "licensed under the creative commons attribution noncommercial noderivatives 4 0 international license"),
     ("cc-by", "licensed under the creative commons attribution 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -101,11 +109,11 @@ def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Verified spans of each text: merged diagonals with their coverage of the template."""
+    """Verified spans of each text: merged diagonals with their coverage of the template, the best of those that overlap."""
     text = ["doc_id", "text_hash", "n_words", "template", "label", "base", "size"]
     diagonals = (
         found.groupBy(*text, (F.col("start") - F.col("at")).alias("diagonal"))
-        .agg(F.collect_set("at").alias("ats"), F.min("start").alias("first"), (F.max("start") + K - 1).alias("last"))
+        .agg(F.collect_set("at").alias("ats"), F.collect_set("start").alias("starts"), F.min("start").alias("first"), (F.max("start") + K - 1).alias("last"))
         .withColumn("votes", F.size("ats"))
     )
     of_template = W.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
@@ -114,12 +122,21 @@ def spans(found: DataFrame) -> DataFrame:
         diagonals.withColumn("new", new)
         .withColumn("span", F.sum("new").over(of_template))
         .groupBy(*text, "span")
-        .agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))))
-    full = merged.withColumn("coverage", covered / F.col("size"))
+    words = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + K - 1)))))
+    full = merged.withColumn("covered", words("ats")).withColumn("coverage", F.col("covered") / F.col("size"))
     enough = F.when(F.col("base"), F.size("ats") == F.col("size") - K + 1).otherwise(F.col("coverage") >= COVERAGE)
-    return full.where((F.col("template") == -1) | enough)
+    between = F.col("last") - F.col("first") + 1 - words("starts")
+    value = F.col("covered") - 2 * (F.col("size") - F.col("covered") + between)
+    kept = full.where((F.col("template") == -1) | enough).withColumn("value", F.when((F.col("template") >= 0) & ~F.col("base"), value)).drop("ats", "starts", "covered")
+    # notices of a text in order, those that overlap as one place
+    notice = F.col("value").isNotNull()
+    in_order = W.partitionBy("doc_id", "text_hash", notice).orderBy("first", "last", "template")
+    before = F.max("last").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    placed = kept.withColumn("apart", F.coalesce(F.col("first") > before, F.lit(True)).cast("int")).withColumn("place", F.sum("apart").over(in_order))
+    best = F.max("value").over(W.partitionBy("doc_id", "text_hash", notice, "place"))
+    return placed.withColumn("best", best).where(~notice | (F.col("value") == F.col("best"))).drop("apart", "place", "best", "value")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -45,6 +45,22 @@ def test_notices_with_changes(docs):
     assert out[2]["labels"] == "" and out[2]["score"] == 0.0
 
 
+def test_each_notice_has_its_own_label(docs):
+    filler = "Some prose, which says nothing at all about it; "
+    texts = [filler * 3 + text + ". " + filler * 2 for _, text in L.NOTICES] + [filler + "licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"]
+    out = scanned(docs, texts)
+    for i, (label, text) in enumerate(L.NOTICES):
+        assert set(out[i]["labels"].split(",")) == {label}, text
+        assert out[i]["score"] == 1.0
+    assert out[len(texts) - 1]["labels"] == "cc-by-nc-sa"
+
+
+def test_notices_side_by_side(docs):
+    gpl, lgpl = (next(t for label, t in L.NOTICES if label == x) for x in ("gpl", "lgpl"))
+    out = scanned(docs, [f"{gpl} and {lgpl}", f"{lgpl} {lgpl}", gpl.replace("redistribute", "copy") + " all rights reserved"])
+    assert [out[i]["labels"] for i in range(3)] == ["gpl,lgpl", "lgpl", "all-rights-reserved,gpl"]
+
+
 def test_repeated_rows_and_empty_table(docs):
     rows = [(1, "under the mit license"), (1, "under the mit license"), (1, "other"), (None, "cc by nc")]
     out = sorted((r["doc_id"] or 0, r["n_words"], r["n_base"]) for r in L.scan(docs(rows)).collect())
