@@ -16,9 +16,11 @@ looked for. A template window has at least 5 literal tokens: where slots are den
 it goes on beyond 8 tokens until it has them. An item with fewer literals in all
 has one window, which must be a whole sentence or line (2 literals at least).
 
-Defined cases: null and empty texts hold nothing; null ids are kept as ids; a
-repeated row changes nothing (rows with one doc_id are one document); an empty
-benchmark finds nothing. Extra columns are ignored.
+Defined cases: null and empty texts hold nothing; ids may be of any type and keep it,
+null among them; a repeated row changes nothing. Every text is looked through by
+itself: ``find`` gives the best of the texts with one id, ``decontaminate`` takes away
+only rows whose own text holds an item. An empty benchmark finds nothing. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -165,8 +167,8 @@ def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Cal
             yield size, True, s, e - s, x, values(s, e - s)
 
 
-#: Ids travel as text: a null among them would turn numbers into floats.
-SCHEMA = "id string, n_tokens int, template boolean, at int, width int, hash long, slots array<string>"
+#: Ids travel as text: a null among them would turn numbers into floats. ``mark`` tells texts apart.
+SCHEMA = "id string, mark long, n_tokens int, template boolean, at int, width int, hash long, slots array<string>"
 
 
 #: One cache for each Python worker, which serves many tasks.
@@ -175,11 +177,11 @@ _lexicon = Lexicon()
 
 def _cut(batches: Iterator[pd.DataFrame], lengths: Callable[[int], list[int]], keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids = batch["id"].tolist()
+        ids = list(zip(batch["id"].tolist(), batch["mark"].tolist()))
         for lo in range(0, len(batch), TEXTS_AT_ONCE):
             texts = batch["text"].iloc[lo : lo + TEXTS_AT_ONCE]
-            rows = [(ids[lo + i], *w) for i, *text in _lexicon(texts) for w in _windows(*text, lengths, keep)]
-            yield pd.DataFrame(rows, columns=["id", "n_tokens", "template", "at", "width", "hash", "slots"])
+            rows = [(*ids[lo + i], *w) for i, *text in _lexicon(texts) for w in _windows(*text, lengths, keep)]
+            yield pd.DataFrame(rows, columns=["id", "mark", "n_tokens", "template", "at", "width", "hash", "slots"])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -188,11 +190,15 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _cut(batches, lambda n: [n], lambda h: np.ones(len(h), bool))
 
-    return benchmark.select(F.col("item_id").cast("string").alias("id"), "text").mapInPandas(cut, SCHEMA)
+    return benchmark.select(F.col("item_id").cast("string").alias("id"), F.lit(0).cast("long").alias("mark"), "text").mapInPandas(cut, SCHEMA)
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, covered, share, kind) of every item found in a text."""
+def _mark() -> Column:
+    return F.xxhash64("text")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(id, mark, item, share, covered, plain) of every item found in a text."""
     spark = docs.sparkSession
     items = written(benchmark_windows(benchmark), "benchmark-windows")
     place = lambda shift: F.pmod(F.shiftrightunsigned("hash", shift), F.lit(FILTER_BITS))
@@ -216,12 +222,13 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return _cut(batches, lambda n: whole, keep)
 
-    seen = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(cut, SCHEMA)
+    seen = docs.select(F.col("doc_id").cast("string").alias("id"), _mark().alias("mark"), "text").mapInPandas(cut, SCHEMA)
     a, b = seen.alias("d"), items.alias("i")
     # placeholders are hashed into template windows, so forms never mix
     met = a.join(b, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.template") == F.col("i.template"))).select(
-        F.col("d.id").cast("long").alias("doc_id"),
-        F.col("i.id").cast("long").alias("item_id"),
+        F.col("d.id").alias("id"),
+        F.col("d.mark").alias("mark"),
+        F.col("i.id").alias("item"),
         F.col("i.n_tokens").alias("n_tokens"),
         "d.template",
         (F.col("d.at") - F.col("i.at")).alias("offset"),
@@ -236,7 +243,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     settle = lambda df: df.withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))).withColumn(
         "consistent", (F.col("values") == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["text"]))) == F.size("pairs"))
     ).withColumn("found", found)
-    keys = ["doc_id", "item_id", "n_tokens"]
+    keys = ["id", "mark", "item", "n_tokens"]
     at_offset = settle(met.groupBy(*keys, "offset").agg(distinct(F.col("covers")).alias("all"), distinct(literal).alias("plain"), distinct(F.col("pairs")).alias("pairs")))
     # words put in or left out shift the rest of an occurrence: near offsets also count together
     in_order = W.partitionBy(*keys).orderBy("offset")
@@ -253,18 +260,24 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select(*keys, F.col("best.covered").alias("covered"), F.col("best.plain").alias("plain"))
         .withColumn("share", F.col("covered") / F.col("n_tokens"))
     )
-    return by_item.where((F.col("share") >= SHARE) | (F.col("covered") >= RUN)).select(
-        "doc_id",
-        "item_id",
-        F.col("covered").cast("long").alias("covered"),
-        F.round("share", 6).alias("share"),
-        F.when(F.col("plain") >= F.col("covered"), "literal").otherwise("template").alias("kind"),
+    return by_item.where((F.col("share") >= SHARE) | (F.col("covered") >= RUN))
+
+
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, covered, share, kind) of every item found in a text."""
+    best = _found(docs, benchmark).groupBy("id", "item").agg(F.max(F.struct("share", "covered", "plain")).alias("best"))
+    return best.select(
+        F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        F.col("item").cast(benchmark.schema["item_id"].dataType).alias("item_id"),
+        F.col("best.covered").cast("long").alias("covered"),
+        F.round("best.share", 6).alias("share"),
+        F.when(F.col("best.plain") >= F.col("best.covered"), "literal").otherwise("template").alias("kind"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs without those in which an item was found; all columns pass through."""
-    leaks = written(find(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    leaks = written(_found(docs, benchmark).select(F.col("id").alias("__leak"), F.col("mark").alias("__mark")).distinct(), "leaks")
     if leaks.count() <= broadcast_rows:
         leaks = F.broadcast(leaks)
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    return docs.join(leaks, F.col("doc_id").cast("string").eqNullSafe(F.col("__leak")) & (_mark() == F.col("__mark")), "left_anti")

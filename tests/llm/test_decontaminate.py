@@ -72,6 +72,36 @@ def test_documents_go(docs, items, broadcast_rows):
     assert D.decontaminate(rows, items.limit(0)).count() == 5
 
 
+def test_a_row_goes_for_its_own_text_only(spark, docs, items):
+    rows = docs([(None, ITEM), (None, "clean"), (None, None), (7, OTHER), (7, "clean too")])
+    out = sorted((str(r["doc_id"]), str(r["text"])) for r in D.decontaminate(rows, items).collect())
+    assert out == [("7", "clean too"), ("None", "None"), ("None", "clean")]
+    assert {r["doc_id"] for r in D.find(rows, items).collect()} == {None, 7}
+    named = spark.createDataFrame([("a", ITEM), ("b", "clean")], "doc_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in D.find(named, items).collect()] == [("a", 1)]
+    assert [r["doc_id"] for r in D.decontaminate(named, items).collect()] == ["b"]
+
+
+def test_recall_of_other_parameters(spark, docs):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), rng.integers(3, 8)))
+    frames = [[word() for _ in range(rng.integers(12, 30))] for _ in range(60)]
+    kinds = [rng.choice(["w", "n", "N"], len(f), p=[0.75, 0.15, 0.1]) for f in frames]
+
+    def filled(i):
+        person = {}
+        said = []
+        for j, (w, k) in enumerate(zip(frames[i], kinds[i])):
+            said.append(w if k == "w" or not j else str(rng.integers(2, 10_000)) if k == "n" else person.setdefault(j % 2, word().title()))
+        return " ".join(said) + "."
+
+    items = spark.createDataFrame([(i, filled(i)) for i in range(60)], "item_id long, text string")
+    rows = [(i, FILLER * 3 + filled(i) + " " + FILLER * 2 + (filled(i) if i % 2 else "")) for i in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in D.find(docs(rows), items).collect()}
+    assert len(got & {(i, i) for i in range(60)}) >= 54
+    assert all(a == b for a, b in got)
+
+
 def test_query_against_brute_force(spark, tiny):
     plain = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
     items = {r["item_id"]: plain(r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()}
