@@ -11,6 +11,14 @@ than 3 (triangle inequality); survivors are verified bit by bit. Meeting places
 emit a spanning forest of their links, never all pairs, and places of many nodes
 are cut into pairs of chunks so that no task holds one whole.
 
+``one_of_each`` looks for texts whose five-word shingles are alike by 0.8 or more
+(Jaccard). That is far apart for a fingerprint: such texts differ in about 39 of 256
+bits, which no choice of bit blocks can place. There, fingerprints have 256 bits, texts
+meet where four minima of their shingle hashes agree (16 such bands), pivots and
+fingerprints discard pairs that differ in more than 50 bits, and the links of the
+spanning forests are verified by the shingles themselves. Two texts alike by 0.8 share
+a band with a probability of 0.9998.
+
 Defined cases: null and wordless texts have fingerprint zero and link like any
 other; repeated rows each get their row; null doc_id takes part but is never a
 component's id (null if all of a component's ids are). Extra columns are ignored.
@@ -30,12 +38,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import BROADCAST_ROWS, written
+from .shared import BROADCAST_ROWS, ascii_lower, rolling_hashes, written
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 PIVOTS = np.random.default_rng(20).integers(0, 2**64, 16, dtype=np.uint64)
+#: Of the wide fingerprints: shingle, words of 64 bits, bands of minima and minima of each, radius, and the similarity that counts.
+WIDE_SHINGLE, WIDE, BANDS, DEEP, WIDE_RADIUS, ALIKE = 5, 4, 16, 4, 50, 0.8
+WIDE_PIVOTS = np.random.default_rng(21).integers(0, 2**64, (16, WIDE), dtype=np.uint64)
+#: Odd numbers that make a hash another one.
+_ODD = np.random.default_rng(22).integers(0, 2**63, WIDE + BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Distinct words whose hashes a worker keeps; shingles worked on at once.
+HELD, AT_ONCE = 400_000, 1 << 15
 #: Bit widths of the six blocks.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Nodes under one key before they are cut into chunks of this many.
@@ -62,6 +77,65 @@ def _simhashes(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype=np.int64)
 
 
+class _Hashes(dict):
+    """word -> hash; only a cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = _hash(word)
+        return h
+
+
+_words = _Hashes()
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Distinct hashes of the five-word shingles of a text; of all its words, if fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(_words) > HELD:
+        _words.clear()
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    n = min(WIDE_SHINGLE, len(h))
+    if not n:
+        return h
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(h) - n + 1, np.uint64)
+        for i in range(n):
+            out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def wide(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """The 256-bit fingerprint of shingle hashes, and their bands; zeros and no band without any."""
+    if not len(hashes):
+        return bytes(8 * WIDE), []
+    counts, least = np.zeros(64 * WIDE, np.int64), np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(hashes), AT_ONCE):
+            part = hashes[lo : lo + AT_ONCE]
+            for i, odd in enumerate(_ODD):
+                x = part * odd
+                x ^= x >> np.uint64(32)
+                if i >= WIDE:
+                    least[i - WIDE] = min(least[i - WIDE], (x * odd).min())
+                    continue
+                x *= odd
+                x ^= x >> np.uint64(29)
+                counts[64 * i : 64 * i + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bands = np.zeros(BANDS, np.uint64)
+        for i, row in enumerate(least.reshape(BANDS, DEEP).T):
+            bands = (bands ^ row) * _ODD[i]
+            bands ^= bands >> np.uint64(31)
+        bands += np.arange(BANDS, dtype=np.uint64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), bands.view(np.int64).tolist()
+
+
+def _wide_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        marks = [wide(shingle_hashes(t)) for t in b["text"]]
+        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fp for fp, _ in marks], "bands": [bands for _, bands in marks]})
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _simhashes(F.col("text")).alias("fp"))
 
@@ -77,14 +151,15 @@ def _masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the nodes of each key; rows come sorted by key."""
-    table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def _links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray = PIVOTS[:, None]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the nodes of each key; rows come sorted by key, fps has a row of 64-bit words for each."""
+    apart = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    table = np.stack([apart(fps, p) for p in pivots], axis=1).astype(np.int16)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     two = starts[sizes == 2]
-    two = two[np.abs(table[two] - table[two + 1]).max(axis=1, initial=0) <= RADIUS]
-    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= RADIUS]
+    two = two[np.abs(table[two] - table[two + 1]).max(axis=1, initial=0) <= radius]
+    two = two[apart(fps[two], fps[two + 1]) <= radius]
     out = list(zip(nodes[two].tolist(), nodes[two + 1].tolist()))
     for lo, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         rows = np.arange(lo, lo + n)
@@ -94,13 +169,13 @@ def _links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> list[tuple[i
             while tree and len(rest):
                 u = tree.pop()
                 first = table[rest, 0]  # sorted: a range of it holds all that can link
-                a, b = np.searchsorted(first, first.dtype.type(table[u, 0] - RADIUS)), np.searchsorted(first, first.dtype.type(table[u, 0] + RADIUS), "right")
+                a, b = np.searchsorted(first, first.dtype.type(table[u, 0] - radius)), np.searchsorted(first, first.dtype.type(table[u, 0] + radius), "right")
                 near = np.arange(a, b)
-                for p in range(1, len(PIVOTS)):
+                for p in range(1, len(pivots)):
                     if not len(near):
                         break
-                    near = near[np.abs(table[rest[near], p] - table[u, p]) <= RADIUS]
-                near = near[np.bitwise_count(fps[rest[near]] ^ fps[u]) <= RADIUS]
+                    near = near[np.abs(table[rest[near], p] - table[u, p]) <= radius]
+                near = near[apart(fps[rest[near]], fps[u]) <= radius]
                 out += [(int(nodes[u]), x) for x in nodes[rest[near]].tolist()]
                 tree += rest[near].tolist()
                 rest = np.delete(rest, near)
@@ -112,8 +187,11 @@ def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[pd.DataFrame] = []
 
     def out(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _links(rows["place"].to_numpy(), rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        if rows["fp"].dtype == object:
+            fps, how = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1), (WIDE_RADIUS, WIDE_PIVOTS)
+        else:
+            fps, how = rows["fp"].to_numpy().view(np.uint64)[:, None], ()
+        return pd.DataFrame(_links(rows["place"].to_numpy(), rows["node"].to_numpy(), fps, *how), columns=["a", "b"], dtype=np.int64)
 
     for batch in batches:
         if not len(batch):
@@ -129,8 +207,8 @@ def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links that connect the nodes (node, fp) as all links within the radius do."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks())])
+    """(a, b): links that connect the nodes (node, fp) as all links within the radius do. Nodes with ``bands`` have wide fingerprints."""
+    keys = F.col("bands") if "bands" in nodes.columns else F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks())])
     met = nodes.select("node", "fp", F.explode(keys).alias("key"))
     hot = written(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "hot-keys")
     if hot.isEmpty():
@@ -161,26 +239,56 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return _grouped(written(fingerprints(docs), "simhash"), chunk).select("doc_id", "fp", "component_id")
 
 
+def _shingles(text: Column) -> Column:
+    """Distinct shingle hashes of a text, in Spark."""
+    words = F.transform(F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.when(F.size(words) >= WIDE_SHINGLE, rolling_hashes(words, WIDE_SHINGLE)).otherwise(F.array(F.xxhash64(words))))
+
+
 def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with one row of each group: the smallest doc_id, then the smallest text hash.
+    """docs with one row of each group of near copies: the smallest doc_id, then the smallest text hash.
 
-    Among rows without doc_id, groups are equal fingerprints. Rows that go are
-    joined away; up to ``broadcast_rows`` of them are broadcast, so texts are not
-    shuffled. Only rows that repeat a kept one exactly are gathered to keep one.
+    Equal texts are one node, told apart by a 64-bit hash; texts without words are
+    alike. A row without doc_id stays only if no row of its group has one, and one of
+    rows that repeat the kept one stays. Only what is known of texts in groups of
+    several rows is joined to the documents: up to ``broadcast_rows`` such texts are
+    broadcast, so texts are not shuffled.
     """
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    own = written(docs.select("doc_id", text_hash.alias("text_hash"), _simhashes(F.col("text")).alias("fp")), "simhash")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    rows = written(_grouped(own, chunk).select(group.alias("group"), row.alias("row")), "simhash-groups")
-    kept = rows.groupBy("group").agg(F.min("row").alias("kept"))
-    marked = rows.groupBy("group", "row").agg(F.count("*").alias("n")).join(kept, "group")
-    odd = written(marked.where((F.col("row") != F.col("kept")) | (F.col("n") > 1)).select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"), (F.col("row") != F.col("kept")).alias("__gone")), "simhash-odd")
-    small = odd.count() <= broadcast_rows
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash"))
-    without = lambda left, right, how: left.join(F.broadcast(right) if small else right, same, how)
-    out = without(docs, odd, "left_anti")
-    again = odd.where(~F.col("__gone"))
-    if not again.isEmpty():
-        out = out.unionByName(without(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text").mapInPandas(_wide_marks, "doc_id long, text_hash long, fp binary, bands array<long>")
+    own = written(own, "simhash")
+    none = F.col("doc_id").isNull()
+    texts = (
+        own.groupBy("text_hash", "doc_id")
+        .agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+        .groupBy("text_hash")
+        .agg(F.min(F.struct(none.alias("none"), "doc_id", "n")).alias("least"), F.sum("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    )
+    # all texts without words meet in one place
+    bands = F.when(F.size("bands") > 0, F.col("bands")).otherwise(F.array(F.lit(0).cast("long")))
+    texts = written(texts.select(F.col("text_hash").alias("node"), "least", "n", "fp", bands.alias("bands")), "simhash-texts")
+    near = written(links(texts, chunk), "simhash-near")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    # the links are verified by the shingles; only texts that have one are read for it
+    ends = written(texts.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("first")), "simhash-ends")
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("node"), "text").join(small(ends), "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    sets = written(sets.dropDuplicates(["node"]).select("node", _shingles(F.col("text")).alias("set")), "simhash-sets")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    alike = pairs.where(common >= ALIKE * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    linked = written(components(alike).join(texts.select("node", "least"), "node"), "simhash-linked")
+    row = F.struct("least.none", "least.doc_id", F.col("node").alias("hash"))
+    kept = written(linked.groupBy("component").agg(F.min(row).alias("kept")), "simhash-kept")
+    of_group = linked.join(small(kept), "component").select("node", "kept")
+    # a text of one row that is nobody's near copy needs no look
+    groups = texts.select("node", "least", "n").join(of_group, "node", "left").where((F.col("n") > 1) | F.col("kept").isNotNull())
+    kept = F.coalesce("kept", row)
+    odd = groups.select(F.col("node").alias("__hash"), (kept["hash"] == F.col("node")).alias("__keeps"), kept["doc_id"].alias("__kept"), (F.col("least.n") > 1).alias("__again"))
+    odd = written(odd, "simhash-odd")
+    joined = docs.join(small(odd), text_hash == F.col("__hash"), "left")
+    stays = F.col("__hash").isNull() | F.col("__keeps") & F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))
+    again = F.coalesce("__again", F.lit(False))
+    out = joined.where(stays & ~again).select(*docs.columns)
+    if odd.where("__keeps and __again").isEmpty():
+        return out
+    return out.unionByName(joined.where(stays & again).select(*docs.columns).dropDuplicates(["doc_id", "text"]))

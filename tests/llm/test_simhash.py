@@ -92,3 +92,52 @@ def test_pivots_never_lose_a_link():
     y = x ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
     table = lambda v: np.bitwise_count(v[:, None] ^ S.PIVOTS).astype(int)
     assert np.abs(table(x) - table(y)).max() <= S.RADIUS
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def near_groups(texts):
+    """Smallest index of each text's group by all pairs, and the number of pairs of different texts that are alike."""
+    sets, up, n = [shingles(t) for t in texts], list(range(len(texts))), 0
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                n += texts[i] != texts[j]
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(texts))], n
+
+
+@pytest.mark.parametrize("chunk", [8, 4096])
+def test_near_copies_as_all_pairs_have_them(docs, chunk):
+    rng = random.Random(3)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 40, 150, 700]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 5)):
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(3000)}"
+            texts.append(" ".join(words))
+    texts += ["", None, " \n", "Solo", "solo"]
+    want, n = near_groups(texts)
+    kept = {r["doc_id"] for r in S.one_of_each(docs(list(enumerate(texts))), chunk).collect()}
+    lost, extra = set(want) - kept, kept - set(want)
+    assert n > 100 and not lost and len(extra) <= 0.05 * (len(texts) - len(set(want)))
+
+
+def test_documents_near_copies(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id")
+    rows = docs.select("doc_id", "text").collect()
+    want, _ = near_groups([r["text"] for r in rows])
+    kept = {r["doc_id"] for r in S.one_of_each(docs).select("doc_id").collect()}
+    assert kept == {rows[i]["doc_id"] for i in set(want)}
