@@ -239,10 +239,15 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return _grouped(written(fingerprints(docs), "simhash"), chunk).select("doc_id", "fp", "component_id")
 
 
-def _shingles(text: Column) -> Column:
-    """Distinct shingle hashes of a text, in Spark."""
-    words = F.transform(F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
-    return F.array_distinct(F.when(F.size(words) >= WIDE_SHINGLE, rolling_hashes(words, WIDE_SHINGLE)).otherwise(F.array(F.xxhash64(words))))
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, set) of texts (node, text): the distinct shingle hashes, worked out in Spark.
+
+    Word hashes are a column of their own, so that they aren't worked out again for every shingle.
+    """
+    words = F.array_remove(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    hashed = texts.select("node", F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
+    shingles = F.when(F.size("hashes") >= WIDE_SHINGLE, rolling_hashes(F.col("hashes"), WIDE_SHINGLE)).otherwise(F.array(F.xxhash64("hashes")))
+    return hashed.select("node", F.array_distinct(shingles).alias("set"))
 
 
 def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -272,7 +277,7 @@ def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROAD
     # the links are verified by the shingles; only texts that have one are read for it
     ends = written(texts.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("first")), "simhash-ends")
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("node"), "text").join(small(ends), "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    sets = written(sets.dropDuplicates(["node"]).select("node", _shingles(F.col("text")).alias("set")), "simhash-sets")
+    sets = written(_shingle_sets(sets.dropDuplicates(["node"])), "simhash-sets")
     common = F.size(F.array_intersect("set_a", "set_b"))
     pairs = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     alike = pairs.where(common >= ALIKE * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
