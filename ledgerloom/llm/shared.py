@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, written  # noqa: F401
+
 #: A table of at most this many narrow rows may be broadcast; above it the
 #: operators take a shuffle join instead.
 BROADCAST_ROWS = 200_000
@@ -17,19 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = current or tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Rows of one Arrow batch of documents, for sessions that have not chosen their own number.
 BATCH_ROWS = 1000
 
@@ -41,14 +27,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z that never turns another letter into an ASCII one.
 
