@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
-A text is cut at its spaces into marked words: each begins with the marker
-U+2581, which stands for the space before it, or for the start of the text. (So
-pieces of several markers are never used.) Of each batch of texts the distinct
-words are sorted, which lays them out as a trie in depth-first order; the Viterbi
-forward scores of a prefix shared with the word before are kept, and only the new
-tail is scored, by walking the vocabulary's own trie from each open start. Piece
-scores are log probabilities: a piece's own score if the vocabulary is a unigram
-model, else Zipf's law on its merge rank. Equal scores prefer the longer last piece.
-
-Characters without a piece become byte pieces, and so does a literal U+2581, so
-decoding returns every text exactly.
+A text, with one space put before it, is cut into marked words: each begins with its
+run of spaces, written as markers U+2581. A line break that no piece holds is a word
+of its own, as nothing joins it to its neighbours. Of each batch of texts the distinct words
+are sorted, which lays them out as a trie in depth-first order; the Viterbi forward
+scores of a prefix shared with the word before are kept, and only the new tail is
+scored, by walking the vocabulary's own trie from each open start.
+
+In a unigram model a piece scores its log probability, and equal scores prefer the
+longer last piece. A model with merge ranks has no probabilities: there all pieces
+score alike, and a piece after another that merging by rank would not leave next to
+it scores minus infinity. Merging a text leaves two neighbours alone exactly if it
+does so in the two by themselves, so one path to each prefix has a finite score, and
+its ids are those of merging in rank order, the SentencePiece library's own.
+
+Characters without a piece become byte pieces, and so does a literal U+2581 (which
+the library would turn into a space), so decoding returns every text exactly.
 
 Defined cases: null text has null ids; an empty text has none. Repeated rows get
 rows of their own. Extra columns pass through; a given column ``ids`` is replaced.
@@ -18,7 +23,7 @@ rows of their own. Extra columns pass through; a given column ``ids`` is replace
 
 from __future__ import annotations
 
-import math
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -36,6 +41,8 @@ MARK = "▁"
 BATCH = 60_000
 #: Words whose ids a worker keeps for later batches before it forgets them all.
 KEPT = 200_000
+#: Pairs of pieces that a worker remembers the merging of before it forgets them all.
+PAIRS = 400_000
 #: Texts that are encoded and passed on at once.
 TEXTS_AT_ONCE = 1000
 LOST = -1e18
@@ -57,7 +64,7 @@ class Pieces:
         size = sp.get_piece_size()
         self.text: list[bytes] = [b""] * size
         scores = {}
-        ranked = all(sp.get_score(i) <= 0 and float(sp.get_score(i)).is_integer() for i in range(size))
+        self.ranked = all(sp.get_score(i) <= 0 and float(sp.get_score(i)).is_integer() for i in range(size))
         self.byte_id = [0] * 256
         for i in range(size):
             piece = sp.id_to_piece(i)
@@ -65,18 +72,47 @@ class Pieces:
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i)):
-                score = sp.get_score(i)
-                scores[piece] = (-math.log(2.0 - score) - 2.0 if ranked else score, i)
+                scores[piece] = (sp.get_score(i), i)
                 self.text[i] = piece.replace(MARK, " ").encode()
+        self.fill(scores)
+
+    def fill(self, scores: dict[str, tuple[float, int]]) -> None:
+        """Takes pieces with their (score, id)."""
         self.trie: dict = {}
-        for piece, found in scores.items():
+        self.rank = {piece: s for piece, (s, _) in scores.items()}
+        self.piece = {i: piece for piece, (_, i) in scores.items()}
+        self.words = re.compile(" +[^ ]*" if any("\n" in piece for piece in scores) else " +[^ \n]*|\n|[^ \n]+").findall
+        for piece, (s, i) in scores.items():
             node = self.trie
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = found
+            node[""] = (0.0 if self.ranked else s, i)
+        self.pairs: dict[int, bool] = {}
         #: A character spelled in bytes costs more than any two pieces.
+        self.byte_cost = 0.0 if self.ranked else 3 * min(self.rank.values(), default=-20.0)
         self.forget()
-        self.byte_cost = 3 * min((s for s, _ in scores.values()), default=-20.0)
+
+    def apart(self, before: int, ident: int) -> bool:
+        """Whether merging by rank leaves the two pieces next to each other (before -1: the second alone)."""
+        if not self.ranked:
+            return True
+        rank = self.rank.get
+        left = self.piece.get(before, "")
+        parts, left = list(left + self.piece[ident]), len(left)
+        ranks = [rank(a + b, LOST) for a, b in zip(parts, parts[1:])]
+        # merges the best pair, the first of equal ones, until none is left or one spans the two pieces
+        while ranks and (best := max(ranks)) != LOST:
+            at = ranks.index(best)
+            if at == left - 1:
+                return False
+            left -= at < left
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            ranks[at : at + 1] = []
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], LOST)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], LOST)
+        return len(parts) == 1 + (before >= 0)
 
     def forget(self) -> None:
         """Drops the words encoded so far: rows, and per row where its ids begin."""
@@ -84,14 +120,17 @@ class Pieces:
         self.ids, self.begin = array("i"), array("q", [0])
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encodes sorted distinct words that have no row yet."""
+        """Encodes sorted distinct words, each with its spaces before it, that have no row yet."""
         ids, begin, rows = self.ids, self.begin, self.rows
         root, byte_id, byte_cost = self.trie, self.byte_id, self.byte_cost
-        score, start, piece, opened = [0.0], [0], [0], [[]]
+        pairs, apart = self.pairs, self.apart
+        score, start, piece, opened = [0.0], [0], [-1], [[]]
         last = ""
         for word in words:
             # a literal marker becomes NUL: neither has a piece, so it is spelled in bytes
-            marked = MARK + word.replace(MARK, "\0")
+            marked = word.replace(MARK, "\0").replace(" ", MARK)
+            if len(pairs) > PAIRS:
+                pairs.clear()
             n = min(len(last), len(marked))
             same = 0
             while same < n and last[same] == marked[same]:
@@ -103,10 +142,16 @@ class Pieces:
                 for i, node in (*opened[at], (at, root)):
                     node = node.get(c)
                     if node is not None:
-                        still.append((i, node))
                         found = node.get("")
+                        if found is None or len(node) > 1:
+                            still.append((i, node))
                         if found is not None and score[i] + found[0] > best:
-                            best, first, ident = score[i] + found[0], i, found[1]
+                            pair = piece[i] << 32 | found[1]
+                            fits = pairs.get(pair)
+                            if fits is None:
+                                fits = pairs[pair] = apart(piece[i], found[1])
+                            if fits:
+                                best, first, ident = score[i] + found[0], i, found[1]
                 if ident < 0:
                     best = score[at] + byte_cost
                 score.append(best)
@@ -119,7 +164,7 @@ class Pieces:
                 if piece[end] >= 0:
                     own.append(piece[end])
                 else:
-                    own += [byte_id[b] for b in reversed(word[end - 2].encode("utf-8", "surrogatepass"))]
+                    own += [byte_id[b] for b in reversed(word[end - 1].encode("utf-8", "surrogatepass"))]
                 end = start[end]
             ids.extend(reversed(own))
             begin.append(len(ids))
@@ -144,7 +189,7 @@ def encode_all(texts: list[str | None], pieces: Pieces) -> tuple[np.ndarray, np.
         seen: set[str] = set()
         cuts, hi = [], lo
         while hi < len(texts) and (hi == lo or len(seen) < BATCH):
-            cuts.append(texts[hi].split(" ") if texts[hi] else [])
+            cuts.append(pieces.words(" " + texts[hi]) if texts[hi] else [])
             seen.update(cuts[-1])
             hi += 1
         if len(pieces.rows) > KEPT:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import sentencepiece
@@ -24,7 +25,7 @@ def scores(v):
 
 
 def brute(v, known, word):
-    marked = P.MARK + word.replace(P.MARK, "\0")
+    marked = word.replace(P.MARK, "\0").replace(" ", P.MARK)
     best = [(0.0, [])]
     for e in range(1, len(marked) + 1):
         ways = [(best[i][0] + known[marked[i:e]][0], i, best[i][1] + [known[marked[i:e]][1]]) for i in range(max(0, e - 40), e) if marked[i:e] in known]
@@ -32,7 +33,7 @@ def brute(v, known, word):
             top = max(ways, key=lambda x: (x[0], -x[1]))
             best.append((top[0], top[2]))
         else:
-            best.append((best[-1][0] + v.byte_cost, best[-1][1] + [v.byte_id[b] for b in word[e - 2].encode()]))
+            best.append((best[-1][0] + v.byte_cost, best[-1][1] + [v.byte_id[b] for b in word[e - 1].encode()]))
     return best[-1][1]
 
 
@@ -42,15 +43,32 @@ def encode(texts):
 
 
 def test_every_word_is_segmented_best(spark, tiny):
-    v = P.load(P.default_model())
+    """A vocabulary with probabilities, here made of the ranks, against trying all ways."""
+    v = P.Pieces(P.default_model())
+    v.ranked = False
+    v.fill({p: (-math.log(2.0 - v.rank[p]) - 2.0, i) for i, p in v.piece.items()})
     known = scores(v)
-    words = sorted({w for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(60).collect() for w in r["text"].split(" ")} | {"", "a▁b", "漢字x", "\n\n", "\0"})
-    v.forget()
+    texts = [r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(60).collect()]
+    words = sorted({w for t in [*texts, "a▁b", "漢字x", "\n\n", "\0", "a   b  "] for w in v.words(" " + t)})
     v.learn(words)
     for i, w in enumerate(words):
         assert list(v.ids[v.begin[i] : v.begin[i + 1]]) == brute(v, known, w)
 
 
+def test_ids_are_the_librarys(spark, tiny):
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
+    texts = [r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r["text"] is not None]
+    texts += ["a  b", "   lead", " trail   ", "x\n\ny \n \n  z\n", "aaaaaaaa bbbbbbbbbbbbbbb", " " * 100 + "a", "漢字 naïve ½①", "....!!!!====----____", "\0"]
+    assert encode(texts) == [sp.encode(t) for t in texts]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n.-=_'aeinst01é漢"), st.characters(exclude_categories=["Cs"], exclude_characters="▁")), max_size=40))
+def test_any_ids_are_the_librarys(text):
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
+    assert encode([text]) == [sp.encode(text)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t▁\0aé漢🙂"), st.characters(exclude_categories=["Cs"])), max_size=30))
 def test_round_trip(text):
