@@ -5,7 +5,9 @@ A log holds one row per event: conv_id, seq, turn, kind, role, text. Kinds:
 * ``message``: opens a turn; its text starts the turn's current version
 * ``delta``: appends its text to the current version (a streamed piece)
 * ``edit``: replaces the current version's text
-* ``regenerate``: starts a new version; every later turn begun before it is dropped
+* ``regenerate``: starts a new version; every later turn begun before it is dropped,
+  with what edits and deltas come later; a turn begins with its last ``message`` (with
+  its first event, if it has none), so a dropped turn that is sent anew stays
 
 Defined cases: null text counts as empty, null kind as ``message``, a null role
 leaves the turn's role as it was (empty if it never had one). An event delivered
@@ -63,13 +65,13 @@ def fold_log(log: DataFrame) -> DataFrame:
             "turn",
             F.coalesce(F.get(F.reverse(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())), F.lit(0)), F.lit("")).alias("role"),
             F.array_join(F.transform(F.slice("log", F.col("reset") + 1, F.size("log")), lambda e: e["text"]), "").alias("text"),
-            F.get("log", F.col("reset"))["seq"].alias("since"),
+            F.coalesce(F.array_max(F.transform("log", lambda e: F.when(e["kind"] == "message", e["seq"]))), F.get("log", F.lit(0))["seq"]).alias("begun"),
             F.array_max(F.transform("log", lambda e: F.when(e["kind"] == "regenerate", e["seq"]))).alias("regenerated"),
         )
     )
     earlier = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
     cut = by_turn.withColumn("cut", F.max("regenerated").over(earlier))
-    return cut.where(F.col("cut").isNull() | (F.col("since") > F.col("cut"))).select("conv_id", "turn", "role", "text")
+    return cut.where(F.col("cut").isNull() | (F.col("begun") > F.col("cut"))).select("conv_id", "turn", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -67,6 +67,22 @@ def test_folding(spark):
     assert got == [(1, 0, "user", "hi"), (1, 1, "assistant", "Hey"), (1, 2, "user", "MORE!"), (1, 3, "assistant", "old"), (2, 0, "user", "q"), (2, 1, "assistant", "a2")]
 
 
+def test_turns_dropped_by_a_regeneration_stay_dropped(spark):
+    head = [(0, 0, "message", "user", "q"), (1, 1, "message", "assistant", "a1"), (2, 2, "message", "user", "old"), (3, 1, "regenerate", None, "a2")]
+    tails = [
+        [(4, 2, "edit", None, "edited"), (5, 2, "delta", None, "!")],
+        [(4, 2, "regenerate", None, "again")],
+        [(4, 2, "message", "user", "new"), (5, 2, "delta", None, "!")],
+        [(4, 2, "message", "user", "new"), (5, 2, "edit", None, "newer")],
+        [(4, 3, "delta", None, "late")],
+    ]
+    rows = [(c, *e) for c, tail in enumerate(tails) for e in head + tail]
+    got = C.fold_log(spark.createDataFrame(rows, LOG).orderBy(F.rand(2))).collect()
+    after = {c: [(r["turn"], r["text"]) for r in sorted(got) if r["conv_id"] == c][2:] for c in range(len(tails))}
+    assert after == {0: [], 1: [], 2: [(2, "new!")], 3: [(2, "newer")], 4: [(3, "late")]}
+    assert all(r["text"] == "a2" for r in got if r["turn"] == 1)
+
+
 def test_digest_is_of_the_text(spark, tmp_path):
     spark.createDataFrame([(7, 0, "user", "é"), (7, 1, "assistant", "ü<|x")], TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
     row = op1_chat_format(spark, str(tmp_path)).where("conv_id = 7").first()
