@@ -7,7 +7,9 @@ elastic-net penalty on a bounded, documented sample of each language; the
 temperature of the softmax is then fitted on a part of the sample kept aside.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-without any training language every text is ``und``. Repeated rows get rows of
+without any training language every text is ``und``. Of equal probabilities the
+language that sorts first counts; very long texts are counted whole, into the same
+number of features; an empty table gives no rows. Repeated rows get rows of
 their own. Extra columns pass through ``predicted``.
 """
 
