@@ -130,6 +130,8 @@ def drop_boilerplate(
             .agg(F.collect_set("line").alias("__drop"))
         )
         marked = marked.join(per_page, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__site") == F.col("__page_site")), "left")
-    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), F.xxhash64(x)))
-    cleaned = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    # the page's own part of the host's list, by one hash set, so that lines aren't held against the whole list
+    marked = marked.withColumn("__hit", F.when(F.col("__drop").isNotNull(), F.array_intersect(_line_hashes(text), "__drop")))
+    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__hit"), F.xxhash64(x)))
+    cleaned = F.when(F.col("__hit").isNull() | (F.size("__hit") == 0), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return marked.withColumn(text, cleaned).select(*columns)
