@@ -8,10 +8,10 @@ documented sample of labelled documents; every passage of every document is
 encoded and weighed when scoring.
 
 Defined cases: null text counts as empty; an empty text is one empty passage, so
-it gets a score; a very long text has as many passages as its length asks for. Equal texts
-have equal scores, and a score of exactly the threshold is not rejected. Repeated rows get rows of their own. Without any label, or with
-one class only, every score is that class's smoothed share. Extra columns of the
-given table pass through ``scored``.
+it gets a score; a very long text has as many passages as its length asks for. Equal
+texts have equal scores, and a score of exactly the threshold is not rejected. Repeated
+rows get rows of their own. Without any label, or with one class only, every score is
+that class's smoothed share. Extra columns of the given table pass through ``scored``.
 """
 
 from __future__ import annotations

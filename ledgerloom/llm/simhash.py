@@ -20,8 +20,9 @@ spanning forests are verified by the shingles themselves. Two texts alike by 0.8
 a band with a probability of 0.9998.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any
-other; repeated rows each get their row; null doc_id takes part but is never a
-component's id (null if all of a component's ids are). Extra columns are ignored.
+other; repeated rows each get their row; a row with a null doc_id gets the component of
+rows with its fingerprint, but is never a component's id, and a fingerprint that only
+such rows have links to no other (its component_id is null). Extra columns are ignored.
 """
 
 from __future__ import annotations
