@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, language, license_scan, line_dedup, lm_score, pieces, quality, simhash
+from . import chat_format, decontaminate, fingerprint, language, license_scan, line_dedup, lm_score, merkle, pieces, prefix_trie, quality, simhash, token_count
 from .shared import read, small_batches
 
 
@@ -130,6 +130,99 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), _remainder(5) == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
+#: The vocabulary that op13 counts by.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    small_batches(spark)
+    return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of a number's decimal text in DuckDB."""
+    signs = f"list_transform(string_split(cast({x} as varchar), ''), lambda c: cast(ascii(c) as bigint))"
+    bits = "list_reduce(list_prepend(xor(a, c), range(8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, cast(3988292384 as bigint)) else v >> 1 end)"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {signs}), lambda a, c: {bits}), cast(4294967295 as bigint))"
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Each level of the trees as a step of its own; a tree of fewer levels keeps its root."""
+    sized = lambda x: f"coalesce(strlen(cast({x} as varchar)) || ':' || {x}, '-')"
+    leaf = lambda text: f"sha256({sized('doc_id')} || {sized('source')} || {sized('lang')} || {sized('n_chars')} || {sized(text)})"
+
+    def tree(name: str, lowest: str) -> str:
+        """CTEs name0, name1, ... with (tree, idx, hash, n), n the number of nodes of the level."""
+        out = [f"{name}0 as ({lowest})"]
+        for i in range(levels):
+            out.append(
+                f"{name}{i + 1} as (select tree, idx // 16 as idx, case when any_value(n) = 1 then any_value(hash) else sha256(string_agg(hash, '' order by idx)) end as hash, (any_value(n) + 15) // 16 as n from {name}{i} group by tree, idx // 16)"
+            )
+        return ", ".join(out)
+
+    def steps(name: str, before: str, place: str, which: str) -> str:
+        """CTEs that add, level by level, siblings to the proof and the parent to the folded hash."""
+        out = []
+        for i in range(levels):
+            own = f"{place} // {16**i}"
+            of = lambda part: f"(select string_agg(x.hash, '' order by x.idx) from {name}{i} x where x.tree is not distinct from p.{which} and x.idx // 16 = ({own}) // 16 {part})"  # noqa: B023, E731
+            low, high = of(f"and x.idx < {own}"), of(f"and x.idx > {own}")
+            single = f"(select any_value(x.n) = 1 from {name}{i} x where x.tree is not distinct from p.{which})"
+            out.append(f"{name}p{i} as (select p.* exclude (proof, now), {single} as one_, coalesce({low}, '') as low_, coalesce({high}, '') as high_, p.proof, p.now from {before} p)")
+            before = f"{name}q{i}"
+            out.append(f"{before} as (select * exclude (proof, now, low_, high_, one_), case when one_ then proof else proof || low_ || high_ end as proof, case when one_ then now else sha256(low_ || now || high_) end as now from {name}p{i})")
+        return ", ".join(out)
+
+    return f"""
+with leaf as materialized (select doc_id, source as tree, {leaf('text')} as leaf,
+  case when {_crc32('doc_id')} % 5 = 0 then {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as bad from documents),
+placed as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by tree) as n from leaf),
+{tree('t', 'select tree, place as idx, leaf as hash, n from placed')},
+sub as (select tree, hash, row_number() over (order by tree nulls first) - 1 as rank_, count(*) over () as n from t{levels}),
+{tree('u', 'select 0 as tree, rank_ as idx, hash, n from sub')},
+start as (select p.*, s.hash as subroot, s.rank_, 0 as top, '' as proof, coalesce(bad, leaf) as now from placed p join sub s on p.tree is not distinct from s.tree),
+{steps('t', 'start', 'place', 'tree')},
+{steps('u', f'tq{levels - 1}', 'rank_', 'top')}
+select doc_id, leaf, subroot, r.hash as root, sha256(proof) as proof_sha256, now as folded_root, now = r.hash as verified from uq{levels - 1}, u{levels} r"""
+
+
+OP12_SQL = f"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as pos
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 20 as giver, {_crc32('conv_id')} % 4 as h from t group by conv_id),
+r as (
+  select c.conv_id, 0 as part, t.pos, t.role, t.text from c join t on t.conv_id = c.giver and t.pos <= c.h
+  union all select c.conv_id, 1, t.pos, t.role, t.text from c join t on t.conv_id = c.conv_id and t.pos > c.h),
+w as (select conv_id, text, row_number() over (partition by conv_id order by part, pos) as i, role from r),
+k as (
+  select conv_id, i, text, list({{'r': role, 'x': sha256(text)}}) over (partition by conv_id order by i) as path, lag(i) over (partition by conv_id order by i) as before from w),
+m as (
+  select conv_id, i as depth, path, list_slice(path, 1, i - 1) as up, length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words, i = max(i) over (partition by conv_id) as stops from k
+  union all select conv_id, 0, [], null, 0, not exists (select 1 from w where w.conv_id = c.conv_id) from c),
+n as (
+  select depth, path, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (stops), '')) as ends_sha256 from m group by depth, path),
+kids as (select up as path, count(*) as n_children from n where depth > 0 group by up),
+f as (select n.*, coalesce(kids.n_children, 0) as n_children from n left join kids on n.path = kids.path),
+below as (
+  select a.path, count(*) filter (b.n_children = 0) as n_leaves, cast(sum((b.n_convs - 1) * b.words) as bigint) as saved_tokens
+  from f a join f b on b.depth >= a.depth and list_slice(b.path, 1, a.depth) = a.path group by a.path)
+select f.conv_id, cast(f.depth as bigint) as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, below.n_leaves, below.saved_tokens, f.ends_sha256
+from f join below on f.path = below.path left join f p on f.depth > 0 and p.path = f.up"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -141,9 +234,14 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL = {
     "op1_chat_format": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_merkle": _merkle_sql(),
+    "op12_prefix_trie": OP12_SQL,
 }
