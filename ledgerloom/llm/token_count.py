@@ -67,7 +67,7 @@ class Splitter:
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
-        self.lengths = lambda texts: [len(e.ids) for e in model.encode_batch(texts, add_special_tokens=False)]
+        self.lengths = lambda texts: [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         split, added = rules.get("pre_tokenizer") or {}, rules.get("added_tokens") or []
@@ -125,19 +125,17 @@ class Counts:
         out = [0] * len(texts)
         for i, text in enumerate(texts):
             words, out[i] = self.split.counted(text)
-            new = words.keys() - self.known.keys()
-            other = {}
+            known, other = self.known, {}
+            new = [w for w in words if w not in known]
             if new:
                 if any(map(_unassigned, new)):
                     out[i] = self.split.lengths([text])[0]
                     continue
-                new = list(new)
                 for lo in range(0, len(new), AT_ONCE):
                     part = new[lo : lo + AT_ONCE]
                     found = dict(zip(part, self.split.lengths(part)))
-                    self.known.update({w: n for w, n in found.items() if len(w) <= LONGEST})
+                    known.update({w: n for w, n in found.items() if len(w) <= LONGEST})
                     other.update({w: n for w, n in found.items() if len(w) > LONGEST})
-            known = self.known
             out[i] += sum([n * (known[w] if w in known else other[w]) for w, n in words.items()])
             if len(known) > len(self.frequent) + 2 * self.held:
                 self.known = dict(self.frequent)
