@@ -14,8 +14,24 @@ far a text of more edits could still beat.
   of the longer one (with a mark at either end, L signs have L + 1). Of each text's
   bigrams, rarest first, the first 2d + 1 therefore hold a shared one: the join is on
   these alone, so common bigrams are left out as long as d is small. The last round
-  takes as many edits as the cutoff allows. Every pair of score over 50 shares a bigram,
-  so for such cutoffs the result is that of comparing all pairs.
+  takes as many edits as the cutoff allows. Every pair of score over 50 shares two bigrams,
+  so for such cutoffs the result is that of comparing all pairs. A bigram of more than
+  ``LIGHT`` texts is no key by itself: it is one with each further bigram of the text's
+  first 2d + 2, which hold two shared ones; so texts don't meet on a common bigram alone.
+
+``weighted`` adds two scores for names of unlike length:
+
+* tokens: the share, by length, of the side with fewer signs in its distinct words that
+  the other side has too. Each text is looked for by its rarest words, as many as a shared
+  set that reaches the cutoff can't do without, among all words of the other side.
+* parts: where one text is at least ``UNLIKE`` times as long, the shorter one is held
+  against its best window in the longer (a window of its length), and counts if at least
+  ``FITS`` percent of it need no edit. An edit breaks q runs of q signs, so of q * e + 1
+  runs of the shorter text, the rarest, one stands in the longer as it is. Rounds go from
+  no edit to as many as ``FITS`` allows, each with twice as many.
+
+Both count ``TOKENS`` and 1 of their share, times 0.9 where the lengths are unlike and 0.6
+where one is eight times the other or more.
 """
 
 from __future__ import annotations
@@ -36,6 +52,13 @@ REORDERED = 0.95
 #: Edits found by deletions, and signs of the longest texts for which they are: their number grows with the square.
 NEAR, SHORT = 2, 40
 Q = 2
+#: Texts that one bigram may bring together.
+LIGHT = 64
+# What the scores of shared words and of parts count, by how unlike the lengths are.
+TOKENS, UNLIKE, FAR = 0.95, 1.5, 8.0
+UNLIKE_SCALE, FAR_SCALE = 0.9, 0.6
+#: Percent of the shorter text that its best window must fit; longest runs that are looked up.
+FITS, RUN = 80.0, 4
 
 
 def score(a: Column, b: Column) -> Column:
@@ -55,7 +78,14 @@ def _grams(text: Column) -> Column:
 def _rare_first(texts: DataFrame, text: str, frequency: DataFrame) -> DataFrame:
     """texts with the array ``grams``, rarest first."""
     each = texts.select(text, F.explode(_grams(F.col(text))).alias("gram")).join(frequency, "gram", "left")
-    return each.groupBy(text).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), lambda x: x["gram"]).alias("grams"))
+    return each.groupBy(text).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
+
+
+def _gram_keys(grams: Column, few: Column) -> Column:
+    """Keys of a text by its grams (n, gram), rarest first: each of the first ``few``, or, of a common one, its pairs with what follows it in the first few + 1."""
+    first, more = F.slice(grams, F.lit(1), few), F.slice(grams, F.lit(1), few + 1)
+    pairs = lambda g, i: F.transform(F.slice(more, i + 2, F.size(more)), lambda h: F.concat(g["gram"], F.lit("\x04"), h["gram"]))
+    return F.flatten(F.transform(first, lambda g, i: F.when(g["n"] <= LIGHT, F.array(g["gram"])).otherwise(pairs(g, i))))
 
 
 def _without_one(texts: Column) -> Column:
@@ -72,7 +102,7 @@ def _keys(text: Column, edits: int) -> Column:
 
 
 def _search(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
-    """(a, b, score): for each text of left (a) the best ones of right (b), ties included."""
+    """(a, b, score): for each text of left (a) the best ones of right (b), ties included; with a column ``best`` in left, only those no worse than that are surely found."""
     allowed = 1 - cutoff / 100
     found: list[DataFrame] = []
 
@@ -83,27 +113,33 @@ def _search(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
         # a text of more edits scores less than this
         open_to = F.bround((1 - (d + 1) / (F.length("a") + d + 1)) * 100, 4)
         done = found[-1].where((F.col("score") > open_to) & (F.length("a") <= longest if longest else F.lit(True))).select("a").distinct()
-        return written(todo.join(done, "a", "left_anti"), "fuzzy-todo")
+        rest = todo.where((F.col("best") <= open_to) | (F.length("a") > longest if longest else F.lit(False)))
+        return written(rest.join(done, "a", "left_anti"), "fuzzy-todo")
 
-    todo = left
+    todo = left if "best" in left.columns else left.withColumn("best", F.lit(0.0))
+    near = lambda d: F.bround((1 - d / F.greatest(F.length("a") + d, F.lit(1))) * 100, 4)
     for d in range(1, NEAR + 1):
         keyed = lambda df, x: df.where(F.length(x) <= SHORT).select(x, F.explode(_keys(F.col(x), d)).alias("key"))  # noqa: B023, E731
+        # equal texts, too, are found by this round
+        mine = todo.where(F.col("best") <= (100.0 if d == 1 else near(d)))
         # a longer text may lie as near to one that is left out here
-        todo = settle(todo, keyed(todo, "a").join(keyed(right, "b"), "key").select("a", "b").distinct(), d, SHORT - d)
+        todo = settle(todo, keyed(mine, "a").join(keyed(right, "b"), "key").select("a", "b").distinct(), d, SHORT - d)
         if todo.isEmpty():
             break
     else:
         longest = todo.select(F.length("a").alias("n")).union(right.select(F.length("b").alias("n"))).agg(F.max("n")).first()[0] or 0
         frequency = written(right.select(F.explode(_grams(F.col("b"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "fuzzy-grams")
         a, b = (written(_rare_first(df, x, frequency), "fuzzy-texts") for df, x in ((todo, "a"), (right, "b")))
+        a = a.join(todo.select("a", "best"), "a")
         rounds = [NEAR]
         while rounds[-1] < allowed * longest:
             rounds.append(2 * rounds[-1] + 1)
         todo = a
         for d in rounds:
             # no more than the cutoff allows: at 60, a text of L signs shares 0.2 L + 1 bigrams of L + 1
-            few = lambda x: F.least(F.lit(2 * d + 1), F.ceil(F.length(x) * 2 * allowed).cast("int") + 1)  # noqa: B023, E731
-            keyed = lambda df, x: df.where(F.length(x) > (SHORT - NEAR if d == NEAR else -1)).select(x, F.explode(F.slice("grams", F.lit(1), few(x))).alias("gram"))  # noqa: B023, E731
+            share = lambda x: F.least(F.lit(allowed), 1 - F.col("best") / 100 + 1e-9) if x == "a" else F.lit(allowed)
+            few = lambda x: F.least(F.lit(2 * d + 1), F.ceil(F.length(x) * 2 * share(x)).cast("int") + 1)  # noqa: B023, E731
+            keyed = lambda df, x: df.where(F.length(x) > (SHORT - NEAR if d == NEAR else -1)).select(x, F.explode(_gram_keys(F.col("grams"), few(x))).alias("gram"))  # noqa: B023, E731
             met = keyed(todo, "a").join(keyed(b, "b"), "gram").where(F.abs(F.length("a") - F.length("b")) <= d).select("a", "b").distinct()
             todo = settle(todo, met, d)
             if todo.isEmpty():
@@ -111,19 +147,160 @@ def _search(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def best_matches(base: DataFrame, on: str, ref: DataFrame, ref_on: str, cutoff: float = CUTOFF, reordered: bool = True) -> DataFrame:
+def _scale(a: Column, b: Column) -> Column:
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when(long < UNLIKE * short, 1.0).when(long < FAR * short, UNLIKE_SCALE).otherwise(FAR_SCALE)
+
+
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))
+
+
+def _weight(tokens: Column) -> Column:
+    return F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
+
+
+def token_score(a: Column, b: Column) -> Column:
+    """0 to 95: share of the lighter side's words, by length, that the other side has."""
+    x, y = _tokens(a), _tokens(b)
+    least = F.least(_weight(x), _weight(y))
+    return F.when(least == 0, 0.0).otherwise(F.bround(_weight(F.array_intersect(x, y)) / least * 100 * TOKENS * _scale(a, b), 4))
+
+
+def _edits_of_part(a: Column, b: Column) -> Column:
+    """Edits between the shorter text and its best window in the longer."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    n = F.length(short)
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.length(long) - n + 1), lambda i: F.levenshtein(short, F.substring(long, i, n))))
+
+
+def part_score(a: Column, b: Column, edits: Column | None = None) -> Column:
+    """0 to 90: share of the shorter text that fits the longer one's best window; 0 if the lengths are alike or too little of it fits."""
+    n = F.least(F.length(a), F.length(b))
+    share = (1 - (_edits_of_part(a, b) if edits is None else edits) / F.when(n > 0, n)) * 100
+    return F.when((n > 0) & (_scale(a, b) < 1) & (share >= FITS), F.bround(share * _scale(a, b), 4)).otherwise(0.0)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("rank", F.rank().over(W.partitionBy("a").orderBy(F.desc("score")))).where("rank = 1").drop("rank")
+
+
+def _token_search(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b, score): for each text of left (a, best so far) the best ones of right by shared words, if they are no worse."""
+    words = lambda df, x: df.select(x, F.explode(_tokens(F.col(x))).alias("word"))
+    # of both sides: a text of either may be the lighter one
+    counts = written(words(left, "a").select("word").unionByName(words(right, "b").select("word")).groupBy("word").agg(F.count("*").alias("n")), "fuzzy-words")
+
+    def placed(df: DataFrame, x: str) -> DataFrame:
+        """Words of each text with its weight; ``rest`` is the weight of the words from here to the most frequent one."""
+        each = words(df, x).join(counts, "word").groupBy(x).agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("words"))
+        rest = lambda i: F.aggregate(F.slice("words", i + 1, F.size("words")), F.lit(0), lambda n, w: n + F.length(w["word"]))
+        own = each.select(x, F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w["word"])).alias(f"w_{x}"), F.transform("words", lambda w, i: F.struct(w["word"].alias("word"), rest(i).alias("rest"))).alias("words"))
+        return written(own.select(x, f"w_{x}", F.explode("words").alias("w")).select(x, f"w_{x}", "w.*"), "fuzzy-placed")
+
+    a, b = placed(left, "a"), placed(right, "b")
+    light = {x: df.agg(F.min(f"w_{x}"), F.max(f"w_{x}")).first() for x, df in (("a", a), ("b", b))}
+    # a shared set of so much of the weight can't begin later
+    leads = lambda x, share: F.col("rest") >= share * F.col(f"w_{x}") - 1e-9
+    side = lambda df, x: df.select(x, f"w_{x}", "word")
+
+    def met(of_a: DataFrame, share_a: Column, share_b: float) -> DataFrame:
+        mine = side(of_a.where(leads("a", share_a)), "a").join(side(b, "b"), "word").where("w_a <= w_b")
+        heavy, lighter = of_a.where(F.col("w_a") >= (light["b"][0] or 0)), b.where(leads("b", F.lit(share_b)) & (F.col("w_b") <= (light["a"][1] or 0)))
+        return mine.select("a", "b").unionByName(side(heavy, "a").join(side(lighter, "b"), "word").where("w_b <= w_a").select("a", "b")).distinct()
+
+    scored = lambda pairs: pairs.withColumn("score", token_score(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
+    # texts whose words all stand in the other one need but the rarest word
+    whole = written(_best(scored(met(a, F.lit(1.0), 1.0))), "fuzzy-found")
+    known = left.join(whole.groupBy("a").agg(F.max("score").alias("now")), "a", "left").select("a", F.greatest(F.lit(cutoff), "best", F.coalesce("now", F.lit(0.0))).alias("best"))
+    more = written(a.join(known.where(F.col("best") <= 100 * TOKENS), "a"), "fuzzy-todo")
+    part = written(_best(scored(met(more, F.col("best") / 100 / TOKENS, cutoff / 100 / TOKENS))), "fuzzy-found")
+    return whole.unionByName(part)
+
+
+def _runs(text: Column, q: Column | int) -> Column:
+    """All runs of q signs; none of a shorter text."""
+    n = F.length(text)
+    return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(text, i, F.lit(q) if isinstance(q, int) else q))).otherwise(F.array().cast("array<string>"))
+
+
+def _part_search(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b, score): for each text of left (a, best so far) the best ones of right of which one is part of the other, if they are no worse."""
+    found: list[DataFrame] = []
+    sides = {"a": left, "b": right}
+    other = {"a": "b", "b": "a"}
+    spread = {x: df.agg(F.min(F.length(x)), F.max(F.length(x))).first() for x, df in sides.items()}
+    least, lengths = ({x: r[i] or 0 for x, r in spread.items()} for i in (0, 1))
+    counted = {}
+    for x, df in sides.items():
+        runs = df.select(F.explode(F.array_distinct(F.flatten(F.array(*[_runs(F.col(x), q) for q in range(1, RUN + 1)])))).alias("run"))
+        counted[x] = written(runs.groupBy("run").agg(F.count("*").alias("n")), "fuzzy-runs")
+
+    def met(short: str, todo: DataFrame, e: int) -> DataFrame:
+        """Pairs in which the text of side ``short`` is the shorter one and may fit with e edits: its rarest runs stand in the longer."""
+        long = other[short]
+        x, n = F.col(short), F.length(short)
+        # no more edits than FITS allows
+        own = F.least(F.lit(e), F.floor((100 - FITS) / 100 * n + 1e-9).cast("int"))
+        if short == "a":  # nor more than could still give a better score
+            own = F.least(own, F.floor((1 - F.col("best") / (100 * UNLIKE_SCALE)) * n + 1e-9).cast("int"))
+        q = F.least(F.lit(RUN), F.floor(n / (own + 1)).cast("int"))
+        mine = (todo if short == "a" else right).where((n > 0) & (UNLIKE * n <= lengths[long]) & (own >= 0)).select(short, own.alias("own"), q.alias("q"), F.explode(F.transform(_runs(x, q), lambda r, i: F.struct(i.alias("i"), r.alias("run")))).alias("r"))
+        ranked = mine.select(short, "own", "q", "r.*").join(counted[long], "run", "left").groupBy(short, "own", "q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "run"))).alias("runs"))
+        keys = ranked.select(short, F.explode(F.array_distinct(F.transform(F.slice("runs", F.lit(1), F.col("q") * F.col("own") + 1), lambda r: r["run"]))).alias("run"))
+        # a run of the longer has to be one that is looked for
+        theirs = (right if long == "b" else todo).where(F.length(long) >= UNLIKE * max(least[short], 1)).select(long, F.explode(F.array_distinct(F.flatten(F.array(*[_runs(F.col(long), k) for k in range(1, RUN + 1)])))).alias("run"))
+        return keys.join(theirs, "run").where(F.length(long) >= UNLIKE * n).select("a", "b")
+
+    todo, e = left, 0
+    shorter = max(min(lengths["a"], lengths["b"] / UNLIKE), min(lengths["b"], lengths["a"] / UNLIKE))
+    most = int((100 - FITS) / 100 * shorter + 1e-9)
+    while shorter and e <= most:
+        pairs = met("a", todo, e).unionByName(met("b", todo, e)).distinct().withColumn("edits", _edits_of_part(F.col("a"), F.col("b"))).where(F.col("edits") <= e)
+        scored = pairs.select("a", "b", part_score(F.col("a"), F.col("b"), F.col("edits")).alias("score")).where(F.col("score") >= cutoff)
+        found.append(written(_best(scored), "fuzzy-found"))
+        # what more edits could still reach, the shorter text being no longer than a
+        still = F.bround((1 - (e + 1) / F.nullif(F.length("a"), F.lit(0))) * 100 * UNLIKE_SCALE, 4)
+        done = found[-1].where(F.col("score") > still).select("a").distinct()
+        if e == most:
+            break
+        todo, e = written(todo.where(F.col("best") <= still).join(done, "a", "left_anti"), "fuzzy-todo"), min(2 * e + 1, most)
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found) if found else left.select("a", F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("score")).limit(0)
+
+
+def best_matches(base: DataFrame, on: str, ref: DataFrame, ref_on: str, cutoff: float = CUTOFF, reordered: bool = True, weighted: bool = False) -> DataFrame:
     """(value, ref_value, score): the best reference value of each base value that has one."""
     left = base.select(name(on).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct().withColumn("a", fuzzy_text(F.col("value")))
     right = ref.select(name(ref_on).cast("string").alias("ref_value")).where(F.col("ref_value").isNotNull()).distinct().withColumn("b", fuzzy_text(F.col("ref_value")))
     # of reference values that are one text the smallest stands for all
     smallest = lambda df: df.groupBy("b").agg(F.min("ref_value").alias("ref_value"))
-    found = _search(left.select("a").distinct(), right.select("b").distinct(), cutoff)
-    pairs = [left.join(found, "a").join(smallest(right), "b").select("value", "ref_value", "score")]
+    pairs: list[DataFrame] = []
+
+    def open_to(most: float, texts: DataFrame) -> DataFrame:
+        """(value, a, best) of the values whose best score so far is no better than most."""
+        if not pairs:
+            return texts.withColumn("best", F.lit(0.0))
+        best = written(reduce(DataFrame.unionByName, pairs).groupBy("value").agg(F.max("score").alias("best")), "fuzzy-best")
+        return texts.join(best, "value", "left").withColumn("best", F.coalesce("best", F.lit(0.0))).where(F.col("best") <= most)
+
+    # of values that are one text the worst score decides how far is looked
+    of_texts = lambda df: written(df.groupBy("a").agg(F.min("best").alias("best")), "fuzzy-todo")
+
+    def look(search, most: float) -> None:
+        found = search(of_texts(open_to(most, left)), right.select("b").distinct(), cutoff)
+        pairs.append(left.join(found, "a").join(smallest(right), "b").select("value", "ref_value", "score"))
+
+    # what is found decides how many edits the later, dearer searches look for
+    if weighted:
+        look(_token_search, 100 * TOKENS)
+        look(_part_search, 100 * UNLIKE_SCALE)
+    look(_search, 100.0)
     if reordered:
         in_order = lambda t: F.array_join(F.sort_array(F.split(t, r"\s+")), " ")
-        settled = found.where(F.col("score") > 100 * REORDERED).select("a").distinct()
-        left, right = left.join(settled, "a", "left_anti").withColumn("a", in_order(F.col("a"))), right.withColumn("b", in_order(F.col("b")))
-        found = _search(left.select("a").distinct(), right.select("b").distinct(), cutoff / REORDERED)
+        left, right = open_to(100 * REORDERED, left).withColumn("a", in_order(F.col("a"))), right.withColumn("b", in_order(F.col("b")))
+        found = _search(of_texts(left.withColumn("best", F.bround(F.col("best") / REORDERED - 5e-5, 4))), right.select("b").distinct(), cutoff / REORDERED)
         pairs.append(left.join(found, "a").join(smallest(right), "b").select("value", "ref_value", F.bround(F.col("score") * REORDERED, 4).alias("score")))
     first = F.struct(-F.col("score"), F.col("ref_value"))
     return reduce(DataFrame.unionByName, pairs).groupBy("value").agg(F.min_by("ref_value", first).alias("ref_value"), F.max("score").alias("score"))

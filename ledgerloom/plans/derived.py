@@ -74,3 +74,16 @@ def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c, n = F.col("c_custkey"), F.col("c_name")
     changed = F.when(c % 3 == 0, F.upper(F.replace(n, F.lit("#"), F.lit("-")))).when(c % 3 == 1, F.concat(F.substring(n, F.lit(1), F.length(n) - 1))).otherwise(F.concat(F.substring(n, 1, 12), F.substring(n, F.lit(14), F.length(n))))
     return customers.select(n.alias("Name"), "c_custkey"), customers.select(changed.alias("Alias"), F.col("c_custkey").alias("Id"))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Long names of parts, and short ones as people write them: some of the words in another order, or a piece with a typing error."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")
+    k = F.col("p_partkey")
+    title = F.concat_ws(" ", "p_name", "p_brand", F.lit("lot"), k.cast("string"), "p_type")
+    first, last = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    some = F.concat_ws(" ", k.cast("string"), F.upper(last), F.when(k % 2 == 0, first), F.lit("Lot"))
+    # the middle of the title, with one sign replaced for every third part
+    piece = F.substring(title, F.lit(3), F.length("p_name") + 5)
+    piece = F.when(k % 3 == 0, F.concat(F.substring(piece, 1, 4), F.lit("~"), F.substring(piece, F.lit(6), F.length(piece)))).otherwise(piece)
+    return parts.select(title.alias("Title"), "p_partkey"), parts.select(some.alias("Words"), piece.alias("Piece"), k.alias("Id"))

@@ -207,6 +207,32 @@ b as (select distinct alias as value, trim(lower(regexp_replace(alias, '[^\\p{L}
 pairs as (select value, ref_value, round_even((1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))) * 100, 4) as score from a, b),
 best as (select value, ref_value, score from (select *, row_number() over (partition by value order by score desc, ref_value) as rk from pairs where score >= 60) where rk = 1)"""
 
+_TITLES = """
+p as (select *, p_name || ' ' || p_brand || ' lot ' || p_partkey || ' ' || p_type as title from part),
+s as (select p_partkey as id, title, p_partkey || ' ' || upper(split_part(p_name, ' ', -1)) || case when p_partkey % 2 = 0 then ' ' || split_part(p_name, ' ', 1) else '' end || ' Lot' as words,
+  substr(title, 3, length(p_name) + 5) as whole from p),
+short as (select id, words, case when id % 3 = 0 then substr(whole, 1, 4) || '~' || substr(whole, 6) else whole end as piece from s)"""
+
+
+def _weighted(column: str) -> str:
+    """CTEs ending in ``best``: the best title of each value, of all pairs."""
+    text = lambda c: f"trim(lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', ' ', 'g')))"
+    words = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''))"
+    weight = lambda c: f"coalesce(list_sum(list_transform({c}, lambda w: length(w))), 0)"
+    order = lambda c: f"array_to_string(list_sort(regexp_split_to_array({c}, '\\s+')), ' ')"
+    ratio = lambda a, b: f"(1 - levenshtein({a}, {b}) / greatest(length(a.t), length(b.t))) * 100"
+    return f"""{_TITLES},
+a as (select *, {words('t')} as ws, {order('t')} as o from (select distinct {column} as value, {text(column)} as t from short)),
+b as (select *, {words('t')} as ws, {order('t')} as o from (select distinct title as ref_value, {text('title')} as t from p)),
+scales as (
+  select a.value, b.ref_value, round_even({ratio('a.t', 'b.t')}, 4) as plain, round_even(round_even({ratio('a.o', 'b.o')}, 4) * 0.95, 4) as ordered,
+    case when len(y) < 1.5 * len(x) then 1.0 when len(y) < 8 * len(x) then 0.9 else 0.6 end as scale, x, y, {weight('list_intersect(a.ws, b.ws)')} / least({weight('a.ws')}, {weight('b.ws')}) as share
+  from a, b, lateral (select case when length(a.t) <= length(b.t) then a.t else b.t end as x, case when length(a.t) <= length(b.t) then b.t else a.t end as y)),
+parts as (select *, (1 - list_min(list_transform(range(1, cast(len(y) - len(x) + 2 as bigint)), lambda i: levenshtein(x, substr(y, i, len(x))))) / len(x)) * 100 as fit from scales),
+pairs as (select value, ref_value, greatest(plain, ordered, round_even(share * 95 * scale, 4), case when scale < 1 and fit >= 80 then round_even(fit * scale, 4) else 0 end) as score from parts),
+best as (select value, ref_value, score from (select *, row_number() over (partition by value order by score desc, ref_value) as rk from pairs where score >= 60) where rk = 1)"""
+
+
 SQL: dict[str, str] = {
     "clean_key": f'with {TABLES} select "Invoice", {key("\"Invoice\"")} as key from base',
     "parse_amount": f"""with {TABLES} select "Invoice", "Amount", {money_of('"Amount"')} as amount_value, try_cast(trim(replace(replace("Amount", ',', ''), '$', '')) as double) as aging_value from base""",
@@ -270,6 +296,9 @@ select "Source", cov as "Coverage", p as "Present", n - p as "Missing", e as "Ex
     "fuzzy_best": f"with {_FUZZY} select * from best",
     "fuzzy_join": f"""with {_FUZZY} select al.alias as "Alias", al.id as "Id", coalesce(best.ref_value, 'No Match') as "Crm_Match_Key", c.c_name as "Crm_Name", c.c_custkey as "Crm_c_custkey"
 from al left join best on al.alias = best.value left join customer c on c.c_name = best.ref_value""",
+    "fuzzy_tokens": f"with {_weighted('words')} select * from best",
+    "fuzzy_partial": f"""with {_weighted('piece')} select short.piece as "Piece", short.id as "Id", coalesce(best.ref_value, 'No Match') as "Parts_Match_Key", p.title as "Parts_Title", p.p_partkey as "Parts_p_partkey"
+from short left join best on short.piece = best.value left join p on p.title = best.ref_value""",
     "report_classes": f"""with {_report()} select "Status", case when "Status" in ('NO DATA') then 'neutral' when "Status" = 'MATCH' then 'good' when "Status" like 'PARTIAL%' then 'bad' else 'bad' end as status_class,
   case when "Delta" < -0.01 then 'negative' when "Delta" > 0.01 then 'positive' else 'neutral' end as delta_class, count(*) as n_keys from every group by 1, 2, 3""".replace("when \"Status\" like 'PARTIAL%' then 'bad'", "when \"Status\" like 'PARTIAL%' then 'warn'"),
     "level_classes": f"""with {_report()}, {RISK} select "Risk Level", case when "Risk Level" like '%Low' then 'low' when "Risk Level" like '%Medium' then 'medium' when "Risk Level" like '%High' then 'high' else 'other' end as level_class, count(*) as n_keys from risk group by 1, 2""",

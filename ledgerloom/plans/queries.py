@@ -211,6 +211,18 @@ def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.fuzzy_join(b, "Alias", a, "Name", "Crm", reordered=False)
 
 
+def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best part title of each short name by shared words, word order and edits."""
+    a, b = D.titles(spark, sf_dir)
+    return fuzzy.best_matches(b, "Words", a, "Title", weighted=True)
+
+
+def fuzzy_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles joined to pieces of them."""
+    a, b = D.titles(spark, sf_dir)
+    return fuzzy.fuzzy_join(b.select("Piece", "Id"), "Piece", a, "Title", "Parts", weighted=True)
+
+
 def report_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = reports.with_classes(_report(spark, sf_dir, keep=True))
     return done.groupBy("Status", "status_class", "delta_class").agg(F.count("*").alias("n_keys"))
@@ -320,7 +332,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_key, parse_amount, parse_date, age_bucket, date_cleanup, canonical_date, strict_subset, issues, detail_left, detail_full, match_count, match_source, dup_summary,
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
-        patterns, fuzzy_best, fuzzy_join, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
+        patterns, fuzzy_best, fuzzy_join, fuzzy_tokens, fuzzy_partial, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
         risk_order, outlier_order, iqr_all_match, report_sink, csv_scan, csv_pruned, date_spellings, detail_full_null_apart, source_reliability_default, risk_with_age,
     )
 }
