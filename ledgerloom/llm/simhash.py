@@ -16,8 +16,9 @@ are cut into pairs of chunks so that no task holds one whole.
 bits, which no choice of bit blocks can place. There, fingerprints have 256 bits, texts
 meet where four minima of their shingle hashes agree (16 such bands), pivots and
 fingerprints discard pairs that differ in more than 50 bits, and the links of the
-spanning forests are verified by the shingles themselves. Two texts alike by 0.8 share
-a band with a probability of 0.9998.
+spanning forests are verified by the shingles themselves. Where a forest's link is
+refused, it may have stood for another: there, all links between texts not yet connected
+are verified. Two texts alike by 0.8 share a band with a probability of 0.9998.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any
 other; repeated rows each get their row; a row with a null doc_id gets the component of
@@ -152,12 +153,31 @@ def _masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray = PIVOTS[:, None]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the nodes of each key; rows come sorted by key, fps has a row of 64-bit words for each."""
+def _cross_pairs(rows: np.ndarray, nodes: np.ndarray, fps: np.ndarray, labels: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """All links among rows of one place whose ends have different labels."""
+    out = []
+    rows = rows[np.argsort(table[rows, 0], kind="stable")]
+    first = table[rows, 0]
+    for i, u in enumerate(rows):
+        near = rows[i + 1 : np.searchsorted(first, first.dtype.type(first[i] + radius), "right")]
+        near = near[labels[near] != labels[u]]
+        for p in range(1, table.shape[1]):
+            if not len(near):
+                break
+            near = near[np.abs(table[near, p] - table[u, p]) <= radius]
+        near = near[np.bitwise_count(fps[near] ^ fps[u]).sum(axis=-1, dtype=np.int64) <= radius]
+        out += [(int(nodes[u]), x) for x in nodes[near].tolist()]
+    return out
+
+
+def _links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray = PIVOTS[:, None], labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the nodes of each key, or all links between nodes of different labels; rows come sorted by key, fps has a row of 64-bit words for each."""
     apart = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
     table = np.stack([apart(fps, p) for p in pivots], axis=1).astype(np.int16)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
+    if labels is not None:
+        return [x for lo, n in zip(starts.tolist(), sizes.tolist()) if (labels[lo : lo + n] != labels[lo]).any() for x in _cross_pairs(np.arange(lo, lo + n), nodes, fps, labels, table, radius)]
     two = starts[sizes == 2]
     two = two[np.abs(table[two] - table[two + 1]).max(axis=1, initial=0) <= radius]
     two = two[apart(fps[two], fps[two + 1]) <= radius]
@@ -189,7 +209,7 @@ def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def out(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["fp"].dtype == object:
-            fps, how = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1), (WIDE_RADIUS, WIDE_PIVOTS)
+            fps, how = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1), (WIDE_RADIUS, WIDE_PIVOTS, *([rows["label"].to_numpy()] if "label" in rows else []))
         else:
             fps, how = rows["fp"].to_numpy().view(np.uint64)[:, None], ()
         return pd.DataFrame(_links(rows["place"].to_numpy(), rows["node"].to_numpy(), fps, *how), columns=["a", "b"], dtype=np.int64)
@@ -208,20 +228,21 @@ def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links that connect the nodes (node, fp) as all links within the radius do. Nodes with ``bands`` have wide fingerprints."""
+    """(a, b): links that connect the nodes (node, fp) as all links within the radius do. Nodes with ``bands`` have wide fingerprints; of nodes with ``label``, all links between different labels."""
+    own_columns = ["node", "fp", *[c for c in ("label",) if c in nodes.columns]]
     keys = F.col("bands") if "bands" in nodes.columns else F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks())])
-    met = nodes.select("node", "fp", F.explode(keys).alias("key"))
+    met = nodes.select(*own_columns, F.explode(keys).alias("key"))
     hot = written(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "hot-keys")
     if hot.isEmpty():
-        placed = met.select(F.col("key").alias("place"), "node", "fp")
+        placed = met.select(F.col("key").alias("place"), *own_columns)
     else:
         pieces = F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("pieces")).cast("int")
         placed = (
             met.join(hot, "key", "left")
-            .select("node", "fp", "key", pieces.alias("pieces"))
-            .select("node", "fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "node", "fp")
+            .select(*own_columns, "key", pieces.alias("pieces"))
+            .select(*own_columns, "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"), *own_columns)
         )
     return placed.repartition("place").sortWithinPartitions("place").mapInPandas(_link_batches, "a long, b long").distinct()
 
@@ -251,6 +272,25 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return hashed.select("node", F.array_distinct(shingles).alias("set"))
 
 
+def _alike(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links whose shingle sets are alike."""
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return pairs.where(common >= ALIKE * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+
+
+def _still_apart(near: DataFrame, alike: DataFrame, texts: DataFrame, reached: DataFrame) -> DataFrame:
+    """texts of forests with a link that is none between two components; label is a text's component so far."""
+    label = lambda df, x: df.join(reached.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
+    refused = written(label(label(near.join(alike, ["a", "b"], "left_anti"), "a"), "b").where("of_a <> of_b").select("a"), "simhash-refused")
+    if refused.isEmpty():
+        return texts.withColumn("label", F.col("node")).limit(0)
+    forest = written(components(near), "simhash-forest")
+    open_ = forest.join(refused.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    nodes = forest.join(open_, "component", "left_semi").select("node")
+    return label(texts.join(nodes, "node", "left_semi"), "node").withColumnRenamed("of_node", "label")
+
+
 def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with one row of each group of near copies: the smallest doc_id, then the smallest text hash.
 
@@ -279,10 +319,15 @@ def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROAD
     ends = written(texts.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("first")), "simhash-ends")
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("node"), "text").join(small(ends), "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
     sets = written(_shingle_sets(sets.dropDuplicates(["node"])), "simhash-sets")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    alike = pairs.where(common >= ALIKE * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
-    linked = written(components(alike).join(texts.select("node", "least"), "node"), "simhash-linked")
+    alike = written(_alike(near, sets), "simhash-alike")
+    # links of a forest that turn out to be none may stand in the place of others that are: where they were
+    # looked for, all links between what is still apart are verified too
+    reached = components(alike)
+    apart = written(_still_apart(near, alike, texts.select("node", "fp", "bands"), reached), "simhash-apart")
+    if not apart.isEmpty():
+        more = written(_alike(written(links(apart, chunk), "simhash-near"), sets), "simhash-alike")
+        reached = components(alike.unionByName(more))
+    linked = written(reached.join(texts.select("node", "least"), "node"), "simhash-linked")
     row = F.struct("least.none", "least.doc_id", F.col("node").alias("hash"))
     kept = written(linked.groupBy("component").agg(F.min(row).alias("kept")), "simhash-kept")
     of_group = linked.join(small(kept), "component").select("node", "kept")

@@ -141,3 +141,22 @@ def test_documents_near_copies(spark, small):
     want, _ = near_groups([r["text"] for r in rows])
     kept = {r["doc_id"] for r in S.one_of_each(docs).select("doc_id").collect()}
     assert kept == {rows[i]["doc_id"] for i in set(want)}
+
+
+@pytest.mark.parametrize("chunk", [16, 4096])
+def test_groups_that_resemble_each_other(docs, chunk):
+    """Pairs of near copies that are all variants of one text, and alike across pairs by less than 0.8."""
+    rng = random.Random(3)
+    start = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = []
+    for _ in range(150):
+        words = list(start)
+        for place in rng.sample(range(300), 8):
+            words[place] = f"v{rng.randrange(3000)}"
+        texts.append(" ".join(words))
+        words[rng.randrange(300)] = "another"
+        texts.append(" ".join(words))
+    want, n = near_groups(texts)
+    kept = {r["doc_id"] for r in S.one_of_each(docs(list(enumerate(texts))), chunk).collect()}
+    assert n >= 150 and 100 <= len(set(want)) and not set(want) - kept
+    assert len(kept) <= 1.05 * len(set(want))
