@@ -55,6 +55,38 @@ def test_each_notice_has_its_own_label(docs):
     assert out[len(texts) - 1]["labels"] == "cc-by-nc-sa"
 
 
+#: Notices as authors publish them, not from the list, and their labels.
+PUBLISHED = [
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."),
+    ("gpl", "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License."),
+    ("agpl", "This work is licensed under the GNU Affero General Public License version 3."), ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("agpl", "The tool is licensed under the GNU Affero General Public License version 3."), ("lgpl", "Code licensed under the GNU Lesser General Public License version 2.1"),
+    ("gpl-2", "The driver is licensed under the GNU General Public License version 2."), ("gpl-3", "The driver is licensed under the GNU General Public License, version 3."),
+    ("gpl", "It was released under the terms of the GNU General Public License."), ("bsd", "Released under the BSD license."), ("mit", "Released under the MIT License."),
+    ("cc-by", "This article is licensed under the Creative Commons Attribution 3.0 International License."), ("cc-by-nc", "Text is licensed under the Creative Commons Attribution-NonCommercial 3.0 International License"),
+    ("cc-by-sa", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"), ("cc-by-nc-nd", "licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License);"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+]
+
+NO_NOTICE = [
+    "The report was released under the new freedom of information law.", "They studied under the MIT faculty for years.", "He was released under the terms of the agreement.", "released under the supervision of the court",
+    "She was licensed under the state law of 1990.", "under the terms of the general agreement as published by the free press foundation", "The film was released under the title of the book.", "an apache license plate version",
+    "licensed under the creative direction of the studio", "redistribution and use in schools", "permission is hereby granted to leave", "all rights and duties reserved", "The MIT license office closed", "licensed under the Apache License, Version 1.1",
+    "This work is licensed under the GNU General Public License version 1", "the public license of the general", "subject to the terms of the lease", "released under a BSD flag", "free software is fun, you can use it", "library of the free software foundation",
+]
+
+
+def test_published_notices_and_near_misses(docs):
+    filler = "Some prose that says nothing at all about it; "
+    out = scanned(docs, [filler + t + " " + filler for _, t in PUBLISHED] + [filler + t + " " + filler for t in NO_NOTICE])
+    wrong = [(t, out[i]["labels"]) for i, (label, t) in enumerate(PUBLISHED) if out[i]["labels"] != label]
+    wrong += [(t, out[len(PUBLISHED) + i]["labels"]) for i, t in enumerate(NO_NOTICE) if out[len(PUBLISHED) + i]["labels"]]
+    assert not wrong
+
+
 def test_notices_side_by_side(docs):
     gpl, lgpl = (next(t for label, t in L.NOTICES if label == x) for x in ("gpl", "lgpl"))
     out = scanned(docs, [f"{gpl} and {lgpl}", f"{lgpl} {lgpl}", gpl.replace("redistribute", "copy") + " all rights reserved"])
@@ -64,7 +96,7 @@ def test_notices_side_by_side(docs):
 def test_repeated_rows_and_empty_table(docs):
     rows = [(1, "under the mit license"), (1, "under the mit license"), (1, "other"), (None, "cc by nc")]
     out = sorted((r["doc_id"] or 0, r["n_words"], r["n_base"]) for r in L.scan(docs(rows)).collect())
-    assert out == [(0, 3, 1), (1, 1, 0), (1, 4, 1)]
+    assert out == [(0, 3, 1), (1, 1, 0), (1, 4, 1), (1, 4, 1)]
     assert L.scan(docs([])).collect() == []
 
 
