@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions.values import BUCKETS, UNKNOWN, amount, money, name, round2
 from ..sources.spec import JobSpec, fallback_amount
+from ..sources.tables import written
+from .quantiles import quantiles
 
 # Points of each status in the risk score; others get OTHER_POINTS. Levels by score.
 STATUS_POINTS = {"MATCH": 0, "PARTIAL (Some Refs Missing)": 10, "MISSING IN REF": 20, "MISSING IN SOA": 25, "MISMATCH (Partial)": 20, "Underpaid (Short)": 15, "Overpaid (Excess)": 15, "NO DATA": 25}
@@ -129,9 +131,15 @@ def by_risk(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.desc("Risk Score"), name(scores.columns[0]))
 
 
-def _spread(x: Column, approximate: bool) -> list[Column]:
-    quantile = (lambda p: F.percentile_approx(x, p, 10_000)) if approximate else (lambda p: F.percentile(x, F.lit(p)))
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), quantile(0.5).alias("median"), F.stddev_samp(x).alias("std_dev"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3")]
+SHARES = (0.5, 0.25, 0.75)
+
+
+def _spread(x: Column, approximate: bool, table: DataFrame, column: str) -> list[Column]:
+    """Figures of a column's distribution; exact quartiles are selected by passes over ``table``, which has the column."""
+    found = [F.percentile_approx(x, p, 10_000) if approximate else None for p in SHARES]
+    if not approximate:
+        found = [F.lit(v).cast("double") for v in quantiles(table, column, SHARES)]
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), found[0].alias("median"), F.stddev_samp(x).alias("std_dev"), found[1].alias("q1"), found[2].alias("q3")]
 
 
 def _bounded(figures: DataFrame) -> DataFrame:
@@ -142,10 +150,11 @@ def _bounded(figures: DataFrame) -> DataFrame:
 def iqr_stats(report: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """One row of distribution figures; none if there are fewer than four amounts.
 
-    ``approximate`` uses a bounded-size sketch for the quartiles instead of exact percentiles,
-    for which Spark counts all distinct amounts in one task.
+    The amounts are written once and quartiles selected from them (see quantiles);
+    ``approximate`` takes quartiles from a bounded-size sketch instead, in one pass.
     """
-    return _bounded(report.agg(*_spread(name(column), approximate)).where(F.col("n") >= 4))
+    table = report if approximate else written(report.select(name(column)), "amounts")
+    return _bounded(table.agg(*_spread(name(column), approximate, table, column)).where(F.col("n") >= 4))
 
 
 def amounts_of(spec: JobSpec, view: DataFrame, report: DataFrame) -> tuple[DataFrame, str | None]:
@@ -180,7 +189,9 @@ _ROUNDED = ("mean", "median", "std_dev", "q1", "q3", "iqr", "lower_bound", "uppe
 
 def iqr_summary(report: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """The figures rounded, with number and share of outliers."""
-    stats = iqr_stats(report, column, approximate)
+    # amounts alone are read several times, the report once
+    report = report.select(name(column)) if approximate else written(report.select(name(column)), "amounts")
+    stats = _bounded(report.agg(*_spread(name(column), approximate, report, column)).where(F.col("n") >= 4))
     count = iqr_outliers(report, column, stats).agg(F.count("*").alias("outlier_count"))
     return stats.crossJoin(F.broadcast(count)).select(*[round2(F.col(c)).alias(c) for c in _ROUNDED], "outlier_count", F.bround(F.col("outlier_count") / F.col("n") * 100, 1).alias("outlier_pct"))
 
@@ -307,7 +318,9 @@ def metric_table(spec: JobSpec, view: DataFrame, report: DataFrame, generated_at
     amounts, column = amounts_of(spec, view, report)
     figures = view.agg(*_total(spec, view), *of_sources).crossJoin(F.broadcast(report.agg(*_found(), *of_patterns, *of_status)))
     if column:
-        stats = _bounded(amounts.agg(*_spread(name(column), approximate)))
+        amounts = amounts.select(name(amounts.columns[0]), name(column))
+        amounts = amounts if approximate else written(amounts, "amounts")
+        stats = _bounded(amounts.agg(*_spread(name(column), approximate, amounts, column)))
         outside = iqr_outliers(amounts, column, stats.where(c("n") >= 4)).agg(F.count("*").alias("outlier_count"))
         figures = figures.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(outside))
     else:
