@@ -32,9 +32,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
+    """The longest document of each group stays, of equally long ones the smallest doc_id.
+
+    Line dedup has left a long passage in one document only; the longest of near copies is the one that has it.
+    """
     small_batches(spark)
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, longest=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

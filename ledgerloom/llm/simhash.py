@@ -135,7 +135,7 @@ def wide(hashes: np.ndarray) -> tuple[bytes, list[int]]:
 def _wide_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         marks = [wide(shingle_hashes(t)) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fp for fp, _ in marks], "bands": [bands for _, bands in marks]})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "minus": b["minus"], "fp": [fp for fp, _ in marks], "bands": [bands for _, bands in marks]})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -291,8 +291,8 @@ def _still_apart(near: DataFrame, alike: DataFrame, texts: DataFrame, reached: D
     return label(texts.join(nodes, "node", "left_semi"), "node").withColumnRenamed("of_node", "label")
 
 
-def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with one row of each group of near copies: the smallest doc_id, then the smallest text hash.
+def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS, longest: bool = False) -> DataFrame:
+    """docs with one row of each group of near copies: the smallest doc_id (of the longest texts, if so asked), then the smallest text hash.
 
     Equal texts are one node, told apart by a 64-bit hash; texts without words are
     alike. A row without doc_id stays only if no row of its group has one, and one of
@@ -301,14 +301,15 @@ def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROAD
     broadcast, so texts are not shuffled.
     """
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text").mapInPandas(_wide_marks, "doc_id long, text_hash long, fp binary, bands array<long>")
+    minus = -F.length(F.coalesce("text", F.lit(""))) if longest else F.lit(0)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), minus.alias("minus"), "text").mapInPandas(_wide_marks, "doc_id long, text_hash long, minus int, fp binary, bands array<long>")
     own = written(own, "simhash")
     none = F.col("doc_id").isNull()
     texts = (
-        own.groupBy("text_hash", "doc_id")
+        own.groupBy("text_hash", "doc_id", "minus")
         .agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
         .groupBy("text_hash")
-        .agg(F.min(F.struct(none.alias("none"), "doc_id", "n")).alias("least"), F.sum("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+        .agg(F.min(F.struct(none.alias("none"), "minus", "doc_id", "n")).alias("least"), F.sum("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     )
     # all texts without words meet in one place
     bands = F.when(F.size("bands") > 0, F.col("bands")).otherwise(F.array(F.lit(0).cast("long")))
@@ -328,7 +329,7 @@ def one_of_each(docs: DataFrame, chunk: int = CHUNK, broadcast_rows: int = BROAD
         more = written(_alike(written(links(apart, chunk), "simhash-near"), sets), "simhash-alike")
         reached = components(alike.unionByName(more))
     linked = written(reached.join(texts.select("node", "least"), "node"), "simhash-linked")
-    row = F.struct("least.none", "least.doc_id", F.col("node").alias("hash"))
+    row = F.struct("least.none", "least.minus", "least.doc_id", F.col("node").alias("hash"))
     kept = written(linked.groupBy("component").agg(F.min(row).alias("kept")), "simhash-kept")
     of_group = linked.join(small(kept), "component").select("node", "kept")
     # a text of one row that is nobody's near copy needs no look

@@ -35,3 +35,14 @@ def test_empty_and_odd_documents(spark, tiny, docs):
             if name != P.STAGES[-1][0]:
                 assert out.columns == given.columns, name
                 given = out
+
+
+def test_a_passage_outlives_both_dedup_stages(spark, tiny, docs):
+    """A long passage stands in two texts of a host, and the one that keeps it is a near copy of a text without it."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    lines = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(40))
+    given = docs([(1, lines, "en", "host"), (2, f"{lines}\n{passage}", "en", "host"), (3, f"{passage}\nquite another text of a few words", "en", "host")])
+    for name, stage in P.STAGES[1:3]:
+        given = written(stage(spark, given, tiny), "passage")
+    left = {r["doc_id"]: r["text"] for r in given.collect()}
+    assert sum(passage in t for t in left.values()) == 1 and sorted(left) == [2, 3]
