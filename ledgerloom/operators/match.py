@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.values import NULL_KEY, age_bucket, age_days, as_text, clean_key, date_text, is_date_column, name, parse_date
 from ..sources.readers import extracted, strict_subset
 from ..sources.spec import FULL, JobSpec, RefSpec
+from ..sources.tables import written
 
 KEY = "__key"
 Refs = Sequence[tuple[RefSpec, DataFrame]]
@@ -51,9 +52,33 @@ def _apart(spec: RefSpec, rows: DataFrame) -> DataFrame:
     return rows.where(F.col(KEY).isNull()).withColumn(f"__n_{spec.name}", F.lit(1).cast("long")).withColumn(f"__hit_{spec.name}", first)
 
 
-def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_key: str | None = NULL_KEY, skipped: Sequence[str] = ()) -> DataFrame:
+#: Heavy keys that may be broadcast.
+FEW_KEYS = 100_000
+
+
+def heavy_keys(view: DataFrame, rows: int) -> DataFrame | None:
+    """(key, pieces) of the keys of more than ``rows`` rows, to be broadcast where they are few; None without any."""
+    counted = view.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > rows)
+    found = written(counted.select(F.col(KEY).alias("__heavy"), F.ceil(F.col("n") / rows).alias("__pieces")), "heavy-keys")
+    n = found.count()
+    return None if not n else F.broadcast(found) if n <= FEW_KEYS else found
+
+
+def _dealt(df: DataFrame, heavy: DataFrame, copies: bool) -> DataFrame:
+    """df with ``__piece``: rows of a heavy key are dealt to its pieces, or copied to each of them; 0 for other keys."""
+    joined = df.join(heavy, F.col(KEY) == F.col("__heavy"), "left")
+    last = F.coalesce("__pieces", F.lit(1)) - 1
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), last)) if copies else F.pmod(F.monotonically_increasing_id(), last + 1)
+    return joined.withColumn("__piece", piece).drop("__heavy", "__pieces")
+
+
+def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_key: str | None = NULL_KEY, skipped: Sequence[str] = (), heavy_rows: int | None = None) -> DataFrame:
     """Wide view, one row for each base row and match.
 
+    With ``heavy_rows``, base rows of a key that has more are dealt to pieces of about so
+    many, and the reference rows of these keys alone are copied to each piece, so no task
+    joins a whole hot key. The keys are found by a count with partial sums.
+
     Left: rows of the base. Full: first the distinct keys of all tables, then base
     and references joined to them, which gives the rows of chained full joins but
     keeps one partitioning. With ``null_key`` None, rows without a key meet nothing and
@@ -63,18 +88,29 @@ def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_
     shown = [c for c in view.columns if c != KEY]
     sides = [(r, *_side(r, df, null_key)) for r, df in refs]
     alone = []
+    heavy = heavy_keys(view, heavy_rows) if heavy_rows else None
+    on, hot = [KEY], None
+    if heavy is not None:
+        on = [KEY, "__piece"]
+        view = _dealt(view, heavy, copies=False)
+        sides = [(ref, _dealt(rows, heavy, copies=True), _dealt(facts, heavy, copies=True)) for ref, rows, facts in sides]
     if spec.how == FULL:
         view = view.withColumn("__base", F.lit(True))
-        keys = view.select(KEY)
+        keys = view.select(*on)
         for _, _, facts in sides:
-            keys = keys.union(facts.select(KEY))
+            keys = keys.union(facts.select(*on))
+        if heavy is not None:
+            # the base has rows of every heavy key, so these need no list of keys
+            kept = lambda df, how: df.join(heavy, F.col(KEY) == F.col("__heavy"), how)
+            hot, view, keys = kept(view, "left_semi"), kept(view, "left_anti"), kept(keys, "left_anti")
         if null_key is None:
-            alone = [view.where(F.col(KEY).isNull()), *[_apart(ref, rows) for ref, rows, _ in sides]]
-        view = keys.where(F.col(KEY).isNotNull()).distinct().join(view, KEY, "left")
+            alone = [view.where(F.col(KEY).isNull()).drop("__piece"), *[_apart(ref, rows) for ref, rows, _ in sides]]
+        view = keys.where(F.col(KEY).isNotNull()).distinct().join(view, on, "left")
+        view = view if hot is None else view.unionByName(hot)
     for _, rows, facts in sides:
-        view = view.join(facts, KEY, "left").join(rows, KEY, "left")
+        view = view.join(facts, on, "left").join(rows, on, "left")
     for rows in alone:
-        view = view.unionByName(rows, allowMissingColumns=True)
+        view = view.drop("__piece").unionByName(rows.drop("__piece"), allowMissingColumns=True)
     known = F.coalesce(F.col("__base"), F.lit(False)) if spec.how == FULL else F.lit(True)
     columns = []
     hits, counts = {}, {}

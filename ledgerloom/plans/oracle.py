@@ -322,7 +322,13 @@ select "Invoice #", {_number_text('"SOA Amount"')} as "SOA Amount", {_number_tex
     "header_stats": f"with {BOTH} select (select count(*) from detail) as total_rows, (select count(*) from detail) - (select count(*) from report) as matches, (select count(*) from report) as issues",
 }
 
+# the detail view of tables in which one key holds a third of the base
+_HOT = DETAIL.replace("as key, * from base)", """as key, * from (select case when cast("Customer" as bigint) % 3 <> 0 then "Invoice" end as "Invoice", * exclude ("Invoice") from base))""").replace(
+    "as key, * from bank)", """as key, * from (select case when "Invoice No" <> '1' then "Invoice No" end as "Invoice No", * exclude ("Invoice No") from bank))"""
+)
+
 SQL |= {
+    "detail_left_hot_key": f"""with {_HOT} select "Invoice" is null as no_key, "Bank_Match_Count", "Ledger_Match_Count", "Bank_Date", count(*) as n_rows from detail group by all""",
     "risk_order": SQL["risk_scores"],
     "outlier_order": SQL["iqr_outliers"],
     "iqr_all_match": """with iqr as (select count(o_totalprice) as n, avg(o_totalprice) as mean, quantile_cont(o_totalprice, 0.5) as median, stddev_samp(o_totalprice) as std_dev, quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3 from orders)

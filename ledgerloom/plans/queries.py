@@ -79,6 +79,19 @@ def detail_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detail(spark, sf_dir, FULL)
 
 
+def _hot(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """A third of the base has no key, as has one row of each reference, so one key holds a third of the rows."""
+    lose = lambda df, c, when: df.withColumn(c, F.when(~when, F.col(c)))
+    base = lose(D.base(spark, sf_dir), "Invoice", F.col("Customer").cast("long") % 3 == 0)
+    bank = lose(D.bank(spark, sf_dir), "Invoice No", F.col("Invoice No") == "1")
+    view = match.detail(D.spec(how), base, [(D.BANK, bank), (D.LEDGER, D.ledger(spark, sf_dir))], D.AS_OF, heavy_rows=1000)
+    return view.groupBy(F.col("Invoice").isNull().alias("no_key"), "Bank_Match_Count", "Ledger_Match_Count", "Bank_Date").agg(F.count("*").alias("n_rows"))
+
+
+def detail_left_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hot(spark, sf_dir, "left")
+
+
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detail(spark, sf_dir).groupBy("Bank_Match_Count", "Ledger_Match_Count").agg(F.count("*").alias("n_rows"))
 
@@ -329,7 +342,7 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_key, parse_amount, parse_date, age_bucket, date_cleanup, canonical_date, strict_subset, issues, detail_left, detail_full, match_count, match_source, dup_summary,
+        clean_key, parse_amount, parse_date, age_bucket, date_cleanup, canonical_date, strict_subset, issues, detail_left, detail_full, detail_left_hot_key, match_count, match_source, dup_summary,
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
         patterns, fuzzy_best, fuzzy_join, fuzzy_tokens, fuzzy_partial, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,

@@ -59,14 +59,14 @@ class Reconciliation:
         return write_reports(replace(self, detail=view, discrepancies=report, schema=schema).reports(approximate), folder, kind)
 
 
-def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame], as_of: dt.datetime | None = None, null_key: str | None = NULL_KEY, sources: Sequence[str] | None = None) -> Reconciliation:
-    """A reference with missing columns is listed in ``issues`` and left out of the joins."""
+def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame], as_of: dt.datetime | None = None, null_key: str | None = NULL_KEY, sources: Sequence[str] | None = None, heavy_rows: int | None = None) -> Reconciliation:
+    """A reference with missing columns is listed in ``issues`` and left out of the joins; ``heavy_rows`` as in detail."""
     as_of = as_of or dt.datetime.now()
     given = [(r, refs[r.name]) for r in spec.refs if r.name in refs]
     found = problems(given) + [(r.name, "no table") for r in spec.refs if r.name not in refs]
     bad = {s for s, _ in found}
     usable = [(r, df) for r, df in given if r.name not in bad]
-    view = detail(spec, base, usable, as_of, null_key)
+    view = detail(spec, base, usable, as_of, null_key, heavy_rows=heavy_rows)
     report = discrepancy.discrepancies(spec, base, usable, null_key, sources=sources) if spec.base.amount in base.columns else None
     schema = compare.schema_report(spec, view) if spec.fields else None
     issues = base.sparkSession.createDataFrame(found, "source string, issue string")

@@ -210,3 +210,38 @@ def test_reports_are_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "discrepancy_report")).count() == 2
     shown = reports.preview(base.union(spark.createDataFrame([(None, None, None)], base.schema)))
     assert shown.count() == 3 and shown.where("k = ''").count() == 1
+
+
+def hot_tables(spark):
+    """Half the base rows and two reference rows have no key; other keys repeat and lack partners here and there."""
+    base = spark.range(4000).select(F.when(F.col("id") % 2 == 0, (F.col("id") % 700).cast("string")).alias("Invoice"), F.lit("2024-01-01").alias("Date"), F.col("id").alias("Amount"))
+    ref = spark.range(900).select(F.when(F.col("id") > 1, F.col("id").cast("string")).alias("No"), F.col("id").alias("Total"), F.concat(F.lit("c"), "id").alias("Carrier"))
+    return base, [(RefSpec("One", "No", ("Carrier",)), ref), (RefSpec("Two", "No", ("Total",)), ref.where("No is null or cast(No as int) % 3 = 0"))]
+
+
+@pytest.mark.parametrize("how", ["left", FULL])
+@pytest.mark.parametrize("null_key", ["NAN", None])
+def test_hot_key_in_pieces(spark, how, null_key):
+    base, refs = hot_tables(spark)
+    spec = JobSpec(BaseSpec("Invoice", "Date", "Amount"), tuple(r for r, _ in refs), how=how)
+    plain, dealt = (match.detail(spec, base, refs, NOW, null_key, heavy_rows=n) for n in (None, 100))
+    assert rows(plain, *plain.columns) == rows(dealt, *plain.columns)
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    base, refs = hot_tables(spark)
+    spec = JobSpec(BaseSpec("Invoice", "Date", "Amount"), tuple(r for r, _ in refs))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sizes = {}
+        for heavy in (None, 10):
+            view = match.detail(spec, base, refs, NOW, heavy_rows=heavy)
+            parts = sorted(r["count"] for r in view.groupBy(F.spark_partition_id()).count().collect())
+            sizes[heavy] = parts[-1] / parts[len(parts) // 2]
+        assert sizes[10] < 2 < 10 < sizes[None]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
