@@ -18,9 +18,13 @@ UNKNOWN = "Unknown"
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t|tember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
-WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
-CLOCK = r"[ T,]+(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*([AaPp][Mm])?$"
+#: A year-first date whose order is year, month, day: nothing but an ISO time follows it.
+YEAR_FIRST = r"^\d{4}([-/. ]?)\d{1,2}\1\d{1,2}([ T]\d{1,2}(:?\d{2}(:?\d{2}(\.\d+)?)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
+#: A time of day, with half and zone, at any place of a date text.
+CLOCK = r"(?:^|[\sT,]+)(?:at\s+)?(\d{1,2})(?:\s*([AaPp])[Mm]|[:h](\d{2})(?::(\d{2}(?:\.\d{1,9})?))?(?:\s*([AaPp])[Mm])?)(?:\s?(Z|UTC|GMT|[+-]\d{2}:?\d{2}))?(?=$|[\s,])"
+#: What a date text says besides its date: weekday, ordinal ending, "of", mark of a short year.
+NOISE = r"(?i)\b(mon|tue(s)?|wed(nes)?|thu(rs?)?|fri|sat(ur)?|sun)(day)?\b\.?|(?<=\d)\s?(st|nd|rd|th)\b|\bof\b|'(?=\d{2}\b)"
 
 
 def name(column: str) -> Column:
@@ -78,41 +82,83 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _year_month_day(parts: Column) -> Column:
-    """``y-m-d`` from the parts of a date text: day first where ambiguous, month first where only that fits; null if neither."""
+def _year_month_day(parts: Column, day_second: Column) -> Column:
+    """``y-m-d`` from the parts of a date text: day first where ambiguous, month first where only that fits; null if neither.
+
+    ``day_second`` tells that a leading year is followed by the day where both orders fit.
+    """
     a, b, c = (F.get(parts, i) for i in range(3))
+    n = lambda x: x.try_cast("int")
+    full = lambda x: x.rlike(r"^\d{4}$")
     number = lambda x: x.rlike(r"^\d{1,2}$")
-    month = lambda x: F.when(x.rlike(MONTH), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(x, 1, 3))).cast("string"))
+    named = lambda x: x.rlike(MONTH)
+    month = lambda x: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(x, 1, 3))).cast("string")
     # a two-digit year lies less than fifty years ahead
     soon = F.year(F.current_date()) + 50
-    short = lambda y: y.cast("int") + F.when(y.cast("int") + 2000 >= soon, 1900).otherwise(2000)
-    year = lambda y: F.when(y.rlike(r"^\d{4}$"), y).when(y.rlike(r"^\d{2}$"), short(y).cast("string"))
-    date = lambda y, m, d: F.concat_ws("-", y, m, d)
-    full = a.rlike(r"^\d{4}$")
+    short = lambda y: n(y) + F.when(n(y) + 2000 >= soon, 1900).otherwise(2000)
+    year = lambda y: F.when(full(y), y).when(number(y), short(y).cast("string"))
+    date = lambda y, m, d: F.concat(y, F.lit("-"), m, F.lit("-"), d)
+    # no day or month: four digits, or two above 31
+    only_year = lambda x: full(x) | (number(x) & (n(x) > 31))
+    turned = F.when(day_second | ~full(a), n(c) <= 12).otherwise(n(b) > 12)
     three = (
-        F.when(full & number(b) & number(c), F.when(b.cast("int") <= 12, date(a, b, c)).otherwise(date(a, c, b)))
-        .when(full & b.rlike(MONTH), date(a, month(b), c))
-        .when(a.rlike(MONTH) & number(b), date(year(c), month(a), b))
-        .when(number(a) & b.rlike(MONTH), date(year(c), month(b), a))
-        .when(number(a) & number(b), F.when(b.cast("int") <= 12, date(year(c), b, a)).otherwise(date(year(c), a, b)))
+        F.when(only_year(a) & number(b) & number(c), F.when(turned, date(year(a), c, b)).otherwise(date(year(a), b, c)))
+        .when(only_year(a) & named(b), date(year(a), month(b), c))
+        .when(only_year(a) & named(c), date(year(a), month(c), b))
+        .when(named(a) & number(b), date(year(c), month(a), b))
+        .when(number(a) & named(b), date(year(c), month(b), a))
+        .when(number(a) & full(b) & named(c), date(b, month(c), a))
+        .when(number(a) & number(b), F.when((n(b) <= 12) | (n(a) > 12), date(year(c), b, a)).otherwise(date(year(c), a, b)))
+    )
+    first = F.lit("1")
+    two = (
+        F.when(named(a) & only_year(b), date(year(b), month(a), first))
+        .when(full(a) & named(b), date(a, month(b), first))
+        .when(full(a) & number(b), date(a, b, first))
+        .when(number(a) & full(b), date(b, a, first))
     )
-    one = F.when(a.rlike(r"^\d{8}$"), date(F.substring(a, 1, 4), F.substring(a, 5, 2), F.substring(a, 7, 2))).when(full, date(a, F.lit("1"), F.lit("1")))
-    return F.when(F.size(parts) == 3, three).when(F.size(parts) == 1, one)
+    return F.when(F.size(parts) == 3, three).when(F.size(parts) == 2, two).when((F.size(parts) == 1) & full(a), date(a, first, first))
+
+
+def _spelled_date(text: Column) -> Column:
+    """Timestamp of a stripped date text in any order of its parts, its time before, after or among them."""
+    day_second = ~text.rlike(YEAR_FIRST)
+    # digits in one run, and an hour alone behind a whole date
+    t = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2}))(\d{2})$", "$1-$2-$3 $4:$5:$6")
+    t = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2}))$", "$1-$2-$3 $4:$5")
+    t = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
+    t = F.regexp_replace(t, r"^(\d{2})(\d{2})(\d{2})$", "$1 $2 $3")
+    t = F.regexp_replace(t, r"^(\d{1,2}[-/.\s]+(?:\d{1,2}|[A-Za-z]+)[-/.\s]+\d{4}) (\d{1,2})$", "$1 $2:00")
+
+    def read(t: Column) -> Column:
+        day = F.regexp_replace(F.regexp_replace(t, CLOCK, " "), NOISE, "")
+        day = F.regexp_replace(day, r"(?<=\d)(?=[A-Za-z])|(?<=[A-Za-z])(?=\d)", " ")
+        day = F.regexp_replace(day, r"^[\s.,]+|[\s.,]+$", "")
+        ymd = F.when(~day.rlike(r"^\d{1,2}\.\d{4}$"), _let(F.split(day, r"[\s.,/-]+"), lambda parts: _year_month_day(parts, day_second)))
+        hour, half, minute, second, later_half, zone = (F.regexp_extract(t, CLOCK, i) for i in range(1, 7))
+        half, h = F.lower(F.concat(half, later_half)), hour.try_cast("int")
+        h = F.when(half == "", h).when(h <= 12, h % 12 + F.when(half == "p", 12).otherwise(0))
+        or_zero = lambda x: F.when(x == "", "00").otherwise(x)
+        offset = F.when(zone.rlike("^[A-Z]"), "Z").otherwise(F.regexp_replace(zone, r"(\d{2}):?(\d{2})", "$1:$2"))
+        clock = F.when(hour == "", "").otherwise(F.concat(F.lit(" "), h.cast("string"), F.lit(":"), or_zero(minute), F.lit(":"), or_zero(second), offset))
+        return F.concat(ymd, clock).try_cast("timestamp")
+
+    return _let(t, read)
 
 
 def parse_date(text: Column) -> Column:
-    """Timestamp of a date text in mixed formats, with or without a time, day first where ambiguous; null if none fits."""
+    """Timestamp of a date text in mixed formats, with or without a time, day first where ambiguous; null if none fits.
+
+    Parts may stand in any order that leaves no doubt; a month without a day means its
+    first day. Texts without a year, a time alone and ``now`` or ``today`` are no dates.
+    """
     t = strip(text)
     # the common orders in compiled code; what they leave goes through the parts
     iso = F.regexp_replace(t, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)", "$3-$2-$1")
+    iso = F.regexp_replace(iso, r"^(\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2})$", "$1:00")
     iso = F.when(iso.rlike(ISO), iso.try_cast("timestamp"))
-    day = F.regexp_replace(F.regexp_replace(t, CLOCK, ""), WEEKDAY, "")
-    ymd = _let(F.split(day, r"[\s.,/-]+"), _year_month_day)
-    hour, rest, half = (F.regexp_extract(t, CLOCK, i) for i in (1, 2, 3))
-    at = hour.cast("int") % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0)
-    clock = F.when(hour == "", "").when(half == "", F.concat(F.lit(" "), hour, rest)).otherwise(F.concat(F.lit(" "), at.cast("string"), rest))
-    return F.coalesce(iso, F.concat(ymd, clock).try_cast("timestamp"))
+    return F.coalesce(iso, _spelled_date(t))
 
 
 def age_days(when: Column, as_of: dt.datetime | Column) -> Column:

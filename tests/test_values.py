@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,43 @@ def test_time_of_a_date(spark):
     assert got == [dt.datetime(2023, 1, 2, 10, 30, 5), dt.datetime(2023, 1, 2, 15, 5), dt.datetime(2023, 1, 5, 0, 10)]
 
 
+#: Spellings as statements have them: orders, month and year alone, names, ordinals, times before, after and among the date, runs of digits.
+SPELLINGS = """
+5th January 2023|Jan 2023|2023-01|01/2023|05Jan2023|3:00 PM 01/02/2023|10:30 2023-01-02|2023-01-02 10|January 2nd, 2023|2nd of January 2023|Monday 2 January 2023|2023 Jan 5|Jan-2023|2023/1|13/2023
+2023-01-02 10:30:00.123456|2023-01-02 3 PM|2023-01-02 3PM|3pm 2 Jan 2023|5-Jan-23|Jan 5 23|May 2023 x|20230105T103000|20230105103000|202301051030|20230105T1030|20230105 10:30|20231305|310123|123456|230105|1/2|5 Jan|Jan 5|Jan|12
+5.1.23|23-01-02|99-12-31|2 Jan 2023 10:30:05.5|2023-01-02 25:00|2023-01-02 10:60|Sept 5 2023|Sep. 5, 2023|1 2 2023|2023 1 2|Jan 5th, '23|02/01/2023 10h30|1st Mar 2020 1:02 am|Tue Jan 3 10:30:00 2023|31-1-2023|30/2023|0/1/2023
+2/30/2023|12/31/2023|1672531200|44927|44927.0|2023.1|1.2023|2023 January|5 January, 2023|5/Jan/2023|2023-Jan-05|Jan/05/2023|2023-01-02T10|2023-01-02T10:30|32 Jan 2023|Jan 32 2023|Jan 99|1 2023|1-2023|2023-13|2023 13|2023-1-2
+2023/1/2 10|2023/01/02 3 PM|2023.01.02 10:30|2023-01-13 3 PM|Jan 23|23 Jan|2023 5 Jan|5 2023 Jan|99/12/31|45-1-2|3:00PM 1/2/2023|10:30:00 5 Jan 2023|5 Jan 2023 at 10:30|5 Jan 2023, 10:30|Jan. 2023|January, 2023|2023-01-02 10:30 am
+02/01/2023 10|5 Jan 2023 10|5.Jan.2023|1/Jan/23|Thursday, January 5, 2023|Thu 5 Jan 2023|2023-01-02 24:00|5 Jan 2023 13:00 PM|5 Jan 2023 0:30 AM|5 Jan 2023 0:30 PM|Thursday|5 th Jan 2023|5TH JAN 2023|Jan 5 , 2023|2023/Jan|1.1.2023 0:00:00
+1/2/2023T10:30|31/2023|0/2023|12/2023|2023/12/1|Jan-05-23|Jan/23|23/Jan|5-1-45
+Thu, 05 Jan 2023 10:00:00 GMT|2023-01-02T10:30:00Z|2023-01-02T10:30:00+02:00|Tue Jan  3 10:30:00 UTC 2023|2023-01-02 10:30 +0200|5 Jan 2023 10:30Z|2023-01-02Z|2023-01-02 UTC
+"""
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_dates_are_read_as_by_the_usual_mixed_parser(spark):
+    texts = [t for line in SPELLINGS.strip().splitlines() for t in line.split("|")]
+    stamp = lambda t: pd.to_datetime(pd.Series([t]), errors="coerce", format="mixed", dayfirst=True)[0]
+    plain = lambda w: None if pd.isna(w) else (w.tz_convert(None) if w.tzinfo else w).to_pydatetime()
+    assert list(zip(texts, apply(spark, texts, V.parse_date))) == [(t, plain(stamp(t))) for t in texts]
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_written_dates_are_read_back_in_every_order(spark):
+    """All orders of day, month (number, short or whole name) and year with all separators and times agree with that parser."""
+    orders = ["{d} {b} {y}", "{b} {d} {y}", "{y} {b} {d}", "{d}{s}{m}{s}{y}", "{m}{s}{d}{s}{y}", "{y}{s}{m}{s}{d}", "{d}{s}{b}{s}{y}", "{d}{s}{m}{s}{t}"]
+    texts = []
+    for i, (d, m, y) in enumerate([(5, 1, 2023), (29, 2, 2024), (12, 12, 1999), (31, 10, 2001), (30, 2, 2023)]):
+        for order in orders:
+            for s in "-/.":
+                for clock in ("{}", "{} 09:05", "{} 9:05:07 PM", "11:59 {}"):
+                    texts.append(clock.format(order.format(d=d, m=m, y=y, t=f"{y % 100:02}", s=s, b=["Jan", "February", "dec", "OCT", "Feb"][i])))
+    texts = sorted(set(texts))
+    stamp = lambda t: pd.to_datetime(pd.Series([t]), errors="coerce", format="mixed", dayfirst=True)[0]
+    want = [(t, None if pd.isna(w) else w.to_pydatetime()) for t, w in ((t, stamp(t)) for t in texts)]
+    assert list(zip(texts, apply(spark, texts, V.parse_date))) == want
+
+
 def test_age(spark):
     now = dt.datetime(2023, 5, 1)
     days = lambda c: V.age_days(V.parse_date(c), now)
