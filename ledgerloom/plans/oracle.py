@@ -343,6 +343,12 @@ select * from counts where n_rows > 0""",
     "csv_scan": """select cast(c_custkey as varchar) as "Key", case c_custkey % 4 when 0 then 'say "hi", then ' || c_name when 1 then 'two' || chr(10) || 'lines of ' || c_name when 2 then c_name || chr(92) end as "Note",
   c_name as "Name", cast(c_acctbal as varchar) as "Balance" from customer""",
     "csv_pruned": 'select cast(c_custkey as varchar) as "Key", cast(c_acctbal as varchar) as "Balance" from customer',
+    "date_orders": """with t as (select o_orderkey, o_orderdate + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) as w, o_orderkey % 10 as form from orders)
+select o_orderkey, strftime(case when form in (0, 4) then date_trunc('day', w) when form in (1, 2, 3) then date_trunc('month', w) when form = 7 then date_trunc('hour', w)
+  when form = 6 and day(w) <= 12 then make_timestamp(year(w), day(w), month(w), hour(w), minute(w), 0.0) else w end, '%Y-%m-%d %H:%M:%S') as day from t""",
+    "issues_isolated": f"""with {KEYED}, found as (select case when r2.key is null then '' else 'Ledger' end as "Match Source", count(*) as n_rows, count(case when r2."Ref" % 20 <> 1 then 1 end) as n_amounts
+  from b left join r2 on b.key = r2.key group by 1)
+select * from found cross join (select 'Bank' as source, 'cannot be read' as issue union all select 'Ledger', 'rows with too few or too many cells: ' || count(*) from ledger where "Ref" % 20 = 1)""",
     "date_spellings": "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as day from orders",
     "detail_full_null_apart": f"""with {TABLES},
 b as (select case when "Invoice" not like '%77%' then {key('"Invoice"')} end as key from base),

@@ -311,6 +311,26 @@ def date_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format(read, "yyyy-MM-dd HH:mm:ss").alias("day"))
 
 
+def date_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates with a time, in ten rarer spellings: month and year alone, ordinals, times before and among the date."""
+    k, w = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=F.col("o_orderkey") % 24, mins=F.col("o_orderkey") % 60)
+    forms = ["d'th' MMMM yyyy", "MMM yyyy", "yyyy-MM", "MM/yyyy", "ddMMMyyyy", "h:mm a dd/MM/yyyy", "HH:mm yyyy-MM-dd", "yyyy-MM-dd HH", "EEE MMM d HH:mm:ss yyyy", "yyyyMMdd'T'HHmmss"]
+    text = F.element_at(F.array(*[F.date_format(w, f) for f in forms]), (k % len(forms) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format(V.parse_date(text), "yyyy-MM-dd HH:mm:ss").alias("day"))
+
+
+def issues_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a job that goes on without a reference that cannot be read to its end, and with a file some of whose rows are short."""
+    broken = D.bank(spark, sf_dir).withColumn("Total", F.when(F.col("Invoice No").endswith("77"), F.raise_error(F.lit("unreadable cell"))).otherwise(F.col("Total")))
+    path = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}.csv"
+    # one column that holds whole lines, under a header of three names
+    line = F.concat_ws(",", F.col("Ref").cast("string"), "Customer", F.when(F.col("Ref") % 20 != 1, F.col("Open Amount").cast("decimal(18,2)").cast("string")))
+    D.ledger(spark, sf_dir).select(line.alias("Ref,Customer,Open Amount")).write.option("header", True).option("sep", "\x01").csv(path)
+    done = reconcile(D.spec(), D.base(spark, sf_dir), {"Bank": broken, "Ledger": path}, D.AS_OF, isolate=True)
+    figures = done.detail.groupBy("Match Source").agg(F.count("*").alias("n_rows"), F.count("Ledger_Open Amount").alias("n_amounts"))
+    return figures.crossJoin(F.broadcast(done.issues)).withColumn("issue", F.when(F.col("source") == "Bank", F.substring_index("issue", ":", 1)).otherwise(F.col("issue")))
+
+
 def detail_full_null_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full job in which rows without a key meet nothing and none is lost."""
     lose = lambda df, c: df.withColumn(c, F.when(~F.col(c).cast("string").contains("77"), F.col(c)))
@@ -346,6 +366,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
         patterns, fuzzy_best, fuzzy_join, fuzzy_tokens, fuzzy_partial, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
-        risk_order, outlier_order, iqr_all_match, report_sink, csv_scan, csv_pruned, date_spellings, detail_full_null_apart, source_reliability_default, risk_with_age,
+        risk_order, outlier_order, iqr_all_match, report_sink, csv_scan, csv_pruned, date_spellings, date_orders, issues_isolated, detail_full_null_apart, source_reliability_default, risk_with_age,
     )
 }

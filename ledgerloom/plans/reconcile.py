@@ -10,14 +10,15 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.values import NULL_KEY
 from ..operators import compare, discrepancy, insights
 from ..operators.match import detail
 from ..operators.reports import write_reports
-from ..sources.readers import problems
-from ..sources.spec import JobSpec
+from ..sources.readers import lacks
+from ..sources.spec import JobSpec, RefSpec
+from ..sources.staging import staged
 from ..sources.tables import written
 
 
@@ -59,13 +60,33 @@ class Reconciliation:
         return write_reports(replace(self, detail=view, discrepancies=report, schema=schema).reports(approximate), folder, kind)
 
 
-def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame], as_of: dt.datetime | None = None, null_key: str | None = NULL_KEY, sources: Sequence[str] | None = None, heavy_rows: int | None = None) -> Reconciliation:
-    """A reference with missing columns is listed in ``issues`` and left out of the joins; ``heavy_rows`` as in detail."""
+def _usable(spark: SparkSession, refs: Sequence[RefSpec], tables: Mapping[str, DataFrame | str], isolate: bool) -> tuple[list[tuple[RefSpec, DataFrame]], list[tuple[str, str]]]:
+    """References that can take part, and (source, issue) rows of what is wrong with any."""
+    usable, found = [], []
+    for ref in refs:
+        source = tables.get(ref.name)
+        if source is None:
+            df, wrong = None, ["no table"]
+        elif isolate or isinstance(source, str):
+            df, wrong = staged(spark, ref, source)
+        else:
+            lost = lacks(source, ref)
+            df, wrong = (None, [lost]) if lost else (source, [])
+        found += [(ref.name, w) for w in wrong]
+        if df is not None:
+            usable.append((ref, df))
+    return usable, found
+
+
+def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame | str], as_of: dt.datetime | None = None, null_key: str | None = NULL_KEY, sources: Sequence[str] | None = None, heavy_rows: int | None = None, isolate: bool = False) -> Reconciliation:
+    """A reference with missing columns is listed in ``issues`` and left out of the joins; ``heavy_rows`` as in detail.
+
+    A reference given by its path, or any with ``isolate``, is first read on its own into the
+    shared folder: one that cannot be read to its end becomes an issue as well, the others go on,
+    and the job's joins read the written columns only.
+    """
     as_of = as_of or dt.datetime.now()
-    given = [(r, refs[r.name]) for r in spec.refs if r.name in refs]
-    found = problems(given) + [(r.name, "no table") for r in spec.refs if r.name not in refs]
-    bad = {s for s, _ in found}
-    usable = [(r, df) for r, df in given if r.name not in bad]
+    usable, found = _usable(base.sparkSession, spec.refs, refs, isolate)
     view = detail(spec, base, usable, as_of, null_key, heavy_rows=heavy_rows)
     report = discrepancy.discrepancies(spec, base, usable, null_key, sources=sources) if spec.base.amount in base.columns else None
     schema = compare.schema_report(spec, view) if spec.fields else None

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import name
 from .spec import RefSpec, amount_column
@@ -38,10 +39,12 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.options(**DIALECT).csv(path).columns
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str | None = None, multi_line: bool | None = None, odd: str | None = None) -> DataFrame:
     """A CSV (UTF-8, else Latin-1; cells as text, missing ones null) or Parquet table, only ``columns`` of it.
 
     A CSV is read once more to find ``encoding`` and ``multi_line``, unless both are given.
+    Short rows lack their last cells, long ones lose what goes beyond the header; ``odd`` names
+    a column for a CSV that marks both.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
@@ -50,13 +53,20 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
         if encoding is None or multi_line is None:
             found = dialect(spark, path)
             encoding, multi_line = encoding or found[0], found[1] if multi_line is None else multi_line
-        df = spark.read.options(**DIALECT).option("encoding", encoding).option("multiLine", multi_line).csv(path)
-        df = df.select(*[F.when(~name(c).isin(MISSING), name(c)).alias(c) for c in df.columns])
+        reader = spark.read.options(**DIALECT).option("encoding", encoding).option("multiLine", multi_line)
+        df = reader.csv(path)
+        cells = [F.when(~name(c).isin(MISSING), name(c)).alias(c) for c in df.columns]
+        if odd is not None:
+            whole = T.StructType([T.StructField(c, T.StringType()) for c in (*df.columns, odd)])
+            # a parser that skips columns does not see how many cells a row has
+            df = reader.schema(whole).option("columnNameOfCorruptRecord", odd).option("columnPruning", False).csv(path)
+            cells.append(name(odd).isNotNull().alias(odd))
+        df = df.select(*cells)
     else:
         raise ValueError(f"unsupported file format: {kind}")
     if columns is None:
         return df
-    wanted = set(columns)
+    wanted = {*columns, odd}
     return df.select(*[name(c) for c in df.columns if c in wanted])
 
 
@@ -76,11 +86,12 @@ def prefixed(df: DataFrame, source: str) -> DataFrame:
     return df.select(*[name(c).alias(f"{source}_{c}") for c in df.columns])
 
 
+def lacks(df: DataFrame, ref: RefSpec) -> str | None:
+    """What keeps a reference out of a job, seen from its columns."""
+    lost = [c for c in (ref.match, *ref.returns) if c not in df.columns]
+    return f"missing column: {', '.join(lost)}" if lost else None
+
+
 def problems(refs: Sequence[tuple[RefSpec, DataFrame]]) -> list[tuple[str, str]]:
     """(source, issue) of references that cannot take part; the others are not held up by them."""
-    out = []
-    for spec, df in refs:
-        lost = [c for c in (spec.match, *spec.returns) if c not in df.columns]
-        if lost:
-            out.append((spec.name, f"missing column: {', '.join(lost)}"))
-    return out
+    return [(ref.name, lost) for ref, df in refs if (lost := lacks(df, ref))]

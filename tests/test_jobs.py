@@ -136,6 +136,56 @@ def test_a_broken_reference_does_not_stop_the_others(spark):
     assert done.detail.first()["Match Source"] == "Good" and done.discrepancies.isEmpty()
 
 
+def _isolated(spark, refs, **how):
+    base = spark.createDataFrame([("1", 5.0), ("2", 6.0), ("3", 7.0)], "k string, Amount double")
+    spec = JobSpec(BaseSpec("k", None, "Amount"), tuple(RefSpec(n, "k", ("Total",)) for n in refs))
+    return reconcile(spec, base, refs, NOW, **how)
+
+
+def test_a_reference_that_fails_while_it_is_read_is_left_out(spark, tmp_path):
+    good = spark.createDataFrame([("1", 5.0), ("2", 1.0)], "k string, Total double")
+    failing = good.withColumn("Total", F.when(F.col("k") == "2", F.raise_error(F.lit("damaged"))).otherwise(F.col("Total")))
+    damaged = tmp_path / "damaged.parquet"
+    good.coalesce(1).write.parquet(str(damaged))
+    part = next(damaged.glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:40])
+    for crc in damaged.glob(".*.crc"):
+        crc.unlink()
+    unlike = good.withColumn("Total", F.array("Total")).withColumn("k", F.map_from_arrays(F.array("k"), F.array("k")))
+    refs = {"Failing": failing, "Good": good, "Damaged": str(damaged), "Gone": str(tmp_path / "gone.csv"), "Sheet": str(tmp_path / "a.xlsx"), "Unlike": unlike}
+    done = _isolated(spark, refs, isolate=True)
+    issues = {r["source"]: r["issue"] for r in done.issues.collect()}
+    assert {s: i.split(":")[0] for s, i in issues.items() if s != "Unlike"} == dict.fromkeys(["Failing", "Damaged", "Gone", "Sheet"], "cannot be read")
+    assert "unsupported file format" in issues["Sheet"] and "gone.csv" in issues["Gone"]
+    alone = _isolated(spark, {"Good": good})
+    shown = ["k", "Amount", "Good_Total", "Good_Match_Count"]
+    assert rows(done.detail, *shown) == rows(alone.detail, *shown)
+    assert {s for r in done.detail.select("Match Source").collect() for s in r[0].split(", ")} <= {"", "Good", "Unlike"}
+
+
+def test_short_and_long_rows_of_a_file_stay_and_are_counted(spark, tmp_path):
+    path = tmp_path / "bank.csv"
+    path.write_text('k,note,Total\n1,"a, b",5\n2,short\n3,long,7,8\n')
+    done = _isolated(spark, {"Bank": str(path)})
+    assert rows(done.issues, "source", "issue") == [("Bank", "rows with too few or too many cells: 2")]
+    assert rows(done.detail, "k", "Bank_Total", "Bank_Match_Count") == [("1", "5", 1), ("2", None, 1), ("3", "7", 1)]
+    # a file without such rows is no issue, nor is an empty one
+    path.write_text("k,note,Total\n1,a,5\n")
+    assert _isolated(spark, {"Bank": str(path)}).issues.isEmpty()
+    path.write_text("k,note,Total\n")
+    assert _isolated(spark, {"Bank": str(path)}).issues.isEmpty()
+
+
+def test_joins_read_the_staged_columns_only(spark, tmp_path):
+    path = str(tmp_path / "wide.parquet")
+    spark.createDataFrame([("1", "x", 2.0, 5.0)], "k string, other string, `Due Amount` double, Total double").write.parquet(path)
+    whole, isolated = (_isolated(spark, {"Bank": source}) for source in (spark.read.parquet(path), path))
+    plan = isolated.detail._jdf.queryExecution().executedPlan().toString()
+    assert "wide.parquet" not in plan and "other" not in plan
+    # the amount column is the same one as in the whole table
+    assert sorted(map(str, whole.discrepancies.collect())) == sorted(map(str, isolated.discrepancies.collect()))
+
+
 def test_row_order_and_keys_do_not_matter(spark, small):
     from ledgerloom.plans import derived as D
 
