@@ -87,37 +87,37 @@ def _year_month_day(parts: Column, day_second: Column) -> Column:
 
     ``day_second`` tells that a leading year is followed by the day where both orders fit.
     """
-    a, b, c = (F.get(parts, i) for i in range(3))
-    n = lambda x: x.try_cast("int")
-    full = lambda x: x.rlike(r"^\d{4}$")
-    number = lambda x: x.rlike(r"^\d{1,2}$")
-    named = lambda x: x.rlike(MONTH)
-    month = lambda x: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(x, 1, 3))).cast("string")
+    a, b, c = each = [F.get(parts, i) for i in range(3)]
+    # by position of the part
+    value = [x.try_cast("int") for x in each]
+    full, number, named = ([x.rlike(p) for x in each] for p in (r"^\d{4}$", r"^\d{1,2}$", MONTH))
+    month = [((F.position(F.lower(F.substring(x, 1, 3)), F.lit("".join(MONTHS))) + 2) / 3).cast("int").cast("string") for x in each]
     # a two-digit year lies less than fifty years ahead
-    soon = F.year(F.current_date()) + 50
-    short = lambda y: n(y) + F.when(n(y) + 2000 >= soon, 1900).otherwise(2000)
-    year = lambda y: F.when(full(y), y).when(number(y), short(y).cast("string"))
-    date = lambda y, m, d: F.concat(y, F.lit("-"), m, F.lit("-"), d)
+    soon = F.year(F.current_date()) - 1950
+    year = [F.when(f, x).when(n, (v + F.when(v >= soon, 1900).otherwise(2000)).cast("string")) for x, v, f, n in zip(each, value, full, number)]
+    dash, first = F.lit("-"), F.lit("1")
+    date = lambda y, m, d: F.concat(y, dash, m, dash, d)
     # no day or month: four digits, or two above 31
-    only_year = lambda x: full(x) | (number(x) & (n(x) > 31))
-    turned = F.when(day_second | ~full(a), n(c) <= 12).otherwise(n(b) > 12)
+    only_year = [f | (n & (v > 31)) for f, n, v in zip(full, number, value)]
+    turned = F.when(day_second | ~full[0], value[2] <= 12).otherwise(value[1] > 12)
+    day_month_year = date(year[2], b, a)
     three = (
-        F.when(only_year(a) & number(b) & number(c), F.when(turned, date(year(a), c, b)).otherwise(date(year(a), b, c)))
-        .when(only_year(a) & named(b), date(year(a), month(b), c))
-        .when(only_year(a) & named(c), date(year(a), month(c), b))
-        .when(named(a) & number(b), date(year(c), month(a), b))
-        .when(number(a) & named(b), date(year(c), month(b), a))
-        .when(number(a) & full(b) & named(c), date(b, month(c), a))
-        .when(number(a) & number(b), F.when((n(b) <= 12) | (n(a) > 12), date(year(c), b, a)).otherwise(date(year(c), a, b)))
+        F.when(only_year[0] & number[1] & number[2], F.when(turned, date(year[0], c, b)).otherwise(date(year[0], b, c)))
+        .when(only_year[0] & named[1], date(year[0], month[1], c))
+        .when(only_year[0] & named[2], date(year[0], month[2], b))
+        .when(named[0] & number[1], date(year[2], month[0], b))
+        .when(number[0] & named[1], date(year[2], month[1], a))
+        .when(number[0] & full[1] & named[2], date(b, month[2], a))
+        .when(number[0] & number[1], F.when((value[1] <= 12) | (value[0] > 12), day_month_year).otherwise(date(year[2], a, b)))
     )
-    first = F.lit("1")
     two = (
-        F.when(named(a) & only_year(b), date(year(b), month(a), first))
-        .when(full(a) & named(b), date(a, month(b), first))
-        .when(full(a) & number(b), date(a, b, first))
-        .when(number(a) & full(b), date(b, a, first))
+        F.when(named[0] & only_year[1], date(year[1], month[0], first))
+        .when(full[0] & named[1], date(a, month[1], first))
+        .when(full[0] & number[1], date(a, b, first))
+        .when(number[0] & full[1], date(b, a, first))
     )
-    return F.when(F.size(parts) == 3, three).when(F.size(parts) == 2, two).when((F.size(parts) == 1) & full(a), date(a, first, first))
+    n = F.size(parts)
+    return F.when(n == 3, three).when(n == 2, two).when((n == 1) & full[0], date(a, first, first))
 
 
 def _spelled_date(text: Column) -> Column:
