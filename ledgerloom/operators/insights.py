@@ -107,7 +107,8 @@ def risk_scores(spec: JobSpec, report: DataFrame, age: DataFrame | None = None)
     """Score 0 to 100 of each report row from delta, status and missing references.
 
     The age part is 0 by definition; ``age`` (key, days) turns on up to 20 points
-    for rows older than 120 days, in proportion below.
+    for rows older than 120 days, in proportion below. Of several ages of a key the
+    largest counts or, where a third column tells the rows' places, the first one known.
     """
     key = report.columns[0]
     top = report.agg(F.max(F.abs("Delta")).alias("__max"))
@@ -118,7 +119,9 @@ def risk_scores(spec: JobSpec, report: DataFrame, age: DataFrame | None = None)
     missing = F.bround(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)) * 15, 1)
     aged = F.lit(0.0)
     if age is not None:
-        days = age.groupBy(F.col(age.columns[0]).alias(key)).agg(F.max(age.columns[1]).alias("__days"))
+        days, *order = map(name, age.columns[1:])
+        chosen = F.min_by(days, F.when(days.isNotNull(), order[0])) if order else F.max(days)
+        days = age.groupBy(name(age.columns[0]).alias(key)).agg(chosen.alias("__days"))
         scored = scored.join(days, key, "left")
         aged = F.coalesce(F.bround(F.least(F.greatest(F.col("__days"), F.lit(0)), F.lit(120)) / 6, 1), F.lit(0.0))
     score = F.bround(F.least(F.greatest(delta + status + missing + aged, F.lit(0.0)), F.lit(100.0)), 0).cast("int")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import NULL_KEY, age_bucket, age_days, as_text, clean_key, date_text, is_date_column, name, parse_date
-from ..sources.readers import extracted, strict_subset
+from ..sources.readers import extracted, place, strict_subset
 from ..sources.spec import FULL, JobSpec, RefSpec
 from ..sources.tables import written
 
@@ -36,6 +36,12 @@ def aged(df: DataFrame, date: str | None, as_of: dt.datetime) -> DataFrame:
     return df.select(age_bucket(days).alias("Age Bucket"), days.alias("Age (Days)"), "*")
 
 
+def placed_ages(base: DataFrame, match: str, date: str, as_of: dt.datetime, null_key: str | None = NULL_KEY) -> DataFrame:
+    """(key, days, place) of the rows of a base read from files, for the first age of each key."""
+    rows = base.select(name(match), name(date), place().alias("__place"))
+    return keyed(aged(rows, date, as_of), match, null_key).select(KEY, "Age (Days)", "__place")
+
+
 def _side(spec: RefSpec, df: DataFrame, null_key: str | None) -> tuple[DataFrame, DataFrame]:
     """A reference ready to join: its rows with prefixed columns, and of each key the number of rows and whether it counts as matched."""
     subset, _ = strict_subset(df, spec)

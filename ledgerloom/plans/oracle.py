@@ -233,6 +233,11 @@ pairs as (select value, ref_value, greatest(plain, ordered, round_even(share * 9
 best as (select value, ref_value, score from (select *, row_number() over (partition by value order by score desc, ref_value) as rk from pairs where score >= 60) where rk = 1)"""
 
 
+_AGED_RISK = f""",
+scored as (select "Invoice #", cast(round_even(least(100, greatest(0, round_even(abs("Delta") / (select max(abs("Delta")) from report) * 40, 1) + {_POINTS}
+  + round_even(least(1, greatest(0, 1 - "Ref_Count" / 2)) * 15, 1) + coalesce(round_even(least(greatest(days, 0), 120) / 6, 1), 0))), 0) as integer) as "Risk Score", "Status", "Delta" from report left join ages on "Invoice #" = key)
+select "Invoice #", "Risk Score", case when "Risk Score" <= 25 then '🟢 Low' when "Risk Score" <= 50 then '🟡 Medium' when "Risk Score" <= 75 then '🟠 High' else '🔴 Critical' end as "Risk Level", "Status", "Delta" from scored"""
+
 SQL: dict[str, str] = {
     "clean_key": f'with {TABLES} select "Invoice", {key("\"Invoice\"")} as key from base',
     "parse_amount": f"""with {TABLES} select "Invoice", "Amount", {money_of('"Amount"')} as amount_value, try_cast(trim(replace(replace("Amount", ',', ''), '$', '')) as double) as aging_value from base""",
@@ -365,8 +370,7 @@ from y left join c1 on y.key = c1.key left join c2 on y.key = c2.key group by al
     "source_reliability_default": SQL["source_reliability"].replace("""coalesce("Bank_Invoice No", "Bank_Priority", cast("Bank_Total" as varchar)) is not null or "Bank_Date" is not null as here""", "true as here").replace(
         """"Ledger_Ref" is not null or "Ledger_Customer" is not null or "Ledger_Open Amount" is not null,""", "true,"
     ),
-    "risk_with_age": f"""with {BOTH}, ages as (select {key('"Invoice"')} as key, max("Age (Days)") as days from detail group by 1),
-scored as (select "Invoice #", cast(round_even(least(100, greatest(0, round_even(abs("Delta") / (select max(abs("Delta")) from report) * 40, 1) + {_POINTS}
-  + round_even(least(1, greatest(0, 1 - "Ref_Count" / 2)) * 15, 1) + coalesce(round_even(least(greatest(days, 0), 120) / 6, 1), 0))), 0) as integer) as "Risk Score", "Status", "Delta" from report left join ages on "Invoice #" = key)
-select "Invoice #", "Risk Score", case when "Risk Score" <= 25 then '🟢 Low' when "Risk Score" <= 50 then '🟡 Medium' when "Risk Score" <= 75 then '🟠 High' else '🔴 Critical' end as "Risk Level", "Status", "Delta" from scored""",
+    "risk_with_age": f"with {BOTH}, ages as (select {key('\"Invoice\"')} as key, max(\"Age (Days)\") as days from detail group by 1){_AGED_RISK}",
+    "risk_first_age": f"""with {BOTH}, ages as (select cast(o_orderkey as varchar) as key, arg_min(o_orderkey * (copy + 1) % 200, (o_orderkey * 7919 + copy * 104729) % 1000003) as days
+  from orders cross join (values (0), (1)) as t(copy) where o_orderkey % 9 <> 0 or copy = 1 group by 1){_AGED_RISK}""",
 }

@@ -350,6 +350,18 @@ def risk_with_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.risk_scores(D.spec(), _report(spark, sf_dir), view)
 
 
+def risk_first_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk with the age part, from the first age of each key in the order of a file's rows; every key stands in two rows."""
+    k, copy = F.col("o_orderkey"), F.col("copy")
+    path = f"{shared_dir(spark)}/ages-{uuid.uuid4().hex}.csv"
+    twice = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    day = F.when((k % 9 != 0) | (copy == 1), F.date_sub(F.lit(D.AS_OF).cast("date"), (k * (copy + 1) % 200).cast("int")))
+    mixed = twice.orderBy((k * 7919 + copy * 104729) % 1000003, k)
+    mixed.select(k.cast("string").alias("Invoice"), F.date_format(day, "yyyy-MM-dd").alias("Date")).write.option("header", True).csv(path)
+    ages = match.placed_ages(readers.read_table(spark, path), "Invoice", "Date", D.AS_OF)
+    return insights.risk_scores(D.spec(), _report(spark, sf_dir), ages)
+
+
 def header_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.header_stats(_detail(spark, sf_dir), _report(spark, sf_dir))
 
@@ -366,6 +378,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
         patterns, fuzzy_best, fuzzy_join, fuzzy_tokens, fuzzy_partial, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
-        risk_order, outlier_order, iqr_all_match, report_sink, csv_scan, csv_pruned, date_spellings, date_orders, issues_isolated, detail_full_null_apart, source_reliability_default, risk_with_age,
+        risk_order, outlier_order, iqr_all_match, report_sink, csv_scan, csv_pruned, date_spellings, date_orders, issues_isolated, detail_full_null_apart, source_reliability_default, risk_with_age, risk_first_age,
     )
 }

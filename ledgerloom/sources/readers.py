@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,14 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*[name(c) for c in df.columns if c in wanted])
 
 
+def place() -> Column:
+    """Where a row of a table read from files stands: file, block and row within the block, whatever tasks read it.
+
+    Rows of one block keep their order within a task, and files are ordered by name, as Spark numbers what it writes.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def strict_subset(df: DataFrame, ref: RefSpec) -> tuple[DataFrame, str | None]:
     """Match column, return columns and the amount column (looked for among all), nothing else."""
     amount = amount_column(df.columns)

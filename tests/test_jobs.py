@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import compare, discrepancy, fuzzy, insights, match, reports
 from ledgerloom.plans.reconcile import reconcile
+from ledgerloom.sources import readers
 from ledgerloom.sources.spec import FULL, BaseSpec, FieldSpec, JobSpec, RefSpec
 
 NOW = dt.datetime(2024, 1, 1)
@@ -249,6 +250,19 @@ def test_age_points_are_opt_in(spark):
     assert insights.risk_scores(spec, report, age).first()["Risk Score"] == 80
 
 
+def test_the_first_age_of_a_key_in_file_order(spark, tmp_path):
+    for part, lines in enumerate(["1,\n2,2023-12-02", "1,2023-12-22\n2,2023-01-01\n1,2020-01-01"]):
+        (tmp_path / "base.csv").mkdir(exist_ok=True)
+        (tmp_path / "base.csv" / f"part-{part}.csv").write_text(f"k,Date\n{lines}\n")
+    ages = match.placed_ages(readers.read_table(spark, str(tmp_path / "base.csv")), "k", "Date", NOW)
+    report = spark.createDataFrame([(k, 0.0, 1, "MATCH") for k in "123"], "`Invoice #` string, Delta double, Ref_Count long, Status string")
+    spec = JobSpec(BaseSpec("k"), (RefSpec("A", "k"),))
+    plain = {r[0]: r[1] for r in insights.risk_scores(spec, report).select("Invoice #", "Risk Score").collect()}
+    scores = {r[0]: r[1] - plain[r[0]] for r in insights.risk_scores(spec, report, ages.repartition(7)).select("Invoice #", "Risk Score").collect()}
+    # 10 and 30 days of 120 give 1.7 and 5 of 20 points
+    assert scores == {"1": 2, "2": 5, "3": 0}
+
+
 def test_reports_are_written(spark, tmp_path):
     base = spark.createDataFrame([("1", "2024-01-01", 5.0), ("2", "2023-01-01", 7.0)], "k string, Date string, Amount double")
     ref = spark.createDataFrame([("1", 4.0)], "k string, Total double")
