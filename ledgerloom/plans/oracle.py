@@ -374,3 +374,4 @@ from y left join c1 on y.key = c1.key left join c2 on y.key = c2.key group by al
     "risk_first_age": f"""with {BOTH}, ages as (select cast(o_orderkey as varchar) as key, arg_min(o_orderkey * (copy + 1) % 200, (o_orderkey * 7919 + copy * 104729) % 1000003) as days
   from orders cross join (values (0), (1)) as t(copy) where o_orderkey % 9 <> 0 or copy = 1 group by 1){_AGED_RISK}""",
 }
+SQL["report_commit"] = SQL["risk_scores"]

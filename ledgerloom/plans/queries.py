@@ -280,6 +280,14 @@ def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def report_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk report as read back from a committed set of reports."""
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    report = written(_report(spark, sf_dir), "report")
+    reports.commit_reports({"discrepancy_report": report, "risk_analysis": insights.risk_scores(D.spec(), report)}, folder, "first")
+    return reports.committed(spark, folder)["risk_analysis"]
+
+
 def _as_csv(spark: SparkSession, sf_dir: str) -> str:
     """Customers as delimited text with doubled quotes, line breaks and backslashes in cells, as spreadsheets export them."""
     path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}.csv"
@@ -378,6 +386,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
         patterns, fuzzy_best, fuzzy_join, fuzzy_tokens, fuzzy_partial, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
-        risk_order, outlier_order, iqr_all_match, report_sink, csv_scan, csv_pruned, date_spellings, date_orders, issues_isolated, detail_full_null_apart, source_reliability_default, risk_with_age, risk_first_age,
+        risk_order, outlier_order, iqr_all_match, report_sink, report_commit, csv_scan, csv_pruned, date_spellings, date_orders, issues_isolated, detail_full_null_apart, source_reliability_default, risk_with_age, risk_first_age,
     )
 }

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.values import NULL_KEY
 from ..operators import compare, discrepancy, insights
 from ..operators.match import detail
-from ..operators.reports import write_reports
+from ..operators.reports import commit_reports, write_reports
 from ..sources.readers import lacks
 from ..sources.spec import JobSpec, RefSpec
 from ..sources.staging import staged
@@ -52,12 +52,16 @@ class Reconciliation:
         out["issues"] = self.issues
         return out
 
-    def write(self, folder: str, kind: str = "parquet", approximate: bool = False) -> list[str]:
-        """Names of the reports written, which are those that have rows."""
+    def write(self, folder: str, kind: str = "parquet", approximate: bool = False, run: str | None = None) -> list[str]:
+        """Names of the reports written, which are those that have rows.
+
+        With the name of a ``run`` all are committed together, see commit_reports; read them by ``committed``.
+        """
         view = written(self.detail, "detail")
         report = None if self.discrepancies is None else written(self.discrepancies, "report")
         schema = compare.schema_report(self.spec, view) if self.schema is not None else None
-        return write_reports(replace(self, detail=view, discrepancies=report, schema=schema).reports(approximate), folder, kind)
+        reports = replace(self, detail=view, discrepancies=report, schema=schema).reports(approximate)
+        return write_reports(reports, folder, kind) if run is None else commit_reports(reports, folder, run, kind)
 
 
 def _usable(spark: SparkSession, refs: Sequence[RefSpec], tables: Mapping[str, DataFrame | str], isolate: bool) -> tuple[list[tuple[RefSpec, DataFrame]], list[tuple[str, str]]]:

@@ -250,6 +250,26 @@ def test_age_points_are_opt_in(spark):
     assert insights.risk_scores(spec, report, age).first()["Risk Score"] == 80
 
 
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_a_set_of_reports_is_committed_together(spark, tmp_path, kind):
+    folder = str(tmp_path / "out")
+    table = lambda *values: spark.createDataFrame([(v,) for v in values], "v int")
+    shown = lambda run=None: {n: sorted(r[0] for r in df.collect()) for n, df in reports.committed(spark, folder, run).items()}
+    assert shown() == {}
+    assert reports.commit_reports({"a": table(1, 2), "b": table()}, folder, "one", kind) == ["a"]
+    assert shown() == {"a": [1, 2], "b": []}
+    # a run that stops between two reports shows nothing of itself
+    stopped = {"a": table(3), "b": table(4).select(F.raise_error(F.lit("lost")).cast("int").alias("v"))}
+    with pytest.raises(Exception, match="lost"):
+        reports.commit_reports(stopped, folder, "two", kind)
+    assert shown() == {"a": [1, 2], "b": []} and shown("two") == {}
+    # done again it is whole; once whole it is not done again
+    reports.commit_reports({"a": table(5), "b": table(6)}, folder, "two", kind)
+    assert reports.commit_reports(stopped, folder, "two", kind) == ["a", "b"]
+    assert shown() == {"a": [5], "b": [6]} and shown("one") == {"a": [1, 2], "b": []}
+    assert reports.commit_reports({}, folder, "three", kind) == []
+
+
 def test_the_first_age_of_a_key_in_file_order(spark, tmp_path):
     for part, lines in enumerate(["1,\n2,2023-12-02", "1,2023-12-22\n2,2023-01-01\n1,2020-01-01"]):
         (tmp_path / "base.csv").mkdir(exist_ok=True)
