@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import BUCKETS, UNKNOWN, amount, money, name, round2
 from ..sources.spec import JobSpec, fallback_amount
-from ..sources.tables import written
+from ..sources.tables import observed, written
 from .quantiles import quantiles
 
 # Points of each status in the risk score; others get OTHER_POINTS. Levels by score.
@@ -51,9 +51,26 @@ def _found() -> list[Column]:
         F.coalesce(round2(F.sum(gap)), F.lit(0.0)).alias("total_discrepancy_value"),
         F.coalesce(round2(F.avg(gap)), F.lit(0.0)).alias("avg_discrepancy"),
         F.coalesce(round2(F.max(gap)), F.lit(0.0)).alias("max_discrepancy"),
+        F.max(gap).alias("max_gap"),
     ]
 
 
+def _of_status() -> list[Column]:
+    """Rows of each status in the report, as status<i> in the order of STATUS_POINTS."""
+    return [F.count(F.when(F.col("Status") == s, 1)).alias(f"status{i}") for i, s in enumerate(STATUS_POINTS)]
+
+
+def with_figures(spec: JobSpec, view: DataFrame, report: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """View and report as tables, and one row of what other insights need to know of them.
+
+    The figures are collected while the tables are written; given as ``known``, they save
+    an insight its own pass over either.
+    """
+    view, of_view = observed(view, "detail", *_total(spec, view), *_sources(spec, view)[1])
+    report, of_report = observed(report, "report", *_found(), *_of_status(), *_patterns(spec, report)[0])
+    return view, report, of_view.crossJoin(F.broadcast(of_report))
+
+
 def _judged(spec: JobSpec, figures: DataFrame) -> DataFrame:
     """Adds match_count, match_rate, health_score and ref_count to one row with the figures of ``_total`` and ``_found``."""
     both = figures.withColumn("match_count", F.col("total_records") - F.col("discrepancy_count"))
@@ -64,9 +81,14 @@ def _judged(spec: JobSpec, figures: DataFrame) -> DataFrame:
     return both.withColumn("health_score", F.bround(health, 1)).withColumn("ref_count", F.lit(len(spec.refs)).cast("long"))
 
 
-def executive_summary(spec: JobSpec, view: DataFrame, report: DataFrame) -> DataFrame:
+def _figures(view: DataFrame, of_view: list[Column], report: DataFrame, of_report: list[Column], known: DataFrame | None) -> DataFrame:
+    """One row of figures: those known, or else from one pass over each table."""
+    return view.agg(*of_view).crossJoin(F.broadcast(report.agg(*of_report))) if known is None else known
+
+
+def executive_summary(spec: JobSpec, view: DataFrame, report: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row. ``match_count`` is detail rows less report rows, as the figures are defined."""
-    both = _judged(spec, view.agg(*_total(spec, view)).crossJoin(F.broadcast(report.agg(*_found()))))
+    both = _judged(spec, _figures(view, _total(spec, view), report, _found(), known))
     return both.select("total_records", "match_count", "discrepancy_count", "match_rate", "total_discrepancy_value", "avg_discrepancy", "max_discrepancy", "health_score", "ref_count")
 
 
@@ -90,28 +112,34 @@ def _source_rows(sources: list[str]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("Source"), F.col(f"n{i}").alias("Total Invoices"), round2(F.col(f"v{i}")).alias("Total Value"), rate(i).alias("Match Rate vs SOA")) for i, s in enumerate(sources)])
 
 
-def data_summary(spec: JobSpec, view: DataFrame, report: DataFrame) -> DataFrame:
+def data_summary(spec: JobSpec, view: DataFrame, report: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Rows, value and rate of each source, in one pass over the view."""
     sources, figures = _sources(spec, view)
-    both = _judged(spec, view.agg(*_total(spec, view), *figures).crossJoin(F.broadcast(report.agg(*_found()))))
+    both = _judged(spec, _figures(view, [*_total(spec, view), *figures], report, _found(), known))
     return both.select(F.explode(_source_rows(sources)).alias("r")).select("r.*")
 
 
-def status_breakdown(view: DataFrame, report: DataFrame) -> DataFrame:
+def status_breakdown(view: DataFrame, report: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    if known is not None:
+        counts = [(F.col("total_records") - F.col("discrepancy_count") if s == "MATCH" else F.col(f"status{i}"), s) for i, s in enumerate(STATUS_POINTS)]
+        rows = F.array(*[F.struct(F.lit(s).alias("Status"), n.alias("Count")) for n, s in counts])
+        return known.select(F.explode(rows).alias("r")).select("r.*").where((F.col("Count") > 0) | (F.col("Status") == "MATCH"))
     counts = report.where(F.col("Status") != "MATCH").groupBy("Status").agg(F.count("*").alias("Count"))
     rest = view.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(report.agg(F.count("*").alias("found"))))
     return rest.select(F.lit("MATCH").alias("Status"), (F.col("rows") - F.col("found")).alias("Count")).unionByName(counts)
 
 
-def risk_scores(spec: JobSpec, report: DataFrame, age: DataFrame | None = None) -> DataFrame:
+def risk_scores(spec: JobSpec, report: DataFrame, age: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Score 0 to 100 of each report row from delta, status and missing references.
 
+    The report is read twice, for its largest delta and for its rows; once where that is ``known``.
+
     The age part is 0 by definition; ``age`` (key, days) turns on up to 20 points
     for rows older than 120 days, in proportion below. Of several ages of a key the
     largest counts or, where a third column tells the rows' places, the first one known.
     """
     key = report.columns[0]
-    top = report.agg(F.max(F.abs("Delta")).alias("__max"))
+    top = report.agg(F.max(F.abs("Delta")).alias("__max")) if known is None else known.select(F.col("max_gap").alias("__max"))
     scored = report.crossJoin(F.broadcast(top))
     delta = F.when(F.col("__max") > 0, F.bround(F.abs("Delta") / F.col("__max") * 40, 1)).otherwise(0.0)
     status = F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS_POINTS.items() for x in kv])[F.col("Status")], F.lit(OTHER_POINTS))
@@ -160,9 +188,9 @@ def iqr_stats(report: DataFrame, column: str, approximate: bool = False) -> Data
     return _bounded(table.agg(*_spread(name(column), approximate, table, column)).where(F.col("n") >= 4))
 
 
-def amounts_of(spec: JobSpec, view: DataFrame, report: DataFrame) -> tuple[DataFrame, str | None]:
+def amounts_of(spec: JobSpec, view: DataFrame, report: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, str | None]:
     """The table and column whose amounts are looked at: the report's, or the view's where no discrepancy is left."""
-    if not report.isEmpty():
+    if not report.isEmpty() if known is None else known.first()["discrepancy_count"]:
         return report, spec.base_label if spec.base_label in report.columns else fallback_amount(report.columns)
     column = _base_amount(spec, view)
     if column is None:
@@ -298,28 +326,26 @@ def patterns(spec: JobSpec, report: DataFrame) -> DataFrame:
     return report.agg(*figures).select(F.explode(found).alias("p")).select("p.*")
 
 
-def header_stats(view: DataFrame, report: DataFrame, summary: bool = True) -> DataFrame:
+def header_stats(view: DataFrame, report: DataFrame, summary: bool = True, known: DataFrame | None = None) -> DataFrame:
     """Rows, matches and issues. Without a ``summary`` matches are the report's rows that are marked so, as in a report with all keys."""
-    rows = view.agg(F.count("*").alias("total_rows"))
-    found = report.agg(F.count("*").alias("n"), F.count(F.when(F.col("Status") == "MATCH", 1)).alias("good"))
-    matches = F.col("total_rows") - F.col("n") if summary else F.col("good")
-    issues = F.col("n") if summary else F.col("n") - F.col("good")
-    return rows.crossJoin(F.broadcast(found)).select("total_rows", matches.alias("matches"), issues.alias("issues"))
+    total, n, good = F.col("total_records"), F.col("discrepancy_count"), F.col(f"status{list(STATUS_POINTS).index('MATCH')}")
+    figures = _figures(view, [F.count("*").alias("total_records")], report, [F.count("*").alias("discrepancy_count"), *_of_status()], known)
+    matches, issues = (total - n, n) if summary else (good, n - good)
+    return figures.select(total.alias("total_rows"), matches.alias("matches"), issues.alias("issues"))
 
 
-def metric_table(spec: JobSpec, view: DataFrame, report: DataFrame, generated_at: str = "", with_patterns: bool = True, approximate: bool = False) -> DataFrame:
+def metric_table(spec: JobSpec, view: DataFrame, report: DataFrame, generated_at: str = "", with_patterns: bool = True, approximate: bool = False, known: DataFrame | None = None) -> DataFrame:
     """(ord, Metric, Value): all insights as one long table of texts; ord gives the order of rows.
 
-    One pass over the view and one over the report give all figures but the number of
-    outliers, for which the report is read again.
+    One pass over the view and one over the report, or none where the figures are ``known``,
+    give all but the distribution of amounts, for which these are read again.
     """
     c = F.col
     sources, of_sources = _sources(spec, view)
     of_patterns, found = _patterns(spec, report) if with_patterns else ([], None)
-    statuses = [s for s in STATUS_POINTS if s != "MATCH"]
-    of_status = [F.count(F.when(c("Status") == s, 1)).alias(f"status{i}") for i, s in enumerate(statuses)]
-    amounts, column = amounts_of(spec, view, report)
-    figures = view.agg(*_total(spec, view), *of_sources).crossJoin(F.broadcast(report.agg(*_found(), *of_patterns, *of_status)))
+    statuses = [(i, s) for i, s in enumerate(STATUS_POINTS) if s != "MATCH"]
+    amounts, column = amounts_of(spec, view, report, known)
+    figures = _figures(view, [*_total(spec, view), *of_sources], report, [*_found(), *of_patterns, *_of_status()], known)
     if column:
         amounts = amounts.select(name(amounts.columns[0]), name(column))
         amounts = amounts if approximate else written(amounts, "amounts")
@@ -341,7 +367,7 @@ def metric_table(spec: JobSpec, view: DataFrame, report: DataFrame, generated_at
         F.array(*[line(i, m, v) for i, (m, v) in enumerate(summary)]),
         F.flatten(F.transform(_source_rows(sources), lambda r: F.array(line(100, label(r, "Invoices"), r["Total Invoices"]), line(101, label(r, "Value Sum"), money(r["Total Value"])), line(102, label(r, "Match Rate"), r["Match Rate vs SOA"])))),
         F.array(line(200, "MATCH", c("match_count"))),
-        F.array_compact(F.array(*[F.when(c(f"status{i}") > 0, line(200, s, c(f"status{i}"))) for i, s in enumerate(statuses)])),
+        F.array_compact(F.array(*[F.when(c(f"status{i}") > 0, line(200, s, c(f"status{i}"))) for i, s in statuses])),
         F.array_compact(F.array(*[F.when(enough, line(400 + i, m, v)) for i, (m, v) in enumerate(spread)])),
     ]
     if found is not None:

@@ -375,3 +375,12 @@ from y left join c1 on y.key = c1.key left join c2 on y.key = c2.key group by al
   from orders cross join (values (0), (1)) as t(copy) where o_orderkey % 9 <> 0 or copy = 1 group by 1){_AGED_RISK}""",
 }
 SQL["report_commit"] = SQL["risk_scores"]
+SQL |= {
+    "written_figures": f"""with {BOTH}, {SUMMARY}, header as (
+  select true as summary, total_records as total_rows, match_count as matches, discrepancy_count as issues from summary union all select false, total_records, 0, discrepancy_count from summary)
+select * from header, summary s, status_breakdown""",
+    "header_without_summary": f"""with {BOTH} select (select count(*) from detail) as total_rows, count(*) filter ("Status" = 'MATCH') as matches, count(*) filter ("Status" <> 'MATCH') as issues from every""",
+    "aging_classes": f"""select "Age Bucket", "Risk Level", case "Age Bucket" when '0-30' then 'safe' when '31-60' then 'attention' when 'Unknown' then 'other' else 'risk' end as level_class from ({SQL["aging"]})""",
+    "report_contents": f"""select 'discrepancy_report' as report, "Invoice #" as item, "Status" as said from ({SQL["disc_left"]})
+union all select 'risk_analysis', "Invoice #", "Risk Level" from ({SQL["risk_scores"]}) union all select 'reconciliation_insights', "Metric", "Value" from ({SQL["insights_table"]})""",
+}

@@ -14,7 +14,7 @@ from ..functions import values as V
 from ..operators import compare, discrepancy, fuzzy, insights, match, reports
 from ..sources import readers
 from ..sources.spec import FULL, RefSpec
-from ..sources.tables import shared_dir, written
+from ..sources.tables import observed, shared_dir, written
 from . import derived as D
 from .reconcile import reconcile
 
@@ -255,7 +255,26 @@ def insights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insights.by_risk(insights.risk_scores(D.spec(), _report(spark, sf_dir)))
+    """The largest delta is found while the report is written, so the report is worked out once."""
+    report, top = observed(_report(spark, sf_dir), "report", F.max(F.abs("Delta")).alias("max_gap"))
+    return insights.by_risk(insights.risk_scores(D.spec(), report, known=top))
+
+
+def written_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary, header and status counts from what is collected while the two tables are written."""
+    view, report, known = insights.with_figures(D.spec(), _detail(spark, sf_dir), _report(spark, sf_dir))
+    header = [insights.header_stats(view, report, s, known).select(F.lit(s).alias("summary"), "*") for s in (True, False)]
+    parts = [insights.executive_summary(D.spec(), view, report, known), insights.status_breakdown(view, report, known)]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, header[0].unionByName(header[1]))
+
+
+def header_without_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header figures by the status of a report with all keys."""
+    return insights.header_stats(_detail(spark, sf_dir), _report(spark, sf_dir, keep=True), summary=False)
+
+
+def aging_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.with_classes(insights.aging(D.spec(), _detail(spark, sf_dir))).select("Age Bucket", "Risk Level", "level_class")
 
 
 def outlier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +299,15 @@ def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def report_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the discrepancy report, the risk report and the insights that a job writes, read back."""
+    done = reconcile(D.spec(), D.base(spark, sf_dir), {"Bank": D.bank(spark, sf_dir), "Ledger": D.ledger(spark, sf_dir)}, D.AS_OF)
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    done.write(folder)
+    shown = [("discrepancy_report", "Invoice #", "Status"), ("risk_analysis", "Invoice #", "Risk Level"), ("reconciliation_insights", "Metric", "Value")]
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("report"), F.col(k).alias("item"), F.col(v).alias("said")) for n, k, v in shown])
+
+
 def report_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The risk report as read back from a committed set of reports."""
     folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
@@ -386,6 +414,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
         patterns, fuzzy_best, fuzzy_join, fuzzy_tokens, fuzzy_partial, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,
-        risk_order, outlier_order, iqr_all_match, report_sink, report_commit, csv_scan, csv_pruned, date_spellings, date_orders, issues_isolated, detail_full_null_apart, source_reliability_default, risk_with_age, risk_first_age,
+        risk_order, written_figures, header_without_summary, aging_classes, outlier_order, iqr_all_match, report_sink, report_contents, report_commit, csv_scan, csv_pruned, date_spellings, date_orders, issues_isolated, detail_full_null_apart, source_reliability_default, risk_with_age, risk_first_age,
     )
 }

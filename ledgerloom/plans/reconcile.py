@@ -1,7 +1,8 @@
 """A whole reconciliation job: spec and tables in, lazy report DataFrames out.
 
 ``write`` writes the detail view and the discrepancy report first and makes the other
-reports from what it wrote, so the joins of a job are done once.
+reports from what it wrote and from the figures that it collected meanwhile, so the joins
+of a job are done once and its summaries need no pass of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from ..operators.reports import commit_reports, write_reports
 from ..sources.readers import lacks
 from ..sources.spec import JobSpec, RefSpec
 from ..sources.staging import staged
-from ..sources.tables import written
+from ..sources.tables import scratch, written
 
 
 @dataclass
@@ -33,6 +34,8 @@ class Reconciliation:
     issues: DataFrame
 
     as_of: dt.datetime | None = None
+    #: one row, as with_figures gives it, where view and report are written
+    known: DataFrame | None = None
 
     def reports(self, approximate: bool = False) -> dict[str, DataFrame]:
         """All reports by name. ``approximate`` takes quartiles from a sketch."""
@@ -40,9 +43,9 @@ class Reconciliation:
         if self.discrepancies is not None:
             stamp = f"{self.as_of or dt.datetime.now():%Y-%m-%d %H:%M:%S}"
             out["discrepancy_report"] = discrepancy.problems_first(self.discrepancies)
-            out["reconciliation_insights"] = insights.metric_table(self.spec, self.detail, self.discrepancies, stamp, approximate=approximate)
-            out["risk_analysis"] = insights.by_risk(insights.risk_scores(self.spec, self.discrepancies))
-            amounts, column = insights.amounts_of(self.spec, self.detail, self.discrepancies)
+            out["reconciliation_insights"] = insights.metric_table(self.spec, self.detail, self.discrepancies, stamp, approximate=approximate, known=self.known)
+            out["risk_analysis"] = insights.by_risk(insights.risk_scores(self.spec, self.discrepancies, known=self.known))
+            amounts, column = insights.amounts_of(self.spec, self.detail, self.discrepancies, self.known)
             if column:
                 out["outliers"] = insights.by_size(insights.iqr_outliers(amounts, column, approximate=approximate))
         if self.schema is not None:
@@ -56,12 +59,16 @@ class Reconciliation:
         """Names of the reports written, which are those that have rows.
 
         With the name of a ``run`` all are committed together, see commit_reports; read them by ``committed``.
+        Tables written on the way are removed at the end.
         """
-        view = written(self.detail, "detail")
-        report = None if self.discrepancies is None else written(self.discrepancies, "report")
-        schema = compare.schema_report(self.spec, view) if self.schema is not None else None
-        reports = replace(self, detail=view, discrepancies=report, schema=schema).reports(approximate)
-        return write_reports(reports, folder, kind) if run is None else commit_reports(reports, folder, run, kind)
+        with scratch(self.detail.sparkSession):
+            if self.discrepancies is None:
+                view, report, known = written(self.detail, "detail"), None, None
+            else:
+                view, report, known = insights.with_figures(self.spec, self.detail, self.discrepancies)
+            schema = compare.schema_report(self.spec, view) if self.schema is not None else None
+            reports = replace(self, detail=view, discrepancies=report, schema=schema, known=known).reports(approximate)
+            return write_reports(reports, folder, kind) if run is None else commit_reports(reports, folder, run, kind)
 
 
 def _usable(spark: SparkSession, refs: Sequence[RefSpec], tables: Mapping[str, DataFrame | str], isolate: bool) -> tuple[list[tuple[RefSpec, DataFrame]], list[tuple[str, str]]]:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+#: The folder of the job that is being done, inside ``scratch``.
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, is computed once and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, DataFrame]:
+    """df as written, and one row of figures over all its rows, collected by the tasks that write it.
+
+    The figures sit in the last stage, whose partitions count once however often a task is
+    tried, so they are those of the rows in the table.
+    """
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    table = written(df.observe(seen, *figures), name)
+    schema = df.agg(*figures).schema
+    return table, df.sparkSession.createDataFrame([tuple(seen.get[c] for c in schema.names)], schema)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go to one folder that is removed at the end, so nothing may be read from them later."""
+    folder = f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
+    token = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from ledgerloom.operators import compare, discrepancy, fuzzy, insights, match, r
 from ledgerloom.plans.reconcile import reconcile
 from ledgerloom.sources import readers
 from ledgerloom.sources.spec import FULL, BaseSpec, FieldSpec, JobSpec, RefSpec
+from ledgerloom.sources.tables import scratch, shared_dir, written
 
 NOW = dt.datetime(2024, 1, 1)
 
@@ -296,6 +298,46 @@ def test_reports_are_written(spark, tmp_path):
     assert shown.count() == 3 and shown.where("k = ''").count() == 1
 
 
+@pytest.mark.parametrize("rows", [0, 3, 500])
+def test_figures_collected_while_writing(spark, rows):
+    ids = spark.range(rows).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("Amount"))
+    ref = ids.where("k % 3 <> 0").select("k", (F.col("Amount") - F.when(F.col("k") % 2 == 0, 1.0).otherwise(0.0)).alias("Total"))
+    spec = JobSpec(BaseSpec("k", None, "Amount"), (RefSpec("A", "k", ("Total",)),))
+    done = reconcile(spec, ids, {"A": ref}, NOW)
+    view, report, known = insights.with_figures(spec, done.detail, done.discrepancies)
+    assert known.count() == 1
+    for insight in (insights.executive_summary, insights.data_summary, insights.metric_table):
+        assert insight(spec, view, report, known=known).collect() == insight(spec, view, report).collect()
+    assert rows_of(insights.status_breakdown(view, report, known)) == rows_of(insights.status_breakdown(view, report))
+    for summary in (True, False):
+        assert insights.header_stats(view, report, summary, known).collect() == insights.header_stats(view, report, summary).collect()
+    risk = insights.risk_scores(spec, report, known=known)
+    assert rows_of(risk) == rows_of(insights.risk_scores(spec, report))
+    assert plan_of(risk).count("Relation [") == 1 and "Relation [" not in plan_of(insights.executive_summary(spec, view, report, known))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().replace("LocalRelation [", "")
+
+
+def test_tables_written_on_the_way_are_removed(spark, tmp_path):
+    base = spark.createDataFrame([("1", 5.0)], "k string, Amount double")
+    spec = JobSpec(BaseSpec("k", None, "Amount"), (RefSpec("A", "k", ("Total",)),))
+    done = reconcile(spec, base, {"A": base.select("k", (F.col("Amount") + 1).alias("Total"))}, NOW)
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    done.write(str(tmp_path / "out"))
+    assert set(shared.iterdir()) == before
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        written(base, "lost")
+        1 / 0
+    assert set(shared.iterdir()) == before
+
+
 def hot_tables(spark):
     """Half the base rows and two reference rows have no key; other keys repeat and lack partners here and there."""
     base = spark.range(4000).select(F.when(F.col("id") % 2 == 0, (F.col("id") % 700).cast("string")).alias("Invoice"), F.lit("2024-01-01").alias("Date"), F.col("id").alias("Amount"))
