@@ -75,10 +75,10 @@ def fold_log(log: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """One row per conversation: the formatted text and its segments.
+    """One row per conversation: the formatted text and the spans that mask it.
 
-    segments (text, loss) joined give ``formatted``; loss marks assistant texts,
-    so the mask is stored with the text that it covers.
+    spans has (head, body, loss) for each turn: ``formatted`` is, turn by turn, so many code
+    points of template, so many of text, and the end mark. loss marks assistant texts.
     """
     turn = F.struct(
         "turn",
@@ -86,17 +86,11 @@ def render(messages: DataFrame) -> DataFrame:
         escape(F.col("text")).alias("body"),
         (F.col("role") == ASSISTANT).alias("loss"),
     )
-    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    span = lambda t: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), t["loss"].alias("loss"))
     return (
         messages.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-        .select(
-            "conv_id",
-            F.flatten(
-                F.transform("turns", lambda t: F.array(segment(t["head"], F.lit(False)), segment(t["body"], t["loss"]), segment(F.lit(END), F.lit(False))))
-            ).alias("segments"),
-        )
-        .select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+        .select("conv_id", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"), F.transform("turns", span).alias("spans"))
     )
 
 
@@ -104,12 +98,16 @@ def format_chats(log: DataFrame) -> DataFrame:
     return render(fold_log(log))
 
 
+def _blocks(formatted: Column) -> Column:
+    """What follows each start mark; one cut through the text, so places are then counted within a turn."""
+    return F.filter(F.split(formatted, r"<\|im_start\|>"), lambda b: b != "")
+
+
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, text>> parsed back from a formatted conversation."""
-    blocks = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda b: b != "")
     head = lambda b: F.substring_index(b, "\n", 1)
     return F.transform(
-        blocks,
+        _blocks(formatted),
         lambda b: F.struct(
             unescape(head(b), newline=True).alias("role"),
             unescape(F.substring(b, F.length(head(b)) + 2, F.length(b) - F.length(head(b)) - 1 - len(END))).alias("text"),
@@ -117,6 +115,7 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
-def read_loss(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def read_loss(formatted: Column, spans: Column) -> Column:
+    """All text of ``formatted`` under the loss mask, unescaped."""
+    masked = lambda b, s: F.when(s["loss"], unescape(F.substring(b, s["head"] - len(START) + 1, s["body"])))
+    return F.array_join(F.zip_with(_blocks(formatted), spans, masked), "")

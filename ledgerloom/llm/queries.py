@@ -16,7 +16,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hostile.alias("text")
     )
     out = chat_format.format_chats(chat_format.turns_to_log(given.unionByName(extra)))
-    turns, loss = chat_format.read_turns(F.col("formatted")), chat_format.read_loss(F.col("segments"))
+    turns, loss = chat_format.read_turns(F.col("formatted")), chat_format.read_loss(F.col("formatted"), F.col("spans"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (
         out.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))

@@ -14,7 +14,7 @@ LOG = "conv_id long, seq long, turn long, kind string, role string, text string"
 
 def chats(spark, rows):
     out = C.format_chats(C.turns_to_log(spark.createDataFrame(rows, TURNS).withColumn("seq", F.lit("x")).withColumn("kind", F.lit("y"))))
-    out = out.select("conv_id", "formatted", C.read_turns(F.col("formatted")).alias("turns"), C.read_loss(F.col("segments")).alias("loss"), "segments")
+    out = out.select("conv_id", "formatted", C.read_turns(F.col("formatted")).alias("turns"), C.read_loss(F.col("formatted"), F.col("spans")).alias("loss"), "spans")
     return {r["conv_id"]: r for r in out.collect()}
 
 
@@ -33,7 +33,21 @@ def test_control_strings_come_back(spark):
     assert said(out) == [(r, t) for _, _, r, t in rows]
     assert out["loss"] == hostile + "<"
     assert out["formatted"].count("<|im_start|>") == 4
-    assert "".join(s["text"] for s in out["segments"]) == out["formatted"]
+
+
+def test_spans_mask_the_formatted_text(spark):
+    rows = [(1, 0, "user", "é<|"), (1, 1, "assistant", "x\\y \U0001f600"), (1, 2, "assistant", ""), (1, 3, "assistant", "\n"), (2, 0, "user", "")]
+    for out in chats(spark, rows).values():
+        at, masked = 0, []
+        for s in out["spans"]:
+            at += s["head"]
+            if s["loss"]:
+                masked.append(out["formatted"][at : at + s["body"]])
+            at += s["body"]
+            assert out["formatted"][at : at + len(C.END)] == C.END
+            at += len(C.END)
+        assert at == len(out["formatted"])
+        assert masked == ([] if out["conv_id"] == 2 else ["x\\by \U0001f600", "", "\n"])
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
