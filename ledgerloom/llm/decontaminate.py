@@ -11,10 +11,10 @@ other numbers or names is caught, and one that merely has the same shape is not.
 An item is found in a text if windows of one occurrence cover at least half of its
 tokens or 13 of them. An occurrence is the windows that stand at one offset from
 the item, or at neighbouring offsets; coverage and slots are settled in each. Items of 5 to 7 tokens are one window of their own length; items of 3 or 4
-tokens are found where they are a whole sentence or line, and shorter ones are not
-looked for. A template window has at least 5 literal tokens: where slots are dense
+tokens are found where they are a whole sentence or line, those of 1 or 2 where they are
+a whole line, which may be a lone word of any text. A template window has at least 5 literal tokens: where slots are dense
 it goes on beyond 8 tokens until it has them. An item with fewer literals in all
-has one window, which must be a whole sentence or line (2 literals at least).
+has one window, which must be a whole sentence or line; with a single literal, a line.
 
 Defined cases: null and empty texts hold nothing; ids may be of any type and keep it,
 null among them; a repeated row changes nothing. Every text is looked through by
@@ -42,6 +42,8 @@ WINDOW = 8
 SHORTEST = 5
 #: Tokens of an item that is found only as a whole sentence or line, and literals of such a template.
 SHORTEST_ALONE = 3
+#: Tokens of an item that is found only as a whole line.
+SHORTEST_LINE = 1
 LITERALS = 5
 FEWEST = 2
 SHARE = 0.5
@@ -129,6 +131,11 @@ def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Cal
     size = len(kept)
     first = np.r_[True, kinds[:-1] == STOP][: len(kinds)][kept]  # of a sentence
     last = np.r_[kinds[1:] == STOP, True][-len(kinds) :][kept]
+    # of a line: how many line breaks stand before each token, and so which tokens share a line
+    breaks = np.fromiter((t == "\n" for t in raw), bool, len(raw))
+    line = np.cumsum(breaks)[kept]
+    new_line = np.r_[True, line[1:] != line[:-1]][:size]
+    line_end = np.r_[line[1:] != line[:-1], True][-size:] if size else new_line
     kinds, hashes = kinds[kept], hashes[kept]
     after_number = np.r_[False, kinds[:-1] == NUMBER][: len(kinds)]
     slot = (kinds == NUMBER) | (kinds == UNIT) & after_number | (kinds == NAME) & ~first
@@ -136,9 +143,10 @@ def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Cal
     values = lambda s, n: [raw[kept[j]].lower() for j in range(s, s + n) if slot[j]]
     total = np.r_[0, np.cumsum(slot)]
     for n in sorted({WINDOW, *lengths(size)}):
-        if n > size or n < SHORTEST_ALONE:
+        if n > size or n < SHORTEST_LINE:
             continue
-        alone = first[: size - n + 1] & last[n - 1 :]
+        on_line = new_line[: size - n + 1] & line_end[n - 1 :] & (line[: size - n + 1] == line[n - 1 :])
+        alone = first[: size - n + 1] & last[n - 1 :] if n >= SHORTEST_ALONE else on_line
         if n <= WINDOW and (n >= SHORTEST or alone.any()):
             h = _rolling(hashes, n)
             for s in np.flatnonzero(keep(h) & (alone | (n >= SHORTEST))).tolist():
@@ -147,7 +155,7 @@ def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Cal
             continue
         slots = total[n:] - total[:-n]
         enough = slots <= n - LITERALS
-        some = (slots > 0) & (enough & (n <= WINDOW) | ~enough & (slots <= n - FEWEST) & alone)
+        some = (slots > 0) & (enough & (n <= WINDOW) | ~enough & (slots <= n - FEWEST) & alone | (slots == n - 1) & on_line & (n >= SHORTEST_ALONE))
         if some.any():
             at = np.flatnonzero(some)
             h = _spans(typed, at, at + n)

@@ -26,7 +26,7 @@ def test_literal_and_other_parameters(docs, items):
         (1, FILLER + ITEM + FILLER), (2, FILLER + ITEM.upper()), (3, FILLER * 50 + OTHER), (4, FILLER), (5, None), (6, ""), (7, "x short, item of SIX words here"), (8, "too short"), (8, "too short"), (9, ITEM.replace(" ", "\n")), (9, ITEM),
         (10, "word " * 40_000 + ITEM), (2**62 + 1, ITEM), (None, FILLER),
     ]
-    assert found(docs, items, rows) == [(1, 1, "literal"), (2, 1, "literal"), (3, 1, "template"), (7, 2, "literal"), (9, 1, "literal"), (10, 1, "literal"), (2**62 + 1, 1, "literal")]
+    assert found(docs, items, rows) == [(1, 1, "literal"), (2, 1, "literal"), (3, 1, "template"), (7, 2, "literal"), (8, 3, "literal"), (9, 1, "literal"), (10, 1, "literal"), (2**62 + 1, 1, "literal")]
 
 
 def test_slots_must_be_consistent(docs, items):
@@ -50,6 +50,15 @@ def test_items_of_many_slots_and_few_tokens(spark, docs):
     assert [r[:2] for r in found(docs, items, rows)] == [(1, 1), (3, 2), (5, 3), (6, 4)]
 
 
+def test_shortest_items_are_whole_lines(spark, docs):
+    items = spark.createDataFrame([(1, "Photosynthesis"), (2, "ice cream"), (3, "Compute 4 * 5 - 3."), (4, "12"), (5, "Add 2")], "item_id long, text string")
+    rows = [
+        (1, "a\n photosynthesis. \nb"), (2, "photosynthesis is it"), (3, "Photosynthesis"), (4, "we eat\nIce Cream\n"), (5, "we eat ice cream"), (6, "ice\ncream"), (7, "x y\ncompute 7 * 2 - 9\nz"),
+        (8, "Now. Compute 7 * 2 - 9."), (9, "compute 7 * 2 - 9 please"), (10, "12"), (11, "13"), (12, "Add 3"), (13, "\n\n"), (14, "ice\n\ncream\nice. cream"),
+    ]
+    assert [r[:2] for r in found(docs, items, rows)] == [(1, 1), (3, 1), (4, 2), (7, 3), (10, 4), (14, 2)]
+
+
 def test_hashes_of_many_lengths():
     ids = np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64)
     for n in (1, 8, 30):
