@@ -61,8 +61,8 @@ UNITS = frozenset(
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks "
     "month months year years cent cents dollar dollars euro euros percent mph kmh kph degrees volt volts watt watts joule joules".split()
 )
-WORD, NUMBER, UNIT, NAME, STOP = range(5)
-HOLDER = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0], np.uint64)
+WORD, NUMBER, UNIT, NAME, STOP, LINE = range(6)
+HOLDER = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0, 0], np.uint64)
 BASE = 0xD6E8FEB86659FD93
 
 
@@ -74,7 +74,7 @@ class Lexicon(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        kind = STOP if token in ".!?\n" else NUMBER if token[0].isdigit() else UNIT if low in UNITS else NAME if token.istitle() and len(token) > 1 else WORD
+        kind = LINE if token == "\n" else STOP if token in ".!?" else NUMBER if token[0].isdigit() else UNIT if low in UNITS else NAME if token.istitle() and len(token) > 1 else WORD
         self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
         self.kinds.append(kind)
         self[token] = len(self.kinds) - 1
@@ -127,15 +127,12 @@ def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Cal
 
     ``lengths`` gives the lengths of whole items to look for in a text of so many tokens.
     """
-    kept = np.flatnonzero(kinds != STOP)
+    stop = kinds >= STOP
+    kept = np.flatnonzero(~stop)
     size = len(kept)
-    first = np.r_[True, kinds[:-1] == STOP][: len(kinds)][kept]  # of a sentence
-    last = np.r_[kinds[1:] == STOP, True][-len(kinds) :][kept]
-    # of a line: how many line breaks stand before each token, and so which tokens share a line
-    breaks = np.fromiter((t == "\n" for t in raw), bool, len(raw))
-    line = np.cumsum(breaks)[kept]
-    new_line = np.r_[True, line[1:] != line[:-1]][:size]
-    line_end = np.r_[line[1:] != line[:-1], True][-size:] if size else new_line
+    first = np.r_[True, stop[:-1]][: len(kinds)][kept]  # of a sentence
+    last = np.r_[stop[1:], True][-len(kinds) :][kept]
+    line = np.cumsum(kinds == LINE)[kept]
     kinds, hashes = kinds[kept], hashes[kept]
     after_number = np.r_[False, kinds[:-1] == NUMBER][: len(kinds)]
     slot = (kinds == NUMBER) | (kinds == UNIT) & after_number | (kinds == NAME) & ~first
@@ -145,6 +142,8 @@ def _windows(raw: list[str], hashes: np.ndarray, kinds: np.ndarray, lengths: Cal
     for n in sorted({WINDOW, *lengths(size)}):
         if n > size or n < SHORTEST_LINE:
             continue
+        turn = line[1:] != line[:-1]
+        new_line, line_end = np.r_[True, turn], np.r_[turn, True]
         on_line = new_line[: size - n + 1] & line_end[n - 1 :] & (line[: size - n + 1] == line[n - 1 :])
         alone = first[: size - n + 1] & last[n - 1 :] if n >= SHORTEST_ALONE else on_line
         if n <= WINDOW and (n >= SHORTEST or alone.any()):
