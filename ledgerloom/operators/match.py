@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.values import NULL_KEY, age_bucket, age_days, as_text, clean_key, date_text, is_date_column, name, parse_date
 from ..sources.readers import extracted, place, strict_subset
 from ..sources.spec import FULL, JobSpec, RefSpec
-from ..sources.tables import written
+from ..sources.tables import bucketed, written
 
 KEY = "__key"
 Refs = Sequence[tuple[RefSpec, DataFrame]]
@@ -42,14 +42,16 @@ def placed_ages(base: DataFrame, match: str, date: str, as_of: dt.datetime, null
     return keyed(aged(rows, date, as_of), match, null_key).select(KEY, "Age (Days)", "__place")
 
 
-def _side(spec: RefSpec, df: DataFrame, null_key: str | None) -> tuple[DataFrame, DataFrame]:
-    """A reference ready to join: its rows with prefixed columns, and of each key the number of rows and whether it counts as matched."""
+def _rows(spec: RefSpec, df: DataFrame, null_key: str | None) -> DataFrame:
+    """A reference's rows ready to join, with prefixed columns."""
     subset, _ = strict_subset(df, spec)
-    columns = extracted(spec)
-    rows = keyed(subset, spec.match, null_key).select(KEY, *[name(c).alias(f"{spec.name}_{c}") for c in columns])
-    first = name(f"{spec.name}_{columns[0]}").isNotNull()
-    facts = rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias(f"__n_{spec.name}"), F.max(first).alias(f"__hit_{spec.name}"))
-    return rows, facts
+    return keyed(subset, spec.match, null_key).select(KEY, *[name(c).alias(f"{spec.name}_{c}") for c in extracted(spec)])
+
+
+def _facts(spec: RefSpec, rows: DataFrame, on: Sequence[str] = (KEY,)) -> DataFrame:
+    """Of each key of a reference the number of rows and whether it counts as matched."""
+    first = name(f"{spec.name}_{extracted(spec)[0]}").isNotNull()
+    return rows.where(F.col(KEY).isNotNull()).groupBy(*on).agg(F.count("*").alias(f"__n_{spec.name}"), F.max(first).alias(f"__hit_{spec.name}"))
 
 
 def _apart(spec: RefSpec, rows: DataFrame) -> DataFrame:
@@ -74,13 +76,19 @@ def _dealt(df: DataFrame, heavy: DataFrame, copies: bool) -> DataFrame:
     """df with ``__piece``: rows of a heavy key are dealt to its pieces, or copied to each of them; 0 for other keys."""
     joined = df.join(heavy, F.col(KEY) == F.col("__heavy"), "left")
     last = F.coalesce("__pieces", F.lit(1)) - 1
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), last)) if copies else F.pmod(F.monotonically_increasing_id(), last + 1)
+    # rows without a key meet nothing, so they may be anywhere
+    among = F.when(F.col(KEY).isNull(), FEW_KEYS).otherwise(last + 1)
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), last)) if copies else F.pmod(F.monotonically_increasing_id(), among)
     return joined.withColumn("__piece", piece).drop("__heavy", "__pieces")
 
 
-def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_key: str | None = NULL_KEY, skipped: Sequence[str] = (), heavy_rows: int | None = None) -> DataFrame:
+def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_key: str | None = NULL_KEY, skipped: Sequence[str] = (), heavy_rows: int | None = None, buckets: int | None = None) -> DataFrame:
     """Wide view, one row for each base row and match.
 
+    With ``buckets``, each table is read and its keys cleaned once, and written in so many
+    buckets by key; whatever is then asked of the view joins without an exchange. It pays
+    where a view is used several times.
+
     With ``heavy_rows``, base rows of a key that has more are dealt to pieces of about so
     many, and the reference rows of these keys alone are copied to each piece, so no task
     joins a whole hot key. The keys are found by a count with partial sums.
@@ -92,14 +100,21 @@ def detail(spec: JobSpec, base: DataFrame, refs: Refs, as_of: dt.datetime, null_
     """
     view = keyed(aged(base, spec.base.date, as_of), spec.base.match, null_key)
     shown = [c for c in view.columns if c != KEY]
-    sides = [(r, *_side(r, df, null_key)) for r, df in refs]
+    tables = [(r, _rows(r, df, null_key)) for r, df in refs]
     alone = []
     heavy = heavy_keys(view, heavy_rows) if heavy_rows else None
     on, hot = [KEY], None
     if heavy is not None:
         on = [KEY, "__piece"]
         view = _dealt(view, heavy, copies=False)
-        sides = [(ref, _dealt(rows, heavy, copies=True), _dealt(facts, heavy, copies=True)) for ref, rows, facts in sides]
+    # facts are grouped before a hot key is copied to its pieces, or after that in place
+    dealt = lambda df: df if heavy is None else _dealt(df, heavy, copies=True)
+    if buckets:
+        view = bucketed(view, "base", on, buckets)
+        tables = [(ref, bucketed(dealt(rows), "reference", on, buckets)) for ref, rows in tables]
+        sides = [(ref, rows, _facts(ref, rows, on)) for ref, rows in tables]
+    else:
+        sides = [(ref, dealt(rows), dealt(_facts(ref, rows))) for ref, rows in tables]
     if spec.how == FULL:
         view = view.withColumn("__base", F.lit(True))
         keys = view.select(*on)

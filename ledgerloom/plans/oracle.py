@@ -384,3 +384,4 @@ select * from header, summary s, status_breakdown""",
     "report_contents": f"""select 'discrepancy_report' as report, "Invoice #" as item, "Status" as said from ({SQL["disc_left"]})
 union all select 'risk_analysis', "Invoice #", "Risk Level" from ({SQL["risk_scores"]}) union all select 'reconciliation_insights', "Metric", "Value" from ({SQL["insights_table"]})""",
 }
+SQL["detail_bucketed"] = SQL["detail_left"]

@@ -92,6 +92,11 @@ def detail_left_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hot(spark, sf_dir, "left")
 
 
+def detail_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detail view from tables that are written once in buckets by key."""
+    return match.detail(D.spec(), D.base(spark, sf_dir), _refs(spark, sf_dir), D.AS_OF, buckets=8)
+
+
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detail(spark, sf_dir).groupBy("Bank_Match_Count", "Ledger_Match_Count").agg(F.count("*").alias("n_rows"))
 
@@ -410,7 +415,7 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_key, parse_amount, parse_date, age_bucket, date_cleanup, canonical_date, strict_subset, issues, detail_left, detail_full, detail_left_hot_key, match_count, match_source, dup_summary,
+        clean_key, parse_amount, parse_date, age_bucket, date_cleanup, canonical_date, strict_subset, issues, detail_left, detail_full, detail_left_hot_key, detail_bucketed, match_count, match_source, dup_summary,
         exact_join_raw, missing_in_ref, missing_in_base, found_in_ref, disc_sums, disc_status_1ref, disc_status_2ref, disc_full, disc_left, mismatched_fields, compare_fields,
         schema_text, schema_number, schema_date, exec_summary, data_summary, status_breakdown, risk_scores, iqr_stats, iqr_outliers, aging, source_reliability, top_discrepancies,
         patterns, fuzzy_best, fuzzy_join, fuzzy_tokens, fuzzy_partial, report_classes, level_classes, duplicate_flags, insights_table, header_stats, preview,

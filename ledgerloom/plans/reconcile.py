@@ -89,8 +89,8 @@ def _usable(spark: SparkSession, refs: Sequence[RefSpec], tables: Mapping[str, D
     return usable, found
 
 
-def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame | str], as_of: dt.datetime | None = None, null_key: str | None = NULL_KEY, sources: Sequence[str] | None = None, heavy_rows: int | None = None, isolate: bool = False) -> Reconciliation:
-    """A reference with missing columns is listed in ``issues`` and left out of the joins; ``heavy_rows`` as in detail.
+def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame | str], as_of: dt.datetime | None = None, null_key: str | None = NULL_KEY, sources: Sequence[str] | None = None, heavy_rows: int | None = None, isolate: bool = False, buckets: int | None = None) -> Reconciliation:
+    """A reference with missing columns is listed in ``issues`` and left out of the joins; ``heavy_rows`` and ``buckets`` as in detail.
 
     A reference given by its path, or any with ``isolate``, is first read on its own into the
     shared folder: one that cannot be read to its end becomes an issue as well, the others go on,
@@ -98,7 +98,7 @@ def reconcile(spec: JobSpec, base: DataFrame, refs: Mapping[str, DataFrame | str
     """
     as_of = as_of or dt.datetime.now()
     usable, found = _usable(base.sparkSession, spec.refs, refs, isolate)
-    view = detail(spec, base, usable, as_of, null_key, heavy_rows=heavy_rows)
+    view = detail(spec, base, usable, as_of, null_key, heavy_rows=heavy_rows, buckets=buckets)
     report = discrepancy.discrepancies(spec, base, usable, null_key, sources=sources) if spec.base.amount in base.columns else None
     schema = compare.schema_report(spec, view) if spec.fields else None
     issues = base.sparkSession.createDataFrame(found, "source string, issue string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -44,6 +44,24 @@ def observed(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, Dat
     return table, df.sparkSession.createDataFrame([tuple(seen.get[c] for c in schema.names)], schema)
 
 
+def bucketed(df: DataFrame, name: str, by: Sequence[str], n: int | None = None) -> DataFrame:
+    """df as written, in n buckets (as many as shuffle partitions, if not said) by the given columns.
+
+    Joins and groupings on exactly these columns then need no exchange. A bucket is read by
+    one task, so values with very many rows must be dealt to pieces by another column.
+    """
+    spark = df.sparkSession
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_dir(spark)}/{table}"
+    # by the same hash as the buckets, so each is one file
+    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    # the files stay and out knows them; the catalog need not keep the name
+    spark.sql(f"drop table {table}")
+    return out
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside go to one folder that is removed at the end, so nothing may be read from them later."""

@@ -350,8 +350,37 @@ def hot_tables(spark):
 def test_hot_key_in_pieces(spark, how, null_key):
     base, refs = hot_tables(spark)
     spec = JobSpec(BaseSpec("Invoice", "Date", "Amount"), tuple(r for r, _ in refs), how=how)
-    plain, dealt = (match.detail(spec, base, refs, NOW, null_key, heavy_rows=n) for n in (None, 100))
-    assert rows(plain, *plain.columns) == rows(dealt, *plain.columns)
+    want = None
+    for heavy, buckets in ((None, None), (100, None), (None, 5), (100, 5)):
+        view = match.detail(spec, base, refs, NOW, null_key, heavy_rows=heavy, buckets=buckets)
+        got = rows(view, *view.columns)
+        want = want or got
+        assert got == want
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    base, refs = hot_tables(spark)
+    spec = JobSpec(BaseSpec("Invoice", "Date", "Amount"), tuple(r for r, _ in refs))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = spark.catalog.listTables()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plain, staged = (match.detail(spec, base, refs, NOW, buckets=n) for n in (None, 8))
+        assert "Exchange hashpartitioning" in executed(plain) and "Exchange" not in executed(staged)
+        # the source itself is read while staging only
+        assert "Range" in executed(plain) and "Range (" not in executed(staged)
+        assert executed(staged).count("Scan parquet") == 1 + 2 * len(refs)
+        assert staged.count() == plain.count()
+        # a hot key in pieces needs none either
+        assert "Exchange hashpartitioning" not in executed(match.detail(spec, base, refs, NOW, heavy_rows=100, buckets=8))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.catalog.listTables() == names
+
+
+def executed(df):
+    """The plan before it is run."""
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hot_key_is_spread_over_tasks(spark):
