@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 # Names by which amount and date columns are recognised, in order of preference.
 AMOUNT_EXACT = ["invoice total", "open amount", "total amount", "net amount", "amount", "total", "invoice amount", "inv total", "inv amount", "balance", "amount due", "payment amount"]
@@ -28,9 +28,12 @@ class BaseSpec:
 
 @dataclass(frozen=True)
 class RefSpec:
+    """``file`` is the name of the file a saved spec was made with; it stands in for ``name`` when files are bound."""
+
     name: str
     match: str
     returns: tuple[str, ...] = ()
+    file: str = ""
 
 
 @dataclass(frozen=True)
@@ -70,7 +73,7 @@ class JobSpec:
     @staticmethod
     def from_json(text: str) -> JobSpec:
         raw = json.loads(text)
-        refs = tuple(RefSpec(r["name"], r["match"], tuple(r["returns"])) for r in raw["refs"])
+        refs = tuple(RefSpec(r["name"], r["match"], tuple(r["returns"]), r.get("file", "")) for r in raw["refs"])
         fields = tuple(FieldSpec(f["name"], f["mappings"], f["type"]) for f in raw["fields"])
         return JobSpec(BaseSpec(**raw["base"]), refs, fields, raw["how"])
 
@@ -159,10 +162,33 @@ def bind(spec: JobSpec, available: Mapping[str, Sequence[str]]) -> JobSpec:
             continue
         returns = tuple(c for c in ref.returns if c in columns)
         if returns:
-            kept.append(RefSpec(ref.name, ref.match, returns))
+            kept.append(replace(ref, returns=returns))
     return JobSpec(spec.base, tuple(kept), field_list(spec, available), spec.how)
 
 
+def bind_files(spec: JobSpec, files: Mapping[str, Sequence[str]], base_columns: Sequence[str] | None = None) -> tuple[JobSpec, dict[str, str]]:
+    """A saved spec for today's files, given by path with their columns: (spec, path of each reference that is left).
+
+    A reference takes the first file of its own file's name, in whatever folder that now is;
+    one without such a file, or whose rule no longer fits the file, is left out as in ``bind``.
+    Roles of the base that name no column of today's base are dropped.
+    """
+    by_name: dict[str, str] = {}
+    for path in files:
+        by_name.setdefault(file_name(path), path)
+    paths = {r.name: by_name[r.file] for r in spec.refs if r.file in by_name}
+    bound = bind(spec, {ref: files[path] for ref, path in paths.items()})
+    if base_columns is not None:
+        role = lambda c: c if c in base_columns else None
+        bound = replace(bound, base=replace(spec.base, date=role(spec.base.date), amount=role(spec.base.amount)))
+    return bound, {r.name: paths[r.name] for r in bound.refs}
+
+
+def file_name(path: str) -> str:
+    """The last part of a path or URL, whichever slashes it has."""
+    return path.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]
+
+
 def field_list(spec: JobSpec, available: Mapping[str, Sequence[str]]) -> tuple[FieldSpec, ...]:
     out = []
     for f in spec.fields:

@@ -43,6 +43,19 @@ def test_saved_spec_is_bound_to_what_there_is():
     assert bound.fields == (S.FieldSpec("F", {"SOA": "x", "B": "x"}),)
 
 
+def test_saved_spec_is_bound_by_file_name():
+    refs = (S.RefSpec("A", "k", ("x", "y"), "bank.csv"), S.RefSpec("B", "k", ("x",), "gone.csv"), S.RefSpec("C", "k", ("x",), "ledger.csv"), S.RefSpec("D", "k", ("x",)))
+    spec = S.JobSpec(S.BaseSpec("k", "Date", "Amount"), refs, (S.FieldSpec("F", {"SOA": "x", "A": "y", "B": "x"}),))
+    assert S.JobSpec.from_json(spec.to_json()) == spec
+    files = {"s3a://b/june/bank.csv": ["k", "y"], "/old/bank.csv": ["k", "x"], "C:\\new\\ledger.csv": ["other", "x"], "/new/D": ["k", "x"]}
+    bound, paths = S.bind_files(spec, files, ["k", "Amount"])
+    assert paths == {"A": "s3a://b/june/bank.csv"}
+    assert bound.refs == (S.RefSpec("A", "k", ("y",), "bank.csv"),)
+    assert bound.base == S.BaseSpec("k", None, "Amount")
+    assert bound.fields == (S.FieldSpec("F", {"SOA": "x", "A": "y"}),)
+    assert S.bind_files(spec, {})[1] == {} and S.bind_files(spec, {})[0].base == spec.base
+
+
 def test_auto_spec_and_checks():
     auto = S.auto_spec(["Invoice", "Date", "Amount"], {"A": ["id", "x"], "B": ["only"]}, {"A": "x"})
     assert auto.base == S.BaseSpec("Invoice", "Date", "Amount")
