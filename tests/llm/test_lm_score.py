@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import attention_lm as A
@@ -59,6 +60,65 @@ def test_gathered_counts(docs):
     assert sum(n for n in counted[S.SPAN].values() if n > 1) >= 4
 
 
+def test_tokens_are_the_plain_words(monkeypatch):
+    rng = np.random.default_rng(10)
+    signs = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\0aBÉ\u212aß", " "]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 30, 500)] + [None, "", " ", "  a", "a  ", "w" * 5000]
+    monkeypatch.setattr(S, "BYTES_AT_ONCE", 1000)
+    lexicon = S.Lexicon(S.default_ranks())
+    got = []
+    for which, at, n in lexicon.read(pa.array(texts)):
+        ids, pieces = lexicon.subwords(at)
+        want = [x for t in texts[which] for x in [*(lexicon.encode(b" " + w) for w in S.words_of(t)), [lexicon.end]]]
+        assert np.split(ids, np.cumsum(pieces)[:-1])[0].tolist() == want[0]
+        assert (ids.tolist(), pieces.tolist()) == ([i for x in want for i in x], list(map(len, want)))
+        assert n.tolist() == [len(S.words_of(t)) + 1 for t in texts[which]]
+        got += range(which.start, which.stop)
+    assert got == list(range(len(texts)))
+    assert len(np.unique(lexicon.hash)) == len({w for t in texts for w in S.words_of(t)}) + 1
+
+
+def whole_words(docs, ranks):
+    """Gathered counts of docs: of subwords, of units, and the words that are units."""
+    got = S.gather(docs, ranks).groupBy("kind", "id").agg(F.sum("n").alias("n"), F.max("spelled").alias("spelled")).toPandas()
+    of_kind = lambda kind: got[got["kind"] == kind]
+    _, end, spelled = S._tokenizer(ranks)
+    subwords = np.zeros(end + 1)
+    subwords[of_kind(S.SUBWORD)["id"]] = of_kind(S.SUBWORD)["n"]
+    subwords[end] = of_kind(S.TEXT)["n"].sum()
+    return subwords, *S.with_whole_words(subwords, spelled, of_kind(S.WORD))
+
+
+def test_frequent_words_are_single_units(docs, spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()] + [None, "x" * 99 + " once", ("y" * 99 + " ") * 5]
+    ranks = S.default_ranks()
+    subwords, units, spelled, whole = whole_words(docs(list(enumerate(texts))), ranks)
+    lexicon = S.Lexicon(ranks, whole)
+    counted = np.zeros(len(units))
+    for _, at, n_tokens in lexicon.read(pa.array(texts)):
+        ids, _ = lexicon.subwords(at)
+        counted += np.bincount(ids, minlength=len(units))
+    assert np.array_equal(counted, units)
+    words = Counter(w for t in texts for w in S.words_of(t))
+    for n, word in zip(units[lexicon.end + 1 :], spelled[lexicon.end + 1 :]):
+        assert words[word[1:]] == n >= S.WHOLE
+    assert units.sum() < 0.85 * subwords.sum()
+
+
+def test_units_are_all_trained_on(docs, monkeypatch):
+    texts = ["short text", "", None, "w " * 64, *(f"a{i} " * (37 * i) for i in range(1, 30))]
+    rows, ranks = docs(list(enumerate(texts))), S.default_ranks()
+    subwords, units, spelled, whole = whole_words(rows, ranks)
+    seen = []
+    written = S.written
+    monkeypatch.setattr(S, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
+    monkeypatch.setattr(S, "REPLICA", 1000)
+    vocabulary = A.Vocabulary.of(units, spelled, np.array([s.startswith(b" ") for s in spelled]))
+    S.train(rows, ranks, vocabulary, int(units.sum()), whole)
+    assert sum(df.where("at = 0").toPandas()["n"].sum() for df in seen) == units.sum()
+    assert sum(len(S.words_of(t)) + 1 for t in texts) <= units.sum() < subwords.sum()
+
+
 def test_every_subword_is_trained_on(docs, monkeypatch):
     texts = ["short text", "", None, "w " * 64, *(f"a{i} " * (37 * i) for i in range(1, 30))]
     encode, end, spelled = S._tokenizer(S.default_ranks())
