@@ -206,6 +206,21 @@ def round2(x: Column) -> Column:
     return F.bround(x, 2)
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of the numbers as they are written, so cents are right however many rows there are and in whatever order they come; null if there are none.
+
+    Doubles are added as decimals (to ten places, below 10^18); larger or infinite ones in the plain way.
+    """
+    fixed = x.try_cast("decimal(28,10)")
+    near, far = F.sum(fixed).cast("double"), F.sum(F.when(fixed.isNull(), x.cast("double")))
+    return F.coalesce(near + far, near, far)
+
+
+def exact_avg(x: Column) -> Column:
+    n = F.count(x)
+    return exact_sum(x) / F.when(n > 0, n)
+
+
 def fuzzy_text(text: Column) -> Column:
     """Lower case with every other sign than letters and digits as space, trimmed."""
     return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", " ")))

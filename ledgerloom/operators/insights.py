@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import BUCKETS, UNKNOWN, amount, money, name, round2
+from ..functions.values import BUCKETS, UNKNOWN, amount, exact_avg, exact_sum, money, name, round2
 from ..sources.spec import JobSpec, fallback_amount
 from ..sources.tables import observed, written
 from .quantiles import quantiles
@@ -40,7 +40,7 @@ def _total(spec: JobSpec, view: DataFrame) -> list[Column]:
     """Figures of the view that the summary needs."""
     column = _base_amount(spec, view)
     value = F.coalesce(_cell(view, column), F.lit(0.0)) if column else F.lit(0.0)
-    return [F.count("*").alias("total_records"), F.coalesce(F.sum(value), F.lit(0.0)).alias("base_total")]
+    return [F.count("*").alias("total_records"), F.coalesce(exact_sum(value), F.lit(0.0)).alias("base_total")]
 
 
 def _found() -> list[Column]:
@@ -48,8 +48,8 @@ def _found() -> list[Column]:
     gap = F.abs("Delta")
     return [
         F.count("*").alias("discrepancy_count"),
-        F.coalesce(round2(F.sum(gap)), F.lit(0.0)).alias("total_discrepancy_value"),
-        F.coalesce(round2(F.avg(gap)), F.lit(0.0)).alias("avg_discrepancy"),
+        F.coalesce(round2(exact_sum(gap)), F.lit(0.0)).alias("total_discrepancy_value"),
+        F.coalesce(round2(exact_avg(gap)), F.lit(0.0)).alias("avg_discrepancy"),
         F.coalesce(round2(F.max(gap)), F.lit(0.0)).alias("max_discrepancy"),
         F.max(gap).alias("max_gap"),
     ]
@@ -96,12 +96,12 @@ def _sources(spec: JobSpec, view: DataFrame) -> tuple[list[str], list[Column]]:
     """Sources, and the columns n<i>, v<i> with the rows and value of each, in one pass over the view."""
     column = _base_amount(spec, view)
     zero = F.lit(0.0)
-    parts = [("SOA (Master)", F.count("*"), F.sum(F.coalesce(_cell(view, column), zero)) if column else zero)]
+    parts = [("SOA (Master)", F.count("*"), exact_sum(F.coalesce(_cell(view, column), zero)) if column else zero)]
     for ref in spec.refs:
         own = next((c for c in view.columns if c.startswith(ref.name) and any(k in c.lower() for k in ("amount", "total", "balance"))), None)
         count = f"{ref.name}_Match_Count"
         if own:
-            parts.append((ref.name, F.count(name(own)), F.sum(F.coalesce(_cell(view, own), zero))))
+            parts.append((ref.name, F.count(name(own)), exact_sum(F.coalesce(_cell(view, own), zero))))
         else:
             parts.append((ref.name, F.count(F.when(name(count) > 0, 1)) if count in view.columns else F.lit(0).cast("long"), zero))
     return [s for s, _, _ in parts], [x.alias(f"{k}{i}") for i, (_, n, v) in enumerate(parts) for k, x in (("n", n), ("v", F.coalesce(v, zero)))]
@@ -170,7 +170,7 @@ def _spread(x: Column, approximate: bool, table: DataFrame, column: str) -> list
     found = [F.percentile_approx(x, p, 10_000) if approximate else None for p in SHARES]
     if not approximate:
         found = [F.lit(v).cast("double") for v in quantiles(table, column, SHARES)]
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), found[0].alias("median"), F.stddev_samp(x).alias("std_dev"), found[1].alias("q1"), found[2].alias("q3")]
+    return [F.count(x).alias("n"), exact_avg(x).alias("mean"), found[0].alias("median"), F.stddev_samp(x).alias("std_dev"), found[1].alias("q1"), found[2].alias("q3")]
 
 
 def _bounded(figures: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def aging(spec: JobSpec, view: DataFrame) -> DataFrame:
     bucket = F.col("Age Bucket")
     risk = F.when(bucket == BUCKETS[0], "🟢 Safe").when(bucket == BUCKETS[1], "🟡 Attention Required").when(bucket.isin(BUCKETS[2:]), "🔴 High Risk").otherwise("⚪ Unknown")
     order = F.array_position(F.array(*[F.lit(b) for b in [*BUCKETS, UNKNOWN]]), bucket)
-    out = view.where(bucket.isNotNull()).groupBy("Age Bucket").agg(F.count("*").alias("Total Invoices"), F.sum(value).alias("__value"))
+    out = view.where(bucket.isNotNull()).groupBy("Age Bucket").agg(F.count("*").alias("Total Invoices"), exact_sum(value).alias("__value"))
     return out.select("Age Bucket", "Total Invoices", money(round2(F.col("__value"))).alias("Total Value"), risk.alias("Risk Level"), order.cast("int").alias("ord"))
 
 
@@ -267,7 +267,7 @@ def source_reliability(spec: JobSpec, view: DataFrame, exclude_counts: bool = Fa
             amt = next((c for c in own if any(k in c.lower() for k in ("amount", "total", "value"))), None)
         if base and amt:
             gap = F.abs(strict(base) - strict(amt))
-            figures += [F.count(gap).alias(f"b{i}"), F.count(F.when(gap < 0.01, 1)).alias(f"e{i}"), F.avg(gap).alias(f"d{i}")]
+            figures += [F.count(gap).alias(f"b{i}"), F.count(F.when(gap < 0.01, 1)).alias(f"e{i}"), exact_avg(gap).alias(f"d{i}")]
         else:
             figures += [F.lit(0).cast("long").alias(f"b{i}"), F.lit(0).cast("long").alias(f"e{i}"), F.lit(None).cast("double").alias(f"d{i}")]
         n, p, b, e, d = F.col("n"), *[F.col(f"{k}{i}") for k in "pbed"]
@@ -297,7 +297,7 @@ def _patterns(spec: JobSpec, report: DataFrame) -> tuple[list[Column], Column |
         d = base - ref
         share = F.when((base != 0) & ref.isNotNull(), d / F.when(base != 0, base))
         figures += [
-            F.count(d).alias(f"both{i}"), F.count(F.when(d > 0.01, 1)).alias(f"up{i}"), F.count(F.when(d < -0.01, 1)).alias(f"down{i}"), F.avg(d).alias(f"gap{i}"),
+            F.count(d).alias(f"both{i}"), F.count(F.when(d > 0.01, 1)).alias(f"up{i}"), F.count(F.when(d < -0.01, 1)).alias(f"down{i}"), exact_avg(d).alias(f"gap{i}"),
             F.count(share).alias(f"shares{i}"), F.stddev_samp(share).alias(f"spread{i}"), F.avg(share).alias(f"share{i}"), F.count(F.when(base.isNotNull() & (ref % 100 == 0), 1)).alias(f"round{i}"),
         ]
     found = []

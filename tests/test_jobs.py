@@ -316,6 +316,19 @@ def test_figures_collected_while_writing(spark, rows):
     assert plan_of(risk).count("Relation [") == 1 and "Relation [" not in plan_of(insights.executive_summary(spec, view, report, known))
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_sums_are_right_to_the_cent(spark, tasks):
+    """Doubles near 10^13 lie 0.002 apart, so cents added to them one by one do not come to 10.00."""
+    base = spark.createDataFrame([("big", 1e13)], "k string, Amount double").union(spark.range(1000).selectExpr("'c' || id", "0.01")).repartition(tasks)
+    ref = base.selectExpr("k", "Amount * 0 as Total")
+    spec = JobSpec(BaseSpec("k", None, "Amount"), (RefSpec("A", "k", ("Total",)),))
+    done = reconcile(spec, base, {"A": ref}, NOW)
+    told = lambda table: {r["Metric"]: r["Value"] for r in table.collect()}
+    read, (view, report, known) = insights.metric_table(spec, done.detail, done.discrepancies), insights.with_figures(spec, done.detail, done.discrepancies)
+    for figures in (told(read), told(insights.metric_table(spec, view, report, known=known))):
+        assert figures["[SOA (Master)] Value Sum"] == figures["Total Discrepancy Value"] == "$10,000,000,000,010.00"
+
+
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
 

@@ -137,3 +137,10 @@ def test_labels(spark):
     assert apply(spark, ["🟢 Low", "🟡 Medium", "🟠 High", "🔴 Critical"], L.risk_class) == ["low", "medium", "high", "other"]
     assert apply(spark, ["🟢 Safe", "🟡 Attention Required", "🔴 High Risk", "⚪ Unknown"], L.aging_class) == ["safe", "attention", "risk", "other"]
     assert apply(spark, [0, 1, 2, None], L.duplicate_flag, "int") == [False, False, True, False]
+
+
+@pytest.mark.parametrize(("given", "total"), [([], None), ([None], None), ([0.1] * 10, 1.0), ([1e13, *[0.01] * 1000], 1e13 + 10), ([1e25, -1e25, 0.5], 0.5), ([float("inf"), 1.0], float("inf"))])
+def test_exact_sum(spark, given, total):
+    frame = spark.createDataFrame([(v,) for v in given], "v double").coalesce(1)
+    assert frame.agg(V.exact_sum(F.col("v"))).first()[0] == total
+    assert frame.agg(V.exact_avg(F.col("v"))).first()[0] == (total / len(given) if total is not None else None)
