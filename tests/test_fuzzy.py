@@ -57,6 +57,48 @@ def test_scores(spark):
     assert tuple(row("ab", "ab" + "c" * 20)) == (0.0, 60.0)
 
 
+def tables_of(monkeypatch, *sides, **how):
+    """Rows of the tables that a search writes, by name."""
+    rows, plain = {}, fuzzy.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy, "written", counted)
+    return fuzzy.best_matches(*sides, **how), rows
+
+
+def test_texts_too_unlike_in_length_are_not_looked_for_by_edits(spark, monkeypatch):
+    """Short names of long titles get a score by words that no number of edits could beat, so no round of deletions or bigrams is due."""
+    titles = spark.range(300).selectExpr("concat_ws(' ', 'hot', elt(1 + id % 3, 'ring', 'bolt', 'plate'), 'brand 7 lot', id, 'standard') as b")
+    names = spark.range(300).selectExpr("concat_ws(' ', id, elt(1 + id % 3, 'ring', 'bolt', 'plate'), 'lot') as a")
+    found, rows = tables_of(monkeypatch, names, "a", titles, "b", weighted=True)
+    assert found.count() == 300 and found.where("score = 85.5").count() > 250
+    assert "fuzzy-grams" not in rows and "fuzzy-texts" not in rows
+    assert sum(map(len, rows.values())) < 40
+
+
+def test_reach_by_length():
+    reach = lambda *given: (lambda most, theirs: ({n: round(m, 1) for n, m in most.items()}, theirs))(*fuzzy._reach(*given))
+    of_b = [10, 20, 21]
+    assert reach({5: 0.0, 13: 0.0}, of_b, 60.0) == ({13: 76.9}, {10, 20, 21})
+    assert reach({13: 0.0}, of_b, 60.0, 3) == ({13: 76.9}, {10})
+    assert reach({13: 77.0}, of_b, 60.0) == ({}, set())
+    assert reach({20: 100.0}, of_b, 60.0) == ({20: 100.0}, {20})
+    assert reach({}, of_b, 60.0) == reach({5: 0.0}, [], 60.0) == ({}, set())
+
+
+def test_texts_that_many_fit_equally_well_have_one_row(spark, monkeypatch):
+    """Of a thousand titles with the same piece the smallest is kept, whatever the round."""
+    titles = spark.range(1000).selectExpr("concat('large hot ring brand ', id, ' lot ', id * 7) as b")
+    pieces = spark.createDataFrame([("rge hot ring",), ("rge hXt ring",), ("ring large nn",)], "a string")
+    found, rows = tables_of(monkeypatch, pieces, "a", titles, "b", weighted=True)
+    assert {r["value"]: r["ref_value"] for r in found.collect()} == {p: "large hot ring brand 0 lot 0" for p in ("rge hot ring", "rge hXt ring", "ring large nn")}
+    assert max(rows["fuzzy-found"]) <= 3
+
+
 def test_common_grams_alone_bring_nothing_together(spark):
     """Numbers under one long common name: candidates of the gram rounds grow with the values, not with their square."""
     sizes = {}
