@@ -237,15 +237,15 @@ def _edits_of_part(a: Column, b: Column) -> Column:
 
 
 def _fitting(pairs: DataFrame, short: str, long: str, e: int) -> DataFrame:
-    """The pairs in which a window of the longer text is at most e edits from the shorter one, with ``edits``."""
+    """The pairs in which a window of the longer text is at most e edits from the shorter one (with its bigrams in ``grams``), with ``edits``."""
     if not e:
         return pairs.where(F.contains(long, short)).withColumn("edits", F.lit(0))
     # an edit breaks two bigrams; counting those that are lost costs less than the windows
-    lost = F.size(F.filter(_runs(F.col(short), 2), lambda r: ~F.contains(F.col(long), r)))
+    lost = F.size(F.filter("grams", lambda r: ~F.contains(F.col(long), r)))
     n = F.length(short)
-    windows = F.transform(F.sequence(F.lit(1), F.length(long) - n + 1), lambda i: F.nullif(F.levenshtein(short, F.substring(long, i, n), e), F.lit(-1)))
+    windows = F.transform(F.sequence(F.lit(1), F.length(long) - n + 1), lambda i: F.levenshtein(short, F.substring(long, i, n), e))
     # as rows, so that it is worked out once
-    return pairs.where(lost <= 2 * e).select("*", F.explode(F.array_compact(F.array(F.array_min(windows)))).alias("edits"))
+    return pairs.where(lost <= 2 * e).select("*", F.explode(F.array_compact(F.array(F.array_min(F.filter(windows, lambda x: x >= 0))))).alias("edits"))
 
 
 def part_score(a: Column, b: Column, edits: Column | None = None) -> Column:
@@ -338,13 +338,13 @@ def _part_search(left: DataFrame, right: DataFrame, cutoff: float) -> list[DataF
         if not sizes:
             return None
         mine = texts.select(*kept, "own", "q", F.explode(F.transform(_runs(x, F.col("q")), lambda r, i: F.struct(i.alias("i"), r.alias("run")))).alias("r")).select(*kept, "own", "q", "r.*")
-        theirs = sides[long].where(F.length(long) >= UNLIKE * max(least[short], 1)).select(long, *(["ref"] if long == "b" else []), F.explode(F.array_distinct(F.flatten(F.array(*[_runs(F.col(long), k) for k in sizes])))).alias("run"))
+        theirs = sides[long].where(F.length(long) >= UNLIKE * max(least[short], 1)).select(long, *(["ref"] if long == "b" else []), F.explode(F.flatten(F.array(*[_runs(F.col(long), k) for k in sizes]))).alias("run"))
         wanted = _small(written(mine.select("run").distinct(), "fuzzy-runs"))
         counts = _small(written(theirs.join(wanted, "run", "left_semi").groupBy("run").agg(F.count("*").alias("n")), "fuzzy-runs"))
         rare = mine.join(counts, "run", "left").groupBy(*kept, "own", "q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "run"))).alias("runs"))
         # runs that no longer text has bring nothing
         chosen = rare.select(*kept, F.array_distinct(F.transform(F.filter(F.slice("runs", F.lit(1), F.col("q") * F.col("own") + 1), lambda r: r["n"] > 0), lambda r: r["run"])).alias("runs"))
-        keys = _small(written(chosen.select("*", F.posexplode("runs").alias("i", "run")).select(*kept, "run", F.slice("runs", F.lit(1), F.col("i")).alias("earlier")), "fuzzy-keys"))
+        keys = _small(written(chosen.select("*", F.posexplode("runs").alias("i", "run")).select(*kept, "run", F.slice("runs", F.lit(1), F.col("i")).alias("earlier"), _runs(x, 2).alias("grams")), "fuzzy-keys"))
         pairs = keys.join(theirs, "run").where(F.length(long) >= UNLIKE * n)
         # each pair once, by the first of the runs
         return _fitting(pairs.where(~F.exists("earlier", lambda r: F.contains(F.col(long), r))), short, long, e).select("a", "b", "ref", "edits")
